@@ -21,8 +21,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
