@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are handed on in groups of about this many characters.
 GROUP_CHARS = 2_000_000
+#: Rows that a broadcast table of a few narrow columns may have.
+SMALL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +78,10 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     return source.mapInArrow(run, schema)
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of a few narrow columns: by broadcast if it is counted to have at most SMALL_ROWS, else by shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, keys, how)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

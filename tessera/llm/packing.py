@@ -12,12 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, map_texts
+from tessera.llm.common import checkpoint, join_small, map_texts
 
-#: Entries of the word cache of a Python worker; it is emptied when full.
-CACHE_WORDS = 600_000
+#: Entries of the word caches of a Python worker; one is emptied when full.
+CACHE_WORDS = 1_500_000
+#: Controls that str.split() takes for white space and the vocabulary does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
 _words = re.compile(r"[^ \t\n\r]+").findall
 _plain = re.compile(f"(?:[{_LETTERS}]+|[{_MARKS}]+)+").fullmatch
@@ -62,15 +64,17 @@ class CachedTokenizer:
             self.by_part[part] = np.array(one.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.by_word) > CACHE_WORDS or len(self.by_part) > CACHE_WORDS:
-            self.by_word, self.by_part = {}, {}
-        split = [_words(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.by_word}
-        parts = {w: [p.lower() if p.isascii() else p for p in _parts(w)] if _plain(w) else [w] for w in new}
+        split = [_words(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+        for cache in (self.by_word, self.by_part):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        new = set().union(*split).difference(self.by_word)
+        # special tokens, which start with "<|", are found before a text is split
+        parts = {w: [w] if "<|" in w or not _plain(w) else [p.lower() if p.isascii() else p for p in _parts(w)] for w in new}
         self._encode(list({p for ps in parts.values() for p in ps if p not in self.by_part}))
         for w, ps in parts.items():
             self.by_word[w] = b"".join([self.by_part[p] for p in ps])
-        return [b"".join([self.by_word[w] for w in ws]) for ws in split]
+        return [b"".join(map(self.by_word.__getitem__, ws)) for ws in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -178,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: i
     runs = sorted(best_two_fit(counts, max_tokens))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = here.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["task", "length"])
+    ranked = join_small(pieces, checkpoint(bases), ["task", "length"])
 
     columns = np.array(runs, np.int64).reshape(-1, 6).T
     wide = int(max(counts.values(), default=0)) + 1
