@@ -140,7 +140,7 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     counts = known.groupBy("lang").count().collect()  # a row for each language
     part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1_000_000))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 2e6 * rows / r["count"])]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    near = known.where(part < share[F.col("lang")]).orderBy(part, "doc_id").limit(rows * max(1, len(counts)))
+    near = known.where(part < share[F.col("lang")]).withColumn("_part", part)
 
     def make():
         def call(texts):
@@ -155,7 +155,8 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
         return call
 
-    return map_texts(near, ["lang"], make, "window binary")
+    windows = map_texts(near, ["lang", "_part"], make, "window binary")
+    return windows.orderBy("_part", "window").limit(rows * max(1, len(counts)) * SAMPLE_WINDOWS).select("lang", "window")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:

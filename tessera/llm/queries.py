@@ -28,9 +28,33 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text (null: empty) modulo ``n``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.where(_remainder(3) != 1)))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
+    scored = score(docs, fit(docs, labels))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
