@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts of one Arrow batch are handed on in groups of about this many characters.
-GROUP_CHARS = 2_000_000
+#: Texts of one Arrow batch are handed on in groups of about this many bytes.
+GROUP_CHARS = 4_000_000
 #: Rows that a broadcast table of a few narrow columns may have.
 SMALL_ROWS = 1_000_000
 
@@ -33,25 +33,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def groups_by_size(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of ``texts`` that hold at most ``limit`` characters, or one text."""
+def groups_by_size(sizes: list[int], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of texts of these sizes that hold at most ``limit`` together, or one text."""
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
+    for i, n in enumerate(sizes):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text", arrow_text: bool = False) -> DataFrame:
     """Run a function over the column ``text``, a bounded group of rows at a time.
 
-    ``make()`` runs once in each task and returns the function. That gets the texts of a group and returns
-    ``(rows, columns)``: the columns named in the schema string ``made``, and for each of their values the
-    index of its row in the group (None: one value for each row, in order). The columns ``keep`` of the row go along."""
+    ``make()`` runs once in each task and returns the function. That gets the texts of a group (a list, or an
+    Arrow array with ``arrow_text``) and returns ``(rows, columns)``: the columns named in the schema string
+    ``made``, and for each of their values the index of its row in the group (None: one value for each row, in
+    order). The columns ``keep`` of the row go along."""
     from pyspark.sql.types import StructType
 
     source = df.select(*keep, F.col(text).alias("_text"))
@@ -59,15 +59,17 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     names = [f.name for f in schema.fields[len(keep) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         call = make()
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in groups_by_size(texts):
-                rows, columns = call(texts[a:b])
+            column = batch.column(len(keep))
+            for a, b in groups_by_size(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 part = batch.slice(a, b - a)
+                text_part = part.column(len(keep))
+                rows, columns = call(text_part if arrow_text else text_part.to_pylist())
                 kept = [part.column(i) for i in range(len(keep))]
                 if rows is not None:
                     at = pa.array(rows, pa.int64())

@@ -7,8 +7,11 @@ the pieces of that length."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +19,12 @@ from tessera.llm.common import checkpoint, join_small, map_texts
 
 #: Entries of the word caches of a Python worker; one is emptied when full.
 CACHE_WORDS = 1_500_000
-#: Controls that str.split() takes for white space and the vocabulary does not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
-_words = re.compile(r"[^ \t\n\r]+").findall
 _plain = re.compile(f"(?:[{_LETTERS}]+|[{_MARKS}]+)+").fullmatch
 _parts = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+").findall
 _letters = re.compile(f"[{_LETTERS}]+").fullmatch
-_workers: dict[str, CachedTokenizer] = {}
 
 
 class CachedTokenizer:
@@ -63,18 +62,41 @@ class CachedTokenizer:
         for part, one in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.by_part[part] = np.array(one.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_words(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``end_id`` after each, and where each text ends. Null counts as empty.
+
+        Words are split and numbered by Arrow, so only the different words of a group come to Python."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         for cache in (self.by_word, self.by_part):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-        new = set().union(*split).difference(self.by_word)
+        new = [w for w in words if w not in self.by_word]
         # special tokens, which start with "<|", are found before a text is split
         parts = {w: [w] if "<|" in w or not _plain(w) else [p.lower() if p.isascii() else p for p in _parts(w)] for w in new}
         self._encode(list({p for ps in parts.values() for p in ps if p not in self.by_part}))
         for w, ps in parts.items():
             self.by_word[w] = b"".join([self.by_part[p] for p in ps])
-        return [b"".join(map(self.by_word.__getitem__, ws)) for ws in split]
+        found = [*map(self.by_word.__getitem__, words), np.array([end_id], "<u4").tobytes()]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(words))
+        long = size[at]
+        stop = np.cumsum(long)
+        flat = ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[at] - stop + long, long)]
+        return flat, stop[np.cumsum(counts + 1) - 1]
+
+
+@lru_cache(maxsize=4)
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
+    import gc
+
+    gc.set_threshold(500_000, 50, 100)  # the caches are large and have no cycles
+    return CachedTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -86,27 +108,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
     def make():
         from pyspark import TaskContext
 
-        if tokenizer_path not in _workers:
-            _workers[tokenizer_path] = CachedTokenizer(tokenizer_path)
-        encode, end = _workers[tokenizer_path].encode, np.array([end_id], "<u4").tobytes()
+        encode = worker_tokenizer(tokenizer_path).encode
         task, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
 
         def call(texts):
             rows, out = [], {k: [] for k in ("piece", "start", "length", "tokens", "task", "nth")}
-            for i, ids in enumerate(encode([t or "" for t in texts])):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at : at + 4 * max_tokens]
-                    n = len(part) // 4
+            flat, stops = encode(texts, end_id)
+            a = 0
+            for i, b in enumerate(stops.tolist()):
+                for piece, at in enumerate(range(a, b, max_tokens)):
+                    n = min(max_tokens, b - at)
                     rows.append(i)
-                    for k, v in zip(out, (piece, at // 4, n, part, task, seen[n])):
+                    for k, v in zip(out, (piece, at - a, n, flat[at : at + n].tobytes(), task, seen[n])):
                         out[k].append(v)
                     seen[n] += 1
+                a = b
             return rows, out
 
         return call
 
-    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long")
+    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long", arrow_text=True)
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
