@@ -19,13 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and go on from there.
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints.
 
     A folder of our own is set only where the session names none (tests, notebooks)."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: the lineage is cut, and a lost executor loses nothing."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
