@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, join_small, map_texts
 
 #: Entries of the word caches of a Python worker; one is emptied when full.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
