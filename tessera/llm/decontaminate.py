@@ -7,7 +7,7 @@ benchmark item one way throughout."""
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,6 +21,8 @@ WINDOW, SHORTEST = 8, 4
 COVERAGE = 0.5
 #: Bits of the filter that documents' windows pass before they are joined.
 FILTER_BITS = 1 << 23
+#: Tokens that a Python worker keeps; the table is emptied when it has more.
+VOCABULARY = 600_000
 
 #: Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -37,88 +39,105 @@ def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 1)
 
 
-@lru_cache(maxsize=400_000)
-def _kind(token: str) -> tuple[int, int]:
-    """Hash of the token as a word, and what else it may be."""
+def _kind(token: str) -> int:
     if token in ".!?:\n":
-        return 0, _STOP
+        return _STOP
     low = token.lower()
-    flags = (_NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0) | (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0)
-    return _hash(low), flags
+    return (_NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0) | (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0)
 
 
 _PLACE = {f: np.uint64(_hash(name)) for f, name in ((_NUMBER, "<number>"), (_UNIT, "<unit>"), (_CAPITAL, "<name>"))}
 
 
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens of a text, their hashes with placeholders put in, and which are placeholders.
+class Vocabulary:
+    """Numbers of the tokens that a Python worker has met, their hashes as words and what else they may be."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+
+    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > VOCABULARY:
+            self.__init__()
+        new = list(set(tokens).difference(self.number))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.hashes = np.append(self.hashes, np.array([_hash(t.lower()) for t in new], np.uint64))
+            self.kinds = np.append(self.kinds, np.array([_kind(t) for t in new], np.int8))
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        return self.hashes[ids], self.kinds[ids]
+
+
+_vocabulary = Vocabulary()
+
+
+def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, their hashes with placeholders put in, which are placeholders, and the words of each text.
 
     A number is digits or a number word; a unit follows a number; a name is capitalised and not first in its sentence."""
-    tokens = _tokens(text)
-    kinds = list(map(_kind, tokens))
-    if not kinds:
-        return [], np.zeros(0, np.uint64), np.zeros(0, bool)
-    hashes = np.array([k[0] for k in kinds], np.uint64)
-    flags = np.array([k[1] for k in kinds], np.int8)
-    words = np.flatnonzero(flags != _STOP)
-    first = np.ones(len(flags), bool)
-    first[1:] = flags[:-1] == _STOP
-    hashes, flags, first = hashes[words], flags[words], first[words]
-    number = (flags & _NUMBER) > 0
+    split = [_tokens(t or "") for t in texts]
+    tokens = list(chain.from_iterable(split))
+    hashes, kinds = _vocabulary.look_up(tokens)
+    text_of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+    words = np.flatnonzero(kinds != _STOP)
+    first = np.ones(len(kinds), bool)
+    first[1:] = (kinds[:-1] == _STOP) | (text_of[1:] != text_of[:-1])
+    hashes, kinds, first, text_of = hashes[words], kinds[words], first[words], text_of[words]
+    number = (kinds & _NUMBER) > 0
     after = np.zeros(len(words), bool)
-    after[1:] = number[:-1]
-    unit = ((flags & _UNIT) > 0) & after & ~number
-    name = ((flags & _CAPITAL) > 0) & ~first & ~number & ~unit
+    after[1:] = number[:-1] & (text_of[1:] == text_of[:-1])
+    unit = ((kinds & _UNIT) > 0) & after & ~number
+    name = ((kinds & _CAPITAL) > 0) & ~first & ~number & ~unit
     for mark, flag in ((number, _NUMBER), (unit, _UNIT), (name, _CAPITAL)):
         hashes[mark] = _PLACE[flag]
-    return [tokens[i] for i in words], hashes, number | unit | name
+    return [tokens[i] for i in words.tolist()], hashes, number | unit | name, np.bincount(text_of, minlength=len(split))
 
 
 def window_hashes(hashes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` tokens, those with more placeholders than words left out."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Hashes of the windows of ``size`` words, and which of them have no more placeholders than words."""
+    n = max(0, len(hashes) - size + 1)
     total = np.full(n, size, np.uint64)
-    filled = np.zeros(n, np.int64)
+    filled = np.zeros(n, np.int8)
     for k in range(size):
         total += hashes[k : k + n] * _ODD[k]
         filled += slots[k : k + n]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    at = np.flatnonzero(2 * filled <= size)
-    return at, total[at]
+    return total, 2 * filled <= size
 
 
 def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.ndarray | None) -> DataFrame:
     """Windows (pos, hash, values, windows: how many the text has); ``bits`` lets through only what it has.
 
-    Without ``sizes`` the text's own size is taken: WINDOW, or all of a shorter text that has SHORTEST tokens."""
+    Without ``sizes`` the text's own size is taken: WINDOW, or all of a shorter text that has SHORTEST words."""
 
     def make():
-        known = None if bits is None else np.unpackbits(bits).astype(bool)
+        known = None if bits is None else np.unpackbits(bits).view(bool)
 
         def call(texts):
             rows, out = [], {k: [] for k in ("pos", "hash", "values", "windows")}
-            for i, text in enumerate(texts):
-                tokens, hashes, slots = template(text or "")
-                own = [min(WINDOW, len(tokens))] if sizes is None else sizes
-                for size in own:
-                    if size < SHORTEST:
-                        continue
-                    at, h = window_hashes(hashes, slots, size)
-                    n = len(at)
-                    if known is not None:
-                        hit = known[h & np.uint64(len(known) - 1)]
-                        hit &= known[(h >> np.uint64(32)) & np.uint64(len(known) - 1)]
-                        at, h = at[hit], h[hit]
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        rows.append(i)
-                        out["pos"].append(p)
-                        out["hash"].append(x)
-                        out["values"].append([tokens[p + k].lower() for k in np.flatnonzero(slots[p : p + size])])
-                        out["windows"].append(n)
+            words, hashes, slots, counts = templates(texts)
+            text_of = np.repeat(np.arange(len(counts)), counts)
+            starts = np.cumsum(counts) - counts
+            for size in sizes or range(SHORTEST, WINDOW + 1):
+                h, good = window_hashes(hashes, slots, size)
+                of = text_of[: len(h)]
+                good &= text_of[size - 1 :] == of if len(h) else good
+                if sizes is None:
+                    good &= np.minimum(counts, WINDOW)[of] == size
+                if known is not None:
+                    good &= known[h & np.uint64(len(known) - 1)]
+                at = np.flatnonzero(good)
+                if known is not None:
+                    at = at[known[(h[at] >> np.uint64(32)) & np.uint64(len(known) - 1)]]
+                many = np.bincount(of[good], minlength=len(counts))
+                for p, i, x in zip(at.tolist(), of[at].tolist(), h[at].view(np.int64).tolist()):
+                    rows.append(i)
+                    out["pos"].append(p - int(starts[i]))
+                    out["hash"].append(x)
+                    out["values"].append([words[p + k].lower() for k in np.flatnonzero(slots[p : p + size])])
+                    out["windows"].append(int(many[i]))
             return rows, out
 
         return call
@@ -166,7 +185,7 @@ def benchmark_sizes(items: DataFrame) -> DataFrame:
     """Window sizes of the items that are shorter than WINDOW."""
 
     def make():
-        return lambda texts: (None, {"size": [len(template(t)[0]) for t in texts]})
+        return lambda texts: (None, {"size": templates(texts)[3].tolist()})
 
     return map_texts(items, [], make, "size int").where(f"size < {WINDOW} and size >= {SHORTEST}").distinct()
 
