@@ -2,6 +2,505 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.operators import conflicts, graph, links, retrieve, search, store
+from tessera.operators.extract import NODE
+from tessera.operators.nearest import nearest
+from tessera.sources import files
+
+QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def nodes_of(df: DataFrame, **columns) -> DataFrame:
+    """NODE rows from a table: columns given by expression, the rest null."""
+    return df.select(*[(F.expr(columns[c]) if c in columns else F.lit(None).cast("int" if c in ("start_line", "end_line", "page") else "string")).alias(c) for c in NODE])
+
+
+# --- scalar functions, ids, classification
+
+URL_PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    """select 'artifact:' || substr(sha256(coalesce(source, 'None') || chr(10) || cast(doc_id as varchar)), 1, 24) as artifact_id, source,
+       cast(len(regexp_extract_all(text, '\\S+')) as bigint) as tokens, cast(greatest(1, length(text) // 4) as bigint) as pack_tokens from documents"""
+)
+def artifacts_from_documents(t):
+    return t("documents").select(T.content_id("artifact", "source", "doc_id").alias("artifact_id"), "source", T.token_count("text").cast("long").alias("tokens"), T.pack_tokens("text").cast("long").alias("pack_tokens"))
+
+
+@query(
+    rf"""with p as (select page_id, {URL_PATH} as path from pages), s as (select page_id, path, lower(regexp_extract(path, '[^/]*$')) as name from p)
+    select page_id, case when regexp_matches(name, '\.(md|markdown|mdx|sb|sourcebook)$') then 'markdown' when name like '%.pdf' then 'pdf' when name like '%.sql' then 'sql'
+      when regexp_matches(name, '\.(c|cc|clj|cpp|cs|dart|ex|exs|fish|go|h|hpp|java|js|jsx|kt|lua|m|mm|pl|php|py|r|rb|rs|scala|sh|swift|ts|tsx|vue|zsh)$') then 'code'
+      when regexp_matches(name, '\.(cfg|conf|env|gql|graphql|ini|json|toml|xml|yaml|yml)$') then 'config' end as kind from s"""
+)
+def classify_urls(t):
+    return t("pages").select("page_id", files.classify(F.expr(URL_PATH)).alias("kind"))
+
+
+@query(
+    rf"""with p as (select page_id, substr({URL_PATH}, 2) as path from pages)
+    select page_id, path from p where not (case when regexp_matches(path, '^en/7[0-9]$') then false when path like 'de/%' or regexp_matches(path, '(^|/)[^/]*\.html$') then true else false end)"""
+)
+def ignore_filter(t):
+    paths = t("pages").select("page_id", F.expr(f"substr({URL_PATH}, 2)").alias("path"))
+    return paths.where(~files.ignored("path", ["de/", "*.html", "!/en/7?"]))
+
+
+@query(
+    rf"""with p as (select page_id, {URL_PATH} as path from pages)
+    select page_id, 'GET' as method, lower(regexp_replace(trim(path), '[.,;:)\]}}]+$', '')) as path,
+      cast(len(list_filter(list_distinct(regexp_split_to_array(lower(regexp_replace(trim(path), '[.,;:)\]}}]+$', '')), '[^a-z0-9]+')), lambda x: x not in ('', 'api', 'v1', 'v2', 'v3'))) as bigint) as terms from p where length(path) > 1"""
+)
+def endpoint_parts(t):
+    rows = t("pages").select("page_id", F.expr(f"concat('see GET ', {URL_PATH})").alias("label")).where("label <> 'see GET ' and label <> 'see GET /'")
+    path = T.endpoint_path("label")
+    return rows.select("page_id", T.endpoint_method("label").alias("method"), path.alias("path"), F.size(T.endpoint_terms(path)).cast("long").alias("terms"))
+
+
+@query(
+    rf"""select page_id, lower(replace(regexp_replace(regexp_replace('./' || substr({URL_PATH}, 2), '^\./', ''), '\s+$', ''), '\', '/')) as path, lower('Page.' || page_id) as dotted, lower(cast(page_id as varchar)) as last_part from pages"""
+)
+def clean_paths(t):
+    name = F.concat(F.lit("`Page."), F.col("page_id").cast("string"), F.lit("()`"))
+    return t("pages").select("page_id", T.normalize_path(F.expr(f"concat('./', substr({URL_PATH}, 2))")).alias("path"), T.identifier_key(name).alias("dotted"), T.identifier_key(name, True).alias("last_part"))
+
+
+@query(
+    """select p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+'),
+       lambda x: length(x) >= 3 and x not in ('api','app','data','delete','get','handler','item','list','login','order','page','payment','post','put','request','response','save','screen','service','status','submit','update','user','users','view')))), ',') as terms from part"""
+)
+def meaningful_part_terms(t):
+    return t("part").select("p_partkey", F.array_join(F.array_sort(T.meaningful_terms(F.concat_ws(" ", "p_name", "p_type", "p_brand"))), ",").alias("terms"))
+
+
+@query(
+    """select l_orderkey, l_linenumber, case when l_linenumber = 7 then 'order/' || l_orderkey || ':page ' || l_suppkey when l_partkey % 2 = 0 then 'order/' || l_orderkey || ':' || l_linenumber
+       else 'order/' || l_orderkey || ':' || l_linenumber || '-' || (l_linenumber + 2) end as location from lineitem"""
+)
+def location_strings(t):
+    rows = t("lineitem").withColumn("path", F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")))
+    end = F.when(F.col("l_partkey") % 2 == 0, F.col("l_linenumber")).otherwise(F.col("l_linenumber") + 2)
+    return rows.select("l_orderkey", "l_linenumber", T.location("path", F.col("l_linenumber"), end, F.when(F.col("l_linenumber") == 7, F.col("l_suppkey"))).alias("location"))
+
+
+@query(
+    r"""with s as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as x from documents), c as (select doc_id, x, regexp_replace(x, '\s+', ' ', 'g') as y from s)
+    select doc_id, md5(case when length(x) <= 900 then x else regexp_replace(substr(x, 1, 897), '\s+$', '') || '...' end) as long_quote, case when length(y) <= 96 then y else regexp_replace(substr(y, 1, 93), '\s+$', '') || '...' end as label from c"""
+)
+def short_quotes(t):
+    return t("documents").select("doc_id", F.md5(T.short("text", 900)).alias("long_quote"), T.short("text", 96, compact=True).alias("label"))
+
+
+@query(
+    """select p_partkey, cast(p_size as bigint) as least, cast(p_size as bigint) * 1000 as in_seconds, cast(p_size as bigint) as in_ms from part"""
+)
+def policy_numbers(t):
+    size = F.col("p_size").cast("string")
+    return t("part").select(
+        "p_partkey",
+        T.min_length_of_document(F.concat(F.lit("The name needs at least "), size, F.lit(" letters"))).alias("least"),
+        T.timeout_ms(F.concat(F.lit("timeout of "), size, F.lit(" seconds"))).alias("in_seconds"),
+        T.timeout_ms(F.concat(F.lit("timeoutMs = "), size)).alias("in_ms"),
+    )
+
+
+@query(
+    r"""with w as (select lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.$/-]+'))) as term from conversations) select term, count(*) as n from w where length(term) > 1 group by term"""
+)
+def tokenize_terms(t):
+    return t("conversations").select(F.explode(T.tokenize("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""with s as (select lower(role || case when turn % 5 = 0 then ' why' when turn % 5 = 1 then ' rename' when turn % 5 = 2 then ' add' when turn % 5 = 3 then ' mismatch' else ' see' end) as x from conversations)
+    select intent, count(*) as n from (select case when regexp_matches(x, '\b(why|reason|rationale|explain|what caused|because)\b') then 'why' when regexp_matches(x, '\b(conflict|inconsistent|mismatch|contradict|disagree|drift)\b') then 'conflict'
+      when regexp_matches(x, '\b(impact|affected|blast radius|change|modify|rename|remove|break|migration)\b') then 'impact' when regexp_matches(x, '\b(implement|add|build|create|fix|wire|support|handle)\b') then 'implementation' else 'auto' end as intent from s) group by intent"""
+)
+def intent_counts(t):
+    word = F.element_at(F.array(*[F.lit(w) for w in (" why", " rename", " add", " mismatch", " see")]), (F.col("turn") % 5 + 1).cast("int"))
+    return t("conversations").select(T.infer_intent(F.concat("role", word)).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
+
+
+# --- windows and extraction
+
+
+@query("""with h as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages) select page_id, href, count(*) as n from h where href <> '' group by page_id, href""")
+def html_link_edges(t):
+    hrefs = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return hrefs.where("href <> ''").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text <> '')
+    select doc_id, cast(line as bigint) as line, cast(sum(length(x)) over w + count(*) over w - 1 as bigint) as near_chars from l window w as (partition by doc_id order by line rows between 3 preceding and 3 following)"""
+)
+def line_nearby_text(t):
+    rows = files.lines(t("documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("kind"), "text"))
+    return conflicts.nearby(rows, 3).select(F.col("path").cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), F.length("near").cast("long").alias("near_chars"))
+
+
+@query("""select conv_id, turn as start_turn, coalesce(lead(turn) over w - 1, last_turn) as end_turn from (select *, max(turn) over (partition by conv_id) as last_turn from conversations) where role = 'user' window w as (partition by conv_id order by turn)""")
+def heading_sections(t):
+    rows = t("conversations").withColumn("last_turn", F.max("turn").over(Window.partitionBy("conv_id"))).where("role = 'user'")
+    after = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.select("conv_id", F.col("turn").alias("start_turn"), F.coalesce(after - 1, F.col("last_turn")).alias("end_turn"))
+
+
+@query(
+    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text <> ''), m as (select doc_id, line, unnest(regexp_extract_all(x, '([a-z]+_?[a-z]*) = "', 1)) as key from l)
+    select doc_id, cast(line as bigint) as line, key, count(*) as n from m where key <> '' group by all"""
+)
+def config_key_lines(t):
+    rows = files.lines(t("documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("config").alias("kind"), "text"))
+    keys = rows.withColumn("key", F.explode(F.regexp_extract_all("line_text", F.lit('([a-z]+_?[a-z]*) = "'), F.lit(1)))).where("key <> ''")
+    return keys.groupBy(F.col("path").cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), "key").agg(F.count("*").alias("n"))
+
+
+# --- tables of an index: diffs, upserts, deletes, counts
+
+
+@query(
+    """with a as (select cast(o_orderkey as varchar) as path, o_orderstatus as x from orders where o_totalprice > 100000), b as (select cast(l_orderkey as varchar) as path, max(l_linestatus) as y from lineitem where l_quantity > 25 group by l_orderkey)
+    select coalesce(a.path, b.path) as path, case when b.path is null then 'new' when a.path is null then 'deleted' when x <> y then 'modified' else 'unchanged' end as change from a full join b on a.path = b.path"""
+)
+def snapshot_diff(t):
+    now = t("orders").where("o_totalprice > 100000").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("content_hash"))
+    before = t("lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.max("l_linestatus").alias("content_hash"))
+    return store.snapshot_diff(now, before)
+
+
+@query(
+    """with d as (select user_id as id, event_type as value, row_number() over (partition by user_id order by event_id desc) as nth from events)
+    select c_custkey as id, c_mktsegment as value from customer where c_custkey not in (select id from d) union all select id, value from d where nth = 1"""
+)
+def upsert_last_wins(t):
+    base = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    return store.upsert(base, t("events").select(F.col("user_id").alias("id"), F.col("event_type").alias("value"), "event_id"), ["id"], "event_id")
+
+
+@query(
+    """with gone as (select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY')), o as (select o_orderkey from orders where o_custkey in (select c_custkey from gone))
+    select 'artifacts' as name, (select count(*) from customer where c_custkey not in (select c_custkey from gone)) as n union all select 'nodes', (select count(*) from orders where o_orderkey not in (select o_orderkey from o))
+    union all select 'chunks', (select count(*) from orders where o_orderkey not in (select o_orderkey from o)) union all select 'evidence', (select count(*) from orders where o_orderkey not in (select o_orderkey from o))
+    union all select 'edges', (select count(*) from lineitem where l_orderkey not in (select o_orderkey from o))"""
+)
+def cascade_delete(t):
+    orders = t("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("artifact_id"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    tables = {
+        "artifacts": t("customer").select(name("c", "c_custkey").alias("id"), F.col("c_mktsegment").alias("path")),
+        "nodes": orders,
+        "chunks": orders,
+        "evidence": orders,
+        "edges": t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit(None).cast("string").alias("evidence_id")),
+    }
+    gone = t("customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("c_mktsegment").alias("path"))
+    return store.counts(store.cascade_delete(tables, gone))
+
+
+@query("""select l_linenumber as line, count(*) as n from lineitem where coalesce(l_returnflag, '') <> 'R' group by l_linenumber""")
+def clear_links(t):
+    edges = t("lineitem").select("l_linenumber", F.col("l_returnflag").alias("extractor"))
+    return store.clear_links(edges, "R").groupBy(F.col("l_linenumber").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("""select event_type as kind, count(*) as n from events where event_type is not null group by event_type""")
+def node_counts_by_kind(t):
+    return store.kind_counts(t("events"), "event_type")
+
+
+# --- search
+
+
+@query("""select doc_id as id, 1.0::double as score from documents where lower(text) like '%token =%' or lower(text) like '%a_ache%' or lower(text) like '%mit license%' order by doc_id limit 20""")
+def like_search_topk(t):
+    return search.like_search(t("documents").select(F.col("doc_id").alias("id"), "text"), "token =", ["a_ache", "mit license"])
+
+
+BM25_QUERIES = [(1, "apache"), (1, "license"), (2, "password"), (2, "token"), (3, "idiot"), (3, "clown"), (3, "the")]
+
+
+@query(
+    r"""with w as (select doc_id as id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.$/-]+'))) as term from documents), k as (select id, term from w where length(term) > 1), l as (select id, count(*) as length from k group by id),
+    p as (select term, id, count(*) as tf from k group by term, id), q(query_id, term) as (values (1, 'apache'), (1, 'license'), (2, 'password'), (2, 'token'), (3, 'idiot'), (3, 'clown'), (3, 'the')), df as (select term, count(*) as df from p group by term),
+    c as (select count(*) as n, avg(length) as mean from l)
+    select q.query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from q join p using (term) join df using (term) join l using (id), c group by q.query_id, p.id"""
+)
+def bm25_scores(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    index = graph.checkpoint(search.postings(docs))
+    size = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    queries = docs.sparkSession.createDataFrame(BM25_QUERIES, "query_id int, term string")
+    return search.bm25(index, size["n"], size["mean"] or 1.0, queries).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """select id from (select c.conv_id || '-' || n.turn as id from conversations e join (select distinct conv_id from conversations) c on c.conv_id = e.conv_id join conversations n on n.conv_id = e.conv_id and n.turn = e.turn
+    where lower(e.text) like '%ention%' or lower(e.text) like '%mente%' order by lpad(cast(c.conv_id as varchar), 9, '0'), n.turn, c.conv_id || '-' || n.turn limit 20)"""
+)
+def quote_match(t):
+    turns = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("artifact_id"), F.col("text").alias("quote"), F.col("turn").alias("start_line"), F.col("turn").alias("end_line"), F.lit(None).cast("int").alias("page"))
+    own = turns.select(F.col("artifact_id").alias("id"), F.lpad("artifact_id", 9, "0").alias("path"), F.lit("markdown").alias("kind")).distinct()
+    return search.quote_nodes(turns, own, turns, ["ention", "mente"], 20)
+
+
+# --- links
+
+
+def _endpoint_nodes(t):
+    path = f"{URL_PATH}"
+    docs = nodes_of(t("pages"), id="concat('d', page_id)", kind="'APIReference'", label=f"if(url like 'https%', concat('GET ', {path}), {path})", endpoint=f"if(url like 'https%', null, {path})", artifact_kind="'markdown'", path="'a.md'")
+    code = nodes_of(t("pages").where("url like '%www.%'"), id="concat('c', page_id)", kind="'Endpoint'", label=f"concat('GET ', {path})", method="'GET'", endpoint=path, artifact_kind="'code'", path="'a.ts'")
+    return docs, code
+
+
+@query(
+    rf"""with p as (select page_id, url, lower(regexp_replace(trim({URL_PATH}), '[.,;:)\]}}]+$', '')) as path from pages)
+    select 'd' || a.page_id as src, 'c' || b.page_id as dst, 'DOC_MENTIONS' as relation, 1.0::double as score from p a join p b on a.path = b.path where b.url like '%www.%' and length(a.path) > 1"""
+)
+def exact_endpoint_links(t):
+    docs, code = _endpoint_nodes(t)
+    return links.endpoint_links(docs.where("length(label) > 5"), code).select("src", "dst", "relation", "score").distinct()
+
+
+@query("""select 'd' || n_nationkey as src, 'c' || n_nationkey as dst, 'exact_field_or_config_key' as reason from nation union all select 's' || r_regionkey, 't' || r_regionkey, 'exact_table' from region""")
+def identifier_links(t):
+    fields = nodes_of(t("nation"), id="concat('d', n_nationkey)", kind="'FormField'", label="concat('`', lower(n_name), '`')", reference_type="'form_field'", artifact_kind="'markdown'", path="'a.md'")
+    entities = nodes_of(t("region"), id="concat('s', r_regionkey)", kind="'DatabaseEntity'", label="lower(r_name)", artifact_kind="'markdown'", path="'a.md'")
+    columns = nodes_of(t("nation"), id="concat('c', n_nationkey)", kind="'Column'", label="n_name", canonical_name="concat('nation.', n_name)")
+    tables = nodes_of(t("region"), id="concat('t', r_regionkey)", kind="'Table'", label="r_name", canonical_name="r_name")
+    return links.identifier_links(fields.unionByName(entities), columns.unionByName(tables)).select("src", "dst", "reason")
+
+
+@query(
+    rf"""with p as (select page_id, {URL_PATH} as path from pages) select distinct 'd' || a.page_id as src, 'c' || b.page_id as dst, 'exact_file_path' as reason from p a join p b on lower(substr(a.path, 2)) = lower(substr(b.path, 2)) where length(a.path) > 1"""
+)
+def file_path_links(t):
+    docs = nodes_of(t("pages"), id="concat('d', page_id)", kind="'CodeReference'", label=f"concat('./', substr({URL_PATH}, 2))", reference_type="'file_path'")
+    code = nodes_of(t("pages"), id="concat('c', page_id)", kind="'File'", label=f"substr({URL_PATH}, 2)", path=f"substr({URL_PATH}, 2)", canonical_name=f"substr({URL_PATH}, 2)")
+    return links.reference_links(docs.where("length(label) > 2"), code).select("src", "dst", "reason").distinct()
+
+
+@query(
+    """with d as (select distinct p_name || ' ' || p_type as x from part), k as (select x, unnest(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+'))) as term from d), c as (select x, term from k)
+    select a.x as src, b.x as dst, count(*) as shared from k a join c b on a.term = b.term and a.x < b.x where length(a.term) >= 3 group by a.x, b.x having count(*) >= 2"""
+)
+def term_overlap_links(t):
+    names = t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("x")).distinct()
+    docs = nodes_of(names, id="x", kind="'Requirement'", label="x")
+    code = nodes_of(names, id="x", kind="'Function'", label="x")
+    shared = F.size(F.array_intersect(T.meaningful_terms("src"), T.meaningful_terms("dst"))).cast("long")
+    return links.term_links(docs, code).where("src < dst").select("src", "dst", shared.alias("shared"))
+
+
+@query(
+    rf"""with p as (select page_id, url, case when url like 'https%' then 'GET' end as m, lower(regexp_replace(trim({URL_PATH}), '[.,;:)\]}}]+$', '')) as path from pages)
+    select distinct 'a' || a.page_id as src, 'h' || b.page_id as dst from p a join p b on a.m is not distinct from b.m and a.path = b.path where length(a.path) > 1"""
+)
+def openapi_handler_links(t):
+    own = {"endpoint": URL_PATH, "method": "if(url like 'https%', 'GET', null)", "label": "'x'"}
+    rows = t("pages").where(f"length({URL_PATH}) > 1")
+    nodes = nodes_of(rows, id="concat('a', page_id)", kind="'Endpoint'", artifact_kind="'openapi'", **own)
+    nodes = nodes.unionByName(nodes_of(rows, id="concat('c', page_id)", kind="'Endpoint'", artifact_kind="'code'", **own))
+    nodes = nodes.unionByName(nodes_of(rows, id="concat('h', page_id)", kind="'Function'", artifact_kind="'code'"))
+    edges = rows.select(F.expr("concat('c', page_id)").alias("src"), F.expr("concat('h', page_id)").alias("dst"), F.lit("ROUTE_TO_HANDLER").alias("relation"))
+    return links.handler_links(nodes, edges).select("src", "dst").distinct()
+
+
+@query(
+    """with d as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as term from documents where text like '%license%' or text like '%License%'), f(name) as (values ('apache'), ('mit'), ('gnu'))
+    select distinct 'r' || name as src, 'c' || doc_id as dst from d join f on term = name"""
+)
+def validation_links(t):
+    fields = t("region").sparkSession.createDataFrame([("apache",), ("mit",), ("gnu",)], "name string")
+    docs = nodes_of(fields, id="concat('r', name)", kind="'ValidationRule'", label="name", subject="name", quote="''")
+    code = nodes_of(t("documents").where("text like '%license%' or text like '%License%'"), id="concat('c', doc_id)", kind="'Function'", label="'must'", canonical_name="'must'", quote="regexp_replace(text, '[^A-Za-z]+', ' ')")
+    return links.validation_links(docs, code).select("src", "dst").distinct()
+
+
+# --- graph and ranking
+
+
+def _order_graph(t) -> tuple[DataFrame, DataFrame]:
+    """(ids, pairs) of the chain region - nation - customer, supplier - order."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pairs = [
+        t("nation").select(name("r", "n_regionkey").alias("a"), name("n", "n_nationkey").alias("b"), F.lit("CONTAINS").alias("relation"), F.lit("EXACT_STATIC").alias("confidence")),
+        t("customer").select(name("n", "c_nationkey").alias("a"), name("c", "c_custkey").alias("b"), F.lit("DEFINES").alias("relation"), F.lit("DOC_EXACT").alias("confidence")),
+        t("supplier").select(name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b"), F.lit("IMPORTS").alias("relation"), F.lit("DOC_INFERRED").alias("confidence")),
+        t("orders").select(name("c", "o_custkey").alias("a"), name("o", "o_orderkey").alias("b"), F.lit("REFERENCES").alias("relation"), F.lit("AMBIGUOUS").alias("confidence")),
+    ]
+    edges = pairs[0]
+    for p in pairs[1:]:
+        edges = edges.unionByName(p)
+    return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges
+
+
+@query(
+    """with n as (select n_nationkey as k from nation where n_regionkey = 1), c as (select c_custkey as k from customer where c_nationkey in (select k from n))
+    select 'r1' as id, 0 as distance union all select 'n' || k, 1 from n union all select 'c' || k, 2 from c union all select 's' || s_suppkey, 2 from supplier where s_nationkey in (select k from n) union all select 'o' || o_orderkey, 3 from orders where o_custkey in (select k from c)"""
+)
+def bfs_distance(t):
+    _, edges = _order_graph(t)
+    return graph.distances(edges, t("region").where("r_regionkey = 1").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id")))
+
+
+@query(
+    """with n as (select n_nationkey as k from nation where n_regionkey = 1), c as (select c_custkey as k from customer where c_nationkey in (select k from n))
+    select 'r1' as id, 0 as distance, 0.0::double as weight, '' as path union all select 'n' || k, 1, 22 / 4.0, 'CONTAINS' from n union all select 'c' || k, 2, 22 / 4.0 + 16 / 4.0, 'CONTAINS>DEFINES' from c
+    union all select 's' || s_suppkey, 2, 22 / 4.0 + 8 / 4.0, 'CONTAINS>IMPORTS' from supplier where s_nationkey in (select k from n) union all select 'o' || o_orderkey, 3, 22 / 4.0 + 16 / 4.0 - 18 / 4.0, 'CONTAINS>DEFINES>REFERENCES' from orders where o_custkey in (select k from c)"""
+)
+def bfs_best_path_weight(t):
+    ids, edges = _order_graph(t)
+    edges = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation", "confidence", F.lit(1.0).alias("score"), F.lit("none").alias("extractor"))
+    found = graph.traverse(ids, edges, ids.where("id = 'r1'"))
+    return found.select("id", "distance", "weight", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    """with c as (select o_custkey as id, max(o_orderdate) as indexed_at from orders group by o_custkey)
+    select id, greatest(0.0, 4.0 - (dense_rank() over (order by indexed_at desc) - 1) * 0.25)::double as fresh from c"""
+)
+def freshness_rank(t):
+    latest = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("indexed_at"))
+    return retrieve.freshness(latest)
+
+
+@query(
+    """with r as (select o_orderkey as id, o_orderpriority as quote, o_orderstatus as path, round(o_totalprice, 2) as score from orders), t as (select * from r order by score desc, path, id limit 300),
+    d as (select *, row_number() over (partition by path, quote order by score desc, id) as nth from t) select id, path as location, quote, score from d where nth = 1 order by score desc, id limit 100"""
+)
+def evidence_dedupe(t):
+    rows = t("orders").select(
+        F.col("o_orderkey").alias("id"), F.lit("k").alias("kind"), F.lit("l").alias("label"), F.col("o_orderstatus").alias("path"), F.col("o_orderpriority").alias("quote"), F.round("o_totalprice", 2).alias("score"),
+        *[F.lit(None).cast("int").alias(c) for c in ("start_line", "end_line", "page", "distance")], F.lit("DOC_EXACT").alias("confidence"), F.array(F.lit("x")).alias("reasons"), F.array(F.lit("y")).alias("relations"),
+    )
+    return retrieve.evidence(rows, 100).select("id", "location", "quote", "score")
+
+
+@query(
+    """with u as (select distinct c_mktsegment as term from customer) select 'c' || c_custkey as id, case when c_custkey < 5 then 116.0 else 122.0 end::double as score from customer where c_mktsegment in ('BUILDING', 'MACHINERY')"""
+)
+def exact_seeds(t):
+    nodes = nodes_of(t("customer"), id="concat('c', c_custkey)", kind="'Table'", label="c_mktsegment", canonical_name="c_name", confidence="if(c_custkey < 5, 'DOC_EXACT', 'EXACT_STATIC')")
+    tasks = nodes.sparkSession.createDataFrame([(0, "Change the building table and table MACHINERY")], "task_id int, task string")
+    return retrieve.find_seeds(nodes, tasks).where(F.array_contains("reasons", "exact_table")).select("id", "score")
+
+
+# --- conflicts
+
+
+def _facts(df, subject, value, location, confidence="'DOC_EXACT'"):
+    return df.select(F.expr(subject).alias("subject"), F.expr(value).cast("string").alias("value"), F.expr(location).cast("string").alias("location"), F.lit("q").alias("quote"), F.expr(confidence).alias("confidence")).distinct()
+
+
+@query(
+    """with e as (select event_type, cast(json_extract(props, '$.k') as bigint) as k from events), d as (select event_type as subject, max(k) as v from e group by 1), c as (select distinct event_type as subject, k as v from e)
+    select d.subject, cast(d.v as varchar) as doc_value, cast(c.v as varchar) as code_value from d join c using (subject) where d.v <> c.v"""
+)
+def numeric_conflicts(t):
+    e = t("events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    docs = _facts(e.groupBy("event_type").agg(F.max("k").alias("k")), "event_type", "k", "'d'")
+    return conflicts.differing(docs, _facts(e, "event_type", "k", "k")).select("subject", "doc_value", "code_value")
+
+
+@query(
+    """with d as (select distinct o_orderpriority as subject, o_orderstatus as v from orders), c as (select o_orderpriority as subject, list_sort(list_distinct(list(o_orderstatus))) as s from orders where o_totalprice > 499000 group by 1)
+    select d.subject, d.v as doc_value, array_to_string(c.s, ',') as code_value from d join c using (subject) where not list_contains(c.s, d.v)"""
+)
+def set_conflicts(t):
+    docs = _facts(t("orders"), "o_orderpriority", "o_orderstatus", "'d'")
+    sets = t("orders").where("o_totalprice > 499000").groupBy("o_orderpriority").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("s"))
+    return conflicts.outside(docs, _facts(sets, "o_orderpriority", "s", "'c'")).select("subject", "doc_value", "code_value")
+
+
+@query(
+    rf"""with p as (select page_id, url, {URL_PATH} as path from pages), d as (select distinct path from p where url like 'https%'), c as (select distinct path from p where url not like 'https%'),
+    terms as (select path, list_filter(list_distinct(regexp_split_to_array(lower(path), '[^a-z0-9]+')), lambda x: x not in ('', 'api', 'v1', 'v2', 'v3')) as t from p group by path),
+    m as (select d.path as doc_value, c.path as code_value, len(list_intersect(a.t, b.t)) as alike from d join terms a on a.path = d.path, c join terms b on b.path = c.path where d.path not in (select path from c)),
+    r as (select *, row_number() over (partition by doc_value order by alike desc, code_value) as nth from m where alike >= 2) select doc_value, code_value from r where nth = 1"""
+)
+def similar_endpoint(t):
+    rows = t("pages").withColumn("path", F.expr(URL_PATH))
+    docs, code = (_facts(rows.where(w), "'GET'", "path", "'x'") for w in ("url like 'https%'", "url not like 'https%'"))
+    return conflicts.similar_endpoints(docs, code).select("doc_value", "code_value")
+
+
+@query(
+    """with r as (select o_orderpriority as subject, o_orderstatus as code_value, o_orderkey, o_custkey, case when o_totalprice > 250000 then 'high' else 'medium' end as confidence, row_number() over (partition by o_orderpriority, o_orderstatus
+    order by case when o_totalprice > 250000 then 0 else 1 end, length(cast(o_custkey as varchar)), lpad(cast(o_orderkey as varchar), 9, '0')) as nth from orders) select subject, code_value, confidence, lpad(cast(o_orderkey as varchar), 9, '0') as doc_location from r where nth = 1"""
+)
+def claim_dedupe(t):
+    rows = t("orders").select(
+        F.lit("t").alias("type"), F.col("o_orderpriority").alias("subject"), F.lit("s").alias("summary"), F.lit("c").alias("code_location"), F.lit("d").alias("doc_value"), F.col("o_orderstatus").alias("code_value"),
+        F.when(F.col("o_totalprice") > 250000, "high").otherwise("medium").alias("confidence"), F.col("o_custkey").cast("string").alias("doc_quote"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("doc_location"),
+    )
+    return conflicts.dedupe_claims(rows).select("subject", "code_value", "confidence", "doc_location")
+
+
+@query(
+    """with m as (select event_id, o_orderkey, abs(datediff('day', cast(o_orderdate as date), cast(ts as date))) as distance from events join orders on o_custkey = user_id), r as (select *, row_number() over (partition by event_id order by distance, o_orderkey) as nth from m where distance < 9500)
+    select event_id, o_orderkey, cast(distance as bigint) as distance from r where nth = 1"""
+)
+def nearest_order(t):
+    events = t("events").select("event_id", F.col("user_id").alias("id"), "ts")
+    orders = t("orders").select("o_orderkey", F.col("o_custkey").alias("id"), "o_orderdate")
+    return nearest(events, orders, "id", "event_id", F.abs(F.datediff("ts", "o_orderdate")).cast("long"), "o_orderkey", 9500)
+
+
+# --- the whole way over a small literal project; SQL has no counterpart, the tests hold exact values
+
+PROJECT = {
+    "README.md": "# Users\n\nThe client calls `POST /api/users`.\n\nThe password must be at least 8 characters.\n\nStatus PAID ends it. Only admin can refund.\n",
+    "src/app.ts": 'export function createUser(req, res) {\n  if (!req.body.email) throw new Error("required");\n}\napp.post("/api/users", createUser);\nconst schema = {\n  password: z.string().min(6),\n};\n',
+    "openapi.yaml": "paths:\n  /api/users:\n    post:\n      summary: create\ncomponents:\n  status:\n    enum:\n      - CAPTURED\n      - FAILED\n",
+    "schema.sql": "CREATE TABLE users (\n  id INT,\n  email TEXT\n);\nSELECT * FROM orders;\n",
+}
+
+
+def _project(t):
+    from tessera.plans import index
+
+    spark = t("region").sparkSession
+    return index.build(files.artifacts(spark.createDataFrame([(p, x.encode()) for p, x in PROJECT.items()], files.CORPUS)))
+
+
+@query()
+def project_nodes(t):
+    return _project(t).nodes.select(*NODE)
+
+
+@query()
+def project_edges(t):
+    return _project(t).edges
+
+
+@query()
+def project_conflicts(t):
+    return _project(t).conflicts()
+
+
+@query()
+def project_evidence(t):
+    return _project(t).ask("Change POST /api/users to require email")["evidence"].drop("reasons", "relations")
