@@ -127,5 +127,48 @@ with parts as (
   from split left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
 )
 select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from fits where nth = 1
+""",
+    "op9_host_quality": r"""
+with d as (
+  select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents
+), words as (
+  select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d
+), word as (
+  select doc_id, generate_subscripts(ws, 1) as i, unnest(ws) as w from words
+), gram as (
+  select doc_id, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o || ' ' || lead(w, 4) over o as g
+  from word window o as (partition by doc_id order by i)
+), twice as (
+  select doc_id, i, g is not null and count(g) over (partition by doc_id, g) > 1 as again from gram
+), covered as (
+  select doc_id, max(case when again then 1 else 0 end) over (partition by doc_id order by i rows between 4 preceding and current row) as hit from twice
+), repeated as (
+  select doc_id, cast(sum(hit) as bigint) as n from covered group by doc_id
+), line as (
+  select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from d
+), full_line as (
+  select doc_id, row_number() over (partition by doc_id, x order by i) as nth from line where regexp_matches(x, '[^\x20\x09-\x0D]')
+), lines as (
+  select doc_id, count(*) as n, count(*) filter (where nth > 1) as again from full_line group by doc_id
+), f as (
+  select doc_id, host, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    coalesce(lines.again, 0) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words, coalesce(lines.n, 0) as n_lines
+  from d join words using (doc_id) left join lines using (doc_id) left join repeated using (doc_id)
+), j as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f
+), k as (
+  select *, base_failed or 100 * n_symbols > 50 * n_words or 100 * n_dup_lines > 50 * n_lines as failed from j
+), hosts as (
+  select host, count(*) as n, sum(case when failed then 1 else 0 end) as bad from k group by host
+), a as (
+  select sum(n) as docs, sum(bad) / sum(n) as mean, sum(n * (bad / n) * (bad / n)) as squares, count(*) as hosts from hosts
+), prior as (
+  select mean, least(1000.0, greatest(2.0, mean * (1 - mean) / greatest(1e-6, squares / docs - mean * mean - mean * (1 - mean) * hosts / docs) - 1)) as strength from a
+), verdict as (
+  select host, (bad + strength * mean) / (n + strength) >= 0.6 as bad_host from hosts, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad_host as kept
+from k join verdict using (host)
 """,
 }
