@@ -517,3 +517,15 @@ def test_entry_registers_these_queries():
     assert {*Q.QUERIES, "pipeline"} <= {*entry.queries()}
     assert {*Q.ORACLE_SQL} <= {*entry.oracle_sql()}
     assert Path(entry.ROOT, "corpus_pipeline.py").exists()
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_equals_its_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    df = Q.QUERIES[name](spark, data)
+    order = sorted(df.columns)
+    found = con.execute(Q.ORACLE_SQL[name])
+    at = [[c[0] for c in found.description].index(c) for c in order]
+    assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=repr)
