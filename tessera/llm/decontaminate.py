@@ -17,8 +17,8 @@ from tessera.llm.common import checkpoint, join_small, map_texts
 
 #: Template tokens of a window, and of the shortest item that can be told.
 WINDOW, SHORTEST = 8, 4
-#: Share of an item's windows that a contaminated document holds.
-COVERAGE = 0.5
+#: Share of an item's windows that a contaminated document holds; or so many of them in one place (13 words in a row).
+COVERAGE, RUN = 0.5, 6
 #: Bits of the filter that documents' windows pass before they are joined.
 FILTER_BITS = 1 << 23
 #: Tokens that a Python worker keeps; the table is emptied when it has more.
@@ -158,7 +158,7 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Texts of ``docs`` that hold an item of ``benchmark``: text_hash, text_crc, item_id (the best, then the smallest),
+    """Texts of ``docs`` that hold an item of ``benchmark`` or a passage of one: text_hash, text_crc, item_id (the best, then the smallest),
     n_items, coverage (share of that item's windows), reparameterised (other values in its placeholders).
 
     Equal texts are judged once, so copies multiply nothing."""
@@ -175,9 +175,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float =
     one_way = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.item_values)))")
     changed = F.expr("exists(pairs, p -> p.item_values <> p.values)")
     lines = lines.where(one_way).withColumn("changed", changed)
-    held = lines.groupBy(*key, "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("of")).alias("coverage"), F.max("changed").alias("changed"))
+    held = lines.groupBy(*key, "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("of")).alias("coverage"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"), F.col("changed")))
-    found = held.where(F.col("coverage") >= coverage).groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))
+    found = held.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN)).groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))
     return found.select(*key, (-F.col("b.minus")).alias("item_id"), "n_items", F.col("b.coverage").alias("coverage"), F.col("b.changed").alias("reparameterised"))
 
 

@@ -113,7 +113,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Scanner:
     """Train on about ``rows`` rows, those with the smallest hashes: what the fixed patterns find in them are labelled
     secrets, up to 50 words of the rest of each are ordinary."""
     some = docs.select("doc_id", "text").where("text is not null")
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
+    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000))
     some = some.where(part < 1e6 * rows / F.lit(max(1, docs.count())))
 
     def make():

@@ -267,10 +267,11 @@ def test_templates_catch_other_values(spark):
     other = "It is said: Maria has 9 apples and gives 4 of them to Oscar. How many apples does Maria have left after giving 4 away?"
     mixed = "It is said: Maria has 9 apples and gives 4 of them to Oscar. How many apples does Nadia have left after giving 7 away?"
     clean = "Nobody has any apples here, and nothing at all is given to anyone in this text of ours, which is long enough."
-    df = docs_of(spark, [(1, same), (2, other), (3, mixed), (4, clean), (5, None), (6, ""), (7, same), (None, same)])
+    part = "These words are ours. " + " ".join(item.split()[6:]) + " Nothing else is here."
+    df = docs_of(spark, [(1, same), (2, other), (3, mixed), (4, clean), (5, None), (6, ""), (7, same), (8, part), (None, same)])
     bench = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "too short"), (None, "a b")], "item_id long, text string")
     got = {r["doc_id"]: r for r in contaminated(df, bench).collect()}
-    assert {*got} == {1, 2, 7, None}
+    assert {*got} == {1, 2, 7, 8, None}
     assert got[1]["item_id"] == 10 and not got[1]["reparameterised"] and got[2]["reparameterised"]
     assert sorted(r["doc_id"] for r in without_contaminated(df, bench).collect()) == [3, 4, 5, 6]
     assert contaminated(df, bench.where("false")).count() == 0 and contaminated(df.where("false"), bench).count() == 0
