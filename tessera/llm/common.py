@@ -51,13 +51,13 @@ def groups_by_size(sizes: list[int], limit: int = GROUP_CHARS) -> Iterator[tuple
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text", arrow_text: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text", arrow_text: bool = False, group: int = GROUP_CHARS) -> DataFrame:
     """Run a function over the column ``text``, a bounded group of rows at a time.
 
     ``make()`` runs once in each task and returns the function. That gets the texts of a group (a list, or an
     Arrow array with ``arrow_text``) and returns ``(rows, columns)``: the columns named in the schema string
     ``made``, and for each of their values the index of its row in the group (None: one value for each row, in
-    order). The columns ``keep`` of the row go along."""
+    order). The columns ``keep`` of the row go along. ``group``: bytes of text in a group, about."""
     from pyspark.sql.types import StructType
 
     source = df.select(*keep, F.col(text).alias("_text"))
@@ -72,7 +72,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
         call = make()
         for batch in batches:
             column = batch.column(len(keep))
-            for a, b in groups_by_size(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            for a, b in groups_by_size(pc.fill_null(pc.binary_length(column), 0).to_pylist(), group):
                 part = batch.slice(a, b - a)
                 text_part = part.column(len(keep))
                 rows, columns = call(text_part if arrow_text else text_part.to_pylist())

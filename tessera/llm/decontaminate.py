@@ -22,7 +22,7 @@ COVERAGE, RUN = 0.5, 6
 #: Bits of the filter that documents' windows pass before they are joined.
 FILTER_BITS = 1 << 23
 #: Tokens that a Python worker keeps; the table is emptied when it has more.
-VOCABULARY = 600_000
+VOCABULARY = 200_000
 
 #: Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -142,7 +142,7 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
 
         return call
 
-    return map_texts(df, keep, make, "pos long, hash long, values array<string>, windows long")
+    return map_texts(df, keep, make, "pos long, hash long, values array<string>, windows long", group=1_000_000)
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:
