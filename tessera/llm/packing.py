@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, join_small, map_texts
 
 #: Entries of the word caches of a Python worker; one is emptied when full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
 
         return call
 
-    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long", arrow_text=True)
+    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long", arrow_text=True, group=2_000_000)
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
