@@ -71,6 +71,19 @@ RULES = [
     ("BusinessPolicy", r"(?iu)\b(policy|business rule|retention|approval|refund|settlement)\b|정책|비즈니스\s*규칙|사업\s*규칙|보관|환불|정산|승인\s*정책"),
     ("Requirement", r"(?iu)\b(must|shall|should|required|needs? to|has to|have to)\b|해야\s*한다|필요하다|필수"),
 ]
+SCREEN = r"(?iu)(?:화면|스크린|페이지|screen|page|view)\s*[:=-]\s*([A-Za-z0-9가-힣 _/-]{2,60})|([A-Za-z0-9가-힣 _/-]{2,60})\s*(?:화면|스크린|페이지|screen|page|view)\b"
+ACTION = (
+    r"(?i)\b(?:user|admin|operator|customer|agent)\s+(?:can|must|should|may|will)?\s*"
+    r"((?:clicks?|taps?|selects?|enters?|opens?|submits?|uploads?|downloads?|chooses?|navigates?|saves?|deletes?)\b[^.!?\n。！？]{0,80})"
+)
+KOREAN_ACTION = r"(?:사용자|관리자|운영자|고객|회원|게스트)가?\s*[^.!?\n。！？]{0,60}?(클릭|탭|선택|입력|등록|저장|삭제|승인|거절|조회|검색|업로드|다운로드|결제|취소)"
+INTEGRATION = (
+    r"(?iu)(?:external integration|integration|webhook|연동|외부\s*연동)\s*[:=-]?\s*([A-Za-z가-힣][A-Za-z0-9가-힣 _.-]{1,50})"
+    r"|([A-Za-z][A-Za-z0-9_.-]{1,40})\s*(?:API\s*)?(?:연동|webhook)"
+)
+ERROR_HINT = r"(?iu)\b(error|warning|failure)\b|오류|에러|실패|경고"
+QUOTED = r"""`([^`\n]+)`|"([^"]+)"|'([^']+)'|“([^”]+)”|‘([^’]+)’"""
+NO_LABEL = ["the", "this", "a", "an", "status"]
 DATABASE = r"(?iu)\b([A-Za-z][A-Za-z0-9_]{2,})\s+(?:table|entity|collection)\b|(?:테이블|엔티티|컬렉션)\s*[:=-]?\s*([A-Za-z][A-Za-z0-9_]{2,})|([A-Za-z][A-Za-z0-9_]{2,})\s*(?:테이블|엔티티|컬렉션)"
 
 
@@ -289,7 +302,8 @@ def mentions(lines: DataFrame) -> DataFrame:
 
 
 def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
-    """Fact nodes of sentences: fields, validation rules, permissions, policies, requirements, database entities, statuses.
+    """Fact nodes of sentences: statuses, fields, screens, actions, validation rules, error messages, permissions,
+    policies, requirements, database entities and integrations.
 
     A page number, where the lines come from pages, goes along."""
     rows = segments(lines).withColumn("line_text", F.col("segment"))
@@ -299,14 +313,25 @@ def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
         rule = F.when(F.col("segment").rlike(pattern), kind).otherwise(rule)
     first_field = F.coalesce(F.nullif(F.regexp_extract("segment", r"`([A-Za-z][A-Za-z0-9_.-]*)`", 1), F.lit("")), F.nullif(F.regexp_extract("segment", FIELD, 1), F.lit("")), F.lit("input"))
     valid = rows.withColumn("v", F.regexp_extract("segment", VALIDATION, 1)).where("v <> ''").withColumn("field", first_field)
-    entity = F.coalesce(*[F.nullif(F.regexp_extract("segment", DATABASE, g), F.lit("")) for g in (1, 2, 3)])
+    one_of = lambda pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract("segment", pattern, g), F.lit("")) for g in groups])
+    label = lambda c: F.regexp_replace(c, r"^[ :-]+|[ :-]+$", "")
+    named = lambda c: rows.withColumn("e", label(c)).where((F.length("e") > 1) & ~F.lower("e").isin(NO_LABEL))
+    action = one_of(ACTION, 1)
+    warned = rows.where(F.col("segment").rlike(ERROR_HINT))
+    said = _matches(warned, QUOTED, 0).withColumn("m", F.regexp_replace("m", "^[`\"'“‘]|[`\"'”’]$", ""))
     return all_of([
         node_rows(_matches(rows, STATUS_WORD), "StatusValue", F.col("m"), "sb", "DOC_EXACT", reference_type="status_value", **more),
         node_rows(_matches(rows.where(F.col("segment").rlike(FIELD_HINT)), FIELD), "FormField", F.col("m"), "sb", "DOC_EXACT", reference_type="form_field", subject=F.col("m"), **more),
         node_rows(_matches(rows, r"`([^`\n]+)`").where(F.col("m").rlike(f"^(?:{FIELD})$")), "FormField", F.col("m"), "sb", "DOC_EXACT", reference_type="form_field", subject=F.col("m"), **more),
         node_rows(valid, "ValidationRule", F.col("v"), "sb", "DOC_INFERRED", subject=F.col("field"), **more),
         node_rows(rows.withColumn("rule", rule).where("rule is not null"), F.col("rule"), short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(rows.withColumn("e", entity).where("e is not null"), "DatabaseEntity", F.col("e"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("e"), **more),
+        node_rows(named(one_of(SCREEN, 1, 2)), "Screen", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
+        node_rows(rows.withColumn("e", action).where("e is not null"), "UserAction", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
+        node_rows(_matches(rows, KOREAN_ACTION), "UserAction", F.col("m"), "sb", "DOC_INFERRED", **more),
+        node_rows(said, "ErrorMessage", F.col("m"), "sb", "DOC_EXACT", **more),
+        node_rows(warned.where(~F.col("segment").rlike(QUOTED)), "ErrorMessage", short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
+        node_rows(named(one_of(INTEGRATION, 1, 2)), "ExternalIntegration", short("e", 96, compact=True), "sb", "DOC_EXACT", **more),
+        node_rows(rows.withColumn("e", one_of(DATABASE, 1, 2, 3)).where("e is not null"), "DatabaseEntity", F.col("e"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("e"), **more),
     ]).dropDuplicates(["id"])
 
 

@@ -4,10 +4,41 @@ Rows are changed in sets: a new version of a table is its old rows without the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TABLES = ("artifacts", "nodes", "edges", "chunks", "evidence", "context_packs", "manifests")
+#: Schemas of the stored tables.
+TABLES = {
+    "artifacts": "id string, uri string, path string, kind string, title string, content_hash string, indexed_at timestamp_ntz, metadata string",
+    "nodes": "id string, kind string, label string, canonical_name string, artifact_id string, path string, start_line int, end_line int, page int, bbox string, confidence string, metadata string",
+    "edges": "id string, src string, dst string, relation string, confidence string, score double, extractor string, evidence_id string, metadata string",
+    "chunks": "id string, artifact_id string, kind string, text string, summary string, page int, start_line int, end_line int, token_count int, metadata string",
+    "evidence": "id string, artifact_id string, source_uri string, quote string, start_line int, end_line int, page int, bbox string, extractor string, confidence string",
+    "context_packs": "id string, task string, mode string, token_budget int, payload_json string, created_at timestamp_ntz",
+    "manifests": "key string, value string, updated_at timestamp_ntz",
+}
+
+
+def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest version in ``folder``; all are empty where there is none yet."""
+    try:
+        newest = spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    if newest is None:
+        return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
+    return {t: spark.read.schema(s).parquet(f"{folder}/{newest}/{t}") for t, s in TABLES.items()}
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str, version: int) -> None:
+    """Write a new version of all tables; it counts once its number is written, so a failed run changes nothing."""
+    for t in TABLES:
+        tables[t].write.mode("overwrite").parquet(f"{folder}/{version}/{t}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -24,6 +24,11 @@ class Index:
     def ask(self, task: str, **more) -> dict:
         return retrieve.retrieve(self.nodes, self.edges, task, **more)
 
+    def search(self, words: str, limit: int = 8) -> DataFrame:
+        """Evidence for a query: id, kind, label, quote, location, score and why."""
+        found = self.ask(words, limit=limit)["evidence"]
+        return found.select("id", "kind", "label", "quote", "location", "score", F.array_join("reasons", "+").alias("reason"))
+
     def conflicts(self) -> DataFrame:
         return conflicts.detect(conflicts.document_facts(self.nodes), conflicts.code_facts(self.lines, self.nodes))
 
@@ -50,7 +55,17 @@ def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     relation = F.when(F.col("kind") == "ValidationRule", "SB_DEFINES_VALIDATION").when(F.col("kind") == "StatusValue", "SB_REFERENCES_STATUS").when(F.col("kind").isin("Requirement", "BusinessPolicy", "PermissionRule"), "SB_DEFINES_REQUIREMENT").otherwise("CONTAINS")
     held = found.join(sheets.select("path", "page", F.col("id").alias("page_id")), ["path", "page"])
     api = mentions(split).where("kind = 'APIReference'")
-    return all_of([sheets, found, api]), edge_rows(held, F.col("page_id"), F.col("id"), relation, "DOC_EXACT", "pdf_fast_text")
+    whole = rows.groupBy("path", "kind").agg(F.min("page").alias("page"), F.lit(None).cast("int").alias("line"), F.min_by("line_text", "page").alias("line_text"))
+    documents = node_rows(whole, "Document", F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1), "pdf", "DOC_EXACT", quote=F.col("path"))
+    inside = sheets.join(documents.select("path", F.col("id").alias("document_id")), "path")
+    edges = edge_rows(held, F.col("page_id"), F.col("id"), relation, "DOC_EXACT", "pdf_fast_text").unionByName(edge_rows(inside, F.col("document_id"), F.col("id"), "CONTAINS", "DOC_EXACT", "pdf_fast_text"))
+    return all_of([documents, sheets, found, api]), edges
+
+
+def page_status(pages: DataFrame) -> DataFrame:
+    """path and status of each page document: indexed, or text_unavailable if no page has text."""
+    full = F.max(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return pages.groupBy("path").agg(F.when(full, "indexed").otherwise("text_unavailable").alias("status"))
 
 
 def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:

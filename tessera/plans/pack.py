@@ -65,3 +65,16 @@ def build(index: Index, task: str, budget: int = 1800) -> dict:
         "unknowns": [] if any("exact_" in x for r in rows for x in r["reasons"]) else ["No exact term of the task names a part of the project."],
     }
     return fit(payload, budget)
+
+
+def summary(payload: dict) -> str:
+    """A short text of a pack: what to look at, why, what disagrees, what is not known; six entries a section."""
+    out = [f"Task: {payload['task']}", f"Intent: {payload['intent']}"]
+    for title, section in (("Look first at", "evidence"), ("Documents", "documents"), ("Code", "code"), ("Conflicts", "conflicts"), ("Unknown", "unknowns")):
+        said = [x if isinstance(x, str) else x.get("location") or x["summary"] for x in payload[section]]
+        for i, x in enumerate(dict.fromkeys(said)):
+            if not i:
+                out.append(f"{title}:")
+            if i < 6:
+                out.append(f"- {x[:180]}")
+    return "\n".join(out)

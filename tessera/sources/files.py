@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORPUS = "path string, content binary"
@@ -108,3 +108,47 @@ def segments(line_rows: DataFrame) -> DataFrame:
     split = F.split(F.trim("line_text"), r"(?<=[.!?。！？])\s+")
     rows = line_rows.select("*", F.posexplode(split).alias("nth", "raw"))
     return rows.withColumn("segment", F.regexp_replace("raw", r"^[ \-•\t]+|[ \-•\t]+$", "")).where("segment <> ''").drop("raw")
+
+
+def snippet(line_rows: DataFrame, path: str, start: int, end: int, max_lines: int = 80, max_chars: int = 8000) -> DataFrame:
+    """The lines from ``start`` to ``end`` of a file, at most ``max_lines`` and ``max_chars``; paths out of the project raise."""
+    if path.startswith(("/", "\\")) or ".." in Path(path).parts:
+        raise ValueError(f"not a path of the project: {path}")
+    rows = line_rows.where((F.col("path") == path) & F.col("line").between(start, min(end, start + max_lines - 1)))
+    so_far = F.sum(F.length("line_text") + 1).over(Window.partitionBy("path").orderBy("line"))
+    return rows.withColumn("_chars", so_far).where(F.col("_chars") <= max_chars).drop("_chars")
+
+
+def chunks(line_rows: DataFrame, size: int = 120) -> DataFrame:
+    """Texts of ``size`` lines each: path, start_line, end_line, text."""
+    part = F.floor((F.col("line") - 1) / size)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "line_text")))
+    rows = line_rows.groupBy("path", part.alias("part")).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.array_join(F.transform(ordered, lambda s: s["line_text"]), "\n").alias("text"))
+    return rows.drop("part")
+
+
+def marked_sections(line_rows: DataFrame) -> DataFrame:
+    """Sections that begin at ``::heading::`` lines: path, heading, start_line, end_line; what stands before has none."""
+    heading = F.nullif(F.regexp_extract("line_text", r"^\s*::(.+?)::\s*$", 1), F.lit(""))
+    line = Window.partitionBy("path").orderBy("line")
+    rows = line_rows.withColumn("_head", heading).withColumn("_nth", F.count("_head").over(line))
+    return rows.groupBy("path", "_nth").agg(F.max("_head").alias("heading"), F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("_nth")
+
+
+SYMBOLS = "documents array<struct<relative_path:string,occurrences:array<struct<symbol:string,range:array<int>,symbol_roles:array<string>,syntax_kind:string>>>>"
+
+
+def read_symbols(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(status, documents) of a compiler-symbol index in JSON: ``ok``, or ``unsupported_binary`` or
+    ``unsupported_format`` with no documents. Roles that are numbers are bits: 1 is a definition."""
+    none = spark.createDataFrame([], "relative_path string, occurrences array<struct<symbol:string,range:array<int>,symbol_roles:array<string>>>")
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    kind = raw.select(F.is_valid_utf8(F.col("content").cast("string")).alias("text"), F.try_parse_json(F.make_valid_utf8(F.col("content").cast("string"))).isNotNull().alias("json")).first()
+    if not kind["text"]:
+        return "unsupported_binary", none
+    if not kind["json"]:
+        return "unsupported_format", none
+    listed = raw.select(F.from_json(F.col("content").cast("string"), SYMBOLS, {"primitivesAsString": "false"}).alias("j")).select(F.explode("j.documents").alias("d"))
+    role = lambda r: F.when(r.rlike(r"^\d+$"), F.when(r.try_cast("int").bitwiseAND(F.lit(1)) != 0, "Definition").otherwise("Reference")).otherwise(r)
+    one = lambda o: F.struct(o["symbol"].alias("symbol"), o["range"].alias("range"), F.transform(F.coalesce(o["symbol_roles"], F.array().cast("array<string>")), role).alias("symbol_roles"))
+    return "ok", listed.select(F.col("d.relative_path").alias("relative_path"), F.transform("d.occurrences", one).alias("occurrences"))

@@ -246,3 +246,57 @@ def test_registered_queries_run(spark, data):
     from tessera.plans.queries import ORACLE_SQL, QUERIES
 
     assert {*ORACLE_SQL} <= {*QUERIES} and conflicts
+
+
+def test_facts_of_each_family(spark):
+    text = "The Login screen opens. The user can click the save button now.\nShow error \"Invalid token\" then.\n오류가 발생한다.\nThe orders table keeps rows.\nwebhook: Stripe events\n사용자가 결제 버튼을 클릭한다.\nRefund policy applies.\n"
+    rows = files.lines(spark.createDataFrame([("a.md", "markdown", text)], "path string, kind string, text string"))
+    from tessera.operators.extract import facts
+
+    got = {(r["kind"], r["label"]) for r in facts(rows).collect()}
+    assert {("ErrorMessage", "Invalid token"), ("ErrorMessage", "오류가 발생한다."), ("DatabaseEntity", "orders"), ("ExternalIntegration", "Stripe events"), ("BusinessPolicy", "Refund policy applies."), ("UserAction", "결제")} <= got
+    assert any(k == "Screen" and "Login" in x for k, x in got) and any(k == "UserAction" and x.startswith("click") for k, x in got)
+
+
+def test_snippets_chunks_and_sections(spark):
+    text = "\n".join(["intro", "::Part One::", *[f"line {i}" for i in range(200)], " ::Two:: ", "end"])
+    rows = files.lines(spark.createDataFrame([("a.sb", "markdown", text)], "path string, kind string, text string"))
+    assert [r["line"] for r in files.snippet(rows, "a.sb", 10, 200).orderBy("line").collect()] == list(range(10, 90))
+    assert files.snippet(rows, "a.sb", 1, 80, max_chars=30).count() == 3
+    for bad in ("../x", "/etc/passwd", "a/../../b"):
+        with pytest.raises(ValueError):
+            files.snippet(rows, bad, 1, 2)
+    assert sorted((r["start_line"], r["end_line"]) for r in files.chunks(rows).collect()) == [(1, 120), (121, 204)]
+    got = sorted((r["start_line"], r["end_line"], r["heading"]) for r in files.marked_sections(rows).collect())
+    assert got == [(1, 1, None), (2, 202, "Part One"), (203, 204, "Two")]
+
+
+def test_symbol_files(spark, tmp_path):
+    import json
+
+    good, binary, broken = (tmp_path / n for n in ("a.json", "b.scip", "c.json"))
+    good.write_text(json.dumps({"documents": [{"relative_path": "src/app.ts", "occurrences": [{"symbol": "f().", "range": [0, 1, 2], "symbol_roles": ["1"]}, {"symbol": "f().", "range": [3, 1, 2], "symbol_roles": ["Definition"]}]}]}))
+    binary.write_bytes(b"\xff\xfe\x00\x9f")
+    broken.write_text("{oops")
+    status, documents = files.read_symbols(spark, str(good))
+    assert status == "ok" and [o["symbol_roles"] for o in documents.first()["occurrences"]] == [["Definition"], ["Definition"]]
+    assert files.read_symbols(spark, str(binary))[0] == "unsupported_binary" and files.read_symbols(spark, str(broken))[0] == "unsupported_format"
+
+
+def test_table_versions(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    tables = store.load_tables(spark, folder)
+    assert {t: df.count() for t, df in tables.items()} == dict.fromkeys(store.TABLES, 0)
+    one = spark.createDataFrame([("k", "1", None)], store.TABLES["manifests"])
+    store.save_tables(dict(tables, manifests=store.upsert(tables["manifests"], one, ["key"])), folder, 1)
+    again = store.load_tables(spark, folder)
+    two = spark.createDataFrame([("k", "2", None)], store.TABLES["manifests"])
+    store.save_tables(dict(again, manifests=store.upsert(again["manifests"], two, ["key"])), folder, 2)
+    assert [r["value"] for r in store.load_tables(spark, folder)["manifests"].collect()] == ["2"]
+
+
+def test_summary_and_search(project):
+    made = pack.build(project, "Change POST /api/users to require email")
+    said = pack.summary(made)
+    assert said.startswith("Task: Change POST") and "src/app.ts:13" in said
+    assert project.search("Change POST /api/users").first()["reason"].startswith("exact_endpoint")
