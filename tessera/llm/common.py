@@ -86,6 +86,29 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     return source.mapInArrow(run, schema)
 
 
+def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list[str | None]], list]], kind: str, group: int = GROUP_CHARS) -> DataFrame:
+    """``df`` with a column made from the column ``text``: only that goes to Python, other columns stay in the JVM.
+
+    ``make()`` runs once in each task and returns the function, which gets a bounded group of texts."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+
+        call = make()
+        for texts in batches:
+            out = []
+            for a, b in groups_by_size(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), group):
+                out += call(texts.slice(a, b - a).to_pylist())
+            yield pa.array(out, arrow)
+
+    return df.withColumn(name, run(F.col("text")))
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a table of a few narrow columns: by broadcast if it is counted to have at most SMALL_ROWS, else by shuffle."""
     return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, keys, how)

@@ -12,13 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import map_texts, with_text_column
 
 #: Labelled rows of each language that the network is fitted on, about; windows of a row; bytes of a window.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 400, 4, 64
 HIDDEN, STEPS, BATCH, RATE = 8, 500, 192, 0.02
 #: Bytes of a chunk when the network runs, and chunks side by side.
-CHUNK, SIDE = 128, 4096
+CHUNK, SIDE = 128, 2048
 
 UNKNOWN = "und"
 
@@ -195,8 +195,8 @@ def label_texts(net: Network | None, texts: list[str | None]) -> tuple[list[str]
     return langs, scores
 
 
-def identify(docs: DataFrame, net: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id) of each row, lang_pred and score (pooled probability, 0 to 1) of its whole text.
+def identify(docs: DataFrame, net: Network | None) -> DataFrame:
+    """doc_id of each row, lang_pred and score (pooled probability, 0 to 1) of its whole text.
 
     ``und`` and 0 for texts that are null, empty or without a letter, and for all if nothing could be learned.
     Repeated rows are judged each; further columns, of whatever names, are no input."""
@@ -208,10 +208,11 @@ def identify(docs: DataFrame, net: Network | None, keep: list[str] | None = None
 
         return call
 
-    return map_texts(docs, keep or ["doc_id"], make, "lang_pred string, score double")
+    return map_texts(docs, ["doc_id"], make, "lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, train_on: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` in a language that the network knows: not ``und``, pooled probability ``least`` or more."""
-    found = identify(docs, fit(train_on), docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    net = fit(train_on)
+    call = lambda texts: [lang != UNKNOWN and score >= least for lang, score in zip(*label_texts(net, texts))]
+    return with_text_column(docs, "_known", lambda: call, "boolean").where("_known").select(*docs.columns)

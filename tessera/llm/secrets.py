@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import map_texts, with_text_column
 
 KINDS = ("assign", "access", "hex", "markov")
 #: Rows of documents, about, whose ordinary tokens and known secrets train the models.
@@ -175,14 +175,10 @@ def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """The rows of ``docs`` with every secret replaced by a mark; overlapping spans get one. All columns are kept,
     and n_chars, if there is one, follows the text."""
 
-    def make():
-        def call(texts):
-            found = scanner.scan([t or "" for t in texts])
-            return None, {"_clean": [t if not s else redact_text(t, s) for t, s in zip(texts, found)]}
-
-        return call
+    def call(texts):
+        return [t if not s else redact_text(t, s) for t, s in zip(texts, scanner.scan([t or "" for t in texts]))]
 
-    clean = map_texts(docs, docs.columns, make, "_clean string").withColumn("text", F.col("_clean"))
+    clean = with_text_column(docs, "_clean", lambda: call, "string").withColumn("text", F.col("_clean"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return clean.select(*docs.columns)

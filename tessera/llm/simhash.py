@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, map_texts
+from tessera.llm.common import checkpoint, map_texts, with_text_column
 from tessera.llm.components import components
 
 #: Fingerprints of a node that one task holds at a time; larger nodes are cut into runs of this length.
@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -
 
     Repeated rows count once. Where no row of a component has a doc_id, one of its rows stays. All columns are kept."""
     columns = docs.columns
-    marked = map_texts(docs, columns, lambda: lambda texts: (None, {"_print": [fingerprint(t, width, seed) for t in texts]}), "_print long")
+    marked = with_text_column(docs, "_print", lambda: lambda texts: [fingerprint(t, width, seed) for t in texts], "bigint")
     prints = checkpoint(fingerprints(docs, width, seed))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fingerprint")))
     stays = _classes(prints, radius).groupBy("root").agg(best.alias("s")).select(F.col("s.least").alias("_least"), F.col("s.fingerprint").alias("_print"))
