@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, join_small, map_texts
 
-#: Entries of the word caches of a Python worker; one is emptied when full.
-CACHE_WORDS = 400_000
+#: Entries of each word cache of a Python worker; a full one keeps what it has, which are the words met most.
+CACHE_WORDS = 750_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
@@ -47,7 +47,8 @@ class CachedTokenizer:
         self.by_word: dict[str, bytes] = {}
         self.by_part: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> None:
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         runs = [p for p in parts if _letters(p)]
         for i in range(0, len(runs), 200):
             some = runs[i : i + 200]
@@ -56,11 +57,28 @@ class CachedTokenizer:
             if len(cuts) == len(some):
                 raw, a = ids.tobytes(), 0
                 for part, b in zip(some, cuts):
-                    self.by_part[part] = raw[4 * a : 4 * b]
+                    out[part] = raw[4 * a : 4 * b]
                     a = b
-        rest = [p for p in parts if p not in self.by_part]
+        rest = [p for p in parts if p not in out]
         for part, one in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.by_part[part] = np.array(one.ids, "<u4").tobytes()
+            out[part] = np.array(one.ids, "<u4").tobytes()
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        new = [w for w in words if w not in self.by_word]
+        # special tokens, which start with "<|", are found before a text is split
+        parts = {w: [w] if "<|" in w or not _plain(w) else [p.lower() if p.isascii() else p for p in _parts(w)] for w in new}
+        known = self.by_part
+        fresh = self._encode(list({p for ps in parts.values() for p in ps if p not in known}))
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+            fresh = known
+        made = {w: b"".join([known[p] if p in known else fresh[p] for p in ps]) for w, ps in parts.items()}
+        if len(self.by_word) < CACHE_WORDS:
+            self.by_word.update(made)
+        kept = self.by_word
+        return [kept[w] if w in kept else made[w] for w in words]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and where each text ends. Null counts as empty.
@@ -69,16 +87,7 @@ class CachedTokenizer:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        for cache in (self.by_word, self.by_part):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        new = [w for w in words if w not in self.by_word]
-        # special tokens, which start with "<|", are found before a text is split
-        parts = {w: [w] if "<|" in w or not _plain(w) else [p.lower() if p.isascii() else p for p in _parts(w)] for w in new}
-        self._encode(list({p for ps in parts.values() for p in ps if p not in self.by_part}))
-        for w, ps in parts.items():
-            self.by_word[w] = b"".join([self.by_part[p] for p in ps])
-        found = [*map(self.by_word.__getitem__, words), np.array([end_id], "<u4").tobytes()]
+        found = [*self._words(words), np.array([end_id], "<u4").tobytes()]
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
