@@ -33,7 +33,7 @@ class CachedTokenizer:
     A pre-token of the word vocabulary never crosses white space, nor a border between a letter and an ASCII
     mark other than the apostrophe, so words and such parts of words can be encoded apart."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,6 +44,7 @@ class CachedTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.cache_words = cache_words
         self.by_word: dict[str, bytes] = {}
         self.by_part: dict[str, bytes] = {}
 
@@ -71,11 +72,11 @@ class CachedTokenizer:
         parts = {w: [w] if "<|" in w or not _plain(w) else [p.lower() if p.isascii() else p for p in _parts(w)] for w in new}
         known = self.by_part
         fresh = self._encode(list({p for ps in parts.values() for p in ps if p not in known}))
-        if len(known) < CACHE_WORDS:
+        if len(known) < self.cache_words:
             known.update(fresh)
             fresh = known
         made = {w: b"".join([known[p] if p in known else fresh[p] for p in ps]) for w, ps in parts.items()}
-        if len(self.by_word) < CACHE_WORDS:
+        if len(self.by_word) < self.cache_words:
             self.by_word.update(made)
         kept = self.by_word
         return [kept[w] if w in kept else made[w] for w in words]
@@ -100,15 +101,15 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=4)
-def worker_tokenizer(path: str) -> CachedTokenizer:
+def worker_tokenizer(path: str, cache_words: int) -> CachedTokenizer:
     """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
     import gc
 
     gc.set_threshold(500_000, 50, 100)  # the caches are large and have no cycles
-    return CachedTokenizer(path)
+    return CachedTokenizer(path, cache_words)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Token ids of each document and an end token, cut into pieces of at most ``max_tokens``.
 
     Returns doc_id, piece, start, length, tokens (little-endian unsigned 32-bit ids) and the task and rank that
@@ -117,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
     def make():
         from pyspark import TaskContext
 
-        encode = worker_tokenizer(tokenizer_path).encode
+        encode = worker_tokenizer(tokenizer_path, cache_words).encode
         task, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
 
         def call(texts):
@@ -200,13 +201,13 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
         bins += many
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack all documents into as few sequences of ``max_tokens`` as best-two-fit finds.
 
     Returns doc_id, piece, start, length, tokens (binary), sequence_id and offset. Null texts count as empty;
     an empty text is the end token alone; repeated rows, and rows without a doc_id, are packed one by one;
     no rows give no rows; other columns are left out."""
-    pieces = checkpoint(token_pieces(docs, tokenizer_path, max_tokens, end_id))
+    pieces = checkpoint(token_pieces(docs, tokenizer_path, max_tokens, end_id, cache_words))
     here = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
     runs = sorted(best_two_fit(counts, max_tokens))
