@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, METHODS, PATH_CHARS, content_id, short
+from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
 from tessera.operators.store import first_per_key
 from tessera.sources.files import segments
 
@@ -333,6 +333,3 @@ def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
         node_rows(named(one_of(INTEGRATION, 1, 2)), "ExternalIntegration", short("e", 96, compact=True), "sb", "DOC_EXACT", **more),
         node_rows(rows.withColumn("e", one_of(DATABASE, 1, 2, 3)).where("e is not null"), "DatabaseEntity", F.col("e"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("e"), **more),
     ]).dropDuplicates(["id"])
-
-
-__all__ = ["METHODS", "PATH_CHARS", "code_graph", "facts", "markdown_graph", "mentions"]

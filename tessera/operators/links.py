@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import BARE_API, content_id, endpoint_method, endpoint_path, identifier_key, is_generic_term, clean_endpoint, meaningful_terms, normalize_path, short
+from tessera.functions.text import clean_endpoint, content_id, endpoint_method, endpoint_path, identifier_key, is_generic_term, meaningful_terms, normalize_path
 from tessera.operators.store import first_per_key
 
 # Kinds on either side and words of validating code.
@@ -126,6 +126,3 @@ def link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_counts(links: DataFrame) -> DataFrame:
     return links.agg(F.count_if(F.col("relation") != "SEMANTIC_CANDIDATE").alias("strong_links"), F.count_if(F.col("relation") == "SEMANTIC_CANDIDATE").alias("weak_candidates"))
-
-
-__all__ = ["BARE_API", "link", "link_counts", "short"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import significant_tokens, tokenize
+from tessera.functions.text import tokenize
 
 
 def like_any(text: str, query: str, tokens: list[str]) -> Column:
@@ -53,6 +53,3 @@ def quote_nodes(evidence: DataFrame, artifacts: DataFrame, nodes: DataFrame, tas
     met = e.where(fits).join(a.where("kind in ('markdown', 'pdf', 'sb')"), F.col("a.id") == F.col("e.artifact_id")).join(n, (F.col("n.artifact_id") == F.col("e.artifact_id")) & same_place)
     order = [F.col("a.path").asc_nulls_last(), F.col("n.start_line").asc_nulls_last(), F.col("n.page").asc_nulls_last(), F.col("n.id")]
     return met.select("n.id", "a.path", "n.start_line", "n.page").orderBy(*order).limit(limit).select("id").distinct()
-
-
-__all__ = ["bm25", "like_any", "like_search", "postings", "quote_nodes", "significant_tokens"]
