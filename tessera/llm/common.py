@@ -39,6 +39,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: What this Python worker keeps between tasks, for one operator at a time.
+_kept: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from task to task; another operator's is dropped for it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release_caches(but: str | None) -> None:
+    for name in [n for n in _kept if n != but]:
+        del _kept[name]
+
+
 def groups_by_size(sizes: list[int], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts of these sizes that hold at most ``limit`` together, or one text."""
     start = size = 0
@@ -51,13 +68,14 @@ def groups_by_size(sizes: list[int], limit: int = GROUP_CHARS) -> Iterator[tuple
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text", arrow_text: bool = False, group: int = GROUP_CHARS) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], tuple]], made: str, text: str = "text", arrow_text: bool = False, group: int = GROUP_CHARS, cache: str | None = None) -> DataFrame:
     """Run a function over the column ``text``, a bounded group of rows at a time.
 
     ``make()`` runs once in each task and returns the function. That gets the texts of a group (a list, or an
     Arrow array with ``arrow_text``) and returns ``(rows, columns)``: the columns named in the schema string
     ``made``, and for each of their values the index of its row in the group (None: one value for each row, in
-    order). The columns ``keep`` of the row go along. ``group``: bytes of text in a group, about."""
+    order). The columns ``keep`` of the row go along. ``group``: bytes of text in a group, about;
+    ``cache``: name of what may stay in the worker."""
     from pyspark.sql.types import StructType
 
     source = df.select(*keep, F.col(text).alias("_text"))
@@ -69,6 +87,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        release_caches(cache)
         call = make()
         for batch in batches:
             column = batch.column(len(keep))
@@ -99,6 +118,7 @@ def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
 
+        release_caches(None)
         call = make()
         for texts in batches:
             out = []

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_small, map_texts
+from tessera.llm.common import checkpoint, join_small, map_texts, worker_cache
 
 #: Template tokens of a window, and of the shortest item that can be told.
 WINDOW, SHORTEST = 8, 4
@@ -68,16 +68,13 @@ class Vocabulary:
         return self.hashes[ids], self.kinds[ids]
 
 
-_vocabulary = Vocabulary()
-
-
 def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, their hashes with placeholders put in, which are placeholders, and the words of each text.
 
     A number is digits or a number word; a unit follows a number; a name is capitalised and not first in its sentence."""
     split = [_tokens(t or "") for t in texts]
     tokens = list(chain.from_iterable(split))
-    hashes, kinds = _vocabulary.look_up(tokens)
+    hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
     text_of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
     words = np.flatnonzero(kinds != _STOP)
     first = np.ones(len(kinds), bool)
@@ -142,7 +139,7 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
 
         return call
 
-    return map_texts(df, keep, make, "pos long, hash long, values array<string>, windows long", group=1_000_000)
+    return map_texts(df, keep, make, "pos long, hash long, values array<string>, windows long", group=1_000_000, cache="vocabulary")
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:

@@ -7,7 +7,6 @@ the pieces of that length."""
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_small, map_texts
+from tessera.llm.common import checkpoint, join_small, map_texts, worker_cache
 
 #: Entries of each word cache of a Python worker; a full one keeps what it has, which are the words met most.
 CACHE_WORDS = 750_000
@@ -100,13 +99,12 @@ class CachedTokenizer:
         return flat, stop[np.cumsum(counts + 1) - 1]
 
 
-@lru_cache(maxsize=4)
 def worker_tokenizer(path: str, cache_words: int) -> CachedTokenizer:
     """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
     import gc
 
     gc.set_threshold(500_000, 50, 100)  # the caches are large and have no cycles
-    return CachedTokenizer(path, cache_words)
+    return worker_cache(f"packing {path} {cache_words}", lambda: CachedTokenizer(path, cache_words))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
@@ -137,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
 
         return call
 
-    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long", arrow_text=True, group=2_000_000)
+    return map_texts(docs, ["doc_id"], make, "piece int, start long, length long, tokens binary, task int, nth long", arrow_text=True, group=2_000_000, cache=f"packing {tokenizer_path} {cache_words}")
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
