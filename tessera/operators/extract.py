@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
+from tessera.operators.graph import checkpoint
 from tessera.operators.store import first_per_key
 from tessera.sources.files import segments
 
@@ -145,7 +146,7 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = F.when(F.col("path").rlike(suffix) & (hit != ""), F.struct(F.lit(kind).alias("kind"), hit.alias("name"))).otherwise(found)
     known = known.withColumn("def", F.when(F.col("kind") == "code", found))
     owner = F.last(F.when(F.col("def.kind") == "Class", F.struct(F.col("def.name").alias("name"), "line", "depth", "indent")), ignorenulls=True).over(by_path)
-    known = known.withColumn("owner", owner)
+    known = checkpoint(known.withColumn("owner", owner))  # read by every branch below
     inside = F.when(F.col("path").rlike(r"\.py$"), F.col("indent") > F.col("owner.indent")).otherwise(F.col("depth") > F.col("owner.depth"))
     owned = F.col("owner").isNotNull() & inside & (F.col("def.kind") != "Class")
     defs = known.where("def is not null").withColumn("owned", F.coalesce(owned, F.lit(False)))
