@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are handed on in groups of about this many bytes.
 GROUP_CHARS = 4_000_000
+#: Bytes of an Arrow batch, about: what JVM and worker each hold of a task's rows at a time.
+BATCH_BYTES = 4_000_000
 #: Rows that a broadcast table of a few narrow columns may have.
 SMALL_ROWS = 1_000_000
 
@@ -46,14 +50,34 @@ _kept: dict[str, object] = {}
 def worker_cache(name: str, make: Callable[[], object]):
     """What an operator keeps in a Python worker from task to task; another operator's is dropped for it."""
     if name not in _kept:
-        _kept.clear()
+        release_caches(name)
         _kept[name] = make()
     return _kept[name]
 
 
 def release_caches(but: str | None) -> None:
-    for name in [n for n in _kept if n != but]:
+    old = [n for n in _kept if n != but]
+    for name in old:
         del _kept[name]
+    if old:
+        gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return the worker's free memory to the system: an allocator keeps blocks of past batches and tasks otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # a C library without it
+        pass
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of the session to BATCH_BYTES, as rows hold whole texts; a limit that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def groups_by_size(sizes: list[int], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -78,6 +102,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     ``cache``: name of what may stay in the worker."""
     from pyspark.sql.types import StructType
 
+    limit_batches(df.sparkSession)
     source = df.select(*keep, F.col(text).alias("_text"))
     schema = StructType([source.schema[c] for c in keep] + list(StructType.fromDDL(made).fields))
     names = [f.name for f in schema.fields[len(keep) :]]
@@ -101,6 +126,8 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
                     kept = [c.take(at) for c in kept]
                 new = [pa.array(columns[n], arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept, arrow)] + new, schema=arrow)
+        del call
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -112,6 +139,7 @@ def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DataType
 
+    limit_batches(df.sparkSession)
     arrow = to_arrow_type(DataType.fromDDL(kind))
 
     @F.arrow_udf(kind)
@@ -125,6 +153,8 @@ def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list
             for a, b in groups_by_size(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), group):
                 out += call(texts.slice(a, b - a).to_pylist())
             yield pa.array(out, arrow)
+        del call
+        give_back()
 
     return df.withColumn(name, run(F.col("text")))
 
