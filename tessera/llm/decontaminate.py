@@ -154,6 +154,40 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def sound_places(found: list[dict]) -> tuple[list[int], bool]:
+    """Places of the windows of a line that count, and whether one with other values is among them.
+
+    Windows with the item's own values count whatever else the line holds. Those with other values count if
+    their values stand for the item's one way throughout."""
+    changed = [w for w in found if w["item_values"] != w["values"]]
+    places = {w["item_pos"] for w in found if w["item_values"] == w["values"]}
+    stands: dict[str, str] = {}
+    if any(stands.setdefault(a, b) != b for w in changed for a, b in zip(w["item_values"], w["values"])):
+        changed = []
+    return sorted(places | {w["item_pos"] for w in changed}), bool(changed)
+
+
+def _sound(lines: DataFrame) -> DataFrame:
+    """``lines`` with places and changed, as ``sound_places`` has them, instead of the windows found."""
+    from pyspark.sql.types import StructType
+
+    kept = [c for c in lines.columns if c != "found"]
+    schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, changed boolean").fields))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                row["places"], row["changed"] = sound_places(row.pop("found"))
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    return lines.mapInArrow(run, schema)
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Texts of ``docs`` that hold an item of ``benchmark`` or a passage of one: text_hash, text_crc, item_id (the best, then the smallest),
     n_items, coverage (share of that item's windows), reparameterised (other values in its placeholders).
@@ -167,11 +201,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float =
     keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias(key[0]), F.crc32("text").alias(key[1]))
     hits = _windows(keyed, key, sorted({WINDOW, *short}), _filter_bits(windows)).drop("windows").distinct()
     met = hits.join(n, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = F.arrays_zip("item_values", "values")
-    lines = met.groupBy(*key, "item_id", "shift").agg(F.first("of").alias("of"), F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_way = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.item_values)))")
-    changed = F.expr("exists(pairs, p -> p.item_values <> p.values)")
-    lines = lines.where(one_way).withColumn("changed", changed)
+    window = F.struct("item_pos", "item_values", "values")
+    lines = _sound(met.groupBy(*key, "item_id", "shift").agg(F.first("of").alias("of"), F.collect_set(window).alias("found")).drop("shift"))
     held = lines.groupBy(*key, "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("of")).alias("coverage"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"), F.col("changed")))
     found = held.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN)).groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))

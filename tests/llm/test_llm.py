@@ -277,6 +277,18 @@ def test_templates_catch_other_values(spark):
     assert contaminated(df, bench.where("false")).count() == 0 and contaminated(df.where("false"), bench).count() == 0
 
 
+def test_one_conflict_leaves_verbatim_evidence(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    middle = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(52))
+    item = f"the girl Anna went {middle} and then Anna slept there"
+    once = item.replace("then Anna", "then Nadia")
+    twice = item.replace("girl Anna", "girl Olga").replace("then Anna", "then Nadia")
+    got = {r["doc_id"]: r for r in contaminated(docs_of(spark, [(1, item), (2, once), (3, twice)]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert [got[i]["reparameterised"] for i in (1, 2, 3)] == [False, True, False]
+    assert got[1]["coverage"] == got[2]["coverage"] == 1.0 and 0.8 < got[3]["coverage"] < 1
+
+
 def test_planted_items_are_found(spark, data, docs):
     items = duckdb.connect().execute(f"select item_id, text from read_parquet('{data}/benchmark.parquet')").fetchall()
     norm = lambda t: " ".join((t or "").split())
