@@ -7,7 +7,9 @@ benchmark item one way throughout."""
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -68,10 +70,11 @@ class Vocabulary:
         return self.hashes[ids], self.kinds[ids]
 
 
-def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, their hashes with placeholders put in, which are placeholders, and the words of each text.
+def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, their hashes with placeholders put in, which are placeholders, which may be, and the words of each text.
 
-    A number is digits or a number word; a unit follows a number; a name is capitalised and not first in its sentence."""
+    A number is digits or a number word; a unit follows a number; a name is capitalised. A capitalised word that is
+    first in its sentence may be a name or not: it has both readings."""
     split = [_tokens(t or "") for t in texts]
     tokens = list(chain.from_iterable(split))
     hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
@@ -84,28 +87,59 @@ def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarra
     after = np.zeros(len(words), bool)
     after[1:] = number[:-1] & (text_of[1:] == text_of[:-1])
     unit = ((kinds & _UNIT) > 0) & after & ~number
-    name = ((kinds & _CAPITAL) > 0) & ~first & ~number & ~unit
+    capital = ((kinds & _CAPITAL) > 0) & ~number & ~unit
+    name = capital & ~first
     for mark, flag in ((number, _NUMBER), (unit, _UNIT), (name, _CAPITAL)):
         hashes[mark] = _PLACE[flag]
-    return [tokens[i] for i in words.tolist()], hashes, number | unit | name, np.bincount(text_of, minlength=len(split))
+    return [tokens[i] for i in words.tolist()], hashes, number | unit | name, capital & first, np.bincount(text_of, minlength=len(split))
 
 
-def window_hashes(hashes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``size`` words, and which of them have no more placeholders than words."""
+def _mixed(total: np.ndarray) -> np.ndarray:
+    total = total ^ (total >> np.uint64(29))
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(32))
+
+
+def _sums(hashes: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(hashes) - size + 1)
     total = np.full(n, size, np.uint64)
-    filled = np.zeros(n, np.int8)
     for k in range(size):
         total += hashes[k : k + n] * _ODD[k]
-        filled += slots[k : k + n]
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(32)
-    return total, 2 * filled <= size
+    return total
+
+
+def _held(marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many marks stand before each window of ``size`` words, and how many in it."""
+    before = np.append(0, np.cumsum(marks, dtype=np.int64))
+    n = max(0, len(marks) - size + 1)
+    return before[:n], before[size : size + n] - before[:n]
+
+
+def window_readings(hashes: np.ndarray, slots: np.ndarray, maybe: np.ndarray, good: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts of the ``good`` windows of ``size`` words, their hashes and the places (n, k) of the words read as names,
+    for each choice of the words that may be names. Readings have no more placeholders than words."""
+    total, filled = _sums(hashes, size), _held(slots, size)[1]
+    before, open_ = _held(maybe, size)
+    good = good & (2 * filled <= size)
+    starts = np.flatnonzero(good)
+    yield starts, _mixed(total[starts]), np.zeros((len(starts), 0), np.int64)
+    places = np.flatnonzero(maybe)
+    for k in range(1, size + 1):
+        group = np.flatnonzero(good & (open_ == k))
+        if not len(group):
+            continue
+        at = places[before[group][:, None] + np.arange(k)]
+        change = (_PLACE[_CAPITAL] - hashes[at]) * _ODD[at - group[:, None]]
+        for m in range(1, min(k, size // 2) + 1):
+            fits = 2 * (filled[group] + m) <= size
+            starts, some, by = group[fits], at[fits], change[fits]
+            for chosen in map(list, combinations(range(k), m)) if len(starts) else ():
+                yield starts, _mixed(total[starts] + by[:, chosen].sum(1, dtype=np.uint64)), some[:, chosen]
 
 
 def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.ndarray | None) -> DataFrame:
-    """Windows (pos, hash, values, windows: how many the text has); ``bits`` lets through only what it has.
+    """Windows (pos, hash, values, leading: which values begin a sentence, windows: how many the text has), a row for
+    each reading; ``bits`` lets through only what it has.
 
     Without ``sizes`` the text's own size is taken: WINDOW, or all of a shorter text that has SHORTEST words."""
 
@@ -113,33 +147,34 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
         known = None if bits is None else np.unpackbits(bits).view(bool)
 
         def call(texts):
-            rows, out = [], {k: [] for k in ("pos", "hash", "values", "windows")}
-            words, hashes, slots, counts = templates(texts)
+            rows, out = [], {k: [] for k in ("pos", "hash", "values", "leading", "windows")}
+            words, hashes, slots, maybe, counts = templates(texts)
             text_of = np.repeat(np.arange(len(counts)), counts)
             starts = np.cumsum(counts) - counts
             for size in sizes or range(SHORTEST, WINDOW + 1):
-                h, good = window_hashes(hashes, slots, size)
-                of = text_of[: len(h)]
-                good &= text_of[size - 1 :] == of if len(h) else good
+                of = text_of[: max(0, len(words) - size + 1)]
+                good = text_of[size - 1 :] == of
                 if sizes is None:
                     good &= np.minimum(counts, WINDOW)[of] == size
-                if known is not None:
-                    good &= known[h & np.uint64(len(known) - 1)]
-                at = np.flatnonzero(good)
-                if known is not None:
-                    at = at[known[(h[at] >> np.uint64(32)) & np.uint64(len(known) - 1)]]
-                many = np.bincount(of[good], minlength=len(counts))
-                for p, i, x in zip(at.tolist(), of[at].tolist(), h[at].view(np.int64).tolist()):
-                    rows.append(i)
-                    out["pos"].append(p - int(starts[i]))
-                    out["hash"].append(x)
-                    out["values"].append([words[p + k].lower() for k in np.flatnonzero(slots[p : p + size])])
-                    out["windows"].append(int(many[i]))
+                many = np.bincount(of[good & (2 * _held(slots, size)[1] <= size)], minlength=len(counts))
+                for at, h, names in window_readings(hashes, slots, maybe, good, size):
+                    if known is not None:
+                        passed = np.flatnonzero(known[h & np.uint64(len(known) - 1)])
+                        passed = passed[known[(h[passed] >> np.uint64(32)) & np.uint64(len(known) - 1)]]
+                        at, h, names = at[passed], h[passed], names[passed]
+                    for p, i, x, led in zip(at.tolist(), of[at].tolist(), h.view(np.int64).tolist(), names.tolist()):
+                        filled = sorted([*(p + np.flatnonzero(slots[p : p + size])).tolist(), *led])
+                        rows.append(i)
+                        out["pos"].append(p - int(starts[i]))
+                        out["hash"].append(x)
+                        out["values"].append([words[k].lower() for k in filled])
+                        out["leading"].append([k in led for k in filled])
+                        out["windows"].append(int(many[i]))
             return rows, out
 
         return call
 
-    return map_texts(df, keep, make, "pos long, hash long, values array<string>, windows long", group=1_000_000, cache="vocabulary")
+    return map_texts(df, keep, make, "pos long, hash long, values array<string>, leading array<boolean>, windows long", group=1_000_000, cache="vocabulary")
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:
@@ -158,13 +193,19 @@ def sound_places(found: list[dict]) -> tuple[list[int], bool]:
     """Places of the windows of a line that count, and whether one with other values is among them.
 
     Windows with the item's own values count whatever else the line holds. Those with other values count if
-    their values stand for the item's one way throughout."""
+    their values stand for the item's one way throughout. Words that begin a sentence need not be names: where
+    such values differ, only the windows go that hold another than the most usual one."""
     changed = [w for w in found if w["item_values"] != w["values"]]
     places = {w["item_pos"] for w in found if w["item_values"] == w["values"]}
+    pairs = [[*zip(w["item_values"], w["values"], (x or y for x, y in zip(w["item_leading"], w["leading"])))] for w in changed]
     stands: dict[str, str] = {}
-    if any(stands.setdefault(a, b) != b for w in changed for a, b in zip(w["item_values"], w["values"])):
-        changed = []
-    return sorted(places | {w["item_pos"] for w in changed}), bool(changed)
+    if any(stands.setdefault(a, b) != b for p in pairs for a, b, led in p if not led):
+        return sorted(places), False
+    votes = Counter(pair for p in pairs for pair in {(a, b) for a, b, led in p if led})
+    for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+        stands.setdefault(a, b)
+    fit = {w["item_pos"] for w, p in zip(changed, pairs) if all(stands[a] == b for a, b, _ in p)}
+    return sorted(places | fit), bool(fit)
 
 
 def _sound(lines: DataFrame) -> DataFrame:
@@ -195,13 +236,13 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float =
     Equal texts are judged once, so copies multiply nothing."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     windows = checkpoint(_windows(items, ["item_id"], None, None))
-    n = windows.select("item_id", "pos", "hash", F.col("values").alias("item_values"), F.col("windows").alias("of"), F.col("pos").alias("item_pos")).drop("pos")
+    n = windows.select("item_id", "pos", "hash", F.col("values").alias("item_values"), F.col("leading").alias("item_leading"), F.col("windows").alias("of"), F.col("pos").alias("item_pos")).drop("pos")
     short = [r[0] for r in benchmark_sizes(items).collect()]  # WINDOW rows at most
     key = ["text_hash", "text_crc"]
     keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias(key[0]), F.crc32("text").alias(key[1]))
     hits = _windows(keyed, key, sorted({WINDOW, *short}), _filter_bits(windows)).drop("windows").distinct()
     met = hits.join(n, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    window = F.struct("item_pos", "item_values", "values")
+    window = F.struct("item_pos", "item_values", "values", "item_leading", "leading")
     lines = _sound(met.groupBy(*key, "item_id", "shift").agg(F.first("of").alias("of"), F.collect_set(window).alias("found")).drop("shift"))
     held = lines.groupBy(*key, "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("of")).alias("coverage"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"), F.col("changed")))
@@ -213,7 +254,7 @@ def benchmark_sizes(items: DataFrame) -> DataFrame:
     """Window sizes of the items that are shorter than WINDOW."""
 
     def make():
-        return lambda texts: (None, {"size": templates(texts)[3].tolist()})
+        return lambda texts: (None, {"size": templates(texts)[-1].tolist()})
 
     return map_texts(items, [], make, "size int").where(f"size < {WINDOW} and size >= {SHORTEST}").distinct()
 

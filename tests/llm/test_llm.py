@@ -289,6 +289,21 @@ def test_one_conflict_leaves_verbatim_evidence(spark):
     assert got[1]["coverage"] == got[2]["coverage"] == 1.0 and 0.8 < got[3]["coverage"] < 1
 
 
+def test_names_that_begin_sentences(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    item = "Tom has 5 apples. Sue has 7 pears. Bob eats 2 of them. How many are left?"
+    other = "Ann has 6 apples. Joe has 8 pears. Max eats 4 of them. How many are left?"
+    inside = "They say Ann has 6 apples, while Joe has 8 pears. Max eats 4 of them. How many are left?"
+    crossed = "Once the cold rain stopped falling Tom went home. The old dog slept there all day."
+    clean = "Ann has 6 apples. Nobody has any pears here. Max likes most of them. How are you?"
+    bench = spark.createDataFrame([(1, item), (2, "It rained. " + crossed.replace("rain", "hail"))], "item_id long, text string")
+    docs = docs_of(spark, [(1, other), (2, inside), (3, clean), (4, crossed.replace("rain", "hail").replace("Tom", "Max").replace("home. The", "home, the"))])
+    got = {r["doc_id"]: r for r in contaminated(docs, bench).collect()}
+    assert {*got} == {1, 2, 4} and got[1]["coverage"] == 1.0
+    assert all(r["reparameterised"] for r in got.values())
+
+
 def test_planted_items_are_found(spark, data, docs):
     items = duckdb.connect().execute(f"select item_id, text from read_parquet('{data}/benchmark.parquet')").fetchall()
     norm = lambda t: " ".join((t or "").split())
