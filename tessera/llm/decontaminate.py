@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, join_small, map_texts, worker_cache
 
-#: Template tokens of a window, and of the shortest item that can be told.
+#: Template tokens of a window, and of the shortest item that has a template; shorter ones are looked for word by word.
 WINDOW, SHORTEST = 8, 4
 #: Share of an item's windows that a contaminated document holds; or so many of them in one place (13 words in a row).
 COVERAGE, RUN = 0.5, 6
@@ -31,7 +31,11 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 UNITS = "mm cm m km mg g kg t ml l s sec seconds second min minutes minute h hours hour days day weeks week months month years year inch inches feet foot miles mile lb pounds pound ounces dollars dollar euros euro cents cent percent degrees degree meters meter kilometers kilometer grams gram kilograms kilogram liters liter".split()
 
 _tokens = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?:\n]").findall
-_NUMBER, _UNIT, _CAPITAL, _STOP = 1, 2, 4, 8
+_NUMBER, _UNIT, _CAPITAL, _STOP, _RUN = 1, 2, 4, 8, 16
+#: Scripts without spaces between words; each of their letters is a token.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_unspaced = re.compile(f"[{_UNSPACED}]").search
+_pieces = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+").findall
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], np.uint64)
 
 
@@ -45,7 +49,7 @@ def _kind(token: str) -> int:
     if token in ".!?:\n":
         return _STOP
     low = token.lower()
-    return (_NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0) | (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0)
+    return (_NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0) | (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0) | (_RUN if len(token) > 1 and _unspaced(token) else 0)
 
 
 _PLACE = {f: np.uint64(_hash(name)) for f, name in ((_NUMBER, "<number>"), (_UNIT, "<unit>"), (_CAPITAL, "<name>"))}
@@ -70,14 +74,18 @@ class Vocabulary:
         return self.hashes[ids], self.kinds[ids]
 
 
-def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, their hashes with placeholders put in, which are placeholders, which may be, and the words of each text.
+def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, their hashes, these with placeholders put in, which are placeholders, which may be, and the words of each text.
 
     A number is digits or a number word; a unit follows a number; a name is capitalised. A capitalised word that is
     first in its sentence may be a name or not: it has both readings."""
     split = [_tokens(t or "") for t in texts]
     tokens = list(chain.from_iterable(split))
     hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
+    if (kinds & _RUN).any():
+        split = [[p for t in part for p in (_pieces(t) if len(t) > 1 and _unspaced(t) else (t,))] for part in split]
+        tokens = list(chain.from_iterable(split))
+        hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
     text_of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
     words = np.flatnonzero(kinds != _STOP)
     first = np.ones(len(kinds), bool)
@@ -89,9 +97,10 @@ def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarra
     unit = ((kinds & _UNIT) > 0) & after & ~number
     capital = ((kinds & _CAPITAL) > 0) & ~number & ~unit
     name = capital & ~first
+    exact = hashes.copy()
     for mark, flag in ((number, _NUMBER), (unit, _UNIT), (name, _CAPITAL)):
         hashes[mark] = _PLACE[flag]
-    return [tokens[i] for i in words.tolist()], hashes, number | unit | name, capital & first, np.bincount(text_of, minlength=len(split))
+    return [tokens[i] for i in words.tolist()], exact, hashes, number | unit | name, capital & first, np.bincount(text_of, minlength=len(split))
 
 
 def _mixed(total: np.ndarray) -> np.ndarray:
@@ -138,43 +147,59 @@ def window_readings(hashes: np.ndarray, slots: np.ndarray, maybe: np.ndarray, go
 
 
 def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.ndarray | None) -> DataFrame:
-    """Windows (pos, hash, values, leading: which values begin a sentence, windows: how many the text has), a row for
-    each reading; ``bits`` lets through only what it has.
+    """Windows (pos, hash, values, leading: which values begin a sentence, template: has a reading as a template,
+    windows and templates: how many the text has of both), a row for each reading; ``bits`` lets through only what it has.
 
-    Without ``sizes`` the text's own size is taken: WINDOW, or all of a shorter text that has SHORTEST words."""
+    Windows with more placeholders than words, or with fewer than SHORTEST words, are read as their very words.
+    Without ``sizes`` (benchmark items) the text's own size is taken: WINDOW, or all of a shorter text. With them every
+    window is also read as its very words."""
 
     def make():
         known = None if bits is None else np.unpackbits(bits).view(bool)
 
         def call(texts):
-            rows, out = [], {k: [] for k in ("pos", "hash", "values", "leading", "windows")}
-            words, hashes, slots, maybe, counts = templates(texts)
+            rows, out = [], {k: [] for k in ("pos", "hash", "values", "leading", "template", "windows", "templates")}
+            words, exact, hashes, slots, maybe, counts = templates(texts)
             text_of = np.repeat(np.arange(len(counts)), counts)
             starts = np.cumsum(counts) - counts
-            for size in sizes or range(SHORTEST, WINDOW + 1):
+            for size in sizes or range(1, WINDOW + 1):
                 of = text_of[: max(0, len(words) - size + 1)]
                 good = text_of[size - 1 :] == of
                 if sizes is None:
                     good &= np.minimum(counts, WINDOW)[of] == size
-                many = np.bincount(of[good & (2 * _held(slots, size)[1] <= size)], minlength=len(counts))
-                for at, h, names in window_readings(hashes, slots, maybe, good, size):
+                filled = _held(slots, size)[1]
+                template = good & (2 * filled <= size) & (size >= SHORTEST)
+                many, some = np.bincount(of[good], minlength=len(counts)), np.bincount(of[template], minlength=len(counts))
+                verbatim = np.flatnonzero(good & ~template if sizes is None else good & ((filled > 0) | ~template))
+                plain = (verbatim, _mixed(_sums(exact, size)[verbatim]), None)
+                seen = set()
+                for at, h, names in chain([plain], window_readings(hashes, slots, maybe, template, size)):
                     if known is not None:
                         passed = np.flatnonzero(known[h & np.uint64(len(known) - 1)])
                         passed = passed[known[(h[passed] >> np.uint64(32)) & np.uint64(len(known) - 1)]]
-                        at, h, names = at[passed], h[passed], names[passed]
-                    for p, i, x, led in zip(at.tolist(), of[at].tolist(), h.view(np.int64).tolist(), names.tolist()):
-                        filled = sorted([*(p + np.flatnonzero(slots[p : p + size])).tolist(), *led])
+                        at, h, names = at[passed], h[passed], names if names is None else names[passed]
+                    for p, i, x, led in zip(at.tolist(), of[at].tolist(), h.view(np.int64).tolist(), repeat(None) if names is None else names.tolist()):
+                        if led is None:
+                            if known is not None and size < WINDOW:  # an item of this size has one window: any place will do
+                                if (i, x) in seen:
+                                    continue
+                                seen.add((i, x))
+                            marked, led = [], []
+                        else:
+                            marked = sorted([*(p + np.flatnonzero(slots[p : p + size])).tolist(), *led])
                         rows.append(i)
                         out["pos"].append(p - int(starts[i]))
                         out["hash"].append(x)
-                        out["values"].append([words[k].lower() for k in filled])
-                        out["leading"].append([k in led for k in filled])
+                        out["values"].append([words[k].lower() for k in marked])
+                        out["leading"].append([k in led for k in marked])
+                        out["template"].append(bool(template[p]))
                         out["windows"].append(int(many[i]))
+                        out["templates"].append(int(some[i]))
             return rows, out
 
         return call
 
-    return map_texts(df, keep, make, "pos long, hash long, values array<string>, leading array<boolean>, windows long", group=1_000_000, cache="vocabulary")
+    return map_texts(df, keep, make, "pos long, hash long, values array<string>, leading array<boolean>, template boolean, windows long, templates long", group=1_000_000, cache="vocabulary")
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:
@@ -209,11 +234,11 @@ def sound_places(found: list[dict]) -> tuple[list[int], bool]:
 
 
 def _sound(lines: DataFrame) -> DataFrame:
-    """``lines`` with places and changed, as ``sound_places`` has them, instead of the windows found."""
+    """``lines`` with places and changed, as ``sound_places`` has them, and those of templates, instead of the windows found."""
     from pyspark.sql.types import StructType
 
     kept = [c for c in lines.columns if c != "found"]
-    schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, changed boolean").fields))
+    schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, templates array<long>, changed boolean").fields))
 
     def run(batches):
         import pyarrow as pa
@@ -222,7 +247,9 @@ def _sound(lines: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                row["places"], row["changed"] = sound_places(row.pop("found"))
+                found = row.pop("found")
+                row["places"], row["changed"] = sound_places(found)
+                row["templates"] = sorted({w["item_pos"] for w in found if w["template"]}.intersection(row["places"]))
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
@@ -231,20 +258,23 @@ def _sound(lines: DataFrame) -> DataFrame:
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Texts of ``docs`` that hold an item of ``benchmark`` or a passage of one: text_hash, text_crc, item_id (the best, then the smallest),
-    n_items, coverage (share of that item's windows), reparameterised (other values in its placeholders).
+    n_items, coverage (share of that item's windows, or of its template windows if that is more), reparameterised (other values in its placeholders).
 
     Equal texts are judged once, so copies multiply nothing."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     windows = checkpoint(_windows(items, ["item_id"], None, None))
-    n = windows.select("item_id", "pos", "hash", F.col("values").alias("item_values"), F.col("leading").alias("item_leading"), F.col("windows").alias("of"), F.col("pos").alias("item_pos")).drop("pos")
+    n = windows.select("item_id", "pos", "hash", F.col("values").alias("item_values"), F.col("leading").alias("item_leading"), "template", F.struct("windows", "templates").alias("of"), F.col("pos").alias("item_pos")).drop("pos")
     short = [r[0] for r in benchmark_sizes(items).collect()]  # WINDOW rows at most
     key = ["text_hash", "text_crc"]
     keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias(key[0]), F.crc32("text").alias(key[1]))
-    hits = _windows(keyed, key, sorted({WINDOW, *short}), _filter_bits(windows)).drop("windows").distinct()
+    hits = _windows(keyed, key, sorted({WINDOW, *short}), _filter_bits(windows)).drop("template", "windows", "templates").distinct()
     met = hits.join(n, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    window = F.struct("item_pos", "item_values", "values", "item_leading", "leading")
+    window = F.struct("item_pos", "template", "item_values", "values", "item_leading", "leading")
     lines = _sound(met.groupBy(*key, "item_id", "shift").agg(F.first("of").alias("of"), F.collect_set(window).alias("found")).drop("shift"))
-    held = lines.groupBy(*key, "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("of")).alias("coverage"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
+    count = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places))))
+    held = lines.groupBy(*key, "item_id").agg(count("places").alias("n"), count("templates").alias("n_templates"), F.first("of").alias("of"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
+    share = F.greatest(F.col("n") / F.col("of.windows"), F.when(F.col("of.templates") > 0, F.col("n_templates") / F.col("of.templates")))
+    held = held.withColumn("coverage", share)
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"), F.col("changed")))
     found = held.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN)).groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))
     return found.select(*key, (-F.col("b.minus")).alias("item_id"), "n_items", F.col("b.coverage").alias("coverage"), F.col("b.changed").alias("reparameterised"))
@@ -256,14 +286,14 @@ def benchmark_sizes(items: DataFrame) -> DataFrame:
     def make():
         return lambda texts: (None, {"size": templates(texts)[-1].tolist()})
 
-    return map_texts(items, [], make, "size int").where(f"size < {WINDOW} and size >= {SHORTEST}").distinct()
+    return map_texts(items, [], make, "size int").where(f"size < {WINDOW} and size > 0").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each row of ``docs`` whose text holds a benchmark item: doc_id and the columns of ``contaminated_texts``.
 
     Null, empty and clean texts have no row, nor has any text where the benchmark is empty; benchmark items
-    with fewer than SHORTEST tokens are not looked for. Repeated rows each have one; a null doc_id stays null."""
+    with fewer than SHORTEST tokens are found by their very words, those without a letter or digit not at all. Repeated rows each have one; a null doc_id stays null."""
     found = checkpoint(contaminated_texts(docs, benchmark, coverage))
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.crc32("text").alias("text_crc"))
     return join_small(keyed, found, ["text_hash", "text_crc"]).drop("text_hash", "text_crc")

@@ -304,6 +304,17 @@ def test_names_that_begin_sentences(spark):
     assert all(r["reparameterised"] for r in got.values())
 
 
+def test_items_of_numbers_titles_and_few_words(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    items = ["Compute 3 + 4 * 12 - 7", "the Lord Of The Rings And The Return Of The King", "Tables: 12 15 18 21 24 27 30 33 36 39 42 45", "Photosynthesis rate?", "水的沸点", "中国的首都是哪里？请回答"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"Some words of ours, then {t} And other ones after it.") for i, t in enumerate(items[:4])]
+    docs += [(4, "我们知道水的沸点是一百度"), (5, "有人问中国的首都是哪里？请回答我"), (6, "Compute 5 + 6 * 13 - 8 and tables: 1 2 3 4 5 6 7 8 9. The rate of it."), (7, "水很好的沸腾点")]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs_of(spark, docs), bench).collect()}
+    assert got == {(i, i) for i in range(6)}
+
+
 def test_planted_items_are_found(spark, data, docs):
     items = duckdb.connect().execute(f"select item_id, text from read_parquet('{data}/benchmark.parquet')").fetchall()
     norm = lambda t: " ".join((t or "").split())
