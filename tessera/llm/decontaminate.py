@@ -224,12 +224,14 @@ def sound_places(found: list[dict]) -> tuple[list[int], bool]:
     places = {w["item_pos"] for w in found if w["item_values"] == w["values"]}
     pairs = [[*zip(w["item_values"], w["values"], (x or y for x, y in zip(w["item_leading"], w["leading"])))] for w in changed]
     stands: dict[str, str] = {}
-    if any(stands.setdefault(a, b) != b for p in pairs for a, b, led in p if not led):
+    if any(stands.setdefault(a, b) != b for p in pairs if not any(led for *_, led in p) for a, b, _ in p):
         return sorted(places), False
-    votes = Counter(pair for p in pairs for pair in {(a, b) for a, b, led in p if led})
-    for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-        stands.setdefault(a, b)
-    fit = {w["item_pos"] for w, p in zip(changed, pairs) if all(stands[a] == b for a, b, _ in p)}
+    fit = {w["item_pos"] for w, p in zip(changed, pairs) if not any(led for *_, led in p)}
+    if all(stands.setdefault(a, b) == b for p in pairs for a, b, led in p if not led):
+        votes = Counter(pair for p in pairs for pair in {(a, b) for a, b, led in p if led})
+        for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            stands.setdefault(a, b)
+        fit |= {w["item_pos"] for w, p in zip(changed, pairs) if all(stands[a] == b for a, b, _ in p)}
     return sorted(places | fit), bool(fit)
 
 
