@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts, with_text_column
@@ -133,7 +133,7 @@ def normal_bytes(text: str) -> np.ndarray:
 
 
 def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, window) for a bounded sample of the labelled rows: about ``rows`` of each language, the same on each run.
+    """(lang, window) for a bounded sample of the labelled rows: ``rows`` of each language, or all that it has, the same on each run.
 
     Rows stand in the order of a hash; from each come windows at places spread over its whole text."""
     known = docs.where("lang is not null and text is not null and length(text) > 0")
@@ -156,7 +156,8 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         return call
 
     windows = map_texts(near, ["lang", "_part"], make, "window binary")
-    return windows.orderBy("_part", "window").limit(rows * max(1, len(counts)) * SAMPLE_WINDOWS).select("lang", "window")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_part", "window"))  # some 2 * rows * SAMPLE_WINDOWS narrow rows a language
+    return windows.withColumn("_nth", nth).where(F.col("_nth") <= rows * SAMPLE_WINDOWS).select("lang", "window").orderBy("lang", "window")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:

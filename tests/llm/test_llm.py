@@ -399,6 +399,15 @@ def test_language_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
 
 
+def test_rare_languages_are_sampled(spark):
+    from tessera.llm.langid import SAMPLE_WINDOWS, sample_windows
+
+    rows = [(i, f"text {i} of words", "xx" if i % 4000 == 0 else "fr" if i % 10 == 0 else "en", "s", 9) for i in range(1, 10_001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["lang"]: r["count"] for r in sample_windows(df).groupBy("lang").count().collect()}
+    assert got == {"en": 400 * SAMPLE_WINDOWS, "fr": 400 * SAMPLE_WINDOWS, "xx": 2 * SAMPLE_WINDOWS}
+
+
 def test_network_gradients():
     from tessera.llm.langid import Network
 
