@@ -18,8 +18,8 @@ from tessera.llm.common import map_texts
 
 #: Labelled rows, about, that the classifier is fitted on, and words it may use.
 SAMPLE_ROWS, LEXICON = 8000, 400
-#: A run of more characters than this is no disguised word.
-LONGEST = 64
+#: Readings of runs up to this many characters are remembered; after so many steps a decoder drops what is settled.
+REMEMBERED, SETTLE = 64, 512
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
@@ -96,25 +96,49 @@ class Channel:
         if text in self.seen:
             return self.seen[text]
         logp = self.logp
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        said, steps = [], []
         for options in self.lattice(text):
-            now: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p, q), (score, said) in best.items():
+            now: dict[tuple[int, int], float] = {}
+            back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for (p, q), score in best.items():
                 row = logp[p][q]
                 for x, cost in options:
                     if x:
                         k = ord(x) - 96 if x != " " else 0
-                        to, s, w = (q, k), score + cost + row[k], said + x
+                        to, s = (q, k), score + cost + row[k]
                     else:
-                        to, s, w = (p, q), score + cost, said
-                    if to not in now or s > now[to][0]:
-                        now[to] = (s, w)
+                        to, s = (p, q), score + cost
+                    if to not in now or s > now[to]:
+                        now[to], back[to] = s, ((p, q), x)
             best = now
-        said = max((s + logp[p][q][0], w) for (p, q), (s, w) in best.items())[1]
-        if len(self.seen) > 100_000:
-            self.seen.clear()
-        self.seen[text] = said
-        return said
+            steps.append(back)
+            if len(steps) % SETTLE == 0:
+                said.append(self.settled(best, steps))
+        end = max((s + logp[p][q][0], (p, q)) for (p, q), s in best.items())[1]
+        said.append(self.settled([end], steps))
+        out = "".join(said)
+        if len(text) <= REMEMBERED:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[text] = out
+        return out
+
+    @staticmethod
+    def settled(ends, steps: list[dict]) -> str:
+        """What all paths to ``ends`` have in common at their beginning; ``steps`` keeps the rest."""
+        at, n = set(ends), len(steps)
+        while n and len(at) > 1:
+            n -= 1
+            at = {steps[n][e][0] for e in at}
+        if len(at) > 1:
+            return ""
+        here, out = at.pop(), []
+        for back in reversed(steps[:n]):
+            here, x = back[here]
+            out.append(x)
+        del steps[:n]
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> str:
         """The lower-cased text with its disguised segments read plainly."""
@@ -122,13 +146,12 @@ class Channel:
         spans = []
         for m in _mixed(text):
             core = m[0].rstrip("$!|+@")
-            if len(m[0]) <= LONGEST and not core.isalpha() and re.search("[a-z].*[a-z]", core):
+            if not core.isalpha() and re.search("[a-z].*[a-z]", core):
                 spans.append((m.start(), m.start() + len(core)))
         for m in _apart(text):
-            if m.end() - m.start() <= 3 * LONGEST:
-                spans.append(m.span())
+            spans.append(m.span())
         if _drawn_out(text):
-            spans += [m.span() for m in _long_words(text) if len(m[0]) <= LONGEST and _drawn_out(m[0])]
+            spans += [m.span() for m in _long_words(text) if _drawn_out(m[0])]
         if not spans:
             return text
         out, at = [], 0

@@ -378,6 +378,17 @@ def test_channel_restores_disguises(spark):
         assert channel.restore(said) == meant
 
 
+def test_channel_restores_long_disguises(spark):
+    from tessera.llm.toxicity import Channel, trigram_counts
+
+    said = "the idiot and the loser were stupid and the clown was a moron, other people say worthless things to them "
+    channel = Channel.of(trigram_counts(docs_of(spark, [(1, said * 20)])))
+    words = ["idiot", "loser", "clown", "moron", "stupid", "people"] * 200
+    assert channel.restore("  ".join(" ".join(w) for w in words)).split() == words
+    assert channel.restore("an idi" + "o" * 500 + "t") == "an idiot"
+    assert channel.restore("1d10t" * 30) == "idiot" * 30
+
+
 def test_toxicity_of_odd_rows(spark):
     from tessera.llm.toxicity import fit, score
 
