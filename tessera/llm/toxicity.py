@@ -140,14 +140,31 @@ class Channel:
         del steps[:n]
         return "".join(reversed(out))
 
+    def likely(self, word: str) -> bool:
+        """Whether a word is likelier, letter by letter, than one of letters drawn at random."""
+        at = [0, 0, *(ord(x) - 96 for x in word), 0]
+        return sum(self.logp[p][q][k] for p, q, k in zip(at, at[1:], at[2:])) > (len(word) + 1) * np.log(1 / 27)
+
+    def readings(self, text: str, core: str | None) -> str:
+        """How a disguised segment reads; both ways if its last signs (behind ``core``) may be letters or not."""
+        said = self.decode(text)
+        if len(re.findall("[a-z]", text)) < 2 and not (said.isalpha() and self.likely(said)):
+            said = text
+        if core is None:
+            return said
+        short = self.decode(core) if not core.isalpha() and re.search("[a-z].*[a-z]", core) else core
+        return said if short in ("", said) else f"{said} {short}"
+
     def restore(self, text: str) -> str:
         """The lower-cased text with its disguised segments read plainly."""
         text = text.lower()
-        spans = []
+        spans, ends = [], {}
         for m in _mixed(text):
-            core = m[0].rstrip("$!|+@")
-            if not core.isalpha() and re.search("[a-z].*[a-z]", core):
-                spans.append((m.start(), m.start() + len(core)))
+            core, whole = m[0].rstrip("$!|+@"), m[0].rstrip("!|")
+            if not whole.isalpha() and re.search("[a-z]", whole):
+                spans.append((m.start(), m.start() + len(whole)))
+                if whole != core:
+                    ends[spans[-1]] = core
         for m in _apart(text):
             spans.append(m.span())
         if _drawn_out(text):
@@ -157,7 +174,7 @@ class Channel:
         out, at = [], 0
         for a, b in sorted(spans):
             if a >= at:
-                out += [text[at:a], self.decode(text[a:b])]
+                out += [text[at:a], self.readings(text[a:b], ends.get((a, b)))]
                 at = b
         return "".join([*out, text[at:]])
 

@@ -389,6 +389,14 @@ def test_channel_restores_long_disguises(spark):
     assert channel.restore("1d10t" * 30) == "idiot" * 30
 
 
+def test_channel_restores_signs_at_the_end(spark):
+    from tessera.llm.toxicity import Channel, trigram_counts
+
+    channel = Channel.of(trigram_counts(docs_of(spark, [(1, "the dumbass and the jackass said shit, an ass was there and an idiot with the others " * 20)])))
+    for said, meant in (("dumba$$", "dumbass"), ("jacka$$!", "jackass"), ("shi+", "shit"), ("a55", "ass"), ("5h17", "shit"), ("1d10t$", "idiot"), ("idiot+", "idiot")):
+        assert meant in channel.restore(said).rstrip("!").split()
+
+
 def test_toxicity_of_odd_rows(spark):
     from tessera.llm.toxicity import fit, score
 
