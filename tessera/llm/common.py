@@ -26,13 +26,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints.
 
-    A folder of our own is set only where the session names none (tests, notebooks)."""
+    A folder of our own is set only where the session names none and the master is local (tests, notebooks): on
+    a cluster a machine's own folder would be no use to the executors, so that raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours through Spark's file system, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hash_below(hashed: Column, share: float | Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` (0 to 1) of all: a sample as fine as one in 2 ** 53."""
+    return hashed.cast("double") < (F.lit(share) if isinstance(share, float) else share) * 2.0**64 - 2.0**63
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: the lineage is cut, and a lost executor loses nothing."""
     scratch(df.sparkSession)
@@ -103,7 +129,8 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     from pyspark.sql.types import StructType
 
     limit_batches(df.sparkSession)
-    source = df.select(*keep, F.col(text).alias("_text"))
+    (held,) = free_names(df, "_text")
+    source = df.select(*keep, F.col(text).alias(held))
     schema = StructType([source.schema[c] for c in keep] + list(StructType.fromDDL(made).fields))
     names = [f.name for f in schema.fields[len(keep) :]]
 
@@ -135,7 +162,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
 def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list[str | None]], list]], kind: str, group: int = GROUP_CHARS) -> DataFrame:
     """``df`` with a column made from the column ``text``: only that goes to Python, other columns stay in the JVM.
 
-    ``make()`` runs once in each task and returns the function, which gets a bounded group of texts."""
+    ``name`` must be free in ``df``. ``make()`` runs once in each task and returns the function, which gets a bounded group of texts."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DataType
 
@@ -159,9 +186,14 @@ def with_text_column(df: DataFrame, name: str, make: Callable[[], Callable[[list
     return df.withColumn(name, run(F.col("text")))
 
 
+def small_or_not(table: DataFrame) -> DataFrame:
+    """A table of a few narrow columns, marked for broadcast if it is counted to have at most SMALL_ROWS."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a table of a few narrow columns: by broadcast if it is counted to have at most SMALL_ROWS, else by shuffle."""
-    return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, keys, how)
+    return big.join(small_or_not(small), keys, how)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_small, map_texts, worker_cache
+from tessera.llm.common import checkpoint, free_names, join_small, map_texts, worker_cache
 
 #: Template tokens of a window, and of the shortest item that has a template; shorter ones are looked for word by word.
 WINDOW, SHORTEST = 8, 4
@@ -302,7 +302,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` whose texts hold no benchmark item, with all columns; null texts stay."""
-    found = checkpoint(contaminated_texts(docs, benchmark, coverage)).select(F.col("text_hash").alias("_hash"), F.col("text_crc").alias("_crc"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_crc", F.crc32("text"))
-    return join_small(keyed, found, ["_hash", "_crc"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose texts hold no benchmark item, with all columns, whatever their names.
+
+    Null and empty texts stay, as all rows do where the benchmark is empty; repeated rows stay or go together."""
+    key = free_names(docs, "hash_key", "crc_key")
+    found = checkpoint(contaminated_texts(docs, benchmark, coverage)).select(F.col("text_hash").alias(key[0]), F.col("text_crc").alias(key[1]))
+    keyed = docs.withColumn(key[0], F.xxhash64("text")).withColumn(key[1], F.crc32("text"))
+    return join_small(keyed, found, key, "left_anti").select(*docs.columns)

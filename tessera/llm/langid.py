@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, with_text_column
+from tessera.llm.common import free_names, hash_below, map_texts, with_text_column
 
 #: Labelled rows of each language that the network is fitted on, about; windows of a row; bytes of a window.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 400, 4, 64
@@ -138,9 +138,9 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     Rows stand in the order of a hash; from each come windows at places spread over its whole text."""
     known = docs.where("lang is not null and text is not null and length(text) > 0")
     counts = known.groupBy("lang").count().collect()  # a row for each language
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.length("text")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 2e6 * rows / r["count"])]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    near = known.where(part < share[F.col("lang")]).withColumn("_part", part)
+    part = F.xxhash64(F.lit("sample"), "doc_id", F.length("text"))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 2.0 * rows / r["count"])]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    near = known.where(hash_below(part, share[F.col("lang")])).select("lang", "text", part.alias("_part"))
 
     def make():
         def call(texts):
@@ -213,7 +213,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, train_on: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` in a language that the network knows: not ``und``, pooled probability ``least`` or more."""
+    """The rows of ``docs`` in a language that the network knows: not ``und``, pooled probability ``least`` or more.
+
+    Null and empty texts, and those without a letter, go, and all rows if nothing could be learned; repeated rows
+    are judged each; all columns are kept, whatever their names."""
     net = fit(train_on)
+    (known,) = free_names(docs, "known")
     call = lambda texts: [lang != UNKNOWN and score >= least for lang, score in zip(*label_texts(net, texts))]
-    return with_text_column(docs, "_known", lambda: call, "boolean").where("_known").select(*docs.columns)
+    return with_text_column(docs, known, lambda: call, "boolean").where(F.col(known)).select(*docs.columns)

@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, map_texts, with_text_column
+from tessera.llm.common import checkpoint, free_names, map_texts, small_or_not
 from tessera.llm.components import components
 
 #: Fingerprints of a node that one task holds at a time; larger nodes are cut into runs of this length.
@@ -274,15 +274,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Repeated rows count once. Where no row of a component has a doc_id, one of its rows stays. All columns are kept."""
-    columns = docs.columns
-    marked = with_text_column(docs, "_print", lambda: lambda texts: [fingerprint(t, width, seed) for t in texts], "bigint")
-    prints = checkpoint(fingerprints(docs, width, seed))
-    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fingerprint")))
-    stays = _classes(prints, radius).groupBy("root").agg(best.alias("s")).select(F.col("s.least").alias("_least"), F.col("s.fingerprint").alias("_print"))
-    kept = marked.join(stays, "_print").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    first = Window.partitionBy("_print", "_least").orderBy(F.xxhash64(*columns))
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*columns)
+    Rows that are repeated with all their columns count once. Where no row of a component has a doc_id, one of its
+    rows stays. All columns are kept, whatever their names. Texts are fingerprinted once; what is joined with them
+    are the keys (doc_id, hash of the row) of the rows that go, so texts are not shuffled while these are few."""
+    key = free_names(docs, "doc_key", "row_key")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
+    keyed = docs.withColumn(key[0], F.col("doc_id")).withColumn(key[1], F.xxhash64(*plain))
+    prints = map_texts(keyed, key, lambda: lambda texts: (None, {"fingerprint": [fingerprint(t, width, seed) for t in texts]}), "fingerprint long")
+    prints = checkpoint(prints.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "fingerprint"))
+    roots = _classes(prints, radius).select("fingerprint", "root")
+    rows = checkpoint(prints.join(roots, "fingerprint").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    marked = rows.join(best, "root").withColumn("stays", rank == F.col("best"))
+    named = [F.col("doc_id").alias(key[0]), F.col("row").alias(key[1])]
+    goes = checkpoint(marked.where("not stays or n > 1").select(*named, "stays"))
+    same = [keyed[key[0]].eqNullSafe(goes[key[0]]), keyed[key[1]] == goes[key[1]]]
+    kept = keyed.join(small_or_not(goes), same, "left_anti")
+    again = goes.where("stays")  # repeated rows of which one stays
+    if not again.isEmpty():
+        one = keyed.join(small_or_not(again), [keyed[key[0]].eqNullSafe(again[key[0]]), keyed[key[1]] == again[key[1]]], "left_semi")
+        kept = kept.unionByName(one.dropDuplicates(key))
+    return kept.select(*docs.columns)
 
 
 def hex_fingerprint(column: str = "fingerprint"):

@@ -14,12 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import hash_below, limit_batches, map_texts
 
 #: Labelled rows, about, that the classifier is fitted on, and words it may use.
 SAMPLE_ROWS, LEXICON = 8000, 400
 #: Readings of runs up to this many characters are remembered; after so many steps a decoder drops what is settled.
 REMEMBERED, SETTLE = 64, 512
+#: Bytes of a text that are counted at a time.
+PIECE = 1 << 18
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
@@ -36,16 +38,21 @@ _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts (27, 27, 27) of letter trigrams over the whole texts of all rows; 0 is whatever is no letter."""
+    """Counts (27, 27, 27) of letter trigrams over the whole texts of all rows; 0 is whatever is no letter.
+
+    A text is counted in pieces of PIECE characters, so a very long one takes no more memory than its bytes."""
+    limit_batches(docs.sparkSession)
 
     def count(batches):
         import pyarrow as pa
 
         total = np.zeros(27**3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = _SYMBOL[np.frombuffer(f"  {text.lower()}  ".encode("utf-8", "surrogatepass"), np.uint8)]
-                total += np.bincount(s[:-2] * 729 + s[1:-1] * 27 + s[2:], minlength=27**3)
+            for text in batch.column(0):
+                symbols = np.frombuffer(f"  {text.as_py().lower()}  ".encode("utf-8", "surrogatepass"), np.uint8)
+                for i in range(0, len(symbols) - 2, PIECE):
+                    s = _SYMBOL[symbols[i : i + PIECE + 2]]
+                    total += np.bincount(s[:-2] * 729 + s[1:-1] * 27 + s[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -218,9 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lexicon: in
     channel = Channel.of(trigram_counts(docs))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    some = known.where(part < 1e6 * rows / max(1, n))
-    joined = docs.select("doc_id", "text").where("text is not null").where(part < 1e6 * rows / max(1, n)).join(some, "doc_id")
+    sampled = hash_below(F.xxhash64(F.lit("sample"), "doc_id"), rows / max(1, n))
+    joined = docs.select("doc_id", "text").where("text is not null").where(sampled).join(known.where(sampled), "doc_id")
 
     def make():
         return lambda texts: (None, {"words": [sorted(set(_words(channel.restore(t)))) for t in texts]})

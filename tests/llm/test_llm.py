@@ -246,6 +246,45 @@ def test_secret_chains_tell_random_from_ordinary():
     assert redact_text("a token=abcdef b", [(2, 14, "assign"), (8, 14, "hex")]) == "a [SECRET] b"
 
 
+def test_secret_models_on_planted_tokens(spark):
+    """Recall and false positives on real texts, with tokens of other generators than the one that the models train on."""
+    import random
+    import string
+    import uuid
+
+    from tessera.llm.secrets import base_spans, fit
+
+    rows = duckdb.connect().execute("select doc_id, text from read_parquet('/root/testdata/sf0.01/documents.parquet') where text <> '' order by doc_id").fetchall()
+    scanner = fit(docs_of(spark, rows[:500]))
+    rng = random.Random(5)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    base58 = "".join(c for c in string.ascii_letters + string.digits if c not in "0OIl")
+    made = [lambda: draw(base58, 32), lambda: "ghp_" + draw(string.ascii_letters + string.digits, 36), lambda: str(uuid.UUID(int=rng.getrandbits(128))), lambda: draw(string.ascii_letters, 24), lambda: draw(base58, 20)]
+    found = by_patterns = 0
+    for k in range(500):
+        words, token = rows[500 + k % 500][1].split(" "), made[k % len(made)]()
+        at = rng.randrange(len(words) + 1)
+        text = " ".join([*words[:at], token, *words[at:]])
+        a = len(" ".join(words[:at])) + (at > 0)
+        holds = lambda spans: any(s <= a and a + len(token) <= e for s, e, _ in spans)  # noqa: B023, E731
+        found += holds(scanner.scan([text])[0])
+        by_patterns += holds(base_spans(text))
+    assert found >= 0.95 * 500 and by_patterns == 0
+    wrong = [t[a:b] for _, t in rows[500:] for a, b, k in scanner.scan([t])[0] if k == "markov"]
+    assert len(wrong) <= 5
+    ordinary = "getElementsByClassName application/x-www-form-urlencoded src/main/java/com/example/UserRepositoryImpl test_that_the_index_is_rebuilt ==================== ------------------------- ABCDEFGHIJKLMNOPQRSTUVWXYZ responsabilidades-administrativas 1234567890123456789"
+    assert scanner.scan([ordinary]) == [[]]
+
+
+def test_secret_models_on_tiny_tables(spark):
+    from tessera.llm.secrets import Scanner, fit, scan
+
+    for rows in ([], [(1, None)], [(1, "hi")], [(1, "")], [(1, "token=" + "Zz9" * 200_000)]):
+        df = docs_of(spark, rows)
+        assert scan(df, fit(df)).count() == len(rows)
+    assert Scanner([], []).scan(["hi", ""]) == [[], []]
+
+
 def test_redact_odd_rows(spark):
     from tessera.llm.secrets import fit, redact
 
@@ -418,6 +457,25 @@ def test_language_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    from tessera.llm.decontaminate import without_contaminated
+    from tessera.llm.langid import fit, keep_identified
+    from tessera.llm.secrets import fit as fit_secrets
+    from tessera.llm.secrets import redact
+    from tessera.llm.simhash import keep_one
+
+    names = ["known", "clean", "print", "least", "nth", "hash", "crc", "text_hash", "text_crc", "row", "_print", "_least", "_nth", "_hash", "_crc", "_clean", "_known", "_text", "fingerprint", "root"]
+    rows = [(i, t, "en", "s", 9, *[f"{n}{i}" for n in names]) for i, t in enumerate(["we like to read books about the sea", "it is a good day to walk in the park", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "the very same words of an item stand here")], "item_id long, text string")
+    assert fit(df) is not None
+    for stage in (lambda d: keep_identified(d, d), keep_one, lambda d: without_contaminated(d, bench), lambda d: redact(d, fit_secrets(d))):
+        got = stage(df)
+        assert got.columns == df.columns
+        out = got.collect()
+        assert len(out) >= 2 and all(r[n] == f"{n}{r['doc_id']}" for r in out for n in names)
+
+
 def test_rare_languages_are_sampled(spark):
     from tessera.llm.langid import SAMPLE_WINDOWS, sample_windows
 
@@ -427,6 +485,18 @@ def test_rare_languages_are_sampled(spark):
     assert got == {"en": 400 * SAMPLE_WINDOWS, "fr": 400 * SAMPLE_WINDOWS, "xx": 2 * SAMPLE_WINDOWS}
 
 
+def test_rare_language_is_recognised(spark):
+    """A language with one row in eighty is recalled on rows that were not learned from."""
+    from tessera.llm.langid import fit, identify
+
+    rows = duckdb.connect().execute("select doc_id, text, lang from read_parquet('/root/testdata/sf0.1/documents.parquet') where text <> '' order by doc_id").fetchall()
+    common, rare = [r for r in rows if r[2] == "en"][:3200], [r for r in rows if r[2] == "es"][:120]
+    frame = lambda some: spark.createDataFrame([(i, t, x, "s", 9) for i, t, x in some], "doc_id long, text string, lang string, source string, n_chars long")
+    net = fit(frame([*common, *rare[:40]]))
+    got = [r["lang_pred"] for r in identify(frame(rare[40:]), net).collect()]
+    assert sum(x == "es" for x in got) >= 0.9 * len(got)
+
+
 def test_network_gradients():
     from tessera.llm.langid import Network
 
