@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, free_names, join_small, map_texts, worker_cache
@@ -214,11 +214,20 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def longest_run(places: list[int]) -> int:
+    """The most neighbours in a row among sorted places."""
+    best = run = 0
+    for p, before in zip(places, [None, *places]):
+        run = run + 1 if before is not None and p == before + 1 else 1
+        best = max(best, run)
+    return best
+
+
 def sound_places(found: list[dict]) -> tuple[list[int], bool]:
     """Places of the windows of a line that count, and whether one with other values is among them.
 
     Windows with the item's own values count whatever else the line holds. Those with other values count if
-    their values stand for the item's one way throughout. Words that begin a sentence need not be names: where
+    each of the item's values is replaced the same way throughout; two of them may become the same one, as numbers do. Words that begin a sentence need not be names: where
     such values differ, only the windows go that hold another than the most usual one."""
     changed = [w for w in found if w["item_values"] != w["values"]]
     places = {w["item_pos"] for w in found if w["item_values"] == w["values"]}
@@ -236,11 +245,11 @@ def sound_places(found: list[dict]) -> tuple[list[int], bool]:
 
 
 def _sound(lines: DataFrame) -> DataFrame:
-    """``lines`` with places and changed, as ``sound_places`` has them, and those of templates, instead of the windows found."""
+    """``lines`` with places and changed, as ``sound_places`` has them, those of templates, and the longest run of places, instead of the windows found."""
     from pyspark.sql.types import StructType
 
     kept = [c for c in lines.columns if c != "found"]
-    schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, templates array<long>, changed boolean").fields))
+    schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, templates array<long>, changed boolean, run int").fields))
 
     def run(batches):
         import pyarrow as pa
@@ -251,6 +260,7 @@ def _sound(lines: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 found = row.pop("found")
                 row["places"], row["changed"] = sound_places(found)
+                row["run"] = longest_run(row["places"])
                 row["templates"] = sorted({w["item_pos"] for w in found if w["template"]}.intersection(row["places"]))
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
@@ -258,28 +268,56 @@ def _sound(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
+def key_windows(windows: DataFrame, coverage: float) -> DataFrame:
+    """item_id and hash of windows of which a contaminated text holds at least one of each item that it holds.
+
+    Who holds ``coverage`` of n windows holds one of any n - ceil(coverage * n) + 1; taken are those that the fewest
+    items share, among all windows and among the template windows. Who holds RUN windows in a row holds the rarest
+    of these, so of each RUN neighbours the rarest is taken too. Windows that many items share are seldom among
+    them: texts that hold nothing but such are never paired with all these items."""
+    shared = windows.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
+    of = F.struct("windows", "templates")
+    places = windows.join(shared, "hash").groupBy("item_id", "pos", "template").agg(F.max("items").alias("items"), F.first(of).alias("of"))
+    item = Window.partitionBy("item_id")
+    nth = F.row_number().over(item.orderBy("items", "pos"))
+    nth_template = F.sum(F.col("template").cast("int")).over(item.orderBy("items", "pos"))
+    enough = lambda nth, n: nth <= n - F.ceil(n * coverage) + 1
+    rarest = F.min(F.struct("items", "pos")).over(item.orderBy("pos").rowsBetween(0, RUN - 1))
+    follow = F.count("*").over(item.orderBy("pos").rowsBetween(0, RUN - 1)) == RUN
+    chosen = places.select("item_id", "pos", enough(nth, F.col("of.windows")).alias("a"), (F.col("template") & enough(nth_template, F.col("of.templates"))).alias("b"), F.when(follow, rarest["pos"]).alias("c"))
+    keys = chosen.where("a or b").select("item_id", "pos").unionAll(chosen.where("c is not null").select("item_id", F.col("c").alias("pos"))).distinct()
+    return windows.join(keys, ["item_id", "pos"]).select("item_id", "hash").distinct()
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Texts of ``docs`` that hold an item of ``benchmark`` or a passage of one: text_hash, text_crc, item_id (the best, then the smallest),
     n_items, coverage (share of that item's windows, or of its template windows if that is more), reparameterised (other values in its placeholders).
 
-    Equal texts are judged once, so copies multiply nothing."""
+    Equal texts are judged once, so copies multiply nothing. A text meets the items that it shares a key window
+    with, and is then joined with all windows of these by text, not by hash: a window that many texts and many
+    items hold brings no pairs of its own."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    windows = checkpoint(_windows(items, ["item_id"], None, None))
-    n = windows.select("item_id", "pos", "hash", F.col("values").alias("item_values"), F.col("leading").alias("item_leading"), "template", F.struct("windows", "templates").alias("of"), F.col("pos").alias("item_pos")).drop("pos")
-    short = [r[0] for r in benchmark_sizes(items).collect()]  # WINDOW rows at most
+    # items are numbered, as their ids may be null
+    numbered = checkpoint(items.withColumn("item", F.monotonically_increasing_id()))
+    windows = checkpoint(_windows(numbered, ["item"], None, None)).withColumnRenamed("item", "item_id")
+    short = [r[0] for r in benchmark_sizes(numbered).collect()]  # WINDOW rows at most
     key = ["text_hash", "text_crc"]
     keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias(key[0]), F.crc32("text").alias(key[1]))
     hits = _windows(keyed, key, sorted({WINDOW, *short}), _filter_bits(windows)).drop("template", "windows", "templates").distinct()
-    met = hits.join(n, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    hits = checkpoint(hits)
+    pairs = checkpoint(join_small(hits.select(*key, "hash").distinct(), checkpoint(key_windows(windows, coverage)), ["hash"]).select(*key, "item_id").distinct())
+    n = windows.select("item_id", "hash", F.col("values").alias("item_values"), F.col("leading").alias("item_leading"), "template", F.struct("windows", "templates").alias("of"), F.col("pos").alias("item_pos"))
+    met = join_small(pairs, n, ["item_id"]).join(hits, [*key, "hash"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     window = F.struct("item_pos", "template", "item_values", "values", "item_leading", "leading")
     lines = _sound(met.groupBy(*key, "item_id", "shift").agg(F.first("of").alias("of"), F.collect_set(window).alias("found")).drop("shift"))
     count = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places))))
-    held = lines.groupBy(*key, "item_id").agg(count("places").alias("n"), count("templates").alias("n_templates"), F.first("of").alias("of"), F.max("changed").alias("changed"), F.max(F.size("places")).alias("run"))
+    held = lines.groupBy(*key, "item_id").agg(count("places").alias("n"), count("templates").alias("n_templates"), F.first("of").alias("of"), F.max("changed").alias("changed"), F.max("run").alias("run"))
     share = F.greatest(F.col("n") / F.col("of.windows"), F.when(F.col("of.templates") > 0, F.col("n_templates") / F.col("of.templates")))
-    held = held.withColumn("coverage", share)
-    best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"), F.col("changed")))
-    found = held.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN)).groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))
-    return found.select(*key, (-F.col("b.minus")).alias("item_id"), "n_items", F.col("b.coverage").alias("coverage"), F.col("b.changed").alias("reparameterised"))
+    held = held.withColumn("coverage", share).where((F.col("coverage") >= coverage) | (F.col("run") >= RUN))
+    named = held.withColumnRenamed("item_id", "item").join(numbered.select("item", "item_id"), "item")
+    best = F.min(F.struct((-F.col("coverage")).alias("less"), "item_id", "changed"))
+    found = named.groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_items"))
+    return found.select(*key, F.col("b.item_id").alias("item_id"), "n_items", (-F.col("b.less")).alias("coverage"), F.col("b.changed").alias("reparameterised"))
 
 
 def benchmark_sizes(items: DataFrame) -> DataFrame:
@@ -295,7 +333,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """A row for each row of ``docs`` whose text holds a benchmark item: doc_id and the columns of ``contaminated_texts``.
 
     Null, empty and clean texts have no row, nor has any text where the benchmark is empty; benchmark items
-    with fewer than SHORTEST tokens are found by their very words, those without a letter or digit not at all. Repeated rows each have one; a null doc_id stays null."""
+    with fewer than SHORTEST tokens are found by their very words, those without a letter or digit not at all. Repeated rows each have one;
+    a null doc_id stays null, and so does a null item_id, which comes before others; ids may be of any type that can be ordered."""
     found = checkpoint(contaminated_texts(docs, benchmark, coverage))
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.crc32("text").alias("text_crc"))
     return join_small(keyed, found, ["text_hash", "text_crc"]).drop("text_hash", "text_crc")

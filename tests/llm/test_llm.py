@@ -124,6 +124,68 @@ def test_license_rules_resolve_overlaps():
     assert scan("permit licenses apacheless")[1:] == ([], [])
 
 
+def brute_detections(text):
+    """All rules over the whole text, without keywords or stretches; overlaps are compared pair by pair."""
+    from tessera.llm.licenses import Detection, rules
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    line = " " + " ".join(words) + " "
+    found = set()
+    for r in rules():
+        for m in r.pattern.finditer(line):
+            a = line[: m.start()].count(" ") - 1
+            found.add(Detection(a, a + m[0].count(" ") + 1, r.label, r.priority, r.confidence))
+    kept = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies."""
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+GPL = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"
+
+
+def test_license_labels_against_all_rules(spark, data, docs):
+    from tessera.llm.licenses import Scanner
+
+    scan = Scanner().scan
+    got = {r["doc_id"]: r for r in Q.QUERIES["op2_license_scan"](spark, data).collect()}
+    for i, text, *_ in docs:
+        want = {d.label for d in brute_detections(text)} | {*filter(None, got[i]["base_labels"].split(","))}
+        assert got[i]["labels"] == ",".join(sorted(want))
+    rng = np.random.default_rng(6)
+    parts = [MIT, BSD, APACHE, GPL, "the MIT License and the Apache License 2.0", "CC BY-SA 4.0 cc by", "released under the terms of the AGPL version 3", "words of no license"]
+    for _ in range(60):
+        text = " ".join(parts[k][int(rng.integers(0, 9)) :] for k in rng.integers(0, len(parts), 4))
+        assert scan(text)[2] == brute_detections(text)
+
+
+def test_license_bodies_and_versions():
+    from tessera.llm.licenses import Scanner
+
+    scan = Scanner().scan
+    labels = lambda t: {d.label for d in scan(t)[2]}
+    assert labels(MIT) == {"mit"} and labels(BSD) == {"bsd"} and labels(APACHE) == {"apache-2.0"} and "gpl-2.0" in labels(GPL)
+    assert labels("the Apache 2.0 license") == {"apache-2.0"} and labels("under the GPL v3 license") == {"gpl-3.0"}
+    assert labels("This is free and unencumbered software released into the public domain.") == {"unlicense"}
+
+
+def test_license_scan_is_linear():
+    import time
+
+    from tessera.llm.licenses import Scanner
+
+    scan = Scanner().scan
+    scan(MIT)
+    began = time.perf_counter()
+    n, base, found = scan("\n".join([MIT, "the MIT License, version of ours", GPL] * 4000))  # 2 MB
+    assert len(base) == 4000 + 4000 and len(found) >= 12_000 and time.perf_counter() - began < 20
+
+
 def test_license_scan_of_odd_rows(spark):
     from tessera.llm.licenses import scan, summary
 
@@ -354,6 +416,112 @@ def test_items_of_numbers_titles_and_few_words(spark):
     assert got == {(i, i) for i in range(6)}
 
 
+def brute_windows(text, sizes):
+    """(place, size, reading, values, which begin a sentence, template) of every window in plain Python; a reading is its words and placeholders."""
+    from itertools import combinations
+
+    from tessera.llm import decontaminate as D
+
+    words, first = [], True
+    for t in (p for t in D._tokens(text or "") for p in (D._pieces(t) if len(t) > 1 and D._unspaced(t) else (t,))):
+        if t in ".!?:\n":
+            first = True
+            continue
+        number = t[0].isdigit() or t.lower() in D.NUMBER_WORDS
+        unit = not number and t.lower() in D.UNITS and bool(words) and words[-1][1] == "<number>"
+        capital = not number and not unit and t[0].isupper()
+        words.append((t.lower(), "<number>" if number else "<unit>" if unit else "<name>" if capital and not first else None, capital and first))
+        first = False
+    for size in sizes or [min(D.WINDOW, len(words))]:
+        for p in range(len(words) - size + 1 if size else 0):
+            part = words[p : p + size]
+            slots = [i for i, w in enumerate(part) if w[1]]
+            open_ = [i for i, w in enumerate(part) if w[2]]
+            template = 2 * len(slots) <= size and size >= D.SHORTEST
+            if not template or (sizes and slots):
+                yield p, size, tuple(w[0] for w in part), (), (), template
+            for m in range(len(open_) + 1) if template else ():
+                for names in combinations(open_, m):
+                    if 2 * (len(slots) + m) <= size:
+                        marked = sorted([*slots, *names])
+                        reading = tuple("<name>" if i in names else w[1] or w[0] for i, w in enumerate(part))
+                        yield p, size, reading, tuple(part[i][0] for i in marked), tuple(i in names for i in marked), template
+
+
+def brute_contaminated(text, items, coverage=0.5):
+    """item_id, items, coverage and whether values differ, or None: all windows of the text against all of every item, on every alignment."""
+    from tessera.llm import decontaminate as D
+
+    mine = defaultdict(set)
+    for p, size, reading, values, leading, _ in brute_windows(text, range(1, D.WINDOW + 1)):
+        mine[size, reading].add((p, values, leading))
+    held = []
+    for item_id, item in items:
+        windows = list(brute_windows(item, None))
+        lines = defaultdict(list)
+        for p, size, reading, values, leading, template in windows:
+            for q, own, led in mine.get((size, reading), ()):
+                lines[q - p].append({"item_pos": p, "template": template, "item_values": list(values), "values": list(own), "item_leading": list(leading), "leading": list(led)})
+        sound = [D.sound_places(f) for f in lines.values()]
+        places = {p for found, _ in sound for p in found}
+        run = max((k for found, _ in sound for p in found for k in range(1, len(found) + 1) if all(p + j in found for j in range(k))), default=0)
+        every, of_templates = {w[0] for w in windows}, {w[0] for w in windows if w[5]}
+        shares = [len(places) / len(every)] if every else [0.0]
+        if of_templates:
+            shares.append(len(places & of_templates) / len(of_templates))
+        if places and (max(shares) >= coverage or run >= D.RUN):
+            held.append((-max(shares), item_id, any(changed for _, changed in sound)))
+    return (min(held)[1], len(held), -min(held)[0], min(held)[2]) if held else None
+
+
+def same_as_brute_force(got, docs, items):
+    least = {}
+    for i, t in items:
+        if t is not None:
+            least[t] = min(i, least.get(t, i))
+    want = {i: w for i, t in docs if t is not None and (w := brute_contaminated(t, [(i, t) for t, i in least.items()]))}
+    assert {r["doc_id"]: (r["item_id"], r["n_items"], round(r["coverage"], 9), r["reparameterised"]) for r in got} == {i: (a, b, round(c, 9), d) for i, (a, b, c, d) in want.items()}
+    return want
+
+
+def test_decontamination_against_brute_force(spark, data, docs):
+    items = duckdb.connect().execute(f"select item_id, text from read_parquet('{data}/benchmark.parquet')").fetchall()
+    assert same_as_brute_force(Q.QUERIES["op5_decontamination"](spark, data).collect(), [(d[0], d[1]) for d in docs], items)
+
+
+def test_decontamination_of_mixed_texts_against_brute_force(spark):
+    """Texts put together from pieces of items with other names and numbers, many of whose windows are shared."""
+    from tessera.llm.decontaminate import contaminated
+
+    rng = np.random.default_rng(9)
+    names, things = ["Tom", "Anna", "Peter", "Olga", "Max"], ["apples", "pears", "books", "stones"]
+    ask = lambda: "{} has {} {} and gives {} of them to {}. How many {} does {} have left after this long day in the market of the old town?".format(*(x := [str(rng.choice(names)), rng.integers(2, 99), str(rng.choice(things)), rng.integers(2, 9), str(rng.choice(names))]), x[2], x[0])
+    plain = lambda n: " ".join(str(rng.choice("the cold rain fell on a small house near green hills while old dogs slept there all day long".split())) for _ in range(n))
+    items = [(i, ask()) for i in range(12)] + [(20 + i, plain(30)) for i in range(4)] + [(30, "Compute 3 + 4 * 12 - 7"), (31, "Photosynthesis rate?"), (32, "中国的首都是哪里？请回答"), (33, None), (34, "...")]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(3):
+            words = (items[int(rng.integers(0, 19))][1] or "").split() if rng.random() < 0.7 else ask().split()
+            a = int(rng.integers(0, max(1, len(words) // 2)))
+            parts += [plain(5), " ".join(words[a : a + int(rng.integers(6, 30))])]
+        docs.append((i, " ".join(parts)))
+    docs += [(100, "Compute 3 + 4 * 12 - 7"), (101, "the Photosynthesis rate of it"), (102, "有人问中国的首都是哪里？请回答我"), (103, ""), (104, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(same_as_brute_force(contaminated(docs_of(spark, docs), bench).collect(), docs, items)) > 10
+    named = spark.createDataFrame([(f"item {i}", t) for i, t in items], "item_id string, text string")
+    assert {r["item_id"] for r in contaminated(docs_of(spark, [(1, items[20][1] if items[20][1] else items[16][1])]), named).collect()} <= {f"item {i}" for i, _ in items}
+
+
+def test_passages_count_in_a_row(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    bench = spark.createDataFrame([("q1", " ".join(words))], "item_id string, text string")
+    docs = [(1, " ".join(words[10:23])), (2, " ".join([*words[10:20], *["other"] * 20, *words[40:50]])), (3, " ".join(words[10:22]))]
+    assert {r["doc_id"] for r in contaminated(docs_of(spark, docs), bench).collect()} == {1}
+
+
 def test_planted_items_are_found(spark, data, docs):
     items = duckdb.connect().execute(f"select item_id, text from read_parquet('{data}/benchmark.parquet')").fetchall()
     norm = lambda t: " ".join((t or "").split())
