@@ -2,7 +2,7 @@
 
 Groups (equal texts) are dealt to buckets. Each bucket is differenced on its own: the partial partitions with the
 largest spreads are combined, the largest part of one with the smallest of the other, until one is left. The
-partitions of the buckets, one row each, are then differenced the same way."""
+partitions of the buckets, one row each, are then differenced the same way, FAN of them in a task, level by level."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, join_small, shuffle_width
 
-#: Groups of a bucket, about, and buckets at most.
-GROUPS, BUCKETS = 20_000, 65_536
+#: Groups of a bucket, about, and partitions that are combined at a time on the levels above.
+GROUPS, FAN = 20_000, 4096
 
 
 def difference(sizes: list[tuple[int, ...]]) -> list[list[int]]:
@@ -63,7 +63,34 @@ def number_within(rows: DataFrame, group: str, spread: list[str], name: str) ->
     return join_small(parts, checkpoint(bases), [group, "_part"]).withColumn(name, F.col("_base") + nth).drop("_part", "_base")
 
 
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
+def _combined(parted: DataFrame, buckets: int, shards: int, fan: int) -> DataFrame:
+    """(bucket, part, shard) of the partitions of ``buckets`` buckets (rows bucket, part, bytes): FAN at a time become
+    one of the level above, until one is left; its parts are the shards."""
+
+    def join_up(pdf):
+        import pandas as pd
+
+        wide = pdf.pivot_table(index="bucket", columns="part", values="bytes", aggfunc="sum", fill_value=0).reindex(columns=range(shards), fill_value=0).sort_index()
+        to = difference([tuple(int(x) for x in row) for row in wide.to_numpy()])
+        rows = [(int(b), p, int(pdf["up"].iloc[0]), t, int(s)) for b, sizes, places in zip(wide.index, wide.to_numpy(), to) for p, (s, t) in enumerate(zip(sizes, places))]
+        return pd.DataFrame(rows, columns=["bucket", "part", "up", "up_part", "bytes"])
+
+    level = parted.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    home = None  # (bucket of the lowest level, part) -> (node, part) of the level reached
+    while True:
+        steps = checkpoint(level.withColumn("up", F.floor(F.col("bucket") / fan).cast("int")).groupBy("up").applyInPandas(join_up, "bucket int, part int, up int, up_part int, bytes long"))
+        places = steps.select(F.col("bucket").alias("node"), F.col("part").alias("node_part"), "up", "up_part")
+        if home is None:
+            home = places.withColumnRenamed("node", "bucket").withColumnRenamed("node_part", "part")
+        else:
+            home = join_small(home.withColumnRenamed("up", "node").withColumnRenamed("up_part", "node_part"), places, ["node", "node_part"]).select("bucket", "part", "up", "up_part")
+        buckets = -(-buckets // fan)
+        if buckets <= 1:
+            return checkpoint(home.select("bucket", "part", F.col("up_part").alias("shard")))
+        level = steps.groupBy(F.col("up").alias("bucket"), F.col("up_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
+
+
+def shard(docs: DataFrame, shards: int = 8, groups_each: int = GROUPS, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row; rows with equal texts are in one shard.
 
     size: bytes of the text and 1; null and empty texts are one group. A slot is the place in its shard, from 0
@@ -76,7 +103,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = rows.groupBy(*key).agg((F.count("*") * F.col("size")).alias("bytes"))
     groups = checkpoint(groups)
     n = groups.count()
-    buckets = max(1, min(BUCKETS, max(-(-n // GROUPS), min(shuffle_width(docs.sparkSession), n // 500))))
+    buckets = max(1, -(-n // groups_each), min(shuffle_width(docs.sparkSession), n // 500))
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.lit(buckets)).cast("int"))
 
     def part(pdf):
@@ -85,13 +112,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         return pdf[[*key, "bytes", "bucket", "part"]]
 
     parted = checkpoint(dealt.groupBy("bucket").applyInPandas(part, "text_hash long, text_crc32 long, size long, bytes long, bucket int, part int"))
-    sums: dict[int, list[int]] = {}
-    for r in parted.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():  # shards x BUCKETS rows at most
-        sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
-    order = sorted(sums)
-    places = difference([tuple(sums[b]) for b in order])
-    to = docs.sparkSession.createDataFrame([(b, p, s) for b, ps in zip(order, places) for p, s in enumerate(ps)], "bucket int, part int, shard int")
-    to = checkpoint(to)
+    to = _combined(parted, buckets, shards, fan)
     home = join_small(parted, to, ["bucket", "part"]).select(*key, "shard")
     placed = rows.join(home, key)
     return number_within(placed, "shard", ["row"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

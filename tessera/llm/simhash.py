@@ -1,8 +1,9 @@
 """SimHash fingerprints and a Gray-order hierarchical index that links those with few differing bits.
 
-The index has an upper level of masked patterns: with ``radius`` + 1 blocks of bits, fingerprints that differ in
+The index has upper levels of masked patterns: with ``radius`` + 1 blocks of bits, fingerprints that differ in
 at most ``radius`` bits agree in one block, so each block's value is a node (mask, value) and a pair of linked
-fingerprints meets in one of them at least. Below a node, fingerprints stand in Gray order in runs of bounded
+fingerprints meets in one of them at least. A node with more fingerprints than a task should hold is divided the
+same way by the bits that its mask leaves open, down to LEVELS levels. Below a node, fingerprints stand in Gray order in runs of bounded
 length, and runs in a tree whose nodes hold the bits that all of theirs share. Two tree nodes whose shared
 bits differ in more than ``radius`` places are pruned with all that is below them."""
 
@@ -14,13 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, free_names, map_texts, small_or_not
+from tessera.llm.common import checkpoint, free_names, join_small, map_texts, small_or_not
 from tessera.llm.components import components
 
 #: Fingerprints of a node that one task holds at a time; larger nodes are cut into runs of this length.
 RUN = 4096
-#: Children of a node of the tree.
-FAN = 8
+#: Children of a node of the tree; levels of masked patterns above the trees.
+FAN, LEVELS = 8, 3
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -157,28 +158,60 @@ def _starts(rows: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def block_masks(blocks: int) -> list[int]:
-    """Masks of ``blocks`` runs of bits that together are all 64."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+def block_masks(blocks: int, of: int = (1 << 64) - 1) -> list[int]:
+    """Masks of ``blocks`` runs of bits that together are all bits of the mask ``of``."""
+    bits = [b for b in range(64) if of >> b & 1]
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << b for b in bits[a:e]) for a, e in zip(edges, edges[1:]) if e > a]
 
 
-def near_links(codes: DataFrame, radius: int = 3, run: int = RUN) -> DataFrame:
-    """Links (a, b) that connect what pairs of ``codes`` (column fingerprint, distinct) within ``radius`` bits connect.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    Pairs found in one task are given as a forest, so there are no more links than fingerprints in its nodes."""
-    spark = codes.sparkSession
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius + 1)]
-    node = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)]))
+
+def _children(masks: list[int], radius: int) -> dict[int, list[int]]:
+    """For each mask those of its children: one more block of the bits that it leaves open."""
+    return {m: [m | b for b in block_masks(radius + 1, ((1 << 64) - 1) & ~m)] for m in masks}
+
+
+def _divided(entries: DataFrame, children: dict[int, list[int]]) -> DataFrame:
+    """A row (mask, value) for each child of each entry's mask."""
+    known = F.create_map(*[x for m, some in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in some]))])
+    rows = entries.select("gray", "fingerprint", F.explode(known[F.col("mask")]).alias("mask"))
+    return rows.select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value"), "gray", "fingerprint")
+
+
+def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """(entries of the nodes with at most ``run`` fingerprints, entries of larger nodes of the last level or None).
+
+    Nodes of one fingerprint are left out."""
     rank = F.col("fingerprint")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
     # the sign bit turned over: signed order is then the order of unsigned ranks
-    entries = codes.select("fingerprint", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray"))
-    entries = entries.select("fingerprint", "gray", node.alias("node")).select("node.mask", "node.value", "gray", "fingerprint")
-    size = entries.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    large = size.where(F.col("n") > run)
-    usual = entries.join(size.where(F.col("n") <= run).select("mask", "value"), ["mask", "value"], "left_semi")
+    entries = codes.select(F.lit(0).cast("long").alias("mask"), "fingerprint", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray"))
+    masks, usual, large = [0], None, None
+    for level in range(levels):
+        children = _children(masks, radius)
+        entries = _divided(entries, children)
+        size = checkpoint(entries.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"))
+        few = entries.join(size.where(F.col("n") <= run).select("mask", "value"), ["mask", "value"], "left_semi")
+        usual = few if usual is None else usual.unionByName(few)
+        large = size.where(F.col("n") > run).select("mask", "value")
+        if large.isEmpty():
+            return usual, None
+        entries = join_small(entries, large, ["mask", "value"], "left_semi")
+        masks = sorted({c for some in children.values() for c in some})
+        if level + 1 < levels:
+            entries = checkpoint(entries)
+    return usual, entries
+
+
+def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int = LEVELS) -> DataFrame:
+    """Links (a, b) that connect what pairs of ``codes`` (column fingerprint, distinct) within ``radius`` bits connect.
+
+    Pairs found in one task are given as a forest, so there are no more links than fingerprints in its nodes."""
+    usual, in_large = _upper_levels(codes, radius, run, levels)
 
     def of_nodes(batches):
         import pyarrow as pa
@@ -193,8 +226,9 @@ def near_links(codes: DataFrame, radius: int = 3, run: int = RUN) -> DataFrame:
     dealt = usual.repartition("mask", "value").sortWithinPartitions("mask", "value", "gray")
     links = dealt.select("mask", "value", "fingerprint").mapInArrow(of_nodes, "a long, b long")
 
+    if in_large is None:
+        return links.distinct()
     # nodes that are too large for a task: runs of the Gray order meet in pairs, but for those that are pruned
-    in_large = entries.join(large, ["mask", "value"])
     runs = _gray_runs(in_large, run)
     bits = runs.groupBy("mask", "value", "run").agg(F.bit_and("fingerprint").alias("low"), F.bit_or("fingerprint").alias("high"))
     left, right = (bits.select("mask", "value", *[F.col(c).alias(c + s) for c in ("run", "low", "high")]) for s in ("_a", "_b"))
@@ -247,7 +281,7 @@ def _gray_runs(entries: DataFrame, run: int) -> DataFrame:
 
     dealt = entries.select("mask", "value", "gray", "fingerprint").repartitionByRange("mask", "value", "gray")
     dealt = dealt.sortWithinPartitions("mask", "value", "gray")
-    return checkpoint(dealt.mapInArrow(number, "mask int, value long, gray long, fingerprint long, run long"))
+    return checkpoint(dealt.mapInArrow(number, "mask long, value long, gray long, fingerprint long, run long"))
 
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:

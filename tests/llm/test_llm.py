@@ -227,8 +227,8 @@ def test_simhash_against_brute_force(spark, data, docs):
         assert (got[i]["fingerprint"], got[i]["component_id"]) == (f"{p:016x}", least[label[p]])
 
 
-@pytest.mark.parametrize("run", [4096, 7])
-def test_gray_index_finds_all_links(spark, run):
+@pytest.mark.parametrize("run,levels", [(4096, 3), (7, 1), (7, 3), (2, 2)])
+def test_gray_index_finds_all_links(spark, run, levels):
     from tessera.llm.components import components
     from tessera.llm.simhash import near_links
 
@@ -243,7 +243,7 @@ def test_gray_index_finds_all_links(spark, run):
     label = brute_components(codes)
     sign = lambda c: c - (1 << 64) if c >> 63 else c
     df = spark.createDataFrame([(sign(c),) for c in codes], "fingerprint long")
-    roots = {r["vertex"]: r["root"] for r in components(near_links(df, 3, run)).collect()}
+    roots = {r["vertex"]: r["root"] for r in components(near_links(df, 3, run, levels)).collect()}
     groups = defaultdict(set)
     for c in codes:
         groups[roots.get(sign(c), sign(c))].add(label[c])
@@ -557,6 +557,26 @@ def test_differencing_beats_greedy_on_the_textbook_case():
     assert difference([]) == []
 
 
+@pytest.mark.parametrize("groups_each,fan", [(100_000, 4096), (10, 4096), (10, 3)])
+def test_buckets_and_levels_balance_like_one_differencing(spark, groups_each, fan):
+    """Buckets, and levels of buckets, come as near to equal bytes as one differencing of all groups does, or as the largest group allows."""
+    from tessera.llm.sharding import difference, shard
+
+    rng = np.random.default_rng(3)
+    texts = ["x" * int(n) for n in rng.integers(1, 4000, 400)]
+    texts = [f"{i} {t}" for i, t in enumerate(texts)] + ["again"] * 50
+    got = shard(docs_of(spark, list(enumerate(texts))), 8, groups_each, fan).toPandas()
+    sizes = Counter()
+    for t in texts:
+        sizes[t] += len(t) + 1
+    one = [0] * 8
+    for size, (p, *_) in zip(sizes.values(), difference([(s, *[0] * 7) for s in sizes.values()])):
+        one[p] += size
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == len(texts) and got.groupby("text_crc32").shard.nunique().max() == 1
+    assert sums.max() - sums.min() <= max(max(one) - min(one), max(sizes.values()))
+
+
 def test_shard_of_odd_rows(spark):
     from tessera.llm.sharding import shard
 
@@ -770,6 +790,27 @@ def test_urls_against_brute_force(spark, data):
     assert judge(df.where("false"), rule_table(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [200_000, 7])
+def test_urls_with_many_nested_rules(spark, rows):
+    """Nested rules, hot hosts and hosts over several parts, against trying every rule."""
+    from tessera.llm.urls import host_of, path_of, sweep
+
+    rng = np.random.default_rng(12)
+    hosts = ["com", "a.com", "b.a.com", "x.b.a.com", "org", "a.org", "net"]
+    parts = ["", "/", "/a", "/a/", "/a/b", "/a/b/", "/a/b/c", "/b", "/é", "/a\U0001f600"]
+    rules = [(str(rng.choice(hosts[:6])) + str(rng.choice(parts)), str(rng.choice(["allow", "block"]))) for _ in range(60)] + [(None, "block"), ("a.com/a", None)]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(parts[1:])}{rng.choice(['', '/b', 'x', '?q', '#f'])}" for _ in range(400)] + ["http://a.com/a/b"] * 30
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id long, url string").select("id", host_of("url").alias("host"), path_of("url").alias("path"))
+    known = {}
+    for rule, verdict in rules:
+        if rule is not None:
+            known[rule] = min((v for r, v in rules if r == rule and v is not None), default=None)
+    for r in sweep(df, spark.createDataFrame(rules, "rule string, verdict string"), rows=rows).collect():
+        fits = [(len(h), len(p), x) for x in known for h, p in [re.match("([^/]*)(.*)", x, re.S).groups()] if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        best = max(fits)[2] if fits else None
+        assert (r["rule"], r["verdict"]) == (best, (known[best] if best else None) or "allow"), r
+
+
 def test_url_query_is_native(spark, data):
     plan = Q.QUERIES["op10_url_filter"](spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
