@@ -12,6 +12,9 @@ from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +26,17 @@ WINDOW, SHORTEST = 8, 4
 COVERAGE, RUN = 0.5, 6
 #: Bits of the filter that documents' windows pass before they are joined.
 FILTER_BITS = 1 << 23
-#: Tokens that a Python worker keeps; the table is emptied when it has more.
+#: Parts of texts between spaces that a Python worker keeps; a full table keeps what it has, which are those met most.
 VOCABULARY = 200_000
+#: Bytes of text in a group.
+GROUP = 1_000_000
 
 #: Number words and units of measure.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = "mm cm m km mg g kg t ml l s sec seconds second min minutes minute h hours hour days day weeks week months month years year inch inches feet foot miles mile lb pounds pound ounces dollars dollar euros euro cents cent percent degrees degree meters meter kilometers kilometer grams gram kilograms kilogram liters liter".split()
 
 _tokens = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?:\n]").findall
-_NUMBER, _UNIT, _CAPITAL, _STOP, _RUN = 1, 2, 4, 8, 16
+_NUMBER, _UNIT, _CAPITAL, _STOP = 1, 2, 4, 8
 #: Scripts without spaces between words; each of their letters is a token.
 _UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _unspaced = re.compile(f"[{_UNSPACED}]").search
@@ -40,53 +45,80 @@ _ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW +
 
 
 def _hash(token: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 1)
 
 
-def _kind(token: str) -> int:
-    if token in ".!?:\n":
-        return _STOP
-    low = token.lower()
-    return (_NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0) | (_UNIT if low in UNITS else 0) | (_CAPITAL if token[0].isupper() else 0) | (_RUN if len(token) > 1 and _unspaced(token) else 0)
+_LISTED = {**dict.fromkeys(UNITS, _UNIT), **dict.fromkeys(NUMBER_WORDS, _NUMBER), **dict.fromkeys(".!?:\n", _STOP)}
+_PLACE = {f: np.uint64(_hash(name)) for f, name in ((_NUMBER, "<number>"), (_UNIT, "<unit>"), (_CAPITAL, "<name>"))}
+
 
+def _split(part: str) -> list[str]:
+    """Tokens of a text; none holds a space."""
+    found = _tokens(part)
+    if part.isascii() or not _unspaced(part):
+        return found
+    return [p for t in found for p in (_pieces(t) if len(t) > 1 and _unspaced(t) else (t,))]
 
-_PLACE = {f: np.uint64(_hash(name)) for f, name in ((_NUMBER, "<number>"), (_UNIT, "<unit>"), (_CAPITAL, "<name>"))}
+
+def _kinds(tokens: list[str], lows: list[str]) -> list[int]:
+    """What each token (and it in lower case) may be: a listed word, a number, a capitalised word."""
+    known = _LISTED.get
+    return [known(low, 0) | (_CAPITAL if t[0].isupper() else _NUMBER if t[0].isdigit() else 0) for t, low in zip(tokens, lows)]
 
 
 class Vocabulary:
-    """Numbers of the tokens that a Python worker has met, their hashes as words and what else they may be."""
+    """What a Python worker has met between spaces, the numbers of the tokens in it, and their hashes and kinds."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
+        self.tokens: list[str] = []
         self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
-
-    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.number) > VOCABULARY:
-            self.__init__()
-        new = list(set(tokens).difference(self.number))
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.hashes = np.append(self.hashes, np.array([_hash(t.lower()) for t in new], np.uint64))
-            self.kinds = np.append(self.kinds, np.array([_kind(t) for t in new], np.int8))
-        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        return self.hashes[ids], self.kinds[ids]
-
-
-def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, their hashes, these with placeholders put in, which are placeholders, which may be, and the words of each text.
+        self.parts = pa.array([], pa.string())
+        self.start, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def look_up(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The table of tokens, and of all texts in a row the tokens' numbers, hashes, kinds, and how many each text has.
+
+        Texts are split at spaces and numbered by Arrow, so only the different parts of a group come to Python."""
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.parts)
+        unmet = coded.dictionary.filter(pc.is_null(known))
+        split = [_split(p) for p in unmet.to_numpy(zero_copy_only=False).tolist()]
+        number = self.number
+        new = list(set(chain.from_iterable(split)).difference(number))
+        lows = [t.lower() for t in new]
+        tokens = self.tokens + new
+        hashes = np.append(self.hashes, np.array([_hash(t) for t in lows], np.uint64))
+        kinds = np.append(self.kinds, np.array(_kinds(new, lows), np.int8))
+        number.update(zip(new, range(len(number), len(tokens))))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.append(self.flat, np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())))
+        start, size = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
+        row = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row[row < 0] = len(self.parts) + np.arange(len(split))
+        of = row[coded.indices.to_numpy()]
+        if len(size) <= VOCABULARY and unmet.nbytes <= 4 * GROUP:
+            self.parts = pa.concat_arrays([self.parts, unmet])
+            self.tokens, self.hashes, self.kinds, self.start, self.size, self.flat = tokens, hashes, kinds, start, size, flat
+        else:
+            for t in new:
+                del number[t]
+        n = size[of]
+        stop = np.append(0, np.cumsum(n))
+        ids = flat[np.arange(stop[-1]) - np.repeat(stop[:-1] - start[of], n)]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return tokens, ids, hashes[ids], kinds[ids], np.diff(stop[ends], prepend=0)
+
+
+def templates(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The table of tokens, the words of all texts as numbers in it, their hashes, these with placeholders put in, which are placeholders,
+    which may be, and the words of each text.
 
     A number is digits or a number word; a unit follows a number; a name is capitalised. A capitalised word that is
     first in its sentence may be a name or not: it has both readings."""
-    split = [_tokens(t or "") for t in texts]
-    tokens = list(chain.from_iterable(split))
-    hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
-    if (kinds & _RUN).any():
-        split = [[p for t in part for p in (_pieces(t) if len(t) > 1 and _unspaced(t) else (t,))] for part in split]
-        tokens = list(chain.from_iterable(split))
-        hashes, kinds = worker_cache("vocabulary", Vocabulary).look_up(tokens)
-    text_of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+    tokens, ids, hashes, kinds, counts = worker_cache("vocabulary", Vocabulary).look_up(texts)
+    text_of = np.repeat(np.arange(len(counts)), counts)
     words = np.flatnonzero(kinds != _STOP)
     first = np.ones(len(kinds), bool)
     first[1:] = (kinds[:-1] == _STOP) | (text_of[1:] != text_of[:-1])
@@ -100,7 +132,7 @@ def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarra
     exact = hashes.copy()
     for mark, flag in ((number, _NUMBER), (unit, _UNIT), (name, _CAPITAL)):
         hashes[mark] = _PLACE[flag]
-    return [tokens[i] for i in words.tolist()], exact, hashes, number | unit | name, capital & first, np.bincount(text_of, minlength=len(split))
+    return tokens, ids[words], exact, hashes, number | unit | name, capital & first, np.bincount(text_of, minlength=len(counts))
 
 
 def _mixed(total: np.ndarray) -> np.ndarray:
@@ -159,7 +191,7 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
 
         def call(texts):
             rows, out = [], {k: [] for k in ("pos", "hash", "values", "leading", "template", "windows", "templates")}
-            words, exact, hashes, slots, maybe, counts = templates(texts)
+            tokens, words, exact, hashes, slots, maybe, counts = templates(texts)
             text_of = np.repeat(np.arange(len(counts)), counts)
             starts = np.cumsum(counts) - counts
             for size in sizes or range(1, WINDOW + 1):
@@ -190,7 +222,7 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
                         rows.append(i)
                         out["pos"].append(p - int(starts[i]))
                         out["hash"].append(x)
-                        out["values"].append([words[k].lower() for k in marked])
+                        out["values"].append([tokens[words[k]].lower() for k in marked])
                         out["leading"].append([k in led for k in marked])
                         out["template"].append(bool(template[p]))
                         out["windows"].append(int(many[i]))
@@ -199,7 +231,7 @@ def _windows(df: DataFrame, keep: list[str], sizes: list[int] | None, bits: np.n
 
         return call
 
-    return map_texts(df, keep, make, "pos long, hash long, values array<string>, leading array<boolean>, template boolean, windows long, templates long", group=1_000_000, cache="vocabulary")
+    return map_texts(df, keep, make, "pos long, hash long, values array<string>, leading array<boolean>, template boolean, windows long, templates long", arrow_text=True, group=GROUP, cache="vocabulary")
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:
@@ -252,7 +284,6 @@ def _sound(lines: DataFrame) -> DataFrame:
     schema = StructType([lines.schema[c] for c in kept] + list(StructType.fromDDL("places array<long>, templates array<long>, changed boolean, run int").fields))
 
     def run(batches):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         for batch in batches:
@@ -326,7 +357,7 @@ def benchmark_sizes(items: DataFrame) -> DataFrame:
     def make():
         return lambda texts: (None, {"size": templates(texts)[-1].tolist()})
 
-    return map_texts(items, [], make, "size int").where(f"size < {WINDOW} and size > 0").distinct()
+    return map_texts(items, [], make, "size int", arrow_text=True).where(f"size < {WINDOW} and size > 0").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
