@@ -125,9 +125,9 @@ def _matches(rows: DataFrame, pattern: str, group: int = 1) -> DataFrame:
 def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of code, SQL, OpenAPI and config files.
 
-    Nodes: File, Module, Class, Function, Method, Endpoint, Table, Column, ConfigKey. A definition is a method if
-    it stands within a class (by indent or by braces); a route's handler is the one that it names, if defined
-    above it, or else the next definition below it."""
+    Nodes: File, Module, Class, Function, Method, Endpoint, Table, Column, ConfigKey. A definition reaches to where
+    its indent or its braces end, which is its quote; it is a method if the innermost one around it is a class. A
+    route's handler is the one that it names, if defined above it, or else the next definition below it."""
     code = lines.where("kind in ('code', 'sql', 'openapi', 'config')")
     files = code.groupBy("path", "kind").agg(F.max("line").alias("last"), F.min_by("line_text", "line").alias("line_text")).withColumn("line", F.lit(1))
     file_nodes = node_rows(files, "File", F.col("path"), "code", "EXACT_STATIC", end_line=F.col("last"))
@@ -145,18 +145,16 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         hit = F.regexp_extract("line_text", pattern, 1)
         found = F.when(F.col("path").rlike(suffix) & (hit != ""), F.struct(F.lit(kind).alias("kind"), hit.alias("name"))).otherwise(found)
     known = known.withColumn("def", F.when(F.col("kind") == "code", found))
-    owner = F.last(F.when(F.col("def.kind") == "Class", F.struct(F.col("def.name").alias("name"), "line", "depth", "indent")), ignorenulls=True).over(by_path)
-    known = checkpoint(known.withColumn("owner", owner))  # read by every branch below
-    inside = F.when(F.col("path").rlike(r"\.py$"), F.col("indent") > F.col("owner.indent")).otherwise(F.col("depth") > F.col("owner.depth"))
-    owned = F.col("owner").isNotNull() & inside & (F.col("def.kind") != "Class")
-    defs = known.where("def is not null").withColumn("owned", F.coalesce(owned, F.lit(False)))
-    defs = defs.where("owned or def.kind <> 'Method'")
-    def_kind = F.when(F.col("owned"), "Method").otherwise(F.col("def.kind"))
-    full = F.when(F.col("owned"), F.concat("owner.name", F.lit("."), "def.name")).otherwise(F.col("def.name"))
-    def_nodes = node_rows(defs, def_kind, F.col("def.name"), "code", "EXACT_STATIC", canonical_name=full)
-    classes = def_nodes.where("kind = 'Class'").select("path", F.col("label").alias("class_name"), F.col("id").alias("class_id"))
-    placed = def_nodes.join(tops, "path").join(first_per_key(classes, ["path", "class_name"], F.col("class_id")), ["path"], "left").where("class_name is null or kind = 'Method' and canonical_name like concat(class_name, '.%') or kind <> 'Method'")
-    under = F.when(F.col("kind") == "Method", F.coalesce("class_id", "module_id")).otherwise(F.col("module_id"))
+    known = checkpoint(known)  # read by every branch below
+    defs = _scopes(known.where("kind = 'code'")).where("owner_line is not null or def_kind <> 'Method'")
+    def_kind = F.when(F.col("owner_line").isNotNull(), "Method").otherwise(F.col("def_kind"))
+    full = F.when(F.col("owner_line").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
+    def_nodes = node_rows(defs, def_kind, F.col("name"), "code", "EXACT_STATIC", canonical_name=full, end_line=F.col("last"), quote=F.col("body"), subject=F.col("owner_line").cast("string"))
+    # subject holds the line of the class for a moment
+    classes = def_nodes.where("kind = 'Class'").select("path", F.col("start_line").cast("string").alias("subject"), F.col("id").alias("class_id"))
+    placed = def_nodes.join(tops, "path").join(classes, ["path", "subject"], "left")
+    def_nodes = def_nodes.withColumn("subject", F.lit(None).cast("string"))
+    under = F.coalesce("class_id", "module_id")
     edges = [edge_rows(placed.select(under.alias("u"), "id").distinct(), F.col("u"), F.col("id"), "DEFINES"), edge_rows(module_nodes.join(file_ids, "path"), F.col("file_id"), F.col("id"), "DEFINES")]
     nodes = [file_nodes, module_nodes, def_nodes]
 
@@ -174,11 +172,14 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = F.regexp_extract("line_text", pattern, 3) if suffix == SCRIPT else F.lit("")
         hits = node_rows(spots, "Endpoint", F.concat(verb, F.lit(" "), route), "code", "EXACT_STATIC", canonical_name=route, method=verb, endpoint=route, subject=F.nullif(named, F.lit("")))
         nodes.append(hits)
-        edges.append(edge_rows(hits.join(tops, "path"), F.col("module_id"), F.col("id"), "REFERENCES"))
         above = F.col("handler").eqNullSafe(F.col("subject")) & (F.col("at") <= F.col("start_line")) if suffix == SCRIPT else F.col("at") > F.col("start_line")
         near = hits.join(handlers, "path").where(above)
         nearest = first_per_key(near, ["id"], F.abs(F.col("at") - F.col("start_line")), F.col("handler_id"))
         edges.append(edge_rows(nearest, F.col("id"), F.col("handler_id"), "ROUTE_TO_HANDLER"))
+        if suffix == r"\.py$":  # a decorator stands at its handler
+            edges.append(edge_rows(nearest, F.col("handler_id"), F.col("id"), "REFERENCES"))
+        else:
+            edges.append(edge_rows(hits.join(tops, "path"), F.col("module_id"), F.col("id"), "REFERENCES"))
 
     sql = known.where("kind = 'sql'")
     created, used = _matches(sql, SQL_CREATE), _matches(sql, SQL_USE)
@@ -196,13 +197,17 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges.append(edge_rows(column_nodes.join(table_ids.withColumnRenamed("name", "subject"), ["path", "subject"]), F.col("table_id"), F.col("id"), "CONTAINS"))
     nodes += [table_nodes, column_nodes]
 
-    keyed = known.where("kind in ('openapi', 'config') and not path like '%.json'").withColumn("key", F.regexp_replace(F.regexp_extract("line_text", YAML_KEY, 2), "^['\"]+|['\"]+$", ""))
+    whole = code.where("path like '%.json' and kind in ('openapi', 'config')").groupBy("path", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("doc"))
+    whole = whole.where(F.try_parse_json("doc").isNotNull() & F.ltrim("doc").startswith("{"))
+    keyed = known.where("kind in ('openapi', 'config')").join(whole.select("path"), "path", "left_anti")  # JSON that doesn't parse is read by line
+    keyed = keyed.withColumn("key", F.regexp_replace(F.regexp_extract("line_text", YAML_KEY, 2), "^['\"]+|['\"]+$", ""))
     key_nodes = node_rows(keyed.where("key <> ''"), "ConfigKey", F.col("key"), "code", "EXACT_STATIC")
     route = F.last(F.when(F.col("key").startswith("/"), F.col("key")), ignorenulls=True).over(by_path)
     verb = F.upper(F.regexp_extract("line_text", YAML_METHOD, 1))
     api = keyed.where("kind = 'openapi'").withColumn("route", route).withColumn("verb", verb).where("verb <> '' and route is not null")
-    json_keys = _json_keys(files.join(code.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("doc")), "path").where("path like '%.json' and kind in ('openapi', 'config')"))
-    api_json = json_keys.where("parent = 'paths' and startswith(top, '/') and lower(key) in ('get', 'post', 'put', 'patch', 'delete', 'head', 'options')").select("path", "kind", "line", "line_text", F.col("top").alias("route"), F.upper("key").alias("verb"))
+    json_keys = checkpoint(_json_keys(whole))
+    api_json = json_keys.where("kind = 'openapi' and size(above) = 2 and above[0] = 'paths' and lower(key) in ('get', 'post', 'put', 'patch', 'delete', 'head', 'options')")
+    api_json = api_json.select("path", "kind", F.col("above_line").alias("line"), F.col("above_text").alias("line_text"), F.expr("above[1]").alias("route"), F.upper("key").alias("verb"))
     api = api.select("path", "kind", "line", "line_text", "route", "verb").unionByName(api_json)
     api_nodes = node_rows(api, "Endpoint", F.concat("verb", F.lit(" "), "route"), "code", "EXACT_STATIC", canonical_name=F.col("route"), method=F.col("verb"), endpoint=F.col("route"))
     json_nodes = node_rows(json_keys, "ConfigKey", F.col("key"), "code", "EXACT_STATIC", canonical_name=F.col("dotted"))
@@ -212,18 +217,81 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_of(nodes).dropDuplicates(["id"]), all_of(edges).dropDuplicates(["id"])
 
 
+def _scopes(code: DataFrame) -> DataFrame:
+    """A row for each definition of code lines (with def, indent, depth): path, kind, line, line_text, last (line), body, name,
+    def_kind, and owner and owner_line if the innermost definition around it is a class. A file is one group, read once."""
+
+    def place(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("line", ignore_index=True)
+        lines, texts = pdf["line"].tolist(), pdf["line_text"].tolist()
+        python = bool(pdf["path"].iloc[0].endswith(".py"))
+        out, open_, full = [], [], 0  # open_: (row of out, indent or depth, whether its body has begun)
+
+        def close(last: int) -> None:
+            out[open_.pop()[0]]["last"] = max(last, 0)
+
+        for i, (text, indent, depth, kind, name) in enumerate(zip(texts, pdf["indent"].tolist(), pdf["depth"].tolist(), pdf["def_kind"].tolist(), pdf["name"].tolist())):
+            if not text.strip():
+                continue
+            if python:
+                while open_ and indent <= open_[-1][1] and not text.strip().startswith(("#", ")", "]", "}")):
+                    close(full)
+            else:
+                while open_ and depth <= open_[-1][1] and (open_[-1][2] or isinstance(name, str)):
+                    close(full)
+                if open_ and depth > open_[-1][1]:
+                    open_[-1][2] = True
+            full = i
+            if isinstance(name, str):
+                around = out[open_[-1][0]] if open_ else None
+                owned = around is not None and around["def_kind"] == "Class" and kind != "Class"
+                out.append({"at": i, "last": i, "name": name, "def_kind": kind, "owner": around["name"] if owned else None, "owner_line": lines[around["at"]] if owned else None})
+                open_.append([len(out) - 1, indent if python else depth, not python and ("{" in text or text.rstrip().endswith((";", ",")))])
+        while open_:
+            close(full)
+        rows = [(pdf["path"].iloc[0], "code", lines[d["at"]], texts[d["at"]], lines[d["last"]], "\n".join(texts[d["at"] : d["last"] + 1]).strip(), d["name"], d["def_kind"], d["owner"], d["owner_line"]) for d in out]
+        return pd.DataFrame(rows, columns=["path", "kind", "line", "line_text", "last", "body", "name", "def_kind", "owner", "owner_line"]).astype({"owner_line": "Int32"})
+
+    rows = code.select("path", "line", "line_text", "indent", "depth", F.col("def.kind").alias("def_kind"), F.col("def.name").alias("name"))
+    return rows.groupBy("path").applyInPandas(place, "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int")
+
+
 def _json_keys(files: DataFrame) -> DataFrame:
-    """Keys of the objects of JSON files down to the third level, with their dotted names; files that don't parse have none."""
-    level = files.select("path", "kind", F.lit(1).alias("line"), "line_text", F.try_parse_json("doc").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    level = level.withColumn("dotted", F.lit("")).withColumn("parent", F.lit("")).withColumn("top", F.lit(""))
-    out = []
-    for _ in range(3):
-        level = level.createOrReplaceTempView("_tessera_json") or level.sparkSession.sql(
-            "select path, kind, line, line_text, e.key as key, e.value as v, case when dotted = '' then e.key else concat(dotted, '.', e.key) end as dotted, top as parent, e.key as top "
-            "from _tessera_json, lateral variant_explode(v) as e where schema_of_variant(v) like 'OBJECT%'"
-        )
-        out.append(level.select("path", "kind", "line", "line_text", "key", "dotted", F.when(F.size(F.split("dotted", r"\.")) > 2, F.element_at(F.split("dotted", r"\."), 1)).alias("parent"), F.col("parent").alias("top")))
-    return all_of(out)
+    """A row for each key of each object of JSON files (path, kind, doc), at any depth: key, dotted (with the keys above), above, and the
+    first line that holds the key (line, line_text) and the key above it; 1 if none does."""
+
+    def keys(batches):
+        import json
+
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, kind, doc in batch.itertuples(index=False):
+                lines = doc.split("\n")
+                at: dict[str, int] = {}
+
+                def find(key: str, lines=lines, at=at) -> int:
+                    if key not in at:
+                        at[key] = next((i for i, x in enumerate(lines) if key in x), 0)
+                    return at[key]
+
+                todo = [([], json.loads(doc))]
+                while todo:
+                    above, value = todo.pop()
+                    if isinstance(value, dict):
+                        for k, v in value.items():
+                            i, j = find(k), find(above[-1]) if above else 0
+                            rows.append((path, kind, i + 1, lines[i], k, ".".join([*above, k]), above, j + 1, lines[j]))
+                            todo.append(([*above, k], v))
+                    elif isinstance(value, list):
+                        todo += [(above, v) for v in value]
+            yield pd.DataFrame(rows, columns=["path", "kind", "line", "line_text", "key", "dotted", "above", "above_line", "above_text"])
+
+    made = "path string, kind string, line int, line_text string, key string, dotted string, above array<string>, above_line int, above_text string"
+    return files.select("path", "kind", "doc").mapInPandas(keys, made).dropDuplicates(["path", "dotted"])
 
 
 def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

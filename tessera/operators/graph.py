@@ -15,10 +15,13 @@ WEAK = "SEMANTIC_CANDIDATE"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a write to the folder that the cluster shares."""
+    """Cut the lineage by a write to the folder that the cluster shares; a folder of our own only on a local master."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 

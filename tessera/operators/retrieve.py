@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.graph import traverse
 from tessera.operators.links import with_endpoint
-from tessera.operators.search import like_search, quote_nodes
+from tessera.operators.search import bm25_topk, like_search, quote_nodes
 from tessera.operators.store import first_per_key
 
+# What candidates from text search (and the most that a search score adds), from quotes and from the graph start with.
+TEXT_BASE, TEXT_MOST, QUOTE_BASE, GRAPH_BASE = 38.0, 10.0, 34.0, 62.0
+
 DOCUMENTS = ("markdown", "pdf", "sb")
 
 
@@ -103,21 +106,24 @@ def evidence(ranked: DataFrame, limit: int = 8) -> DataFrame:
 def retrieve(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 8, max_depth: int = 3, include_weak: bool = False) -> dict:
     """intent, seeds, candidates (ranked) and evidence (DataFrames) for one task.
 
-    ``nodes`` are NODE rows with indexed_at; text candidates come from LIKE and from quotes of document nodes."""
+    ``nodes`` are NODE rows with indexed_at; text candidates come from BM25 (LIKE where it finds none) and from quotes of document nodes."""
     spark = nodes.sparkSession
     tasks = spark.createDataFrame([(0, task)], "task_id int, task string")
     said = tasks.select(T.infer_intent("task").alias("intent"), T.tokenize("task").alias("tokens"), T.significant_tokens("task").alias("significant")).first()
     seeds = find_seeds(nodes, tasks).select("id", F.col("score").alias("base"), "reasons")
-    hits = like_search(nodes.select("id", F.col("quote").alias("text")), task, said["tokens"], 20)
     documents = nodes.where(F.col("artifact_kind").isin(*DOCUMENTS))
-    liked = hits.join(documents.select("id"), "id", "left_semi").select("id", F.lit(39.0).alias("base"), F.array(F.lit("text_search:like")).alias("reasons"))
+    texts = nodes.select("id", F.col("quote").alias("text"))
+    best = bm25_topk(texts, said["tokens"], 20)
+    found = best if not best.isEmpty() else like_search(texts, task, said["tokens"], 20)
+    method = "text_search:bm25" if found is best else "text_search:like"
+    liked = found.join(documents.select("id"), "id", "left_semi").select("id", (TEXT_BASE + F.least("score", F.lit(TEXT_MOST))).alias("base"), F.array(F.lit(method)).alias("reasons"))
     held = documents.select("id", F.col("path").alias("artifact_id"), "start_line", "end_line", "page", "quote")
     own = nodes.select(F.col("path").alias("id"), "path", F.col("artifact_kind").alias("kind")).distinct()
-    quotes = quote_nodes(held, own, held, said["significant"], 20).select("id", F.lit(34.0).alias("base"), F.array(F.lit("evidence_quote")).alias("reasons"))
+    quotes = quote_nodes(held, own, held, said["significant"], 20).select("id", F.lit(QUOTE_BASE).alias("base"), F.array(F.lit("evidence_quote")).alias("reasons"))
     texts = first_per_key(liked.unionByName(quotes), ["id"], F.desc("base"))
     start = seeds.select("id").unionAll(texts.join(nodes.select("id", "path", "start_line", "label"), "id").orderBy(F.desc("base"), T.first_of("path"), F.coalesce("start_line", F.lit(0)), "label", "id").limit(10).select("id"))
     walked = traverse(nodes, edges, start, max_depth, include_weak)
-    base = F.greatest(F.lit(0.0), 62.0 - F.col("distance") * 10.0)
+    base = F.greatest(F.lit(0.0), GRAPH_BASE - F.col("distance") * 10.0)
     base = F.when(F.element_at(F.concat(F.array(F.lit("")), "path"), -1) == "SEMANTIC_CANDIDATE", F.least(base, F.lit(8.0))).otherwise(base)
     reached = walked.select("id", base.alias("base"), F.array(F.lit("graph_traversal")).alias("reasons"), "distance", "weight", F.col("path").alias("relations"))
     none = lambda df: df.select("*", F.lit(None).cast("int").alias("distance"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("relations"))

@@ -41,6 +41,24 @@ def bm25(index: DataFrame, n_docs: int, mean_length: float, queries: DataFrame,
     return scored.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
+def bm25_topk(chunks: DataFrame, tokens: list[str], limit: int = 20) -> DataFrame:
+    """id and score of the ``limit`` chunks (id, text) with the highest BM25 for one query; ties by id.
+
+    Without a stored index the tokens are filtered by the query's before they are exploded."""
+    terms = chunks.select("id", tokenize("text").alias("terms")).withColumn("length", F.size("terms"))
+    size = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    index = matching_postings(terms, tokens)
+    queries = chunks.sparkSession.createDataFrame([(0, t) for t in dict.fromkeys(tokens)], "query_id int, term string")
+    return bm25(index, size["n"], size["mean"] or 1.0, queries).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def matching_postings(terms: DataFrame, tokens: list[str]) -> DataFrame:
+    """term, id, length and tf of the given tokens alone, from rows (id, terms, length)."""
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(tokens)]).cast("array<string>")
+    held = F.filter("terms", lambda t: F.array_contains(wanted, t))
+    return terms.select("id", "length", F.explode(held).alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+
+
 def quote_nodes(evidence: DataFrame, artifacts: DataFrame, nodes: DataFrame, task_tokens: list[str], limit: int = 20) -> DataFrame:
     """Ids of document nodes whose evidence quotes one of the task's first six significant tokens."""
     if not task_tokens:

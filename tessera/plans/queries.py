@@ -249,8 +249,9 @@ BM25_QUERIES = [(1, "apache"), (1, "license"), (2, "password"), (2, "token"), (3
 )
 def bm25_scores(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), "text")
-    index = graph.checkpoint(search.postings(docs))
-    size = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    terms = docs.select("id", T.tokenize("text").alias("terms")).withColumn("length", F.size("terms"))
+    size = terms.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    index = search.matching_postings(terms, [term for _, term in BM25_QUERIES])
     queries = docs.sparkSession.createDataFrame(BM25_QUERIES, "query_id int, term string")
     return search.bm25(index, size["n"], size["mean"] or 1.0, queries).select("query_id", "id", F.round("score", 6).alias("score"))
 

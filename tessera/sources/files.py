@@ -85,6 +85,12 @@ def ignored(path: str, rules: list[str]) -> Column:
     return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in IGNORED_FOLDERS])) | verdict
 
 
+def load_ignore_rules(root: str, names: tuple[str, ...] = (".gitignore", ".tesseraignore")) -> list[str]:
+    """The rules of the ignore files of a project, in the order of ``names``; a file that isn't there has none."""
+    found = [Path(root) / n for n in names]
+    return [rule for f in found if f.is_file() for rule in f.read_text(encoding="utf-8", errors="replace").splitlines()]
+
+
 def artifacts(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """path, kind, content_hash and text of the files that are indexed: of a known kind and not ignored.
 
@@ -111,12 +117,13 @@ def segments(line_rows: DataFrame) -> DataFrame:
 
 
 def snippet(line_rows: DataFrame, path: str, start: int, end: int, max_lines: int = 80, max_chars: int = 8000) -> DataFrame:
-    """The lines from ``start`` to ``end`` of a file, at most ``max_lines`` and ``max_chars``; paths out of the project raise."""
+    """The lines from ``start`` to ``end`` of a file, at most ``max_lines`` and ``max_chars`` (the last line is cut there); paths out of the project raise."""
     if path.startswith(("/", "\\")) or ".." in Path(path).parts:
         raise ValueError(f"not a path of the project: {path}")
     rows = line_rows.where((F.col("path") == path) & F.col("line").between(start, min(end, start + max_lines - 1)))
-    so_far = F.sum(F.length("line_text") + 1).over(Window.partitionBy("path").orderBy("line"))
-    return rows.withColumn("_chars", so_far).where(F.col("_chars") <= max_chars).drop("_chars")
+    before = F.sum(F.length("line_text") + 1).over(Window.partitionBy("path").orderBy("line")) - F.length("line_text") - 1
+    rows = rows.withColumn("_before", before).where(F.col("_before") < max_chars)
+    return rows.withColumn("line_text", F.expr(f"left(line_text, int({max_chars} - _before))")).drop("_before")
 
 
 def chunks(line_rows: DataFrame, size: int = 120) -> DataFrame:

@@ -89,6 +89,88 @@ def test_code_graph(project):
     assert {("ROUTE_TO_HANDLER", "POST /api/users", "createUser"), ("ROUTE_TO_HANDLER", "GET /health", "health"), ("CONTAINS", "users", "email"), ("DEFINES", "db/schema.sql", "users"), ("QUERY_TOUCHES_TABLE", "db/schema.sql", "orders"), ("DEFINES", "UserService", "createAll")} <= pairs
 
 
+NESTED = """class Repo:
+    def save(self):
+        def inner():
+            return 1
+
+        return inner()
+
+    class Row_x:
+        def read(self):
+            return 2
+
+
+def outer(email):
+    # not the end
+    if not email:
+        raise ValueError("email is required")
+
+    def helper():
+        return 3
+
+    return helper
+"""
+SCRIPT = """class A {
+  run() {
+    return 1;
+  }
+}
+
+function f(
+  a,
+) {
+  const g = (x) => x;
+  return g;
+}
+"""
+
+
+def test_definitions_reach_and_nest(spark):
+    got = index.build(corpus(spark, {"a.py": NESTED, "b.ts": SCRIPT})).nodes.where("kind in ('Class', 'Function', 'Method')")
+    spans = {(r["path"], r["kind"], r["canonical_name"]): (r["start_line"], r["end_line"]) for r in got.collect()}
+    assert spans == {
+        ("a.py", "Class", "Repo"): (1, 10), ("a.py", "Method", "Repo.save"): (2, 6), ("a.py", "Function", "inner"): (3, 4), ("a.py", "Class", "Row_x"): (8, 10), ("a.py", "Method", "Row_x.read"): (9, 10),
+        ("a.py", "Function", "outer"): (13, 21), ("a.py", "Function", "helper"): (18, 19), ("b.ts", "Class", "A"): (1, 5), ("b.ts", "Method", "A.run"): (2, 4), ("b.ts", "Function", "f"): (7, 12), ("b.ts", "Function", "g"): (10, 10),
+    }
+    assert got.where("label = 'outer'").first()["quote"].endswith("return helper")
+
+
+def test_validating_function_is_linked_by_its_body(spark):
+    rules = "# Rules\n\nThe `email` field is required and cannot be empty.\n"
+    code = "def validate_email(email):\n    if not email:\n        raise ValueError('required')\n"
+    both = index.build(corpus(spark, {"rules.md": rules, "validators.py": code}))
+    ends = both.edges.where("extractor = 'code_document_linker' and relation = 'SB_DEFINES_VALIDATION'").join(both.nodes.select(F.col("id").alias("dst"), "label"), "dst")
+    assert {r["label"] for r in ends.collect()} >= {"validate_email"}
+
+
+def test_decorated_handler_refers_to_its_endpoint(project):
+    named = project.nodes.select("id", "label")
+    got = project.edges.where("relation = 'REFERENCES'").join(named.select(F.col("id").alias("src"), F.col("label").alias("from")), "src").join(named.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst")
+    assert ("health", "GET /health") in {(r["from"], r["to"]) for r in got.collect()}
+
+
+def test_json_keys_of_any_depth(spark):
+    import json
+
+    api = json.dumps({"openapi": "3.0.0", "paths": {"/orders": {"post": {"responses": {"200": {"content": {"deep": {"deeper": 1}}}}}}}}, indent=1)
+    nodes = index.build(corpus(spark, {"openapi.json": api, "a.json": '{"x": [{"y": 1}]}', "bad.json": '{\nkey: 1\n', "list.json": "[1]"})).nodes
+    keys = {(r["path"], r["canonical_name"]): r["start_line"] for r in nodes.where("kind = 'ConfigKey'").collect()}
+    assert keys["openapi.json", "paths./orders.post.responses.200.content.deep.deeper"] == 10
+    assert {("a.json", "x"), ("a.json", "x.y"), ("bad.json", "key")} <= {*keys} and not any(p == "list.json" for p, _ in keys)
+    assert [(r["label"], r["start_line"]) for r in nodes.where("kind = 'Endpoint'").collect()] == [("POST /orders", 4)]
+
+
+def test_ignore_files_of_a_project(spark, tmp_path):
+    (tmp_path / ".gitignore").write_text("# note\n*.md\n")
+    (tmp_path / ".tesseraignore").write_text("!keep.md\n")
+    for name in ("a.md", "keep.md", "b.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    kept = files.artifacts(files.read_files(spark, str(tmp_path)), files.load_ignore_rules(str(tmp_path)))
+    assert {r["path"] for r in kept.collect()} == {"keep.md", "b.py"}
+    assert files.load_ignore_rules(str(tmp_path / "none")) == []
+
+
 def test_markdown_graph(project):
     doc = project.nodes.where("path = 'README.md'")
     got = {(r["kind"], r["label"]): (r["start_line"], r["end_line"]) for r in doc.where("kind in ('Document', 'Section', 'Table')").collect()}
@@ -262,7 +344,7 @@ def test_snippets_chunks_and_sections(spark):
     text = "\n".join(["intro", "::Part One::", *[f"line {i}" for i in range(200)], " ::Two:: ", "end"])
     rows = files.lines(spark.createDataFrame([("a.sb", "markdown", text)], "path string, kind string, text string"))
     assert [r["line"] for r in files.snippet(rows, "a.sb", 10, 200).orderBy("line").collect()] == list(range(10, 90))
-    assert files.snippet(rows, "a.sb", 1, 80, max_chars=30).count() == 3
+    assert [r["line_text"] for r in files.snippet(rows, "a.sb", 1, 80, max_chars=30).orderBy("line").collect()] == ["intro", "::Part One::", "line 0", "line"]
     for bad in ("../x", "/etc/passwd", "a/../../b"):
         with pytest.raises(ValueError):
             files.snippet(rows, bad, 1, 2)
