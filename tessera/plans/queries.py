@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import conflicts, graph, links, retrieve, search, store
-from tessera.operators.extract import NODE
+from tessera.operators.extract import NODE, code_graph, markdown_graph
 from tessera.operators.nearest import nearest
 from tessera.sources import files
 
@@ -162,19 +162,38 @@ def line_nearby_text(t):
 
 @query("""select conv_id, turn as start_turn, coalesce(lead(turn) over w - 1, last_turn) as end_turn from (select *, max(turn) over (partition by conv_id) as last_turn from conversations) where role = 'user' window w as (partition by conv_id order by turn)""")
 def heading_sections(t):
-    rows = t("conversations").withColumn("last_turn", F.max("turn").over(Window.partitionBy("conv_id"))).where("role = 'user'")
-    after = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.select("conv_id", F.col("turn").alias("start_turn"), F.coalesce(after - 1, F.col("last_turn")).alias("end_turn"))
+    heading = F.when(F.col("role") == "user", "# said by the user").otherwise("an answer")
+    rows = t("conversations").select(F.col("conv_id").cast("string").alias("path"), F.lit("markdown").alias("kind"), F.col("turn").cast("int").alias("line"), heading.alias("line_text"))
+    sections = markdown_graph(rows)[0].where("kind = 'Section'")
+    return sections.select(F.col("path").cast("long").alias("conv_id"), F.col("start_line").cast("long").alias("start_turn"), F.col("end_line").cast("long").alias("end_turn"))
 
 
 @query(
-    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text <> ''), m as (select doc_id, line, unnest(regexp_extract_all(x, '([a-z]+_?[a-z]*) = "', 1)) as key from l)
-    select doc_id, cast(line as bigint) as line, key, count(*) as n from m where key <> '' group by all"""
+    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text <> '')
+    select distinct doc_id, cast(line as bigint) as line, regexp_extract(x, '^(\s*)([A-Za-z0-9_./{}:-]+)\s*:', 2) as key from l where regexp_extract(x, '^(\s*)([A-Za-z0-9_./{}:-]+)\s*:', 2) <> ''"""
 )
 def config_key_lines(t):
-    rows = files.lines(t("documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("config").alias("kind"), "text"))
-    keys = rows.withColumn("key", F.explode(F.regexp_extract_all("line_text", F.lit('([a-z]+_?[a-z]*) = "'), F.lit(1)))).where("key <> ''")
-    return keys.groupBy(F.col("path").cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), "key").agg(F.count("*").alias("n"))
+    rows = files.lines(t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".yaml")).alias("path"), F.lit("config").alias("kind"), "text"))
+    keys = code_graph(rows)[0].where("kind = 'ConfigKey'")
+    return keys.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), F.col("start_line").cast("long").alias("line"), F.col("label").alias("key"))
+
+
+@query(
+    """with c as (select c_nationkey as k, c_custkey as c, row_number() over (partition by c_nationkey order by c_custkey) as nth from customer)
+    select 'Method' as kind, 'Nation' || k || '.customer_' || c as name, cast(2 * nth as bigint) as start_line, cast(2 * nth + 1 as bigint) as end_line, 'Nation' || k as defined_by from c
+    union all select 'Class', 'Nation' || n_nationkey, 1, cast(1 + 2 * count(c) as bigint), 'nation' || n_nationkey from nation left join c on k = n_nationkey group by n_nationkey"""
+)
+def python_definitions(t):
+    """Classes and methods of a Python file for each nation, with a method for each of its customers."""
+    path = lambda c: F.concat(F.lit("nation"), F.col(c).cast("string"), F.lit(".py")).alias("path")
+    nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    body = F.array(F.struct(F.lit(0).alias("more"), F.format_string("    def customer_%d(self):", "c_custkey").alias("text")), F.struct(F.lit(1).alias("more"), F.lit("        return 1").alias("text")))
+    methods = t("customer").withColumn("nth", nth).select(path("c_nationkey"), "nth", F.explode(body).alias("b")).select("path", (2 * F.col("nth") + F.col("b.more")).alias("line"), F.col("b.text").alias("line_text"))
+    heads = t("nation").select(path("n_nationkey"), F.lit(1).alias("line"), F.format_string("class Nation%d:", "n_nationkey").alias("line_text"))
+    nodes, edges = code_graph(heads.unionByName(methods).select("path", F.lit("code").alias("kind"), "line", "line_text"))
+    named = nodes.where("kind in ('Class', 'Method')")
+    owners = edges.where("relation = 'DEFINES'").join(nodes.select(F.col("id").alias("src"), F.col("label").alias("defined_by")), "src").select(F.col("dst").alias("id"), "defined_by")
+    return named.join(owners, "id").select("kind", F.col("canonical_name").alias("name"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "defined_by")
 
 
 # --- tables of an index: diffs, upserts, deletes, counts
