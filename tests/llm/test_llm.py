@@ -624,6 +624,38 @@ def test_channel_restores_signs_at_the_end(spark):
         assert meant in channel.restore(said).rstrip("!").split()
 
 
+def test_decoding_recovers_disguised_toxic_texts(spark):
+    """Real toxic texts that were not learned from, with their telling words disguised: recall with the channel and without it."""
+    from tessera.llm.toxicity import LEET, Channel, Model, fit
+
+    data = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    rows = duckdb.connect().execute(f"select doc_id, text from read_parquet('{data}/documents.parquet') d join read_parquet('{data}/labels.parquet') l using (doc_id) where toxic = 1 and text is not null order by doc_id").fetchall()
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    model = fit(frame, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+
+    class Plain(Channel):
+        def restore(self, text):
+            return text.lower()
+
+    plain = Model(Plain(model.channel.logp), model.words, model.weights, model.bias)
+    telling = [w for w, k in model.words.items() if model.weights[k] > 0.5]
+    signs = {letters[0]: sign for sign, letters in reversed(LEET.items()) if sign.isdigit()}
+    leet = lambda w: "".join(signs.get(c, c) for c in w)
+    ways = [leet, lambda w: " ".join(w), lambda w: w[0] + w[1] * 5 + w[2:]]
+    shown = [t for _, t in held if model.scores([t])[0] >= 0.5]
+    again = without = n = 0
+    for t in shown:
+        for way in ways:
+            said = re.sub(r"[^\W\d_]+", lambda m: way(m[0].lower()) if m[0].lower() in telling else m[0], t)  # noqa: B023
+            again += model.scores([said])[0] >= 0.5
+            without += plain.scores([said])[0] >= 0.5
+            n += 1
+    print(f"disguised: {n} texts, found with the channel {again}, without it {without}")
+    assert n >= 9 and again >= 0.75 * n and without <= 0.3 * n
+
+
 def test_toxicity_of_odd_rows(spark):
     from tessera.llm.toxicity import fit, score
 
