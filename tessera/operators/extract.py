@@ -324,12 +324,13 @@ def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = blocks.where("sort <> 'Section'")
     block_nodes = node_rows(others, F.col("sort"), short("line_text", 96, compact=True), "md", "DOC_EXACT", end_line=F.col("last"), quote=F.col("line_text"))
     top = document_nodes.select("path", F.col("id").alias("document_id"))
-    outer = section_nodes.select("path", F.col("id").alias("outer_id"), F.col("start_line").alias("from_line"), F.col("subject").cast("int").alias("outer_level"))
     own = F.when(F.col("kind") == "Section", F.col("subject").cast("int")).otherwise(99)
     parts = section_nodes.unionByName(block_nodes).withColumn("own", own)
-    above = parts.join(outer, "path").where("from_line < start_line and outer_level < own or from_line = start_line and kind <> 'Section'")
-    parent = first_per_key(above, ["id"], F.desc("from_line"), F.desc("outer_level")).select("id", "outer_id")
-    held = parts.join(top, "path").join(parent, "id", "left")
+    # the last heading of each level above a part, and of those with a lower level than its own the nearest
+    above = Window.partitionBy("path").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
+    heads = [F.last(F.when(F.col("own") == n, F.struct(F.col("start_line").alias("at"), F.col("id").alias("outer_id"))), ignorenulls=True).over(above) for n in range(1, 7)]
+    nearest = F.greatest(*[F.when(F.col("own") > n, h) for n, h in enumerate(heads, 1)])
+    held = parts.withColumn("outer_id", nearest["outer_id"]).join(top, "path")
     edges = edge_rows(held, F.coalesce("outer_id", "document_id"), F.col("id"), "CONTAINS", "DOC_EXACT", "markdown")
     return all_of([document_nodes, section_nodes, block_nodes]), edges
 

@@ -20,15 +20,20 @@ TABLES = {
 }
 
 
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the newest version in ``folder``; all are empty where there is none yet."""
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The number of the newest complete version in ``folder``; 0 where there is none yet."""
     try:
-        newest = spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
+        return spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0] or 0
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        newest = None
-    if newest is None:
+        return 0
+
+
+def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest version in ``folder``; all are empty where there is none yet."""
+    newest = newest_version(spark, folder)
+    if not newest:
         return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
     return {t: spark.read.schema(s).parquet(f"{folder}/{newest}/{t}") for t, s in TABLES.items()}
 

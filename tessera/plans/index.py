@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import content_id
 from tessera.operators import conflicts, links, retrieve, store
-from tessera.operators.extract import all_of, code_graph, facts, markdown_graph, mentions
+from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
 from tessera.operators.graph import checkpoint
-from tessera.sources.files import lines
+from tessera.sources.files import chunks, lines
 
 
 @dataclass
@@ -43,8 +44,6 @@ def plan(artifacts: DataFrame, before: DataFrame) -> DataFrame:
 
 def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of page texts (path, page, text): a Page for each, AMBIGUOUS if it has no text, and its facts."""
-    from tessera.operators.extract import edge_rows, node_rows
-
     rows = pages.select("path", F.lit("pdf").alias("kind"), F.lit(None).cast("int").alias("line"), "page", F.coalesce("text", F.lit("")).alias("line_text"))
     name = F.concat(F.lit("Page "), F.col("page").cast("string"))
     full, empty = rows.where("trim(line_text) <> ''"), rows.where("trim(line_text) = ''")
@@ -68,36 +67,108 @@ def page_status(pages: DataFrame) -> DataFrame:
     return pages.groupBy("path").agg(F.when(full, "indexed").otherwise("text_unavailable").alias("status"))
 
 
-def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:
-    """Extract and link a corpus (path, kind, content_hash, text), and page texts (path, page, text) if there are."""
-    rows = checkpoint(lines(artifacts))
+def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that the files themselves give, without links between documents and code."""
     code, code_edges = code_graph(rows)
     doc, doc_edges = markdown_graph(rows)
     named = mentions(rows)
     blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("kind").alias("sort"))
     held = named.join(blocks, "path").where("start_line between a and b and (sort <> 'Section' or start_line = a)")
-    from tessera.operators.extract import edge_rows
-
     says = F.when(F.col("confidence") == "AMBIGUOUS", "SEMANTIC_CANDIDATE").when(F.lower("quote").rlike(r"\b(is|are|means|refers to|defines|describes|explains|represents)\b"), "DOC_EXPLAINS").otherwise("DOC_MENTIONS")
     parts, part_edges = [code, doc, named], [code_edges, doc_edges, edge_rows(held, F.col("block"), F.col("id"), says, "DOC_EXACT", "markdown")]
     if pages is not None:
         sheets, sheet_edges = page_nodes(pages)
         parts.append(sheets)
         part_edges.append(sheet_edges)
-    nodes = checkpoint(all_of(parts).dropDuplicates(["id"]).withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz")))
-    edges = checkpoint(all_of(part_edges).dropDuplicates(["id"]))
+    return all_of(parts).dropDuplicates(["id"]), all_of(part_edges).dropDuplicates(["id"])
+
+
+def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:
+    """Extract and link a corpus (path, kind, content_hash, text), and page texts (path, page, text) if there are."""
+    rows = checkpoint(lines(artifacts))
+    nodes, edges = extract(rows, pages)
+    nodes = checkpoint(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz")))
+    edges = checkpoint(edges)
     linked = links.link(nodes, edges).drop("reason")
     return Index(nodes, checkpoint(edges.unionByName(linked)), rows)
 
 
+#: What a stored node holds beside its own columns, as JSON.
+DETAILS = ["artifact_kind", "method", "endpoint", "reference_type", "subject", "quote"]
+DETAIL_SCHEMA = ", ".join(f"{c} string" for c in DETAILS)
+
+
+def artifact_id(path: str = "path"):
+    return content_id("artifact", path)
+
+
+def stored_rows(artifacts: DataFrame, indexed_at: str) -> dict[str, DataFrame]:
+    """The rows of the stored tables for some files: artifacts, nodes, edges, chunks of 120 lines, and a piece of evidence for each node with a
+    quote, which the edges to that node name. Files without text have an artifact alone."""
+    rows = checkpoint(lines(artifacts))
+    nodes, edges = (checkpoint(df) for df in extract(rows))
+    at, none = F.lit(indexed_at).cast("timestamp_ntz"), F.lit(None).cast("string")
+    proof = F.when(F.coalesce("quote", F.lit("")) != "", content_id("evidence", "path", "id"))
+    chunk = chunks(rows).join(artifacts.select("path", "kind"), "path")
+    found = edges.join(nodes.select(F.col("id").alias("dst"), proof.alias("evidence_id")), "dst", "left")
+    made = {
+        "artifacts": artifacts.select(artifact_id().alias("id"), F.col("path").alias("uri"), "path", "kind", F.element_at(F.split("path", "/"), -1).alias("title"), "content_hash", at.alias("indexed_at"), none.alias("metadata")),
+        "nodes": nodes.select("*", artifact_id().alias("artifact_id"), none.alias("bbox"), F.to_json(F.struct(*DETAILS)).alias("metadata")),
+        "edges": found.withColumn("metadata", none),
+        "chunks": chunk.select(
+            content_id("chunk", "path", "start_line", "end_line").alias("id"), artifact_id().alias("artifact_id"), "kind", "text", none.alias("summary"), F.lit(None).cast("int").alias("page"),
+            "start_line", "end_line", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int").alias("token_count"), none.alias("metadata"),
+        ),
+        "evidence": nodes.withColumn("proof", proof).where("proof is not null").select(
+            F.col("proof").alias("id"), artifact_id().alias("artifact_id"), F.col("path").alias("source_uri"), "quote", "start_line", "end_line", "page", none.alias("bbox"), F.lit("fast_graph").alias("extractor"), "confidence",
+        ),
+    }
+    columns = {t: [c.split()[0] for c in store.TABLES[t].split(", ")] for t in made}
+    return {t: df.select(*columns[t]) for t, df in made.items()}
+
+
+def graph_nodes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Stored nodes with their details as columns again, and the time at which their file was indexed."""
+    times = tables["artifacts"].select(F.col("id").alias("artifact_id"), "indexed_at")
+    wide = tables["nodes"].join(times, "artifact_id").withColumn("_", F.from_json("metadata", DETAIL_SCHEMA))
+    return wide.select(*[F.col(f"_.{c}").alias(c) if c in DETAILS else F.col(c) for c in NODE], "indexed_at")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    """The newest stored index of a folder."""
+    tables = store.load_tables(spark, folder)
+    kinds = tables["artifacts"].select(F.col("id").alias("artifact_id"), "path")
+    texts = tables["chunks"].join(kinds, "artifact_id").select("path", "kind", "start_line", F.posexplode(F.split("text", "\n", -1)).alias("at", "line_text"))
+    return Index(graph_nodes(tables), tables["edges"].select(*EDGE), texts.select("path", "kind", (F.col("start_line") + F.col("at")).alias("line"), "line_text"))
+
+
+def run(artifacts: DataFrame, folder: str, indexed_at: str = "2000-01-01 00:00:00") -> DataFrame:
+    """Bring the stored index of a folder up to a corpus (path, kind, content_hash, text); path, kind and change of each file.
+
+    Only new and modified files are extracted; what deleted and modified ones had goes; the others' rows stay as they are. Links, which may
+    run between any two files, are made anew from the stored nodes. A run without changes writes nothing. The result is a new version, which
+    readers see once it is complete."""
+    spark = artifacts.sparkSession
+    before = store.load_tables(spark, folder)
+    changes = checkpoint(plan(artifacts, before["artifacts"]))
+    if changes.where("change <> 'unchanged'").isEmpty():
+        return changes
+    touched = artifacts.join(changes.where("change in ('new', 'modified')").select("path"), "path", "left_semi").select(*artifacts.columns)
+    tables = store.replace_files(store.remove_missing(before, artifacts), stored_rows(touched, indexed_at))
+    edges = checkpoint(store.clear_links(tables["edges"]))
+    nodes = checkpoint(tables["nodes"])
+    linked = links.link(graph_nodes(dict(tables, nodes=nodes)), edges.select(*EDGE))
+    linked = linked.select("*", F.lit(None).cast("string").alias("evidence_id"), F.to_json(F.struct("reason")).alias("metadata"))
+    tables = dict(tables, nodes=nodes, edges=edges.unionByName(linked.select(*edges.columns)))
+    store.save_tables(tables, folder, store.newest_version(spark, folder) + 1)
+    return changes
+
+
 def symbol_overlay(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of compiler symbols: documents (relative_path, occurrences: symbol, range, symbol_roles).
 
     A symbol is a node at its last occurrence; an occurrence links the nearest node of its file to it, DEFINES for
     a definition, else REFERENCES."""
-    from tessera.functions.text import content_id
-    from tessera.operators.extract import NODE, edge_rows
-
     occ = documents.select(F.col("relative_path").alias("path"), F.posexplode("occurrences").alias("nth", "o")).select("path", "nth", "o.symbol", (F.element_at("o.range", 1) + 1).alias("line"), F.col("o.symbol_roles").alias("roles"))
     occ = occ.withColumn("defines", F.exists("roles", lambda r: F.lower(r) == "definition"))
     symbol_id = content_id("scip", F.lit("symbol"), "symbol")

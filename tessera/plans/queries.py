@@ -489,21 +489,35 @@ def nearest_order(t):
     return nearest(events, orders, "id", "event_id", F.abs(F.datediff("ts", "o_orderdate")).cast("long"), "o_orderkey", 9500)
 
 
-# --- the whole way over a small literal project; SQL has no counterpart, the tests hold exact values
+# --- the whole way over a project made of tables: every document is a Markdown file, every page a source file and its guide
+
+GUIDE = "concat_ws('\\n', concat('# Guide ', page_id), '', concat('The client calls `GET /pages/', page_id, '`.'), '', concat('The field `pin_', page_id, '` must be at least ', 6 + page_id % 5, ' characters.'), '')"
+SOURCE = (
+    "concat_ws('\\n', concat('export function page', page_id, '(req, res) {'), concat('  return res.send(', length(html), ');'), '}', concat('app.get(\"/pages/', page_id, '\", page', page_id, ');'), 'const schema = {', "
+    "concat('  pin_', page_id, ': z.string().min(', 6 + page_id % 3, '),'), '};', '')"
+)
+_built: dict = {}
+
+
+def _file(path: str, text: str):
+    return F.expr(path).alias("path"), F.expr(text).cast("binary").alias("content")
 
-PROJECT = {
-    "README.md": "# Users\n\nThe client calls `POST /api/users`.\n\nThe password must be at least 8 characters.\n\nStatus PAID ends it. Only admin can refund.\n",
-    "src/app.ts": 'export function createUser(req, res) {\n  if (!req.body.email) throw new Error("required");\n}\napp.post("/api/users", createUser);\nconst schema = {\n  password: z.string().min(6),\n};\n',
-    "openapi.yaml": "paths:\n  /api/users:\n    post:\n      summary: create\ncomponents:\n  status:\n    enum:\n      - CAPTURED\n      - FAILED\n",
-    "schema.sql": "CREATE TABLE users (\n  id INT,\n  email TEXT\n);\nSELECT * FROM orders;\n",
-}
+
+def _sources_of(pages: DataFrame, text: str = SOURCE) -> DataFrame:
+    return pages.select(*_file("concat('src/page', page_id, '.ts')", text))
 
 
 def _project(t):
+    """The index of the project, built once in a session for each folder of tables (its tables are checkpointed)."""
     from tessera.plans import index
 
-    spark = t("region").sparkSession
-    return index.build(files.artifacts(spark.createDataFrame([(p, x.encode()) for p, x in PROJECT.items()], files.CORPUS)))
+    docs, pages = t("documents"), t("pages")
+    key = (docs.sparkSession.sparkContext.applicationId, *docs.inputFiles(), *pages.inputFiles())
+    if key not in _built:
+        corpus = docs.select(*_file("concat('docs/', doc_id, '.md')", "coalesce(text, '')"))
+        corpus = corpus.unionAll(pages.select(*_file("concat('guides/', page_id, '.md')", GUIDE))).unionAll(_sources_of(pages))
+        _built[key] = index.build(files.artifacts(corpus))
+    return _built[key]
 
 
 @query()
@@ -516,11 +530,67 @@ def project_edges(t):
     return _project(t).edges
 
 
-@query()
+@query(
+    """select 'File' as kind, 'src/page' || page_id || '.ts' as path, cast(7 as int) as end_line from pages
+    union all select 'Document', 'guides/' || page_id || '.md', 5 from pages
+    union all select 'Document', 'docs/' || doc_id || '.md', cast(len(string_split(case when right(text, 1) = chr(10) then left(text, length(text) - 1) else text end, chr(10))) as int) from documents where text <> ''"""
+)
+def project_files(t):
+    return _project(t).nodes.where("kind in ('File', 'Document')").select("kind", "path", "end_line")
+
+
+@query(
+    """select 'GET /pages/' || page_id as endpoint, 'page' || page_id as handler, 'src/page' || page_id || '.ts:1-3' as handler_location, 'guides/' || page_id || '.md' as guide, 'DOC_MENTIONS' as relation from pages"""
+)
+def project_routes(t):
+    """Endpoints with the handler that the source names and the guide that the linker found for them."""
+    project = _project(t)
+    nodes = project.nodes.select("id", "kind", "label", "path", T.location("path", "start_line", "end_line", "page").alias("location"))
+    routes = project.edges.where("relation = 'ROUTE_TO_HANDLER'").select(F.col("src").alias("id"), F.col("dst").alias("handler_id"))
+    said = project.edges.where("extractor = 'code_document_linker'").select(F.col("dst").alias("id"), F.col("src").alias("guide_id"), "relation")
+    ends = nodes.where("kind = 'Endpoint'").join(routes, "id").join(said, "id").select(F.col("label").alias("endpoint"), "handler_id", "guide_id", "relation")
+    handlers = nodes.select(F.col("id").alias("handler_id"), F.col("label").alias("handler"), F.col("location").alias("handler_location"))
+    guides = nodes.where("kind = 'APIReference'").select(F.col("id").alias("guide_id"), F.col("path").alias("guide"))
+    return ends.join(handlers, "handler_id").join(guides, "guide_id").select("endpoint", "handler", "handler_location", "guide", "relation")
+
+
+@query(
+    """with p as (select page_id, 6 + page_id % 5 as said, 6 + page_id % 3 as held from pages)
+    select 'validation_mismatch' as type, 'pin_' || page_id as subject, 'Document requires min length ' || said || ', but code enforces ' || held || '.' as summary,
+      'guides/' || page_id || '.md:5' as doc_location, 'src/page' || page_id || '.ts:6' as code_location from p where said <> held"""
+)
 def project_conflicts(t):
-    return _project(t).conflicts()
+    return _project(t).conflicts().select("type", "subject", "summary", "doc_location", "code_location")
 
 
 @query()
 def project_evidence(t):
-    return _project(t).ask("Change POST /api/users to require email")["evidence"].drop("reasons", "relations")
+    return _project(t).ask("Change GET /pages/7 to require pin_7")["evidence"].drop("reasons", "relations")
+
+
+CHANGED = SOURCE.replace("page_id % 3", "page_id % 4")
+
+
+@query(
+    """with p as (select *, url like 'https%' as fresh from pages)
+    select 'src/page' || page_id || '.ts' as path, case when fresh then 'new' when page_id % 3 <> page_id % 4 then 'modified' else 'unchanged' end as change, cast(1 as bigint) as functions, cast(1 as bigint) as endpoints, cast(1 as bigint) as chunks,
+      'pin_' || page_id || ': z.string().min(' || (6 + page_id % 4) || '),' as rule from p
+    union all select 'old/page' || page_id || '.ts', 'deleted', null, null, null, null from p where not fresh"""
+)
+def index_runs(t):
+    """Two runs of a stored index over sources of pages: files come, change, stay and go; what is stored of each in the end."""
+    import uuid
+
+    from tessera.plans import index
+
+    pages = t("pages")
+    before = pages.where("url not like 'https%'")
+    folder = f"{graph.shared_folder(pages.sparkSession)}/index-{uuid.uuid4().hex}"
+    old = before.select(*_file("concat('old/page', page_id, '.ts')", SOURCE))
+    index.run(files.artifacts(_sources_of(before).unionAll(old)), folder)
+    changes = index.run(files.artifacts(_sources_of(pages, CHANGED)), folder)
+    tables = store.load_tables(pages.sparkSession, folder)
+    kinds = tables["nodes"].groupBy("path").agg(F.count_if(F.col("kind") == "Function").alias("functions"), F.count_if(F.col("kind") == "Endpoint").alias("endpoints"))
+    texts = tables["chunks"].groupBy("artifact_id").agg(F.count("*").alias("chunks"), F.max(F.trim(F.element_at(F.split("text", "\n"), 6))).alias("rule"))
+    kept = tables["artifacts"].select("path", F.col("id").alias("artifact_id")).join(texts, "artifact_id").join(kinds, "path").drop("artifact_id")
+    return changes.join(kept, "path", "left").select("path", "change", "functions", "endpoints", "chunks", "rule")
