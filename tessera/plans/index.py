@@ -68,14 +68,22 @@ def page_status(pages: DataFrame) -> DataFrame:
 
 
 def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) that the files themselves give, without links between documents and code."""
-    code, code_edges = code_graph(rows)
-    doc, doc_edges = markdown_graph(rows)
-    named = mentions(rows)
-    blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("kind").alias("sort"))
-    held = named.join(blocks, "path").where("start_line between a and b and (sort <> 'Section' or start_line = a)")
-    says = F.when(F.col("confidence") == "AMBIGUOUS", "SEMANTIC_CANDIDATE").when(F.lower("quote").rlike(r"\b(is|are|means|refers to|defines|describes|explains|represents)\b"), "DOC_EXPLAINS").otherwise("DOC_MENTIONS")
-    parts, part_edges = [code, doc, named], [code_edges, doc_edges, edge_rows(held, F.col("block"), F.col("id"), says, "DOC_EXACT", "markdown")]
+    """(nodes, edges) that the files themselves give, without links between documents and code; sorts of files that are not there cost nothing."""
+    kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}  # six at most
+    documents = kinds & {"markdown", "pdf"}
+    parts, part_edges = [], []
+    if kinds - {"markdown", "pdf"} or not documents:
+        code, code_edges = code_graph(rows)
+        parts.append(code)
+        part_edges.append(code_edges)
+    if documents:
+        doc, doc_edges = markdown_graph(rows)
+        named = mentions(rows)
+        blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("kind").alias("sort"))
+        held = named.join(blocks, "path").where("start_line between a and b and (sort <> 'Section' or start_line = a)")
+        says = F.when(F.col("confidence") == "AMBIGUOUS", "SEMANTIC_CANDIDATE").when(F.lower("quote").rlike(r"\b(is|are|means|refers to|defines|describes|explains|represents)\b"), "DOC_EXPLAINS").otherwise("DOC_MENTIONS")
+        parts += [doc, named]
+        part_edges += [doc_edges, edge_rows(held, F.col("block"), F.col("id"), says, "DOC_EXACT", "markdown")]
     if pages is not None:
         sheets, sheet_edges = page_nodes(pages)
         parts.append(sheets)

@@ -402,29 +402,3 @@ def test_conflicts_of_a_small_project(spark):
         ("validation_mismatch", "Document requires min length 8, but code enforces 6."),
         ("status_value_mismatch", "Document references status PAID, but code enum contains CAPTURED, FAILED."),
     }
-
-
-def test_stored_runs_equal_a_new_build(spark, tmp_path):
-    folder = str(tmp_path / "index")
-    first = {**LITERAL, "gone.md": "# Gone\n\nSee `createUser()`.\n", "empty.md": ""}
-    changes = lambda df: {r["path"]: r["change"] for r in df.collect()}
-    assert set(changes(index.run(corpus(spark, first), folder)).values()) == {"new"}
-    second = {**LITERAL, "README.md": LITERAL["README.md"].replace("8 char", "10 char"), "more.md": "# More\n\nCall `POST /api/users`.\n", "empty.md": ""}
-    got = changes(index.run(corpus(spark, second), folder, "2000-01-02 00:00:00"))
-    assert got == {"README.md": "modified", "more.md": "new", "gone.md": "deleted", "src/app.ts": "unchanged", "openapi.yaml": "unchanged", "schema.sql": "unchanged", "empty.md": "unchanged"}
-    stored, built = index.load(spark, folder), index.build(corpus(spark, second))
-    rows = lambda df, *drop: sorted((tuple(r) for r in df.drop(*drop).collect()), key=repr)
-    assert rows(stored.nodes, "indexed_at") == rows(built.nodes, "indexed_at")
-    assert rows(stored.edges) == rows(built.edges.select(*stored.edges.columns))
-    said = lambda project: {(r["type"], r["summary"]) for r in project.conflicts().collect()}
-    assert said(stored) == said(built) and any("10" in summary for _, summary in said(stored))
-    times = {r["path"]: str(r["indexed_at"]) for r in stored.nodes.select("path", "indexed_at").distinct().collect()}
-    assert times["more.md"].startswith("2000-01-02") and times["src/app.ts"].startswith("2000-01-01")
-    tables = store.load_tables(spark, folder)
-    assert {r["path"] for r in tables["artifacts"].collect()} == {*second}
-    proofs = {r["id"] for r in tables["evidence"].collect()}
-    named = [r["evidence_id"] for r in tables["edges"].where("evidence_id is not null").collect()]
-    assert named and {*named} <= proofs
-    version = store.newest_version(spark, folder)
-    index.run(corpus(spark, second), folder)
-    assert store.newest_version(spark, folder) == version == 2
