@@ -24,25 +24,51 @@ RUN = 4096
 FAN, LEVELS = 8, 3
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 majority bits over the hashes of the ``width``-word shingles, repeats included, as a signed number."""
+def _mixed(hashes: np.ndarray, families: int) -> np.ndarray:
+    """A row of hashes for each family: the first are the hashes themselves, the others are mixed from them (splitmix64)."""
+    step = np.arange(families, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    z = hashes[None, :] + step
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z[0] = hashes
+    return z
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes how many have each of the 64 bits set; 255 at a time fit a byte."""
+    rows, n = hashes.shape
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little").reshape(rows, n, 64)
+    full = n // 255 * 255
+    counts = bits[:, full:].sum(1, dtype=np.uint8).astype(np.int64)
+    if full:
+        counts += bits[:, :full].reshape(rows, -1, 255, 64).sum(2, dtype=np.uint8).sum(1, dtype=np.int64)
+    return counts
+
+
+def family_fingerprints(text: str | None, width: int = 3, seed: int = 42, families: int = 1) -> list[int]:
+    """For each family 64 majority bits over the hashes of the ``width``-word shingles, repeats included, as a signed number."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * families
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(width, len(words))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(starts), 65536):
-        some = zip(starts[i : i + 65536], stops[i : i + 65536])
-        h = np.array([digest(joined[a:b], seed) for a, b in some], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<i8")[0])
+    votes = np.zeros((families, 64), np.int64)
+    for i in range(0, len(starts), 8160):  # bounded memory
+        some = zip(starts[i : i + 8160], stops[i : i + 8160])
+        votes += _bit_counts(_mixed(np.array([digest(joined[a:b], seed) for a, b in some], "<u8"), families))
+    return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The fingerprint of the first family."""
+    return family_fingerprints(text, width, seed)[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -113,20 +139,23 @@ def _pairs_within(codes: np.ndarray, cuts: np.ndarray, radius: int, only_across:
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each vertex to the smallest index that pairs connect it to: what a set of pairs says, in n links at most."""
-    root = np.arange(n)
+    """Those of the pairs that span what all of them connect: fewer than ``n``, none of them made up.
+
+    In each round every tree that has a pair with a tree of a smaller root is hung below it."""
+    root, taken = np.arange(n), []
     while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        np.minimum.at(least, root[a], least[a])
-        np.minimum.at(least, root[b], least[b])
-        least = least[least]
-        if (least == root).all():
+        x, y = root[a], root[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
             break
-        root = least
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
+        high, first = np.unique(np.maximum(x, y)[open_], return_index=True)
+        at = open_[first]
+        taken.append(at)
+        root[high] = np.minimum(x, y)[at]
+        while (root[root] != root).any():
+            root = root[root]
+    at = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return a[at], b[at]
 
 
 def _joined(batches: Iterator, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -174,92 +203,98 @@ def _children(masks: list[int], radius: int) -> dict[int, list[int]]:
     return {m: [m | b for b in block_masks(radius + 1, ((1 << 64) - 1) & ~m)] for m in masks}
 
 
-def _divided(entries: DataFrame, children: dict[int, list[int]]) -> DataFrame:
+def _divided(entries: DataFrame, children: dict[int, list[int]], by: list[str]) -> DataFrame:
     """A row (mask, value) for each child of each entry's mask."""
     known = F.create_map(*[x for m, some in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in some]))])
-    rows = entries.select("gray", "fingerprint", F.explode(known[F.col("mask")]).alias("mask"))
-    return rows.select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value"), "gray", "fingerprint")
+    rows = entries.select(*by, "gray", "fingerprint", F.explode(known[F.col("mask")]).alias("mask"))
+    return rows.select(*by, "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value"), "gray", "fingerprint")
 
 
-def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(entries of the nodes with at most ``run`` fingerprints, entries of larger nodes of the last level or None).
 
     Nodes of one fingerprint are left out."""
+    node = [*by, "mask", "value"]
     rank = F.col("fingerprint")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
     # the sign bit turned over: signed order is then the order of unsigned ranks
-    entries = codes.select(F.lit(0).cast("long").alias("mask"), "fingerprint", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray"))
+    entries = codes.select(*by, F.lit(0).cast("long").alias("mask"), "fingerprint", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray"))
     masks, usual, large = [0], None, None
     for level in range(levels):
         children = _children(masks, radius)
-        entries = _divided(entries, children)
-        size = checkpoint(entries.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"))
-        few = entries.join(size.where(F.col("n") <= run).select("mask", "value"), ["mask", "value"], "left_semi")
+        entries = _divided(entries, children, by)
+        size = checkpoint(entries.groupBy(*node).agg(F.count("*").alias("n")).where("n > 1"))
+        few = entries.join(size.where(F.col("n") <= run).select(*node), node, "left_semi")
         usual = few if usual is None else usual.unionByName(few)
-        large = size.where(F.col("n") > run).select("mask", "value")
+        large = size.where(F.col("n") > run).select(*node)
         if large.isEmpty():
             return usual, None
-        entries = join_small(entries, large, ["mask", "value"], "left_semi")
+        entries = join_small(entries, large, node, "left_semi")
         masks = sorted({c for some in children.values() for c in some})
         if level + 1 < levels:
             entries = checkpoint(entries)
     return usual, entries
 
 
-def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int = LEVELS) -> DataFrame:
+def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int = LEVELS, by: list[str] | None = None) -> DataFrame:
     """Links (a, b) that connect what pairs of ``codes`` (column fingerprint, distinct) within ``radius`` bits connect.
 
-    Pairs found in one task are given as a forest, so there are no more links than fingerprints in its nodes."""
-    usual, in_large = _upper_levels(codes, radius, run, levels)
+    Of the pairs found in one task those of a spanning forest are given, so there are no more links than fingerprints
+    in its nodes. ``by``: integer columns that both ends of a link have alike; links carry them in front."""
+    by = by or []
+    node = [*by, "mask", "value"]
+    kind = "".join(f"{c} int, " for c in by) + "a long, b long"
+    usual, in_large = _upper_levels(codes, radius, run, levels, by)
 
-    def of_nodes(batches):
+    def batch_of(rows, a, b):
         import pyarrow as pa
 
-        for rows in _joined(batches, ["mask", "value"]):
+        raw = rows["fingerprint"]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (*(rows[c][a] for c in by), raw[a], raw[b])], names=[*by, "a", "b"])
+
+    def of_nodes(batches):
+        for rows in _joined(batches, node):
             codes = rows["fingerprint"].view("<u8")
-            cuts = _starts(rows, ["mask", "value"])
-            a, b = _forest(len(codes), *_pairs_within(codes, cuts, radius))
-            raw = rows["fingerprint"]
-            yield pa.RecordBatch.from_arrays([pa.array(raw[a]), pa.array(raw[b])], names=["a", "b"])
+            cuts = _starts(rows, node)
+            yield batch_of(rows, *_forest(len(codes), *_pairs_within(codes, cuts, radius)))
 
-    dealt = usual.repartition("mask", "value").sortWithinPartitions("mask", "value", "gray")
-    links = dealt.select("mask", "value", "fingerprint").mapInArrow(of_nodes, "a long, b long")
+    dealt = usual.repartition(*node).sortWithinPartitions(*node, "gray")
+    links = dealt.select(*node, "fingerprint").mapInArrow(of_nodes, kind)
 
     if in_large is None:
         return links.distinct()
     # nodes that are too large for a task: runs of the Gray order meet in pairs, but for those that are pruned
-    runs = _gray_runs(in_large, run)
-    bits = runs.groupBy("mask", "value", "run").agg(F.bit_and("fingerprint").alias("low"), F.bit_or("fingerprint").alias("high"))
-    left, right = (bits.select("mask", "value", *[F.col(c).alias(c + s) for c in ("run", "low", "high")]) for s in ("_a", "_b"))
+    runs = _gray_runs(in_large, run, by)
+    bits = runs.groupBy(*node, "run").agg(F.bit_and("fingerprint").alias("low"), F.bit_or("fingerprint").alias("high"))
+    left, right = (bits.select(*node, *[F.col(c).alias(c + s) for c in ("run", "low", "high")]) for s in ("_a", "_b"))
     apart = F.expr("bit_count((low_a & ~high_b) | (low_b & ~high_a))")
-    met = left.join(right, ["mask", "value"]).where((F.col("run_a") <= F.col("run_b")) & (apart <= radius))
-    met = met.select("mask", "value", "run_a", "run_b")
-    tiles = runs.join(met.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b")))), ["mask", "value", "run"])
-    tile = ["mask", "value", "run_a", "run_b"]
+    met = left.join(right, node).where((F.col("run_a") <= F.col("run_b")) & (apart <= radius))
+    met = met.select(*node, "run_a", "run_b")
+    tiles = runs.join(met.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b")))), [*node, "run"])
+    tile = [*node, "run_a", "run_b"]
 
     def of_tiles(batches):
-        import pyarrow as pa
-
         for rows in _joined(batches, tile):
             starts = [*_starts(rows, tile).tolist(), len(rows["mask"])]
             for s, e in zip(starts, starts[1:]):
-                raw = rows["fingerprint"][s:e]
                 first = int((rows["run"][s:e] == rows["run_a"][s]).sum())
                 across = first if first < e - s else 0
                 cuts = np.array([0])
-                a, b = _forest(e - s, *_pairs_within(raw.view("<u8"), cuts, radius, across))
-                yield pa.RecordBatch.from_arrays([pa.array(raw[a]), pa.array(raw[b])], names=["a", "b"])
+                a, b = _forest(e - s, *_pairs_within(rows["fingerprint"][s:e].view("<u8"), cuts, radius, across))
+                yield batch_of(rows, a + s, b + s)
 
     dealt = tiles.repartition(*tile).sortWithinPartitions(*tile, "run", "gray")
-    return links.unionAll(dealt.select(*tile, "run", "fingerprint").mapInArrow(of_tiles, "a long, b long")).distinct()
+    return links.unionAll(dealt.select(*tile, "run", "fingerprint").mapInArrow(of_tiles, kind)).distinct()
 
 
-def _gray_runs(entries: DataFrame, run: int) -> DataFrame:
+def _gray_runs(entries: DataFrame, run: int, by: list[str]) -> DataFrame:
     """Number runs of at most ``run`` neighbours in Gray order within each node.
 
     The sort is one of ranges over all nodes, so no task needs a whole node; a run never spans two tasks."""
 
+    keys = [*by, "mask", "value"]
+
     def number(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -271,17 +306,17 @@ def _gray_runs(entries: DataFrame, run: int) -> DataFrame:
             n = len(rows["mask"])
             if not n:
                 continue
-            starts = _starts(rows, ["mask", "value"])
-            if node != (rows["mask"][0], rows["value"][0]):
+            starts = _starts(rows, keys)
+            if node != [rows[c][0] for c in keys]:
                 seen = 0
             inside = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
             inside[: starts[1] if len(starts) > 1 else n] += seen
-            node, seen = (rows["mask"][-1], rows["value"][-1]), int(inside[-1]) + 1
+            node, seen = [rows[c][-1] for c in keys], int(inside[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + inside // run)], names=[*batch.schema.names, "run"])
 
-    dealt = entries.select("mask", "value", "gray", "fingerprint").repartitionByRange("mask", "value", "gray")
-    dealt = dealt.sortWithinPartitions("mask", "value", "gray")
-    return checkpoint(dealt.mapInArrow(number, "mask long, value long, gray long, fingerprint long, run long"))
+    dealt = entries.select(*keys, "gray", "fingerprint").repartitionByRange(*keys, "gray")
+    dealt = dealt.sortWithinPartitions(*keys, "gray")
+    return checkpoint(dealt.mapInArrow(number, "".join(f"{c} int, " for c in by) + "mask long, value long, gray long, fingerprint long, run long"))
 
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
@@ -292,6 +327,27 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
     return found.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
 
 
+def _family_classes(prints: DataFrame, radius: int) -> DataFrame:
+    """prints, root of their component: rows of fingerprints are linked where those of one family are within ``radius`` bits.
+
+    A link whose ends differ in over a third of the bits of all families is one of chance (half of them differ then)
+    and is left out; texts that are alike in four shingles of five differ in a seventh."""
+    classes = checkpoint(prints.select("prints").distinct().withColumn("vertex", F.monotonically_increasing_id()))
+    one = classes.select("vertex", F.posexplode("prints").alias("family", "fingerprint"))
+    codes = checkpoint(one.groupBy("family", "fingerprint").agg(F.min("vertex").alias("least")))
+    near = near_links(codes.select("family", "fingerprint"), radius, by=["family"])
+    for end in ("a", "b"):
+        near = near.join(codes.select("family", F.col("fingerprint").alias(end), F.col("least").alias(f"least_{end}")), ["family", end])
+    same = one.join(codes, ["family", "fingerprint"]).where("vertex <> least").select("vertex", "least")
+    links = checkpoint(near.select("least_a", "least_b").union(same).toDF("a", "b").where("a <> b").distinct())
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(classes.select(F.col("vertex").alias(end), F.col("prints").alias(f"prints_{end}")), end)
+    apart = F.expr("aggregate(zip_with(prints_a, prints_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    roots = components(ends.where(3 * apart <= 64 * F.size("prints_a")).select("a", "b"))
+    return classes.join(roots, "vertex", "left").select("prints", F.coalesce("root", "vertex").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint and component_id (smallest doc_id reachable by links of at most ``radius`` bits).
 
@@ -305,19 +361,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     return prints.join(by_code, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42, families: int = 1) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
+    Texts are linked if their fingerprints of one of the ``families`` differ in at most ``radius`` bits: with more
+    families more of the less similar copies are found, at a cost in proportion. Texts without words are one component.
     Rows that are repeated with all their columns count once. Where no row of a component has a doc_id, one of its
     rows stays. All columns are kept, whatever their names. Texts are fingerprinted once; what is joined with them
     are the keys (doc_id, hash of the row) of the rows that go, so texts are not shuffled while these are few."""
     key = free_names(docs, "doc_key", "row_key")
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
     keyed = docs.withColumn(key[0], F.col("doc_id")).withColumn(key[1], F.xxhash64(*plain))
-    prints = map_texts(keyed, key, lambda: lambda texts: (None, {"fingerprint": [fingerprint(t, width, seed) for t in texts]}), "fingerprint long")
-    prints = checkpoint(prints.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "fingerprint"))
-    roots = _classes(prints, radius).select("fingerprint", "root")
-    rows = checkpoint(prints.join(roots, "fingerprint").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n")))
+    prints = map_texts(keyed, key, lambda: lambda texts: (None, {"prints": [family_fingerprints(t, width, seed, families) for t in texts]}), "prints array<long>")
+    prints = checkpoint(prints.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "prints"))
+    roots = _family_classes(prints, radius)
+    rows = checkpoint(prints.join(roots, "prints").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = rows.groupBy("root").agg(F.min(rank).alias("best"))
     marked = rows.join(best, "root").withColumn("stays", rank == F.col("best"))

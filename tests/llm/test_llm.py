@@ -208,14 +208,49 @@ def brute_components(prints, radius=3):
         label = now
 
 
-def brute_fingerprint(text):
+def brute_hashes(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+
+
+def brute_fingerprint(text):
+    hashes = brute_hashes(text)
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def brute_families(text, families=8):
+    """Fingerprints of the pipeline's stage: the first of the hashes, the others of what splitmix64 makes of them."""
+    hashes = brute_hashes(text)
+    full, out = (1 << 64) - 1, []
+    for k in range(families):
+        counts = [0] * 64
+        for h in hashes:
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) & full
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+                h ^= h >> 31
+            for b in range(64):
+                counts[b] += h >> b & 1
+        out.append(sum(1 << b for b in range(64) if 2 * counts[b] > len(hashes)))
+    return tuple(out)
+
+
+def brute_groups(prints, radius=4):
+    """Label of each row of fingerprints: linked if one family is within ``radius`` bits and all are within a third."""
+    prints = sorted({*prints})
+    at = np.array(prints, np.uint64)
+    label = np.arange(len(prints))
+    for i in range(len(prints)):
+        d = np.bitwise_count(at ^ at[i]).astype(int)
+        for j in np.flatnonzero((d.min(1) <= radius) & (3 * d.sum(1) <= d.shape[1] * 64)):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+    return dict(zip(prints, label.tolist()))
+
+
 def test_simhash_against_brute_force(spark, data, docs):
     got = {r["doc_id"]: r for r in Q.QUERIES["op3_simhash_near_dedup"](spark, data).collect()}
     prints = {i: brute_fingerprint(t) for i, t, *_ in docs}
@@ -250,6 +285,60 @@ def test_gray_index_finds_all_links(spark, run, levels):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({*label.values()})
 
 
+@pytest.mark.parametrize("run,levels", [(4096, 3), (7, 1), (7, 2)])
+def test_gray_index_keeps_families_apart(spark, run, levels):
+    from tessera.llm.simhash import near_links
+
+    rng = np.random.default_rng(6)
+    sign = lambda c: c - (1 << 64) if c >> 63 else c
+    rows = set()
+    for base in rng.integers(0, 1 << 63, 30).tolist():
+        for _ in range(8):
+            code = base
+            for b in rng.integers(0, 64, rng.integers(0, 4)).tolist():
+                code ^= 1 << b
+            rows.add((int(rng.integers(0, 2)), code))
+    df = spark.createDataFrame([(k, sign(c)) for k, c in rows], "family int, fingerprint long")
+    links = near_links(df, 3, run, levels, by=["family"]).collect()
+    for k in (0, 1):
+        codes = sorted(c for f, c in rows if f == k)
+        label = brute_components(codes)
+        parent = {sign(c): sign(c) for c in codes}
+
+        def top(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for r in links:
+            if r["family"] == k:
+                assert ((r["a"] ^ r["b"]) & ((1 << 64) - 1)).bit_count() <= 3  # a pair, not only a path
+                parent[top(r["a"])] = top(r["b"])
+        groups = defaultdict(set)
+        for c in codes:
+            groups[top(sign(c))].add(label[c])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({*label.values()})
+
+
+def test_keep_one_finds_planted_near_copies(spark, docs):
+    from tessera.llm.simhash import keep_one
+
+    rng = np.random.default_rng(11)
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    texts = {t: i for i, t, *_ in docs if t and len(t.split()) > 60}
+    rows, likeness = [(i, t) for t, i in texts.items()], {}
+    for n, (text, i) in enumerate(texts.items()):
+        words = text.split()
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.002, 0.022))), replace=False):
+            words[at] = f"changed{rng.integers(1 << 30)}"
+        a, b = shingles(text.lower().split()), shingles([w.lower() for w in words])
+        likeness[1_000_000 + n] = len(a & b) / len(a | b)
+        rows.append((1_000_000 + n, " ".join(words)))
+    kept = {r["doc_id"] for r in keep_one(docs_of(spark, rows), radius=4, families=8).select("doc_id").collect()}
+    near = [i for i, j in likeness.items() if j >= 0.8]
+    assert len(near) > 100 and sum(i not in kept for i in near) >= 0.9 * len(near)
+
+
 def test_components_of_a_path_and_a_star(spark):
     from tessera.llm.components import components
 
@@ -864,10 +953,11 @@ def test_pipeline_stages(spark, data, docs):
         after = {r["doc_id"]: r["text"] for r in df.collect()}
         assert {*after} <= {*before}
         if name == "simhash_near_dedup":
-            label = brute_components({brute_fingerprint(t) for t in before.values()})
+            prints = {i: brute_families(t) for i, t in before.items()}
+            label = brute_groups(prints.values())
             groups = defaultdict(list)
-            for i, t in before.items():
-                groups[label[brute_fingerprint(t)]].append(i)
+            for i, p in prints.items():
+                groups[label[p]].append(i)
             assert {*after} == {min(g) for g in groups.values()}
         elif name == "secret_scan":
             assert {*after} == {*before} and not any(brute_spans(t) for t in after.values())
