@@ -198,3 +198,27 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of one key from which a shuffle join would put too many into one task.
+HOT_ROWS = 100_000
+
+
+def join_by_key(big: DataFrame, small: DataFrame, keys: list[str], limit: int = SMALL_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """``big`` left joined with a table of a few narrow columns that has one row for each key at most.
+
+    Up to ``limit`` rows of ``small`` are broadcast. Beyond that keys with over ``hot`` rows of ``big`` (at most one for
+    each ``hot`` rows of it) are counted and their rows of ``small`` broadcast, rows with a null key take no part, and only the rest is
+    shuffled: no task gets more of one key than ``hot``. ``big`` is read more than once, so it should be a written table."""
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), keys, "left")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    crowded = checkpoint(big.where(known).groupBy(*keys).count().where(F.col("count") > hot).select(*keys))
+    few = small.join(F.broadcast(crowded), keys, "left_semi")
+    rest = big.where(known).join(F.broadcast(crowded), keys, "left_anti").join(small, keys, "left")
+    met = big.join(F.broadcast(crowded), keys, "left_semi").join(F.broadcast(few), keys, "left")
+    more = [c for c in small.columns if c not in keys]
+    unknown = big.where(~known).select("*", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in more])
+    return rest.unionByName(met).unionByName(unknown.select(*rest.columns))

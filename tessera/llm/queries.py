@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import remove_folder, scratch, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -93,6 +93,33 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.merkle import audit
+
+    columns = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    return audit(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.interaction import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages go once what was read back from them has been written."""
+    import uuid
+
+    from tessera.llm.warc import round_trip
+
+    folder = f"{scratch(spark)}/packages-{uuid.uuid4().hex}"
+    try:
+        found = round_trip(table(spark, sf_dir, "pages"), folder)
+    finally:
+        remove_folder(spark, folder)
+    return found
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
@@ -104,10 +131,95 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_host_quality": op9_host_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_interaction": op12_filter_interaction,
+    "op13_warc_packages": op13_warc_packages,
 }
 
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """The trees of op11 in SQL, level by level (16 ** 7 rows a source); nodes above a group's root are passed on as they are."""
+
+    def tree(t: str, source: str) -> list[str]:
+        """t0: grp, pos, node, n; then a run and a level for each; tp: what each of t0's nodes meets on its way up."""
+        out = [f"{t}0 as ({source})"]
+        for i in range(levels):
+            out.append(f"{t}r{i} as (select grp, pos // 16 as run, n, string_agg(node, '' order by pos) as joined from {t}{i} where n > {16**i} group by grp, pos // 16, n)")
+            out.append(f"{t}{i + 1} as (select grp, run as pos, sha256(joined) as node, n from {t}r{i} union all select grp, pos, node, n from {t}{i} where n <= {16**i})")
+        steps = [f"left join {t}r{i} as r{i} on r{i}.grp = a.grp and r{i}.run = a.pos // {16 ** (i + 1)}" for i in range(levels)]
+        path = ", ".join(f"case when r{i}.joined is not null then {{'j': r{i}.joined, 'at': a.pos // {16**i} % 16}} end" for i in range(levels))
+        out.append(f"{t}p as (select a.grp, a.pos, list_filter([{path}], lambda x: x is not null) as path from {t}0 a {' '.join(steps)})")
+        return out
+
+    value = lambda c: f"case when {c} is null then '-' else cast(octet_length(encode(cast({c} as varchar))) as varchar) || ':' || cast({c} as varchar) end"
+    leaf = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _crc32_sql("doc_id")
+    docs = f"""d as (select doc_id, coalesce('=' || source, '') as grp, {leaf('text')} as leaf, case when {crc} % 5 = 0 then {leaf(low)} else {leaf('text')} end as held from documents),
+    p as (select *, row_number() over (partition by grp order by doc_id, leaf) - 1 as pos, count(*) over (partition by grp) as n from d)"""
+    rows = tree("a", "select grp, pos, leaf as node, n from p")
+    tops = tree("b", f"select '' as grp, row_number() over (order by grp) - 1 as pos, node, count(*) over () as n, grp as name from a{levels}")
+    cut = "substr(x.j, 1, 64 * x.at)"
+    rest = "substr(x.j, 64 * x.at + 65)"
+    fold = "held"
+    steps = []
+    for i in range(2 * levels):
+        steps.append(f"f{i + 1} as (select * exclude (fold), case when len(path) > {i} then sha256(substr(path[{i + 1}].j, 1, 64 * path[{i + 1}].at) || fold || substr(path[{i + 1}].j, 64 * path[{i + 1}].at + 65)) else fold end as fold from f{i})")
+    return f"""with {docs}, {', '.join([*rows, *tops])}, w as (select node as root from b{levels}),
+    s as (select b0.name as grp, b0.node as subroot, bp.path as top from b0 join bp on bp.pos = b0.pos),
+    f0 as (select p.doc_id, p.leaf, s.subroot, ap.path || s.top as path, p.held as fold from p join ap on ap.grp = p.grp and ap.pos = p.pos join s on s.grp = p.grp), {', '.join(steps)}
+    select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: {cut} || {rest}), ''), '')) as proof_sha256, fold as folded_root, fold = root as verified from f{2 * levels}, w"""
+
+
+def _crc32_sql(column: str) -> str:
+    """Unsigned CRC-32 of a whole number's decimal text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, d), range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+    digits = f"list_transform(regexp_extract_all(cast({column} as varchar), '.'), lambda x: cast(ascii(x) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {digits}), lambda c, d: {step}), 4294967295)"
+
+
+#: Each document's flags, then every order of the filters as a row of five steps.
+_INTERACTION_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as w from documents
+), flagged as (
+  select d.part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e,
+    doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic from d
+), x(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+  select p.f || q.f || r.f || s.f || t.f as filter_order from x p, x q, x r, x s, x t where len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5
+), failed as (
+  select part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda l, i: [a, b, c, d, e][i]) as fails, count(*) as n from flagged group by all
+), met as (
+  select *, coalesce(list_min(list_transform(fails, lambda l: strpos(filter_order, l))), 6) as first from failed, orders
+), steps as (
+  select *, unnest([1, 2, 3, 4, 5]) as step from met
+), counted as (
+  select part, filter_order, step, substr(filter_order, step, 1) as letter, cast(coalesce(sum(n) filter (where first > step), 0) as bigint) as kept, cast(coalesce(sum(n) filter (where first = step), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter (where first < step and list_contains(fails, substr(filter_order, step, 1))), 0) as bigint) as redundant,
+    cast(coalesce(sum(n) filter (where fails = [substr(filter_order, step, 1)]), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(n) filter (where first = step and good), 0) as bigint) as good_lost, cast(coalesce(sum(n) filter (where first = step and toxic), 0) as bigint) as toxic_lost
+  from steps group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from counted
+"""
+
 #: DuckDB SQL for the rows of a query; the others are tested against brute force or on held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_filter_interaction": _INTERACTION_SQL,
+    "op13_warc_packages": """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest, coalesce(html, '') as html from pages
+), g as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by html) end as first_id from p
+)
+select page_id, payload_bytes, payload_digest, case when first_id is distinct from page_id and first_id is not null then 'revisit' else 'response' end as record_type,
+  case when first_id is distinct from page_id then first_id end as refers_to from g
+""",
     "op10_url_filter": r"""
 with parts as (
   select page_id, url,
