@@ -1,14 +1,19 @@
 """Conflicts between what documents say and what code does, as joins of facts that differ.
 
-Facts are rows: subject, value (string), location, quote, confidence. They are made distinct before they are
-joined, and facts without a shared subject meet by topic, never by a cross join."""
+Facts are rows: subject, value (string), location, quote, confidence. Before they are joined, documents are reduced to the best
+documented fact of each subject and value, which is all that a conflict shows of them: what a topic without subjects (retries, timeouts, roles)
+brings to the join is as many rows as it has values, not as many as it has sentences."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.graph import checkpoint
+from tessera.operators.joins import meet, overlaps
 from tessera.operators.links import with_endpoint
 from tessera.operators.store import first_per_key
 
@@ -103,56 +108,85 @@ def code_facts(lines: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _met(docs: DataFrame, code: DataFrame) -> DataFrame:
-    side = lambda df, s: df.select("subject", *[F.col(c).alias(f"{s}_{c}") for c in FACT[1:]])
-    return side(docs, "doc").join(side(code, "code"), "subject")
+def best_documented(docs: DataFrame, keys: tuple[str, ...] = ("subject",), graded: Column | None = None) -> DataFrame:
+    """Of the facts that say the same of a subject the surest (where ``graded`` says so), then the one with the shortest quote, then by location."""
+    sure = F.when((F.lit(True) if graded is None else graded) & (F.col("confidence") == "DOC_EXACT"), 0).otherwise(1)
+    return first_per_key(docs, [*keys, "value"], sure, F.length("quote"), F.col("location"))
+
+
+def _side(df: DataFrame, s: str, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in FACT[1:]])
+
+
+def met(docs: DataFrame, code: DataFrame, keys: tuple[str, ...] = ("subject",), graded: Column | None = None) -> DataFrame:
+    """Facts of code with the best documented fact of each value of the same subject."""
+    return meet(_side(code, "code", keys), _side(best_documented(docs, keys, graded), "doc", keys), list(keys))
 
 
 def differing(docs: DataFrame, code: DataFrame) -> DataFrame:
-    """Pairs of facts on the same subject with other values."""
-    return _met(docs, code).where("doc_value <> code_value")
+    """Pairs of facts on the same subject with other values; of documents the best of each value."""
+    return met(docs, code).where("doc_value <> code_value")
 
 
 def outside(docs: DataFrame, code: DataFrame) -> DataFrame:
-    """Pairs in which the document's value is not in the code's set."""
-    return _met(docs, code).where(~F.array_contains(F.split("code_value", ","), F.col("doc_value")))
+    """Pairs in which the document's value is not in the code's set; of documents the best of each value."""
+    return met(docs, code).where(~F.array_contains(F.split("code_value", ","), F.col("doc_value")))
 
 
 def similar_endpoints(docs: DataFrame, code: DataFrame) -> DataFrame:
     """Endpoints that only documents have, with the code endpoint of the same method that is most alike.
 
-    Alike: two shared terms, or both about signing up. Candidates meet by a shared term, never all with all."""
-    alone = docs.join(code.select("subject", "value").distinct(), ["subject", "value"], "left_anti")
-    terms = lambda df: df.withColumn("terms", T.endpoint_terms("value")).withColumn("signup", F.arrays_overlap("terms", F.array(*[F.lit(x) for x in SIGNUP])))
-    keys = lambda df: df.withColumn("key", F.explode(F.concat("terms", F.when(F.col("signup"), F.array(F.lit("\u0000signup"))).otherwise(F.array().cast("array<string>")))))
-    side = lambda df, s: keys(terms(df)).select("subject", "key", *[F.col(c).alias(f"{s}_{c}") for c in FACT[1:]])
-    pairs = side(alone, "doc").join(side(code, "code"), ["subject", "key"])
-    pair = ["subject", *[f"{s}_{c}" for s in ("doc", "code") for c in FACT[1:]]]
-    scored = pairs.groupBy(*pair).agg(F.sum(F.when(F.col("key") == "\u0000signup", 2).otherwise(1)).alias("alike")).where("alike >= 2")
-    return first_per_key(scored, ["subject", "doc_value", "doc_location"], F.desc("alike"), F.col("code_location"), F.col("code_value")).select(*pair)
+    Alike: two shared terms, or both about signing up. Each endpoint counts once, on either side; those of two shared
+    terms are found by their seldom terms, those about signing up among themselves."""
+    alone = best_documented(docs.join(code.select("subject", "value").distinct(), ["subject", "value"], "left_anti"))
+    ends = first_per_key(code, ["subject", "value"], F.col("location"))
+    words = F.array(*[F.lit(x) for x in SIGNUP])
+    named = lambda df: checkpoint(df.withColumn("id", F.concat_ws(" ", "subject", "value")).withColumn("own", T.endpoint_terms("value")).withColumn("signup", F.arrays_overlap("own", words)))
+    alone, ends = named(alone), named(ends)
+    # terms of a method are its own
+    sets = lambda df: df.select("id", F.transform("own", lambda t: F.concat(F.col("subject"), F.lit(" "), t)).alias("terms"))
+    shared = overlaps(sets(alone), sets(ends)).select("l_id", "r_id")
+    both = alone.where("signup").select("subject", F.col("id").alias("l_id")).join(ends.where("signup").select("subject", F.col("id").alias("r_id")), "subject")
+    pairs = shared.unionByName(both.select("l_id", "r_id")).distinct()
+    side = lambda df, s, i: _side(df, s, ("id", "own", "signup", "subject")).withColumnsRenamed({"id": i, "own": f"{s}_own", "signup": f"{s}_signup"})
+    full = pairs.join(side(alone, "doc", "l_id"), "l_id").join(side(ends, "code", "r_id").drop("subject"), "r_id")
+    scored = full.withColumn("alike", F.size(F.array_intersect("doc_own", "code_own")) + F.when(F.col("doc_signup") & F.col("code_signup"), 2).otherwise(0))
+    best = first_per_key(scored, ["subject", "doc_value"], F.desc("alike"), F.col("code_location"), F.col("code_value"))
+    return best.select("subject", *[f"{s}_{c}" for s in ("doc", "code") for c in FACT[1:]])
+
+
+# What a conflict of each topic is called and how it is put; of sets the document's value must be one.
+SETS = ("status", "permission")
+NAMES = {"validation": "validation_mismatch", "status": "status_value_mismatch", "retry": "retry_policy_mismatch", "timeout": "timeout_mismatch", "permission": "permission_mismatch"}
+SAID = {
+    "validation": "Document requires min length %s, but code enforces %s.",
+    "status": "Document references status %s, but code enum contains %s.",
+    "retry": "Document retry count is %s, but code uses %s.",
+    "timeout": "Document timeout is %sms, but code uses %sms.",
+    "permission": "Document requires role %s, but code allows %s.",
+}
+CONFLICT = ["type", "subject", "summary", "confidence", *[f"{s}_{c}" for s in ("doc", "code") for c in FACT[1:4]]]
 
 
 def detect(doc: dict[str, DataFrame], code: dict[str, DataFrame]) -> DataFrame:
-    """type, subject, summary, confidence and both sides of every conflict; of equal claims the best documented stays."""
-    found = None
-
-    def add(kind: str, rows: DataFrame, subject: Column, summary: Column, confidence: Column) -> None:
-        nonlocal found
-        rows = rows.select(F.lit(kind).alias("type"), subject.alias("subject"), summary.alias("summary"), confidence.alias("confidence"), *[f"{s}_{c}" for s in ("doc", "code") for c in FACT[1:4]])
-        found = rows if found is None else found.unionByName(rows)
-
-    say = F.format_string
-    d, c, s = F.col("doc_value"), F.col("code_value"), F.col("subject")
-    graded = F.when(F.col("doc_confidence") == "DOC_EXACT", "high").otherwise("medium")
-    medium = F.lit("medium")
-    many = F.array_join(F.split(c, ","), ", ")
-    add("validation_mismatch", differing(doc["validation"], code["validation"]), s, say("Document requires min length %s, but code enforces %s.", d, c), graded)
-    add("status_value_mismatch", outside(doc["status"], code["status"]), s, say("Document references status %s, but code enum contains %s.", d, many), graded)
-    add("endpoint_mismatch", similar_endpoints(doc["endpoint"], code["endpoint"]), F.concat(s, F.lit(" "), d), say("Document names %s %s, but similar code endpoint is %s %s.", s, d, s, c), medium)
-    add("retry_policy_mismatch", differing(doc["retry"], code["retry"]), s, say("Document retry count is %s, but code uses %s.", d, c), medium)
-    add("timeout_mismatch", differing(doc["timeout"], code["timeout"]), s, say("Document timeout is %sms, but code uses %sms.", d, c), medium)
-    add("permission_mismatch", outside(doc["permission"], code["permission"]), s, say("Document requires role %s, but code allows %s.", d, many), medium)
-    return dedupe_claims(found).orderBy("type", "subject", "doc_location", "code_location")
+    """type, subject, summary, confidence and both sides of every conflict; of equal claims the best documented stays.
+
+    The facts of all topics but endpoints are one table on either side and meet in one join by topic and subject."""
+    whole = lambda facts: reduce(DataFrame.unionByName, [facts[t].withColumn("topic", F.lit(t)) for t in NAMES])
+    graded = F.col("topic").isin("validation", "status")
+    pairs = met(whole(doc), whole(code), ("topic", "subject"), graded)
+    d, c = F.col("doc_value"), F.col("code_value")
+    listed = F.col("topic").isin(*SETS)
+    pairs = pairs.where(F.when(listed, ~F.array_contains(F.split(c, ","), d)).otherwise(d != c))
+    shown = F.when(listed, F.array_join(F.split(c, ","), ", ")).otherwise(c)
+    pick = lambda of: reduce(lambda out, t: F.when(F.col("topic") == t, of(t)).otherwise(out), NAMES, F.lit(None).cast("string"))
+    surely = F.when(graded & (F.col("doc_confidence") == "DOC_EXACT"), "high").otherwise("medium")
+    told = pairs.select(pick(lambda t: F.lit(NAMES[t])).alias("type"), "subject", pick(lambda t: F.format_string(SAID[t], d, shown)).alias("summary"), surely.alias("confidence"), *CONFLICT[4:])
+    ends = similar_endpoints(doc["endpoint"], code["endpoint"])
+    s = F.col("subject")
+    said = F.format_string("Document names %s %s, but similar code endpoint is %s %s.", s, d, s, c)
+    ends = ends.select(F.lit("endpoint_mismatch").alias("type"), F.concat(s, F.lit(" "), d).alias("subject"), said.alias("summary"), F.lit("medium").alias("confidence"), *CONFLICT[4:])
+    return told.unionByName(ends).orderBy("type", "subject", "doc_location", "code_location")
 
 
 def dedupe_claims(conflicts: DataFrame) -> DataFrame:

@@ -4,7 +4,12 @@ Input are rows of ``sources.files.lines``: path, kind, line, line_text. Every no
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +61,11 @@ FUNCTION = rf"\b({JS_NAME}(?:\.{JS_NAME})?)\s*\("
 CONFIG_KEY = r"\b([a-z][A-Za-z0-9_-]*(?:[._-][A-Za-z0-9_-]+)+)\b"
 PASCAL = r"\b([A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+)\b"
 FIELD = r"(?i)(?<![A-Za-z0-9_])([a-z][a-z0-9]*(?:_[a-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*|status|email|password|amount|amount_cents|userId)(?![A-Za-z0-9_])"
+FIELD_CONTEXT = (
+    r"(?iu)(?:필드|입력값|입력 필드|파라미터|parameter|field|input|key)\s*[:=-]?\s*`?([A-Za-z][A-Za-z0-9_.-]{1,60})`?"
+    r"|`([A-Za-z][A-Za-z0-9_.-]{1,60})`\s*(?:필드|입력값|파라미터|field|input|key)"
+    r"|([A-Za-z][A-Za-z0-9_.-]{1,60})\s*(?:필드|입력값|파라미터|field|input|key)"
+)
 FIELD_HINT = r"(?iu)필드|입력값|파라미터|parameter|field|input|key|값"
 VALIDATION = (
     r"(?iu)(8자\s*이상|최대\s*\d+\s*회|이메일\s*형식|required|must be|must match|must include|cannot be empty|at least|at most|minimum|"
@@ -198,14 +208,13 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes += [table_nodes, column_nodes]
 
     whole = code.where("path like '%.json' and kind in ('openapi', 'config')").groupBy("path", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("doc"))
-    whole = whole.where(F.try_parse_json("doc").isNotNull() & F.ltrim("doc").startswith("{"))
-    keyed = known.where("kind in ('openapi', 'config')").join(whole.select("path"), "path", "left_anti")  # JSON that doesn't parse is read by line
+    json_keys = checkpoint(_json_keys(whole))
+    keyed = known.where("kind in ('openapi', 'config')").join(json_keys.select("path").distinct(), "path", "left_anti")  # JSON that doesn't parse is read by line
     keyed = keyed.withColumn("key", F.regexp_replace(F.regexp_extract("line_text", YAML_KEY, 2), "^['\"]+|['\"]+$", ""))
     key_nodes = node_rows(keyed.where("key <> ''"), "ConfigKey", F.col("key"), "code", "EXACT_STATIC")
     route = F.last(F.when(F.col("key").startswith("/"), F.col("key")), ignorenulls=True).over(by_path)
     verb = F.upper(F.regexp_extract("line_text", YAML_METHOD, 1))
     api = keyed.where("kind = 'openapi'").withColumn("route", route).withColumn("verb", verb).where("verb <> '' and route is not null")
-    json_keys = checkpoint(_json_keys(whole))
     api_json = json_keys.where("kind = 'openapi' and size(above) = 2 and above[0] = 'paths' and lower(key) in ('get', 'post', 'put', 'patch', 'delete', 'head', 'options')")
     api_json = api_json.select("path", "kind", F.col("above_line").alias("line"), F.col("above_text").alias("line_text"), F.expr("above[1]").alias("route"), F.upper("key").alias("verb"))
     api = api.select("path", "kind", "line", "line_text", "route", "verb").unionByName(api_json)
@@ -258,40 +267,99 @@ def _scopes(code: DataFrame) -> DataFrame:
     return rows.groupBy("path").applyInPandas(place, "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int")
 
 
+#: A JSON token after white space: a string, a sign, or a scalar, as Python reads it (NaN and Infinity too).
+TOKEN = re.compile(
+    r"""[ \t\n\r]*(?:("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+")|([{}\[\],:])"""
+    r"""|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])|true|false|null|NaN|-?Infinity))"""
+)
+#: Keys above a key that its dotted name has, at most: the nearest.
+ABOVE = 100
+#: Characters of a long line that a key quotes, from the key on.
+LONG_LINE = 500
+
+
+def json_places(doc: str) -> Iterator[tuple[str, list[str], int, int]]:
+    """(key, keys above it, offset, offset of the key above it or -1) of each key of each object in a JSON object, lists included.
+
+    Raises ValueError where the text is no JSON object (something follows it, or it is cut). One pass without recursion, so neither depth nor
+    size matters."""
+    stack: list[list] = []  # of open objects and lists: is it an object, its key now, that key's offset, whether the key is in ``path``, the key's offset above it
+    path: list[str] = []
+    at, want = 0, "value"
+    while True:
+        m = TOKEN.match(doc, at)
+        if m is None or (not stack and (want != "value" or m[2] != "{")):
+            if m is None and not stack and want != "value" and not doc[at:].strip(" \t\n\r"):
+                return
+            raise ValueError(f"no JSON object: {at}")
+        at = m.end()
+        text, sign = m[1], m[2]
+        ends = sign is not None and bool(stack) and sign == ("}" if stack[-1][0] else "]")
+        if want.startswith("key") and text:
+            key = json.loads(text)
+            yield key, path[-ABOVE:], m.start(1), stack[-1][4]
+            stack[-1][1:3] = key, m.start(1)
+            want = "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+        elif want.startswith("value") and sign in ("{", "["):
+            if stack and stack[-1][0]:
+                path.append(stack[-1][1])
+                stack[-1][3] = True
+            over = (stack[-1][2] if stack[-1][0] else stack[-1][4]) if stack else -1
+            stack.append([sign == "{", None, -1, False, over])
+            want = "key or end" if sign == "{" else "value or end"
+        elif want.startswith("value") and (text or m[3]):
+            want = "comma or end"
+        elif want.endswith("or end") and ends:
+            stack.pop()
+            if stack and stack[-1][3]:
+                path.pop()
+                stack[-1][3] = False
+            want = "comma or end"
+        elif want == "comma or end" and sign == ",":
+            want = "key" if stack[-1][0] else "value"
+        else:
+            raise ValueError(f"no JSON object: {at}")
+
+
+def line_at(doc: str, at: int) -> str:
+    """The line around an offset; of a long line what follows the offset."""
+    start = doc.rfind("\n", max(0, at - LONG_LINE), at) + 1
+    end = doc.find("\n", at, at + LONG_LINE)
+    return doc[at if not start and at > LONG_LINE else start : end if end >= 0 else at + LONG_LINE]
+
+
 def _json_keys(files: DataFrame) -> DataFrame:
     """A row for each key of each object of JSON files (path, kind, doc), at any depth: key, dotted (with the keys above), above, and the
-    first line that holds the key (line, line_text) and the key above it; 1 if none does."""
+    place where it stands first (line, line_text) and that of the key above it; 1 if there is none. Files that are no JSON object have no row.
+
+    Objects inside lists count as those around the list. A long line is quoted from the key on."""
+
+    def rows_of(path: str, kind: str, doc: str) -> Iterator[tuple]:
+        try:
+            for _ in json_places(doc):  # is it one, to its end?
+                pass
+        except ValueError:
+            return
+        ends, seen = [m.start() for m in re.finditer("\n", doc)], set()
+        for key, above, at, over in json_places(doc):
+            dotted = ".".join([*above, key])
+            if dotted not in seen:
+                seen.add(dotted)
+                yield path, kind, bisect_left(ends, at) + 1, line_at(doc, at), key, dotted, above, bisect_left(ends, max(over, 0)) + 1, line_at(doc, max(over, 0))
 
     def keys(batches):
-        import json
-
         import pandas as pd
 
         for batch in batches:
-            rows = []
-            for path, kind, doc in batch.itertuples(index=False):
-                lines = doc.split("\n")
-                at: dict[str, int] = {}
-
-                def find(key: str, lines=lines, at=at) -> int:
-                    if key not in at:
-                        at[key] = next((i for i, x in enumerate(lines) if key in x), 0)
-                    return at[key]
-
-                todo = [([], json.loads(doc))]
-                while todo:
-                    above, value = todo.pop()
-                    if isinstance(value, dict):
-                        for k, v in value.items():
-                            i, j = find(k), find(above[-1]) if above else 0
-                            rows.append((path, kind, i + 1, lines[i], k, ".".join([*above, k]), above, j + 1, lines[j]))
-                            todo.append(([*above, k], v))
-                    elif isinstance(value, list):
-                        todo += [(above, v) for v in value]
-            yield pd.DataFrame(rows, columns=["path", "kind", "line", "line_text", "key", "dotted", "above", "above_line", "above_text"])
+            rows = (r for path, kind, doc in batch.itertuples(index=False) for r in rows_of(path, kind, doc))
+            while part := list(islice(rows, 10_000)):
+                yield pd.DataFrame(part, columns=columns)
 
+    columns = ["path", "kind", "line", "line_text", "key", "dotted", "above", "above_line", "above_text"]
     made = "path string, kind string, line int, line_text string, key string, dotted string, above array<string>, above_line int, above_text string"
-    return files.select("path", "kind", "doc").mapInPandas(keys, made).dropDuplicates(["path", "dotted"])
+    return files.select("path", "kind", "doc").mapInPandas(keys, made)
 
 
 def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -371,9 +439,29 @@ def mentions(lines: DataFrame) -> DataFrame:
     return first_per_key(ranked, ["id"], F.col("branch"), F.col("quote")).select(*NODE)
 
 
+def _each(rows: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """A row for each match of a pattern in a line; ``m`` is the first of its groups that is set. Groups are aligned by match."""
+    found = [F.regexp_extract_all("line_text", F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+    held = found[0]
+    for more in found[1:]:
+        held = F.zip_with(held, more, lambda a, b: F.when(a != "", a).otherwise(b))
+    return rows.withColumn("m", F.explode(held)).where("m <> ''")
+
+
+def _first_field() -> Column:
+    """The field that a sentence is about: the first in backticks that looks like one, else the first beside a word for field, else the first that looks like one."""
+    marked = F.try_element_at(F.filter(F.regexp_extract_all("segment", F.lit(r"`([^`\n]+)`"), F.lit(1)), looks_like_field), F.lit(1))
+    beside = [F.nullif(F.regexp_extract("segment", FIELD_CONTEXT, g), F.lit("")) for g in (1, 2, 3)]
+    return F.coalesce(marked, *beside, F.nullif(F.regexp_extract("segment", FIELD, 1), F.lit("")), F.lit("input"))
+
+
+def looks_like_field(c: Column) -> Column:
+    return c.rlike(f"^(?:{FIELD})$") & (F.length(c) <= 80)
+
+
 def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
     """Fact nodes of sentences: statuses, fields, screens, actions, validation rules, error messages, permissions,
-    policies, requirements, database entities and integrations.
+    policies, requirements, database entities and integrations; every match of a sentence is one.
 
     A page number, where the lines come from pages, goes along."""
     rows = segments(lines).withColumn("line_text", F.col("segment"))
@@ -381,25 +469,23 @@ def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
     rule = F.lit(None).cast("string")
     for kind, pattern in reversed(RULES):
         rule = F.when(F.col("segment").rlike(pattern), kind).otherwise(rule)
-    first_field = F.coalesce(F.nullif(F.regexp_extract("segment", r"`([A-Za-z][A-Za-z0-9_.-]*)`", 1), F.lit("")), F.nullif(F.regexp_extract("segment", FIELD, 1), F.lit("")), F.lit("input"))
-    valid = rows.withColumn("v", F.regexp_extract("segment", VALIDATION, 1)).where("v <> ''").withColumn("field", first_field)
-    one_of = lambda pattern, *groups: F.coalesce(*[F.nullif(F.regexp_extract("segment", pattern, g), F.lit("")) for g in groups])
-    label = lambda c: F.regexp_replace(c, r"^[ :-]+|[ :-]+$", "")
-    named = lambda c: rows.withColumn("e", label(c)).where((F.length("e") > 1) & ~F.lower("e").isin(NO_LABEL))
-    action = one_of(ACTION, 1)
+    valid = rows.withColumn("v", F.regexp_extract("segment", VALIDATION, 1)).where("v <> ''").withColumn("field", _first_field())
+    label = lambda df: df.withColumn("e", F.regexp_replace("m", r"^[ :-]+|[ :-]+$", "")).where((F.length("e") > 1) & (F.length("e") <= 80) & ~F.lower("e").isin(NO_LABEL))
     warned = rows.where(F.col("segment").rlike(ERROR_HINT))
-    said = _matches(warned, QUOTED, 0).withColumn("m", F.regexp_replace("m", "^[`\"'“‘]|[`\"'”’]$", ""))
+    said = _each(warned, QUOTED, 5)
+    field = {"reference_type": "form_field", "subject": F.col("m")}
     return all_of([
         node_rows(_matches(rows, STATUS_WORD), "StatusValue", F.col("m"), "sb", "DOC_EXACT", reference_type="status_value", **more),
-        node_rows(_matches(rows.where(F.col("segment").rlike(FIELD_HINT)), FIELD), "FormField", F.col("m"), "sb", "DOC_EXACT", reference_type="form_field", subject=F.col("m"), **more),
-        node_rows(_matches(rows, r"`([^`\n]+)`").where(F.col("m").rlike(f"^(?:{FIELD})$")), "FormField", F.col("m"), "sb", "DOC_EXACT", reference_type="form_field", subject=F.col("m"), **more),
+        node_rows(_matches(rows.where(F.col("segment").rlike(FIELD_HINT)), FIELD).where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
+        node_rows(_matches(rows, r"`([^`\n]+)`").where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
+        node_rows(_each(rows, FIELD_CONTEXT, 3).where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
         node_rows(valid, "ValidationRule", F.col("v"), "sb", "DOC_INFERRED", subject=F.col("field"), **more),
         node_rows(rows.withColumn("rule", rule).where("rule is not null"), F.col("rule"), short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(named(one_of(SCREEN, 1, 2)), "Screen", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(rows.withColumn("e", action).where("e is not null"), "UserAction", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
+        node_rows(label(_each(rows, SCREEN, 2)), "Screen", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
+        node_rows(_matches(rows, ACTION), "UserAction", short("m", 96, compact=True), "sb", "DOC_INFERRED", **more),
         node_rows(_matches(rows, KOREAN_ACTION), "UserAction", F.col("m"), "sb", "DOC_INFERRED", **more),
         node_rows(said, "ErrorMessage", F.col("m"), "sb", "DOC_EXACT", **more),
         node_rows(warned.where(~F.col("segment").rlike(QUOTED)), "ErrorMessage", short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(named(one_of(INTEGRATION, 1, 2)), "ExternalIntegration", short("e", 96, compact=True), "sb", "DOC_EXACT", **more),
-        node_rows(rows.withColumn("e", one_of(DATABASE, 1, 2, 3)).where("e is not null"), "DatabaseEntity", F.col("e"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("e"), **more),
+        node_rows(label(_each(rows, INTEGRATION, 2)), "ExternalIntegration", short("e", 96, compact=True), "sb", "DOC_EXACT", **more),
+        node_rows(_each(rows, DATABASE, 3), "DatabaseEntity", F.col("m"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("m"), **more),
     ]).dropDuplicates(["id"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_endpoint, content_id, endpoint_method, endpoint_path, identifier_key, is_generic_term, meaningful_terms, normalize_path
+from tessera.operators.joins import overlaps
 from tessera.operators.store import first_per_key
 
 # Kinds on either side and words of validating code.
@@ -104,11 +105,10 @@ def handler_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def term_links(docs: DataFrame, code: DataFrame, least: int = 2) -> DataFrame:
-    """Weak candidates: rules and code that share two meaningful terms; an inverted index, no pairs without a shared term."""
+    """Weak candidates: rules and code that share two meaningful terms, found by the seldom terms of either."""
     d = docs.where("kind in ('Requirement', 'Policy', 'BusinessPolicy', 'PermissionRule', 'UserAction', 'Screen')").withColumn("terms", meaningful_terms(F.concat_ws(" ", "label", "quote"))).where(F.size("terms") >= least)
     c = code.where("kind in ('Class', 'Function', 'Method', 'Endpoint')").withColumn("terms", meaningful_terms(F.concat_ws(" ", "label", "canonical_name")))
-    pairs = d.select(F.col("id").alias("d_id"), F.explode("terms").alias("t")).join(c.select(F.col("id").alias("c_id"), F.explode("terms").alias("t")), "t")
-    shared = pairs.groupBy("d_id", "c_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = overlaps(d.select("id", "terms"), c.select("id", "terms"), least).select(F.col("l_id").alias("d_id"), F.col("r_id").alias("c_id"))
     return _link(shared, "SEMANTIC_CANDIDATE", "AMBIGUOUS", 0.2, "weak_lexical_overlap", 8)
 
 

@@ -46,6 +46,42 @@ def save_tables(tables: dict[str, DataFrame], folder: str, version: int) -> None
     spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
 
 
+def append(rows: DataFrame, folder: str, table: str) -> None:
+    """Add rows to a table that only grows (packs, manifests): beside the versions, a file for each write."""
+    rows.select(*[c.split()[0] for c in TABLES[table].split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/{table}")
+
+
+def logged(spark: SparkSession, folder: str, table: str, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key of a table that only grows; none where nothing has been written."""
+    try:
+        rows = spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TABLES[table])
+    return last_per_key(rows, keys, F.col(order).desc())
+
+
+def put_manifest(spark: SparkSession, folder: str, values: dict[str, str], updated_at: str) -> None:
+    """Set keys of the manifest of a folder; the last value of each counts."""
+    rows = spark.createDataFrame(list(values.items()), "key string, value string")
+    append(rows.withColumn("updated_at", F.lit(updated_at).cast("timestamp_ntz")), folder, "manifests")
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return logged(spark, folder, "manifests", ["key"], "updated_at")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file through Spark's file system, in place of one that is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def last_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Of the rows of each key the one that comes last."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

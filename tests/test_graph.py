@@ -244,10 +244,52 @@ def test_pages_and_symbols(spark, project):
 
 def test_pack_keeps_its_budget(project):
     made = pack.build(project, "Change POST /api/users to require email", budget=500)
-    assert made["intent"] == "impact" and made["evidence"] and pack.tokens(pack.render(made)) <= 500 or all(len(made[s]) <= 2 for s in pack.TRIMMED)
+    assert made["mode"] == "impact" and made["evidence_paths"] and pack.tokens(pack.render(made)) <= 500 or all(len(made[s]) <= 2 for s in pack.TRIMMED)
     assert pack.limits(1800) == (8, 10) and pack.limits(300) == (3, 5)
 
 
+def test_fit_drops_as_one_by_one_would():
+    import random
+
+    random.seed(3)
+    for _ in range(300):
+        payload = {s: [{"id": i, "quote": "x" * random.randrange(120)} for i in range(random.randrange(9))] for s in pack.TRIMMED} | {"excluded": [{"reason": "whole_files"}]}
+        budget = random.randrange(40, 900)
+        got = pack.fit(payload, budget)
+        want, gone = {k: list(v) for k, v in payload.items()}, {}
+        while pack.tokens(pack.render(want)) > budget:
+            s = next((s for s in pack.TRIMMED if len(want[s]) > 2), None)
+            if s is None:
+                break
+            want[s].pop()
+            gone[s] = gone.get(s, 0) + 1
+            want["excluded"] = [payload["excluded"][0], *[{"reason": f"token_budget_trimmed_{pack.TRIMMED[t]}", "count": n} for t, n in gone.items()]]
+        sizes = lambda p: [len(p[s]) for s in pack.TRIMMED]
+        assert sum(sizes(want)) - sum(sizes(got)) in (0, 1), (sizes(got), sizes(want))  # a count may be a digit shorter than allowed for
+        assert pack.tokens(pack.render(got)) <= budget or all(n <= 2 for n in sizes(got))
+
+
+def test_pack_holds_all_conflicts_and_is_saved(spark, tmp_path):
+    rules = "# Rules\n\n" + "".join(f"The `pin_{i}` must be at least 8 characters.\n\n" for i in range(14))
+    code = "const s = {\n" + "".join(f"  pin_{i}: z.string().min({6 + i % 2}),\n\n\n\n\n\n\n" for i in range(14)) + "};\n"
+    both = index.build(corpus(spark, {"rules.md": rules, "s.ts": code}))
+    made = pack.build(both, "Change pin_3")
+    assert len(made["conflicts"]) == 14 and {*made} == {"task", "mode", "budget_tokens", "primary_nodes", "evidence_paths", "affected_code", "related_documents", "risks", "conflicts", "unknowns", "excluded"}
+    assert all(e["path"] == "s.ts" for e in made["affected_code"]) and all(e["path"] == "rules.md" for e in made["related_documents"])
+    folder = str(tmp_path / "index")
+    assert pack.saved(spark, folder).count() == 0
+    path = pack.save(spark, folder, made, "2024-01-02 03:04:05")
+    pack.save(spark, folder, made, "2024-01-02 03:04:05")
+    (row,) = pack.saved(spark, folder).collect()
+    assert row["task"] == "Change pin_3" and pack.read(spark, folder, row["id"]) == made and open(path).read() == pack.render(made)
+    assert pack.read(spark, folder, "none") is None
+    said = pack.summary(made, path)
+    assert [x for x in said.split("\n") if x and not x.startswith("-")] == ["Conclusion", "High-confidence findings", "Affected code", "Related documents", "Risks", "Conflicts", "Unknowns", "Saved pack"]
+    store.put_manifest(spark, folder, {"a": "1", "b": "2"}, "2024-01-01 00:00:00")
+    store.put_manifest(spark, folder, {"a": "3"}, "2024-01-02 00:00:00")
+    assert {r["key"]: r["value"] for r in store.manifest(spark, folder).collect()} == {"a": "3", "b": "2"}
+
+
 def test_classify_and_ignore(spark):
     names = ["README.md", "a.markdown", "b.pdf", "c.py", "openapi.yaml", "x/Swagger.JSON", "d.sql", "e.toml", "f.sb", "g.bin", "api.openapi.yml", "__init__.py", "Makefile"]
     df = spark.createDataFrame([(n,) for n in names], "path string")
@@ -380,10 +422,61 @@ def test_table_versions(spark, tmp_path):
 def test_summary_and_search(project):
     made = pack.build(project, "Change POST /api/users to require email")
     said = pack.summary(made)
-    assert said.startswith("Task: Change POST") and "src/app.ts:13" in said
+    assert said.startswith("Conclusion") and "src/app.ts:13" in said
     assert project.search("Change POST /api/users").first()["reason"].startswith("exact_endpoint")
 
 
+def test_every_match_of_a_sentence_is_a_fact(spark):
+    from tessera.operators.extract import facts
+
+    text = "Join the orders table with the users table.\nOpen the Login screen, then the Cart screen.\nThe user clicks save, the admin deletes rows.\nwebhook: Stripe, webhook: Slack\nThe field userName and key `order_id` are input.\n"
+    rows = files.lines(spark.createDataFrame([("a.md", "markdown", text)], "path string, kind string, text string"))
+    got = {(r["kind"], r["label"]) for r in facts(rows).collect()}
+    assert {("DatabaseEntity", "orders"), ("DatabaseEntity", "users"), ("Screen", "Open the Login"), ("Screen", "then the Cart"), ("ExternalIntegration", "Stripe"), ("ExternalIntegration", "Slack"), ("FormField", "userName"), ("FormField", "order_id")} <= got
+    assert {x for k, x in got if k == "UserAction"} == {"clicks save, the admin deletes rows"} or {x for k, x in got if k == "UserAction"} >= {"clicks save, the admin deletes rows"}
+
+
+def test_odd_json_files_are_read_on(spark):
+    texts = {
+        "trail.json": '{"a": 1} xx', "nan.json": '{\n "x": NaN,\n "y": -Infinity}', "deep.json": '{"a":' * 5000 + "1" + "}" * 5000, "cut.json": '{"a": {"b": ',
+        "near.json": '{\n "identifier": 1,\n "id": 2,\n "o": {\n  "id": 3\n }\n}', "empty.json": "", "text.json": '"a"', "twice.json": '{"k": [{"z": 1}, {"z": 2}]}',
+    }
+    nodes = index.build(corpus(spark, texts)).nodes.where("kind = 'ConfigKey'")
+    got = {(r["path"], r["canonical_name"]): r["start_line"] for r in nodes.where("path <> 'deep.json'").collect()}
+    assert got == {("nan.json", "x"): 2, ("nan.json", "y"): 3, ("near.json", "identifier"): 2, ("near.json", "id"): 3, ("near.json", "o"): 4, ("near.json", "o.id"): 5, ("twice.json", "k"): 1, ("twice.json", "k.z"): 1}
+    assert nodes.where("path = 'deep.json'").count() >= 100
+
+
+def test_overlaps_equal_all_pairs(spark):
+    import random
+
+    from tessera.operators import joins
+
+    random.seed(5)
+    make = lambda p: [(f"{p}{i}", sorted({"common", *random.choices("abcdefghijklmnop", k=random.randrange(5))} | ({"often"} if i % 2 else set()))) for i in range(60)]
+    left, right = make("l"), make("r")
+    frame = lambda rows: spark.createDataFrame(rows, "id string, terms array<string>")
+    for least in (1, 2, 3):
+        want = {(a, b, len({*s} & {*t})) for a, s in left for b, t in right if len({*s} & {*t}) >= least}
+        for hot in (10_000, 3):
+            assert {tuple(r) for r in joins.overlaps(frame(left), frame(right), least, hot).collect()} == want
+    alone = [(f"x{i}", ["common", f"own{i}"]) for i in range(50)]
+    assert joins.overlaps(frame(alone), frame([(i, [t.replace("own", "other") for t in s]) for i, s in alone])).count() == 0
+    many = spark.range(1000).selectExpr("id % 3 as k", "id as a")
+    few = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z"), (9, "n")], "k long, b string")
+    want = sorted((i % 3, i, b) for i in range(1000) for k, b in [(0, "x"), (0, "y"), (1, "z")] if i % 3 == k)
+    assert sorted(tuple(r) for r in joins.meet(many, few, ["k"], limit=0, hot=50).collect()) == want
+
+
+def test_conflicts_of_a_topic_without_subjects_need_no_pairs(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit("timeout_ms").alias("subject"), ((F.col("id") % 10) * 1000).cast("string").alias("value"), F.concat(F.lit("a.md:"), F.col("id").cast("string")).alias("location"), F.lit("q").alias("quote"), F.lit("DOC_EXACT").alias("confidence"))
+    assert conflicts.differing(rows, rows).count() == 9 * n
+    none = rows.limit(0)
+    doc = {t: none for t in ("validation", "status", "endpoint", "retry", "permission")} | {"timeout": rows}
+    assert conflicts.detect(doc, dict(doc)).count() == 9 * n
+
+
 LITERAL = {
     "README.md": "# Users\n\nThe client calls `POST /api/users`.\n\nThe password must be at least 8 characters.\n\nStatus PAID ends it. Only admin can refund.\n",
     "src/app.ts": 'export function createUser(req, res) {\n  if (!req.body.email) throw new Error("required");\n}\napp.post("/api/users", createUser);\nconst schema = {\n  password: z.string().min(6),\n};\n',
