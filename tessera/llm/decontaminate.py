@@ -258,21 +258,18 @@ def longest_run(places: list[int]) -> int:
 def sound_places(found: list[dict]) -> tuple[list[int], bool]:
     """Places of the windows of a line that count, and whether one with other values is among them.
 
-    Windows with the item's own values count whatever else the line holds. Those with other values count if
-    each of the item's values is replaced the same way throughout; two of them may become the same one, as numbers do. Words that begin a sentence need not be names: where
-    such values differ, only the windows go that hold another than the most usual one."""
+    Windows with the item's own values count whatever else the line holds. Those with other values count if they replace each of the item's values as
+    most windows of the line do; two values may become the same one, as numbers do. So a value that stands in two places and has become two things costs
+    the windows of the fewer, and no others. What words that begin a sentence have become is settled after the rest, as they need not be names."""
     changed = [w for w in found if w["item_values"] != w["values"]]
     places = {w["item_pos"] for w in found if w["item_values"] == w["values"]}
     pairs = [[*zip(w["item_values"], w["values"], (x or y for x, y in zip(w["item_leading"], w["leading"])))] for w in changed]
     stands: dict[str, str] = {}
-    if any(stands.setdefault(a, b) != b for p in pairs if not any(led for *_, led in p) for a, b, _ in p):
-        return sorted(places), False
-    fit = {w["item_pos"] for w, p in zip(changed, pairs) if not any(led for *_, led in p)}
-    if all(stands.setdefault(a, b) == b for p in pairs for a, b, led in p if not led):
-        votes = Counter(pair for p in pairs for pair in {(a, b) for a, b, led in p if led})
+    for leading in (False, True):
+        votes = Counter(pair for p in pairs for pair in {(a, b) for a, b, led in p if led == leading})
         for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
             stands.setdefault(a, b)
-        fit |= {w["item_pos"] for w, p in zip(changed, pairs) if all(stands[a] == b for a, b, _ in p)}
+    fit = {w["item_pos"] for w, p in zip(changed, pairs) if all(stands[a] == b for a, b, _ in p)}
     return sorted(places | fit), bool(fit)
 
 

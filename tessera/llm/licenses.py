@@ -7,7 +7,7 @@ is suppressed. A few base phrases are always reported."""
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -19,6 +19,9 @@ from tessera.llm.common import map_texts
 #: Base phrases, as words, and their labels: fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Names that mean other things as well: they count with a version or a grant alone.
+AMBIGUOUS = {"epl"}
+
 _words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 # Families: label, names as regexes over words, versions as (suffix of the label, regex) if there are any, SPDX identifiers.
@@ -200,6 +203,12 @@ def _width(pattern: str) -> int:
     return widest
 
 
+def _identifier(pattern: str) -> str:
+    """An identifier after the words that announce it, or after other identifiers of the same expression; the match itself is the group ``id``."""
+    any_of = "|".join(sorted({i for *_, spdx in FAMILIES for i in spdx}, key=lambda i: (-len(i), i)))
+    return rf"spdx licen[cs]e identifier (?:(?:{any_of}) (?:or|and|with) ){{0,6}}(?P<id>{pattern})"
+
+
 @cache
 def rules() -> list[Rule]:
     """All rules, ordered by falling priority: identifiers, grants with a version, bodies, names with a version, grants, names."""
@@ -212,7 +221,13 @@ def rules() -> list[Rule]:
     for label, names, versions, spdx in FAMILIES:
         long = 10 * label.count("-")  # a narrower family goes before the one it belongs to
         for i in spdx:
-            add(label, 500 + long, 1.0, i, rf"spdx licen[cs]e identifier {i}")
+            add(label, 500 + long, 1.0, i, _identifier(i))
+            for suffix, _ in versions:  # an identifier names its version
+                exact = re.sub(r"(?:\\d|\d) (?:\\d|\d)1?\??", suffix[1:].replace(".", " "), i, count=1)
+                if exact != i or suffix[1:].replace(".", " ") in i:
+                    plain = re.sub(r"\(\?:[^()]*\)\?", "", exact)
+                    if re.fullmatch(i, plain):
+                        add(label + suffix, 510 + long, 1.0, exact, _identifier(exact))
         for name in names:
             for suffix, version in versions:
                 v = rf" ?(?:v|ver|version)? ?{version}"
@@ -222,7 +237,8 @@ def rules() -> list[Rule]:
                 add(label + suffix, 400 + long, 1.0, name, rf"{_GRANT} {name}{v}")
                 add(label + suffix, 300 + long, 0.9, name, rf"{name}{v}")
             add(label, 200 + long, 0.8, name, rf"{_GRANT} {name}")
-            add(label, 100 + long, 0.6, name, name)
+            if name not in AMBIGUOUS:
+                add(label, 100 + long, 0.6, name, name)
     for label, confidence, body in BODIES:
         add(label, 350 + 10 * label.count("-"), confidence, body, body)
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
@@ -259,14 +275,22 @@ class _LongestEnd:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Detections by falling priority and length; those within the interval of one kept before are suppressed."""
+    """Detections by falling priority and length; those within the interval of one kept before are suppressed.
+
+    Of one label containment holds both ways: a surer detection within a longer one is part of it and gives it its confidence."""
     kept: list[Detection] = []
     ends = _LongestEnd([d.start for d in found])
     for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
         if ends.of(d.start) < d.end:
             kept.append(d)
             ends.put(d.start, d.end)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+    whole: list[Detection] = []
+    for d in sorted(kept, key=lambda d: (d.label, d.start, -d.end)):
+        if whole and whole[-1].label == d.label and d.end <= whole[-1].end:
+            best = whole.pop()
+            d = replace(best, priority=max(best.priority, d.priority), confidence=max(best.confidence, d.confidence))
+        whole.append(d)
+    return sorted(whole, key=lambda d: (d.start, d.end, d.label))
 
 
 def _stretches(line: str, hits: list[int], size: int, reach: int) -> list[tuple[int, int]]:
@@ -321,7 +345,7 @@ class Scanner:
             for r, reach in self.by_keyword.get(keyword, ()):
                 for a, b in _stretches(line, hits[keyword], len(keyword), reach):
                     for m in r.pattern.finditer(line, a, b):
-                        spans.append((m.start(), m.end()))
+                        spans.append(m.span("id") if "id" in r.pattern.groupindex else m.span())
                         owners.append(r)
         starts = 1 + np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
         number = lambda at: np.searchsorted(starts, at, "right") - 1

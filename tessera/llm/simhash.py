@@ -330,8 +330,8 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
 def _family_classes(prints: DataFrame, radius: int) -> DataFrame:
     """prints, root of their component: rows of fingerprints are linked where those of one family are within ``radius`` bits.
 
-    A link whose ends differ in over a third of the bits of all families is one of chance (half of them differ then)
-    and is left out; texts that are alike in four shingles of five differ in a seventh."""
+    A link whose ends differ in over a sixth of the bits of all families is left out: that many texts differ in that are alike in about seven five-word
+    shingles of ten, those alike in eight differ in an eighth."""
     classes = checkpoint(prints.select("prints").distinct().withColumn("vertex", F.monotonically_increasing_id()))
     one = classes.select("vertex", F.posexplode("prints").alias("family", "fingerprint"))
     codes = checkpoint(one.groupBy("family", "fingerprint").agg(F.min("vertex").alias("least")))
@@ -344,7 +344,7 @@ def _family_classes(prints: DataFrame, radius: int) -> DataFrame:
     for end in ("a", "b"):
         ends = ends.join(classes.select(F.col("vertex").alias(end), F.col("prints").alias(f"prints_{end}")), end)
     apart = F.expr("aggregate(zip_with(prints_a, prints_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    roots = components(ends.where(3 * apart <= 64 * F.size("prints_a")).select("a", "b"))
+    roots = components(ends.where(6 * apart <= 64 * F.size("prints_a")).select("a", "b"))
     return classes.join(roots, "vertex", "left").select("prints", F.coalesce("root", "vertex").alias("root"))
 
 

@@ -133,13 +133,21 @@ def brute_detections(text):
     found = set()
     for r in rules():
         for m in r.pattern.finditer(line):
-            a = line[: m.start()].count(" ") - 1
-            found.add(Detection(a, a + m[0].count(" ") + 1, r.label, r.priority, r.confidence))
+            g = "id" if "id" in m.re.groupindex else 0
+            a = line[: m.start(g)].count(" ") - 1
+            found.add(Detection(a, a + m[g].count(" ") + 1, r.label, r.priority, r.confidence))
     kept = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
         if not any(k.start <= d.start and d.end <= k.end for k in kept):
             kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+    inside = lambda d, k: d.label == k.label and (d.start, d.end) != (k.start, k.end) and k.start <= d.start and d.end <= k.end
+    outer = [k for k in kept if not any(inside(k, o) for o in kept)]
+    told = {k: (k.priority, k.confidence) for k in outer}
+    for d in kept:
+        if d not in told:  # the last to begin of those around it
+            k = max((k for k in outer if inside(d, k)), key=lambda k: k.start)
+            told[k] = (max(told[k][0], d.priority), max(told[k][1], d.confidence))
+    return sorted((Detection(k.start, k.end, k.label, *told[k]) for k in outer), key=lambda d: (d.start, d.end, d.label))
 
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
@@ -174,6 +182,25 @@ def test_license_bodies_and_versions():
     assert labels("This is free and unencumbered software released into the public domain.") == {"unlicense"}
 
 
+def test_license_identifiers_are_read_whole():
+    from tessera.llm.licenses import Scanner
+
+    labels = lambda text: sorted(d.label for d in Scanner().scan(text)[2])
+    assert labels("SPDX-License-Identifier: MIT OR Apache-2.0") == ["apache-2.0", "mit"]
+    assert labels("SPDX-License-Identifier: (LGPL-2.1-or-later AND BSD-3-Clause) OR MPL-2.0") == ["bsd-3-clause", "lgpl-2.1", "mpl-2.0"]
+    assert labels("// SPDX-License-Identifier: GPL-3.0-only\n// SPDX-License-Identifier: ISC") == ["gpl-3.0", "isc"]
+    assert labels("He watched the EPL on Sunday, and the MIT campus.") == [] and labels("under the EPL 2.0") == ["epl-2.0"]
+    assert labels("SPDX-License-Identifier: MIT\nIt runs fast and isc is a word.") == ["mit"]
+
+
+def test_a_notice_is_one_detection_of_its_label():
+    from tessera.llm.licenses import Detection, resolve
+
+    make = lambda a, b, label, p, c=0.5: Detection(a, b, label, p, c)
+    got = resolve([make(3, 6, "x", 400, 1.0), make(0, 9, "x", 300, 0.9), make(4, 5, "y", 100), make(20, 22, "x", 100, 0.6)])
+    assert [(d.start, d.end, d.label, d.confidence) for d in got] == [(0, 9, "x", 1.0), (20, 22, "x", 0.6)]
+
+
 def test_license_scan_is_linear():
     import time
 
@@ -537,6 +564,35 @@ def brute_windows(text, sizes):
                         yield p, size, reading, tuple(part[i][0] for i in marked), tuple(i in names for i in marked), template
 
 
+def brute_sound(line):
+    """The windows of a line that count, settled value by value: what most windows make of a value of the item holds, the smallest of equals."""
+    exact = [w for w in line if w["values"] == w["item_values"]]
+    rest = [w for w in line if w["values"] != w["item_values"]]
+    reading = {}
+    for names_too in (0, 1):
+        heard = defaultdict(lambda: defaultdict(set))
+        for n, w in enumerate(rest):
+            for k, value in enumerate(w["item_values"]):
+                if (w["item_leading"][k] or w["leading"][k]) == bool(names_too):
+                    heard[value][w["values"][k]].add(n)
+        for value in heard:
+            if value not in reading:
+                most = max(len(s) for s in heard[value].values())
+                reading[value] = min(r for r, s in heard[value].items() if len(s) == most)
+    good = [w for w in rest if [reading[v] for v in w["item_values"]] == w["values"]]
+    return sorted({w["item_pos"] for w in exact + good}), len(good) > 0
+
+
+def test_a_value_with_two_readings_costs_the_fewer_windows(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    item = "A shop in the old town sells {} pens to {} on the first day and then, after {} days of heavy rain, it sells {} more pens to {}; how many pens did the shop sell in all that time?"
+    bench = spark.createDataFrame([(1, item.format(2, "Anna", 2, 7, "Peter"))], "item_id long, text string")
+    docs = [(1, item.format(21, "Olga", 31, 9, "Max")), (2, item.format(21, "Olga", 21, 9, "Max")), (3, item.format(2, "Anna", 2, 7, "Peter")), (4, "A shop sells pens.")]
+    got = {r["doc_id"]: r for r in contaminated(docs_of(spark, docs), bench).collect()}
+    assert {*got} == {1, 2, 3} and got[1]["reparameterised"] and 0.5 <= got[1]["coverage"] < got[2]["coverage"] == 1.0 and not got[3]["reparameterised"]
+
+
 def brute_contaminated(text, items, coverage=0.5):
     """item_id, items, coverage and whether values differ, or None: all windows of the text against all of every item, on every alignment."""
     from tessera.llm import decontaminate as D
@@ -551,7 +607,7 @@ def brute_contaminated(text, items, coverage=0.5):
         for p, size, reading, values, leading, template in windows:
             for q, own, led in mine.get((size, reading), ()):
                 lines[q - p].append({"item_pos": p, "template": template, "item_values": list(values), "values": list(own), "item_leading": list(leading), "leading": list(led)})
-        sound = [D.sound_places(f) for f in lines.values()]
+        sound = [brute_sound(f) for f in lines.values()]
         places = {p for found, _ in sound for p in found}
         run = max((k for found, _ in sound for p in found for k in range(1, len(found) + 1) if all(p + j in found for j in range(k))), default=0)
         every, of_templates = {w[0] for w in windows}, {w[0] for w in windows if w[5]}
