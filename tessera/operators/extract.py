@@ -123,6 +123,30 @@ def edge_rows(rows: DataFrame, src: Column, dst: Column, relation: Column | str,
     return out.where("src is not null and dst is not null").withColumn("id", content_id("edge", "src", "dst", "relation", "extractor")).select(*EDGE)
 
 
+#: What a match in a line says of a node, in the order of its fields.
+SPOT = ["branch", "prefix", "kind", "label", "canonical_name", "confidence", "method", "endpoint", "reference_type", "subject", "quote"]
+
+
+def _spot(branch: int, kind: Column | str, label: Column, prefix: str, confidence: str, quote: Column, **more: Column | str | None) -> Column:
+    """A match as a struct of SPOT; ``branch`` says which of equal nodes stays."""
+    text = lambda c: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string")
+    given = {"prefix": prefix, "kind": kind, "label": label, "canonical_name": label, "confidence": confidence, "quote": quote} | more
+    return F.struct(F.lit(branch).alias("branch"), *[text(given.get(c)).alias(c) for c in SPOT[1:]])
+
+
+def _if(condition: Column, spot: Column) -> Column:
+    return F.array_compact(F.array(F.when(condition, spot)))
+
+
+def _spotted(rows: DataFrame, spots: list[Column], page: Column | None = None) -> DataFrame:
+    """Nodes of the matches of each row (path, kind, line), gathered in one pass: one array a row, exploded once, with their branch."""
+    sheet = F.lit(None).cast("int") if page is None else page.cast("int")
+    found = rows.select("path", F.col("kind").alias("artifact_kind"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line"), sheet.alias("page"), F.explode(F.concat(*spots)).alias("s"))
+    found = found.select("path", "artifact_kind", "start_line", "end_line", "page", *[F.col(f"s.{c}").alias(c) for c in SPOT]).where("label <> ''")
+    made = F.concat("prefix", content_id("", "path", "kind", "label", "canonical_name", "start_line", "end_line"))
+    return found.withColumn("id", made).select(*NODE, "branch")
+
+
 def _clean_name(c: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(c, "[\"`]", ""), r"\."), -1)
 
@@ -168,28 +192,27 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = [edge_rows(placed.select(under.alias("u"), "id").distinct(), F.col("u"), F.col("id"), "DEFINES"), edge_rows(module_nodes.join(file_ids, "path"), F.col("file_id"), F.col("id"), "DEFINES")]
     nodes = [file_nodes, module_nodes, def_nodes]
 
-    for suffix, pattern in IMPORTS:
-        hits = node_rows(_matches(known.where(F.col("path").rlike(suffix)), pattern), "Module", F.col("m"), "code", "EXACT_STATIC", reference_type="import")
-        nodes.append(hits)
-        edges.append(edge_rows(hits.join(tops, "path"), F.col("module_id"), F.col("id"), "IMPORTS"))
-
-    handlers = def_nodes.where("kind in ('Function', 'Method')").select("path", F.col("label").alias("handler"), F.col("start_line").alias("at"), F.col("id").alias("handler_id"))
-    for suffix, pattern in ROUTES:
-        spots = known.where(F.col("path").rlike(suffix) & F.col("line_text").rlike(pattern))
+    def_nodes = checkpoint(def_nodes)  # read by its edges and by every route
+    line, trimmed = F.col("line_text"), F.trim("line_text")
+    matches = lambda pattern, group=1: F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
+    named = [F.transform(F.when(F.col("path").rlike(suffix), matches(pattern)).otherwise(F.array().cast("array<string>")), lambda m: _spot(0, "Module", m, "code", "EXACT_STATIC", trimmed, reference_type="import")) for suffix, pattern in IMPORTS]
+    routed = []
+    for i, (suffix, pattern) in enumerate(ROUTES, 1):
         verb = F.upper(F.regexp_extract("line_text", pattern, 1))
         verb = F.when(verb == "REQUEST", "GET").otherwise(verb)
         route = F.coalesce(F.nullif(F.regexp_extract("line_text", pattern, 2), F.lit("")), F.lit("/"))
-        named = F.regexp_extract("line_text", pattern, 3) if suffix == SCRIPT else F.lit("")
-        hits = node_rows(spots, "Endpoint", F.concat(verb, F.lit(" "), route), "code", "EXACT_STATIC", canonical_name=route, method=verb, endpoint=route, subject=F.nullif(named, F.lit("")))
-        nodes.append(hits)
-        above = F.col("handler").eqNullSafe(F.col("subject")) & (F.col("at") <= F.col("start_line")) if suffix == SCRIPT else F.col("at") > F.col("start_line")
-        near = hits.join(handlers, "path").where(above)
-        nearest = first_per_key(near, ["id"], F.abs(F.col("at") - F.col("start_line")), F.col("handler_id"))
-        edges.append(edge_rows(nearest, F.col("id"), F.col("handler_id"), "ROUTE_TO_HANDLER"))
-        if suffix == r"\.py$":  # a decorator stands at its handler
-            edges.append(edge_rows(nearest, F.col("handler_id"), F.col("id"), "REFERENCES"))
-        else:
-            edges.append(edge_rows(hits.join(tops, "path"), F.col("module_id"), F.col("id"), "REFERENCES"))
+        handler = F.nullif(F.regexp_extract("line_text", pattern, 3), F.lit("")) if suffix == SCRIPT else None
+        hit = _spot(i, "Endpoint", F.concat(verb, F.lit(" "), route), "code", "EXACT_STATIC", trimmed, canonical_name=route, method=verb, endpoint=route, subject=handler)
+        routed.append(_if(F.col("path").rlike(suffix) & line.rlike(pattern), hit))
+    spotted = checkpoint(_spotted(known.where("kind = 'code'"), [*named, *routed]))
+    imports, hits = spotted.where("branch = 0"), spotted.where("branch > 0")
+    nodes.append(spotted.drop("branch"))
+    edges.append(edge_rows(imports.join(tops, "path"), F.col("module_id"), F.col("id"), "IMPORTS"))
+    nearest = _handlers(hits, def_nodes.where("kind in ('Function', 'Method')"))
+    edges.append(edge_rows(nearest, F.col("id"), F.col("handler_id"), "ROUTE_TO_HANDLER"))
+    decorated = F.col("path").rlike(r"\.py$")  # a decorator stands at its handler
+    edges.append(edge_rows(nearest.where(decorated), F.col("handler_id"), F.col("id"), "REFERENCES"))
+    edges.append(edge_rows(hits.where(~decorated).join(tops, "path"), F.col("module_id"), F.col("id"), "REFERENCES"))
 
     sql = known.where("kind = 'sql'")
     created, used = _matches(sql, SQL_CREATE), _matches(sql, SQL_USE)
@@ -226,6 +249,23 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_of(nodes).dropDuplicates(["id"]), all_of(edges).dropDuplicates(["id"])
 
 
+def _handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
+    """``routes`` with handler_id: of a script's route the last function above it of the name it gives (subject), else the next function below it.
+
+    An as-of join: routes and functions of a file (and name) are one run of lines, over which the last or the next function is carried, so a
+    file of many routes and functions makes no pairs."""
+    script = F.col("path").rlike(SCRIPT)
+    lines = functions.select("path", F.col("label").alias("name"), F.col("start_line").alias("at"), F.struct("start_line", F.col("id").alias("handler_id")).alias("f"), F.lit(0).alias("sort"), F.lit(None).cast("string").alias("id"))
+    asks = routes.select("path", F.col("subject").alias("name"), F.col("start_line").alias("at"), F.lit(None).cast(lines.schema["f"].dataType).alias("f"), F.lit(1).alias("sort"), "id")
+    above = Window.partitionBy("path", "name").orderBy("at", "sort", "f.handler_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = lines.unionByName(asks).where(script & F.col("name").isNotNull()).withColumn("f", F.last("f", ignorenulls=True).over(above)).where("sort = 1")
+    # functions of a route's own line stand before it, so they are not below it
+    order = Window.partitionBy("path").orderBy("at", "sort", "f.handler_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    following = lines.unionByName(asks).where(~script).withColumn("f", F.first("f", ignorenulls=True).over(order)).where("sort = 1")
+    found = named.select("id", F.col("f.handler_id").alias("handler_id")).unionByName(following.select("id", F.col("f.handler_id").alias("handler_id"))).where("handler_id is not null")
+    return routes.select("id", "path").distinct().join(found.distinct(), "id")
+
+
 def _scopes(code: DataFrame) -> DataFrame:
     """A row for each definition of code lines (with def, indent, depth): path, kind, line, line_text, last (line), body, name,
     def_kind, and owner and owner_line if the innermost definition around it is a class. A file is one group, read once."""
@@ -408,44 +448,33 @@ def mentions(lines: DataFrame) -> DataFrame:
 
     Of nodes with the same kind, label and place the first by the order of the branches stays."""
     doc = lines.where("kind in ('markdown', 'pdf')")
-    marks = _matches(doc, r"`([^`\n]+)`")
-    is_path, is_call = F.col("m").rlike(f"^(?:{FILE_PATH})$"), F.col("m").rlike(r"^[A-Za-z_$][\w$.]*\(\)$")
-    is_key = F.col("m").rlike(f"^{CONFIG_KEY[2:-2]}$")
-    marked = F.when(is_path, "file_path").when(is_call, "function").when(is_key, "config_key").when(F.col("m").rlike(r"^[A-Z][A-Z0-9_]{2,}$") & ~F.col("m").isin(NO_STATUS), "status_value")
-    named = _matches(doc, ENDPOINT, 0)
-    links = _matches(doc, r"\[[^\]]+\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
-    href = F.when(F.col("m").rlike(r"^/api/|^/[a-z]"), "api").when(F.col("m").rlike(f"^(?:{FILE_PATH})$"), "file_path").otherwise("link")
-    verb, path = F.regexp_extract("m", ENDPOINT, 1), F.regexp_extract("m", ENDPOINT, 2)
+    line, quote = F.col("line_text"), F.trim("line_text")
+    matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), lambda m: m != "")
+    spot = lambda branch, kind, label, confidence="DOC_EXACT", **more: _spot(branch, kind, label, "md", confidence, quote, **more)
+    is_key = lambda m: m.rlike(f"^{CONFIG_KEY[2:-2]}$")
+    is_status = lambda m: m.rlike(r"^[A-Z][A-Z0-9_]{2,}$") & ~m.isin(NO_STATUS)
+    sort = lambda m: F.when(m.rlike(f"^(?:{FILE_PATH})$"), "file_path").when(m.rlike(r"^[A-Za-z_$][\w$.]*\(\)$"), "function").when(is_key(m), "config_key").when(is_status(m), "status_value")
+    marks, links = matches(r"`([^`\n]+)`"), matches(r"\[[^\]]+\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
+    is_api = lambda m: m.rlike(r"^/api/|^/[a-z]")
+    spots = [
+        F.transform(matches(ENDPOINT, 0), lambda m: spot(0, "APIReference", m, method=F.regexp_extract(m, ENDPOINT, 1), endpoint=F.regexp_extract(m, ENDPOINT, 2))),
+        F.transform(matches(BARE_API), lambda m: spot(1, "APIReference", m, endpoint=m)),
+        F.transform(F.filter(links, is_api), lambda m: spot(2, "APIReference", m)),
+        F.transform(F.filter(links, lambda m: ~is_api(m)), lambda m: spot(3, "CodeReference", m, reference_type=F.when(m.rlike(f"^(?:{FILE_PATH})$"), "file_path").otherwise("link"))),
+        F.transform(F.filter(marks, lambda m: sort(m) != "status_value"), lambda m: spot(4, "CodeReference", m, reference_type=sort(m))),
+        F.transform(F.filter(marks, lambda m: sort(m) == "status_value"), lambda m: spot(5, "StatusValue", m, reference_type="status_value")),
+        F.transform(F.filter(matches(FILE_PATH, 0), lambda m: ~m.contains("://")), lambda m: spot(6, "CodeReference", m, reference_type="file_path")),
+        F.transform(matches(FUNCTION), lambda m: spot(7, "CodeReference", F.concat(m, F.lit("()")), reference_type="function")),
+        F.transform(matches(CONFIG_KEY), lambda m: spot(8, "CodeReference", m, reference_type="config_key")),
+        F.transform(F.filter(matches(STATUS_MENTION), lambda m: ~m.isin(NO_STATUS)), lambda m: spot(9, "StatusValue", m, reference_type="status_value")),
+        F.transform(F.filter(matches(PASCAL), lambda m: ~m.isin("HTTP", "JSON", "YAML", "SQL")), lambda m: spot(11, "CodeReference", m, "AMBIGUOUS", reference_type="class_candidate")),
+    ]
     rule = F.lit(None).cast("string")
     for kind, pattern in reversed(SENTENCES):
         rule = F.when(F.col("segment").rlike(pattern), kind).otherwise(rule)
-    sentences = segments(doc).withColumn("rule", rule).where("rule is not null")
-    branches = [
-        node_rows(named, "APIReference", F.col("m"), "md", "DOC_EXACT", method=verb, endpoint=path),
-        node_rows(_matches(doc, BARE_API), "APIReference", F.col("m"), "md", "DOC_EXACT", endpoint=F.col("m")),
-        node_rows(links.withColumn("h", href).where("h = 'api'"), "APIReference", F.col("m"), "md", "DOC_EXACT"),
-        node_rows(links.withColumn("h", href).where("h <> 'api'"), "CodeReference", F.col("m"), "md", "DOC_EXACT", reference_type=F.col("h")),
-        node_rows(marks.withColumn("t", marked).where("t <> 'status_value'"), "CodeReference", F.col("m"), "md", "DOC_EXACT", reference_type=F.col("t")),
-        node_rows(marks.withColumn("t", marked).where("t = 'status_value'"), "StatusValue", F.col("m"), "md", "DOC_EXACT", reference_type=F.col("t")),
-        node_rows(_matches(doc, FILE_PATH, 0).where("m not like '%://%'"), "CodeReference", F.col("m"), "md", "DOC_EXACT", reference_type="file_path"),
-        node_rows(_matches(doc, FUNCTION), "CodeReference", F.concat("m", F.lit("()")), "md", "DOC_EXACT", reference_type="function"),
-        node_rows(_matches(doc, CONFIG_KEY), "CodeReference", F.col("m"), "md", "DOC_EXACT", reference_type="config_key"),
-        node_rows(_matches(doc, STATUS_MENTION).where(~F.col("m").isin(NO_STATUS)), "StatusValue", F.col("m"), "md", "DOC_EXACT", reference_type="status_value"),
-        node_rows(sentences, F.col("rule"), short("segment", 96, compact=True), "md", "DOC_INFERRED", quote=F.col("segment")),
-        node_rows(_matches(doc, PASCAL).where("m not in ('HTTP', 'JSON', 'YAML', 'SQL')"), "CodeReference", F.col("m"), "md", "AMBIGUOUS", reference_type="class_candidate"),
-        facts(doc),
-    ]
-    ranked = all_of([b.withColumn("branch", F.lit(i)) for i, b in enumerate(branches)])
-    return first_per_key(ranked, ["id"], F.col("branch"), F.col("quote")).select(*NODE)
-
-
-def _each(rows: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """A row for each match of a pattern in a line; ``m`` is the first of its groups that is set. Groups are aligned by match."""
-    found = [F.regexp_extract_all("line_text", F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-    held = found[0]
-    for more in found[1:]:
-        held = F.zip_with(held, more, lambda a, b: F.when(a != "", a).otherwise(b))
-    return rows.withColumn("m", F.explode(held)).where("m <> ''")
+    sentence = _if(rule.isNotNull(), _spot(10, rule, short("segment", 96, compact=True), "md", "DOC_INFERRED", F.col("segment")))
+    found = _spotted(doc, spots).unionByName(_spotted(segments(doc), [sentence, *_fact_spots(12)]))
+    return first_per_key(found, ["id"], F.col("branch"), F.col("quote")).select(*NODE)
 
 
 def _first_field() -> Column:
@@ -459,33 +488,51 @@ def looks_like_field(c: Column) -> Column:
     return c.rlike(f"^(?:{FIELD})$") & (F.length(c) <= 80)
 
 
+def _fact_spots(branch: int) -> list[Column]:
+    """The facts of a sentence (column segment), every match of it; branches from ``branch`` on."""
+    text, nth = F.col("segment"), iter(range(branch, branch + 20))
+    spot = lambda kind, label, confidence, **more: _spot(next(nth), kind, label, "sb", confidence, text, **more)
+    matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: m != "")
+
+    def each(pattern: str, groups: int) -> Column:
+        """Of every match the first of its groups that is set; groups are aligned by match."""
+        held, *others = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+        for more in others:
+            held = F.zip_with(held, more, lambda a, b: F.when(a != "", a).otherwise(b))
+        return F.filter(held, lambda m: m != "")
+
+    def labels(found: Column) -> Column:
+        bare = F.transform(found, lambda m: F.regexp_replace(m, r"^[ :-]+|[ :-]+$", ""))
+        return F.transform(F.filter(bare, lambda e: (F.length(e) > 1) & (F.length(e) <= 80) & ~F.lower(e).isin(NO_LABEL)), lambda e: short(e, 96, compact=True))
+
+    rule = F.lit(None).cast("string")
+    for kind, pattern in reversed(RULES):
+        rule = F.when(text.rlike(pattern), kind).otherwise(rule)
+    valid, warned = F.regexp_extract("segment", VALIDATION, 1), text.rlike(ERROR_HINT)
+    none = F.array().cast("array<string>")
+    whole = short("segment", 96, compact=True)
+    fields = lambda found: F.transform(F.filter(found, looks_like_field), lambda m: spot("FormField", m, "DOC_EXACT", reference_type="form_field", subject=m))
+    return [
+        F.transform(matches(STATUS_WORD), lambda m: spot("StatusValue", m, "DOC_EXACT", reference_type="status_value")),
+        fields(F.when(text.rlike(FIELD_HINT), matches(FIELD)).otherwise(none)),
+        fields(matches(r"`([^`\n]+)`")),
+        fields(each(FIELD_CONTEXT, 3)),
+        _if(valid != "", spot("ValidationRule", valid, "DOC_INFERRED", subject=_first_field())),
+        _if(rule.isNotNull(), spot(rule, whole, "DOC_INFERRED")),
+        F.transform(labels(each(SCREEN, 2)), lambda m: spot("Screen", m, "DOC_INFERRED")),
+        F.transform(matches(ACTION), lambda m: spot("UserAction", short(m, 96, compact=True), "DOC_INFERRED")),
+        F.transform(matches(KOREAN_ACTION), lambda m: spot("UserAction", m, "DOC_INFERRED")),
+        F.transform(F.when(warned, each(QUOTED, 5)).otherwise(none), lambda m: spot("ErrorMessage", m, "DOC_EXACT")),
+        _if(warned & ~text.rlike(QUOTED), spot("ErrorMessage", whole, "DOC_INFERRED")),
+        F.transform(labels(each(INTEGRATION, 2)), lambda m: spot("ExternalIntegration", m, "DOC_EXACT")),
+        F.transform(each(DATABASE, 3), lambda m: spot("DatabaseEntity", m, "DOC_EXACT", reference_type="database_entity", subject=m)),
+    ]
+
+
 def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
     """Fact nodes of sentences: statuses, fields, screens, actions, validation rules, error messages, permissions,
     policies, requirements, database entities and integrations; every match of a sentence is one.
 
     A page number, where the lines come from pages, goes along."""
-    rows = segments(lines).withColumn("line_text", F.col("segment"))
-    more = {"page": page, "quote": F.col("segment")}
-    rule = F.lit(None).cast("string")
-    for kind, pattern in reversed(RULES):
-        rule = F.when(F.col("segment").rlike(pattern), kind).otherwise(rule)
-    valid = rows.withColumn("v", F.regexp_extract("segment", VALIDATION, 1)).where("v <> ''").withColumn("field", _first_field())
-    label = lambda df: df.withColumn("e", F.regexp_replace("m", r"^[ :-]+|[ :-]+$", "")).where((F.length("e") > 1) & (F.length("e") <= 80) & ~F.lower("e").isin(NO_LABEL))
-    warned = rows.where(F.col("segment").rlike(ERROR_HINT))
-    said = _each(warned, QUOTED, 5)
-    field = {"reference_type": "form_field", "subject": F.col("m")}
-    return all_of([
-        node_rows(_matches(rows, STATUS_WORD), "StatusValue", F.col("m"), "sb", "DOC_EXACT", reference_type="status_value", **more),
-        node_rows(_matches(rows.where(F.col("segment").rlike(FIELD_HINT)), FIELD).where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
-        node_rows(_matches(rows, r"`([^`\n]+)`").where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
-        node_rows(_each(rows, FIELD_CONTEXT, 3).where(looks_like_field(F.col("m"))), "FormField", F.col("m"), "sb", "DOC_EXACT", **field, **more),
-        node_rows(valid, "ValidationRule", F.col("v"), "sb", "DOC_INFERRED", subject=F.col("field"), **more),
-        node_rows(rows.withColumn("rule", rule).where("rule is not null"), F.col("rule"), short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(label(_each(rows, SCREEN, 2)), "Screen", short("e", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(_matches(rows, ACTION), "UserAction", short("m", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(_matches(rows, KOREAN_ACTION), "UserAction", F.col("m"), "sb", "DOC_INFERRED", **more),
-        node_rows(said, "ErrorMessage", F.col("m"), "sb", "DOC_EXACT", **more),
-        node_rows(warned.where(~F.col("segment").rlike(QUOTED)), "ErrorMessage", short("segment", 96, compact=True), "sb", "DOC_INFERRED", **more),
-        node_rows(label(_each(rows, INTEGRATION, 2)), "ExternalIntegration", short("e", 96, compact=True), "sb", "DOC_EXACT", **more),
-        node_rows(_each(rows, DATABASE, 3), "DatabaseEntity", F.col("m"), "sb", "DOC_EXACT", reference_type="database_entity", subject=F.col("m"), **more),
-    ]).dropDuplicates(["id"])
+    found = _spotted(segments(lines), _fact_spots(0), page)
+    return first_per_key(found, ["id"], F.col("branch"), F.col("quote")).select(*NODE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,16 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, distance:
         met = met.where(F.col("distance") < within)
     best = met.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
     return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance"))
+
+
+def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """``points`` with the columns of the span of the same ``key`` that ``at`` lies in; points in none are left out.
+
+    Spans of a key lie apart from each other. An as-of sweep: points and the starts of spans are one run, over which the last span is carried; a
+    key with many points and spans makes no pairs."""
+    held = [c for c in spans.columns if c != key]
+    span = spans.select(key, F.col(start).alias("_at"), F.lit(0).alias("_sort"), F.struct(*held).alias("_span"), F.lit(None).cast(points.select(F.struct("*").alias("p")).schema["p"].dataType).alias("_point"))
+    asks = points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_sort"), F.lit(None).cast(span.schema["_span"].dataType).alias("_span"), F.struct(*points.columns).alias("_point"))
+    line = Window.partitionBy(key).orderBy("_at", "_sort").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = span.unionByName(asks).withColumn("_span", F.last("_span", ignorenulls=True).over(line)).where(F.col("_point").isNotNull() & (F.col(f"_span.{end}") >= F.col("_at")))
+    return met.select("_point.*", *[F.col(f"_span.{c}").alias(c) for c in held if c not in points.columns])

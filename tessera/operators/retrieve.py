@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -13,6 +13,8 @@ from tessera.operators.store import first_per_key
 
 # What candidates from text search (and the most that a search score adds), from quotes and from the graph start with.
 TEXT_BASE, TEXT_MOST, QUOTE_BASE, GRAPH_BASE = 38.0, 10.0, 34.0, 62.0
+# What the newest time of indexing adds and how much less each older one; what nearness in the graph adds and loses an edge; what exact seeds start with and a named method adds.
+FRESH, FRESH_STEP, NEAR_BASE, NEAR_STEP, SEED_BASE, METHOD_ADDS = 4.0, 0.25, 24.0, 5.0, 100.0, 8.0
 
 DOCUMENTS = ("markdown", "pdf", "sb")
 
@@ -66,25 +68,26 @@ def find_seeds(nodes: DataFrame, tasks: DataFrame) -> DataFrame:
         hits = met if hits is None else hits.unionByName(met)
     seeds = hits.groupBy("task_id", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"))
     scored = seeds.join(nodes.select("id", "confidence"), "id")
-    score = F.lit(100.0) + F.greatest(T.confidence_weight("confidence"), F.lit(0.0)) + F.when(F.array_contains("reasons", "exact_endpoint_method"), 8.0).otherwise(0.0)
+    score = F.lit(SEED_BASE) + F.greatest(T.confidence_weight("confidence"), F.lit(0.0)) + F.when(F.array_contains("reasons", "exact_endpoint_method"), METHOD_ADDS).otherwise(0.0)
     return scored.select("task_id", "id", score.alias("score"), "reasons")
 
 
 def freshness(candidates: DataFrame) -> DataFrame:
     """id and 4 less a quarter for each later time of indexing among the candidates, 0 at least; null times get 0.
 
-    The times are ranked among the distinct ones, which are as few as index runs."""
-    times = candidates.where("indexed_at is not null").select("indexed_at").distinct()
-    ranked = times.withColumn("nth", F.dense_rank().over(Window.orderBy(F.desc("indexed_at"))) - 1)
-    rank = candidates.join(ranked, "indexed_at", "left")
-    return rank.select("id", F.coalesce(F.greatest(F.lit(0.0), 4.0 - F.col("nth") * 0.25), F.lit(0.0)).alias("fresh"))
+    From the seventeenth time on it is 0, so only the newest sixteen are ranked and joined."""
+    steps = int(FRESH / FRESH_STEP)
+    times = candidates.where("indexed_at is not null").select("indexed_at").distinct().orderBy(F.desc("indexed_at")).limit(steps)
+    newest = times.agg(F.sort_array(F.collect_list("indexed_at"), asc=False).alias("newest")).select(F.posexplode("newest").alias("nth", "indexed_at"))
+    rank = candidates.join(F.broadcast(newest), "indexed_at", "left")
+    return rank.select("id", F.coalesce(FRESH - F.col("nth") * FRESH_STEP, F.lit(0.0)).alias("fresh"))
 
 
 def rank(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates (id, base, reasons, distance, weight, relations) with their final score, in order of rank."""
     rows = candidates.join(nodes, "id")
     rows = rows.join(freshness(rows.select("id", "indexed_at")), "id")
-    near = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), 24.0 - F.col("distance") * 5.0) + F.col("weight")).otherwise(0.0)
+    near = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), NEAR_BASE - F.col("distance") * NEAR_STEP) + F.col("weight")).otherwise(0.0)
     weak = F.when(F.array_contains(F.coalesce("relations", F.array().cast("array<string>")), "SEMANTIC_CANDIDATE"), -30.0).otherwise(0.0)
     return rows.withColumn("score", F.col("base") + T.confidence_weight("confidence") + F.col("fresh") + near + weak)
 

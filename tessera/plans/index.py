@@ -11,6 +11,7 @@ from tessera.functions.text import content_id
 from tessera.operators import conflicts, links, retrieve, store
 from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
 from tessera.operators.graph import checkpoint
+from tessera.operators.nearest import covering
 from tessera.sources.files import chunks, lines
 
 
@@ -78,9 +79,10 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
         part_edges.append(code_edges)
     if documents:
         doc, doc_edges = markdown_graph(rows)
-        named = mentions(rows)
-        blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("kind").alias("sort"))
-        held = named.join(blocks, "path").where("start_line between a and b and (sort <> 'Section' or start_line = a)")
+        named = checkpoint(mentions(rows))
+        last = F.when(F.col("kind") == "Section", F.col("start_line")).otherwise(F.col("end_line"))  # of a section its heading alone
+        blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), last.alias("b"))
+        held = covering(named, blocks, "path", "start_line", "a", "b")
         says = F.when(F.col("confidence") == "AMBIGUOUS", "SEMANTIC_CANDIDATE").when(F.lower("quote").rlike(r"\b(is|are|means|refers to|defines|describes|explains|represents)\b"), "DOC_EXPLAINS").otherwise("DOC_MENTIONS")
         parts += [doc, named]
         part_edges += [doc_edges, edge_rows(held, F.col("block"), F.col("id"), says, "DOC_EXACT", "markdown")]

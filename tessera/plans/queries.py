@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import conflicts, graph, links, retrieve, search, store
-from tessera.operators.extract import NODE, code_graph, markdown_graph
+from tessera.operators.extract import NODE, code_graph, facts, markdown_graph
 from tessera.operators.nearest import nearest
 from tessera.sources import files
 
@@ -168,16 +168,50 @@ def heading_sections(t):
     return sections.select(F.col("path").cast("long").alias("conv_id"), F.col("start_line").cast("long").alias("start_turn"), F.col("end_line").cast("long").alias("end_turn"))
 
 
+#: A document as a YAML file: two keys, its text, and a key after it.
+YAML = "concat_ws('\n', concat('doc_', doc_id, ':'), concat('  lang.name: ', coalesce(lang, '')), coalesce(text, ''), concat('end-', n_chars, ' : 1'), '')"
+
+
 @query(
-    r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text <> '')
+    r"""with f as (select doc_id, 'doc_' || doc_id || ':' || chr(10) || '  lang.name: ' || coalesce(lang, '') || chr(10) || coalesce(text, '') || chr(10) || 'end-' || n_chars || ' : 1' as text from documents),
+    l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from f)
     select distinct doc_id, cast(line as bigint) as line, regexp_extract(x, '^(\s*)([A-Za-z0-9_./{}:-]+)\s*:', 2) as key from l where regexp_extract(x, '^(\s*)([A-Za-z0-9_./{}:-]+)\s*:', 2) <> ''"""
 )
 def config_key_lines(t):
-    rows = files.lines(t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".yaml")).alias("path"), F.lit("config").alias("kind"), "text"))
+    rows = files.lines(t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".yaml")).alias("path"), F.lit("config").alias("kind"), F.expr(YAML).alias("text")))
     keys = code_graph(rows)[0].where("kind = 'ConfigKey'")
     return keys.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), F.col("start_line").cast("long").alias("line"), F.col("label").alias("key"))
 
 
+#: A document as a JSON file whose keys are alike and repeated; every seventh is none, as something follows it.
+JSON = """concat_ws('\n', concat('{"identifier": ', doc_id, ','), concat(' "id": ', n_chars, ','), ' "o": {', '  "rows": [{"id": 1},', '   {"id": 2, "a b": {}}]', ' }', if(doc_id % 7 = 0, '} x', '}'))"""
+
+
+@query(
+    """select doc_id, key, cast(line as bigint) as line from documents, (values ('identifier', 1), ('id', 2), ('o', 3), ('o.rows', 4), ('o.rows.id', 4), ('o.rows.a b', 5)) k(key, line) where doc_id % 7 <> 0"""
+)
+def json_key_places(t):
+    rows = files.lines(t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), F.lit("config").alias("kind"), F.expr(JSON).alias("text")))
+    keys = code_graph(rows)[0].where("kind = 'ConfigKey'")
+    return keys.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), F.col("canonical_name").alias("key"), F.col("start_line").cast("long").alias("line"))
+
+
+@query(
+    """with p as (select p_partkey as k, p_size as s, p_brand as b from part), l(kind, label, nth) as (values ('DatabaseEntity', 'tab_%k', 1), ('DatabaseEntity', 'size_%s', 1), ('Screen', 'Open the View %k', 1), ('Screen', 'then the Cart', 1),
+      ('ExternalIntegration', 'Hook%k', 1), ('ExternalIntegration', 'Shop%s', 1), ('UserAction', 'clicks save %k', 1), ('UserAction', 'opens it', 1), ('StatusValue', 'PAID', 1), ('StatusValue', 'FAILED', 1))
+    select k as p_partkey, kind, replace(replace(label, '%k', cast(k as varchar)), '%s', cast(s as varchar)) as label from p, l"""
+)
+def sentence_facts(t):
+    """All facts of sentences that name several things of a sort; parts as Markdown lines."""
+    said = F.expr(
+        "concat_ws('\n', concat('Join the tab_', p_partkey, ' table with the size_', p_size, ' table'), concat('Open the View ', p_partkey, ' screen, then the Cart screen'), concat('webhook: Hook', p_partkey, ', webhook: Shop', p_size), "
+        "concat('A customer clicks save ', p_partkey, '! An agent opens it'), 'From PAID to FAILED')"
+    )
+    rows = files.lines(t("part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("markdown").alias("kind"), said.alias("text")))
+    found = facts(rows).where("kind in ('DatabaseEntity', 'Screen', 'ExternalIntegration', 'UserAction', 'StatusValue')")
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "kind", "label")
+
+
 @query(
     """with c as (select c_nationkey as k, c_custkey as c, row_number() over (partition by c_nationkey order by c_custkey) as nth from customer)
     select 'Method' as kind, 'Nation' || k || '.customer_' || c as name, cast(2 * nth as bigint) as start_line, cast(2 * nth + 1 as bigint) as end_line, 'Nation' || k as defined_by from c
@@ -489,6 +523,46 @@ def nearest_order(t):
     return nearest(events, orders, "id", "event_id", F.abs(F.datediff("ts", "o_orderdate")).cast("long"), "o_orderkey", 9500)
 
 
+@query(
+    """with doc as (
+      select 'validation' as topic, p_brand as subject, cast(p_size as varchar) as value, lpad(cast(p_partkey as varchar), 9, '0') as location, p_name as quote, case when p_partkey % 3 = 0 then 'DOC_EXACT' else 'DOC_INFERRED' end as confidence from part
+      union all select 'status', 'status', o_orderstatus, lpad(cast(o_orderkey as varchar), 9, '0'), o_orderpriority, case when o_orderkey % 3 = 0 then 'DOC_EXACT' else 'DOC_INFERRED' end from orders
+      union all select 'retry', 'retry_count', cast(l_linenumber as varchar), lpad(cast(l_orderkey as varchar), 9, '0') || '-' || l_linenumber, l_returnflag, 'DOC_EXACT' from lineitem
+      union all select 'timeout', 'timeout_ms', cast(l_linenumber * 1000 as varchar), lpad(cast(l_orderkey as varchar), 9, '0') || '-' || l_linenumber, l_returnflag, 'DOC_EXACT' from lineitem
+      union all select 'permission', 'permission', c_mktsegment, lpad(cast(c_custkey as varchar), 9, '0'), c_name, 'DOC_INFERRED' from customer
+    ), code as (
+      select 'validation' as topic, p_brand as subject, cast(p_size % 5 as varchar) as value, lpad(cast(p_partkey as varchar), 9, '0') as location from part where p_partkey % 4 = 0
+      union all select 'status', 'status', 'F,O', lpad(cast(c_custkey as varchar), 9, '0') from customer
+      union all select 'retry', 'retry_count', cast(o_orderkey % 10 as varchar), lpad(cast(o_orderkey as varchar), 9, '0') from orders
+      union all select 'timeout', 'timeout_ms', cast((o_orderkey % 10) * 1000 as varchar), lpad(cast(o_orderkey as varchar), 9, '0') from orders
+      union all select 'permission', 'permission', case when o_orderkey % 2 = 0 then 'BUILDING,MACHINERY' else 'AUTOMOBILE' end, lpad(cast(o_orderkey as varchar), 9, '0') from orders
+    ), best as (
+      select *, row_number() over (partition by topic, subject, value order by case when topic in ('validation', 'status') and confidence = 'DOC_EXACT' then 0 else 1 end, length(quote), location) as nth from doc
+    )
+    select d.topic, d.subject, d.value as doc_value, c.value as code_value, d.location as doc_location, c.location as code_location, case when d.topic in ('validation', 'status') and d.confidence = 'DOC_EXACT' then 'high' else 'medium' end as confidence
+    from best d join code c using (topic, subject) where nth = 1 and case when d.topic in ('status', 'permission') then not list_contains(string_split(c.value, ','), d.value) else d.value <> c.value end"""
+)
+def detected_conflicts(t):
+    """Conflicts of five topics over facts made of whole tables; of three topics all facts have one subject."""
+    key = lambda c: f"lpad(cast({c} as string), 9, '0')"
+    item = "concat(lpad(cast(l_orderkey as string), 9, '0'), '-', l_linenumber)"
+    fact = lambda df, subject, value, at, quote="'q'", sure="'DOC_EXACT'": df.select(*[F.expr(x).cast("string").alias(n) for n, x in zip(conflicts.FACT, (subject, value, at, quote, sure))])
+    graded = lambda c: f"if({c} % 3 = 0, 'DOC_EXACT', 'DOC_INFERRED')"
+    part, orders, lines, customer = t("part"), t("orders"), t("lineitem"), t("customer")
+    none = fact(t("region").limit(0), "r_name", "r_name", "r_name")
+    docs = {
+        "validation": fact(part, "p_brand", "p_size", key("p_partkey"), "p_name", graded("p_partkey")), "status": fact(orders, "'status'", "o_orderstatus", key("o_orderkey"), "o_orderpriority", graded("o_orderkey")),
+        "retry": fact(lines, "'retry_count'", "l_linenumber", item, "l_returnflag"), "timeout": fact(lines, "'timeout_ms'", "l_linenumber * 1000", item, "l_returnflag"),
+        "permission": fact(customer, "'permission'", "c_mktsegment", key("c_custkey"), "c_name", "'DOC_INFERRED'"), "endpoint": none,
+    }
+    code = {
+        "validation": fact(part.where("p_partkey % 4 = 0"), "p_brand", "p_size % 5", key("p_partkey")), "status": fact(customer, "'status'", "'F,O'", key("c_custkey")), "retry": fact(orders, "'retry_count'", "o_orderkey % 10", key("o_orderkey")),
+        "timeout": fact(orders, "'timeout_ms'", "(o_orderkey % 10) * 1000", key("o_orderkey")), "permission": fact(orders, "'permission'", "if(o_orderkey % 2 = 0, 'BUILDING,MACHINERY', 'AUTOMOBILE')", key("o_orderkey")), "endpoint": none,
+    }
+    topic = F.create_map(*[F.lit(x) for t_, n in conflicts.NAMES.items() for x in (n, t_)])
+    return conflicts.detect(docs, code).select(topic[F.col("type")].alias("topic"), "subject", "doc_value", "code_value", "doc_location", "code_location", "confidence")
+
+
 # --- the whole way over a project made of tables: every document is a Markdown file, every page a source file and its guide
 
 GUIDE = "concat_ws('\\n', concat('# Guide ', page_id), '', concat('The client calls `GET /pages/', page_id, '`.'), '', concat('The field `pin_', page_id, '` must be at least ', 6 + page_id % 5, ' characters.'), '')"

@@ -495,3 +495,21 @@ def test_conflicts_of_a_small_project(spark):
         ("validation_mismatch", "Document requires min length 8, but code enforces 6."),
         ("status_value_mismatch", "Document references status PAID, but code enum contains CAPTURED, FAILED."),
     }
+
+
+def test_as_of_sweep_finds_the_span_around(spark):
+    from tessera.operators.nearest import covering
+
+    spans = spark.createDataFrame([("p", 1, 3, "a"), ("p", 4, 4, "b"), ("p", 8, 9, "c"), ("q", 2, 2, "d")], "k string, s int, e int, name string")
+    points = spark.range(0, 24).selectExpr("if(id % 2 = 0, 'p', 'q') as k", "cast(id div 2 as int) as at")
+    want = {("p", x, n) for a, b, n in [(1, 3, "a"), (4, 4, "b"), (8, 9, "c")] for x in range(a, b + 1)} | {("q", 2, "d")}
+    assert {(r["k"], r["at"], r["name"]) for r in covering(points, spans, "k", "at", "s", "e").collect()} == want
+
+
+def test_routes_meet_the_last_function_of_their_name_above(spark):
+    code = "function f() {}\napp.get('/a', f);\nfunction f() {}\napp.get('/b', f);\napp.get('/c', g);\nfunction g() {}\n"
+    py = "@app.get('/x')\n@app.post('/y')\ndef one():\n    pass\n\n@app.get('/z')\ndef two():\n    pass\n\n@app.get('/w')\nx = 1\n"
+    both = index.build(corpus(spark, {"a.ts": code, "b.py": py}))
+    at = both.nodes.select("id", "label", "start_line")
+    got = both.edges.where("relation = 'ROUTE_TO_HANDLER'").join(at.select(F.col("id").alias("src"), F.col("label").alias("route")), "src").join(at.select(F.col("id").alias("dst"), F.col("start_line").alias("line")), "dst")
+    assert {(r["route"], r["line"]) for r in got.collect()} == {("GET /a", 1), ("GET /b", 3), ("GET /x", 3), ("POST /y", 3), ("GET /z", 7)}
