@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_endpoint, content_id, endpoint_method, endpoint_path, identifier_key, is_generic_term, meaningful_terms, normalize_path
-from tessera.operators.joins import overlaps
+from tessera.operators.joins import SMALL_ROWS, overlaps
 from tessera.operators.store import first_per_key
 
 # Kinds on either side and words of validating code.
@@ -94,13 +94,14 @@ def validation_links(docs: DataFrame, code: DataFrame) -> DataFrame:
     return _link(_side(rules, "d", "key").join(held, "key"), "SB_DEFINES_VALIDATION", "DOC_INFERRED", 0.85, "validation_field_in_validation_code", 6)
 
 
-def handler_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """OpenAPI endpoints to the handlers of code endpoints with the same path and, null-safe, the same method."""
+def handler_links(nodes: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """OpenAPI endpoints to the handlers of code endpoints with the same path and, null-safe, the same method; with ``touched`` (paths) of links with an end there alone."""
     ends = with_endpoint(nodes.where("kind = 'Endpoint'")).where("ep_path is not null")
     routes = edges.where("relation = 'ROUTE_TO_HANDLER'").select(F.col("src").alias("id"), F.col("dst").alias("c_id"))
-    handled = routes.join(ends.select("id", "ep_method", "ep_path"), "id").select(F.col("ep_method").alias("m"), F.col("ep_path").alias("p"), "c_id")
-    declared = ends.where("artifact_kind = 'openapi'").select(F.col("id").alias("d_id"), "ep_method", "ep_path")
-    met = declared.join(handled, F.col("ep_method").eqNullSafe(F.col("m")) & (F.col("ep_path") == F.col("p")))
+    handled = routes.join(ends.select("id", "path", "ep_method", "ep_path"), "id").select(F.col("ep_method").alias("m"), F.col("ep_path").alias("p"), "c_id", "path")
+    declared = ends.where("artifact_kind = 'openapi'").select(F.col("id").alias("d_id"), "ep_method", "ep_path", "path")
+    meet = lambda d, c: d.drop("path").join(c.drop("path"), F.col("ep_method").eqNullSafe(F.col("m")) & (F.col("ep_path") == F.col("p")))
+    met = meet(declared, handled) if touched is None else meet(declared.join(touched, "path", "left_semi"), handled).unionByName(meet(declared.join(touched, "path", "left_anti"), handled.join(touched, "path", "left_semi")))
     return _link(met.join(nodes.select(F.col("id").alias("c_id")), "c_id", "left_semi"), "DOC_MENTIONS", "DOC_EXACT", 0.95, "openapi_endpoint_to_handler", 7)
 
 
@@ -112,13 +113,20 @@ def term_links(docs: DataFrame, code: DataFrame, least: int = 2) -> DataFrame:
     return _link(shared, "SEMANTIC_CANDIDATE", "AMBIGUOUS", 0.2, "weak_lexical_overlap", 8)
 
 
-def link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All links as edges; of links with the same ends and relation the strongest stays, the first of equals."""
+def link(nodes: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """All links as edges; of links with the same ends and relation the strongest stays, the first of equals.
+
+    With ``touched`` (paths, few) only the links that have an end in one of these files: their documents meet all code, and other documents their code."""
     docs = nodes.where(F.col("artifact_kind").isin(DOC_FILES) & F.col("kind").isin(DOC_NODES))
     code = nodes.where(F.col("artifact_kind").isin(CODE_FILES))
-    rows = endpoint_links(docs, code)
-    for more in (identifier_links(docs, code), reference_links(docs, code), validation_links(docs, code), handler_links(nodes, edges), term_links(docs, code)):
-        rows = rows.unionByName(more)
+    pairs = [(docs, code)]
+    if touched is not None:
+        touched = F.broadcast(touched) if touched.count() <= SMALL_ROWS else touched
+        pairs = [(docs.join(touched, "path", "left_semi"), code), (docs.join(touched, "path", "left_anti"), code.join(touched, "path", "left_semi"))]
+    rows = handler_links(nodes, edges, touched)
+    for d, c in pairs:
+        for more in (endpoint_links(d, c), identifier_links(d, c), reference_links(d, c), validation_links(d, c), term_links(d, c)):
+            rows = rows.unionByName(more)
     best = first_per_key(rows.where("src <> dst"), ["src", "dst", "relation"], F.desc("score"), F.col("seq"))
     made = best.withColumn("extractor", F.lit(EXTRACTOR)).withColumn("id", content_id("link", "src", "dst", "relation"))
     return made.select("id", "src", "dst", "relation", "confidence", "score", "extractor", "reason")

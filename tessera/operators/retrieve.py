@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.graph import traverse
 from tessera.operators.links import with_endpoint
+from tessera.operators.postings import topk
 from tessera.operators.search import bm25_topk, like_search, quote_nodes
 from tessera.operators.store import first_per_key
 
@@ -106,17 +107,18 @@ def evidence(ranked: DataFrame, limit: int = 8) -> DataFrame:
     return one.orderBy(*order_of_rank()).limit(limit).select("id", "kind", "label", "path", "quote", T.location("path", "start_line", "end_line", "page").alias("location"), "confidence", "score", "reasons", "relations")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 8, max_depth: int = 3, include_weak: bool = False) -> dict:
+def retrieve(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 8, max_depth: int = 3, include_weak: bool = False, postings: DataFrame | None = None) -> dict:
     """intent, seeds, candidates (ranked) and evidence (DataFrames) for one task.
 
-    ``nodes`` are NODE rows with indexed_at; text candidates come from BM25 (LIKE where it finds none) and from quotes of document nodes."""
+    ``nodes`` are NODE rows with indexed_at; ``postings`` of their quotes, where they are stored, spare the scan of these. Text candidates come from BM25 (LIKE where it finds none) and from quotes of document nodes."""
     spark = nodes.sparkSession
     tasks = spark.createDataFrame([(0, task)], "task_id int, task string")
     said = tasks.select(T.infer_intent("task").alias("intent"), T.tokenize("task").alias("tokens"), T.significant_tokens("task").alias("significant")).first()
     seeds = find_seeds(nodes, tasks).select("id", F.col("score").alias("base"), "reasons")
     documents = nodes.where(F.col("artifact_kind").isin(*DOCUMENTS))
     texts = nodes.select("id", F.col("quote").alias("text"))
-    best = bm25_topk(texts, said["tokens"], 20)
+    asked = spark.createDataFrame([(0, t) for t in dict.fromkeys(said["tokens"])], "query_id int, term string")
+    best = bm25_topk(texts, said["tokens"], 20) if postings is None else topk(postings, asked, 20).select("id", "score")
     found = best if not best.isEmpty() else like_search(texts, task, said["tokens"], 20)
     method = "text_search:bm25" if found is best else "text_search:like"
     liked = found.join(documents.select("id"), "id", "left_semi").select("id", (TEXT_BASE + F.least("score", F.lit(TEXT_MOST))).alias("base"), F.array(F.lit(method)).alias("reasons"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
+from tessera.operators.joins import SMALL_ROWS
 
 
 def like_any(text: str, query: str, tokens: list[str]) -> Column:
@@ -22,22 +23,17 @@ def like_search(chunks: DataFrame, query: str, tokens: list[str], limit: int = 2
     return chunks.where(like_any("text", query, tokens)).select("id", F.lit(1.0).alias("score")).orderBy("id").limit(limit)
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """term, id, tf and length of each chunk: what an index keeps for BM25."""
-    terms = chunks.select("id", tokenize(text).alias("terms")).withColumn("length", F.size("terms"))
-    return terms.select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
-
 def bm25(index: DataFrame, n_docs: int, mean_length: float, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id and score of every chunk that shares a term with a query; ``queries``: query_id, term.
 
-    Terms are joined by shuffle; a query term brings its own document frequency."""
+    The terms of queries, which are few, are broadcast once they are counted to be."""
     wanted = queries.distinct()
-    met = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    small = F.broadcast if wanted.count() <= SMALL_ROWS else (lambda df: df)
+    met = index.join(small(wanted.select("term").distinct()), "term", "left_semi")
     df = met.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = met.join(df, "term").withColumn("score", idf * tf).join(wanted, "term")
+    scored = met.join(small(wanted.join(df, "term").withColumn("idf", idf)), "term").withColumn("score", F.col("idf") * tf)
     return scored.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
@@ -46,7 +42,7 @@ def bm25_topk(chunks: DataFrame, tokens: list[str], limit: int = 20) -> DataFram
 
     Without a stored index the tokens are filtered by the query's before they are exploded."""
     terms = chunks.select("id", tokenize("text").alias("terms")).withColumn("length", F.size("terms"))
-    size = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    size = terms.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     index = matching_postings(terms, tokens)
     queries = chunks.sparkSession.createDataFrame([(0, t) for t in dict.fromkeys(tokens)], "query_id int, term string")
     return bm25(index, size["n"], size["mean"] or 1.0, queries).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)

@@ -1,6 +1,6 @@
 """The tables of an index as versions of DataFrames: diffs, upserts, cascading deletes, counts.
 
-Rows are changed in sets: a new version of a table is its old rows without the touched ones and the new ones."""
+Rows are changed in sets: a new version of a bucket is its old rows without the touched ones and the new ones."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.postings import SCHEMA as POSTINGS
+
 #: Schemas of the stored tables.
 TABLES = {
     "artifacts": "id string, uri string, path string, kind string, title string, content_hash string, indexed_at timestamp_ntz, metadata string",
@@ -20,46 +22,89 @@ TABLES = {
 }
 
 
-def newest_version(spark: SparkSession, folder: str) -> int:
-    """The number of the newest complete version in ``folder``; 0 where there is none yet."""
+#: Tables of files, of which a run writes only the buckets that it changes; ``links`` (rows like edges) run between files.
+FILED = ["artifacts", "nodes", "edges", "chunks", "evidence", "links", "postings"]
+SCHEMAS = dict(TABLES, links=TABLES["edges"], postings=POSTINGS)
+#: By what the rows of a bucket's file are sorted, for scans that look for one.
+SORTED = {"postings": ["term"]}
+#: Buckets of the paths of a new index: the share of it that one changed file rewrites.
+BUCKETS = 64
+
+LOG = "version long, buckets int, table string, bucket int, rows long"
+
+
+def names_of(table: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+
+def bucket_of(path: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def read_or_none(spark: SparkSession, schema: str, *paths: str, base: str | None = None) -> DataFrame | None:
+    """Parquet at these paths; None where there is none."""
     try:
-        return spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0] or 0
+        reader = spark.read.schema(schema)
+        return (reader.option("basePath", base) if base else reader).parquet(*paths)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0
+        return None
+
+
+class Stored:
+    """The newest state of a stored index: its version, how many buckets its paths have, and its tables with a column bucket.
+
+    A table is a set of buckets, each as the last version that touched it has written it; a log says which. A version counts once its rows are
+    in the log, so a failed run changes nothing and readers never see half of one."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder = spark, folder
+        log = read_or_none(spark, LOG, f"{folder}/versions")
+        newest = [] if log is None else log.groupBy("table", "bucket").agg(F.max(F.struct("version", "rows", "buckets")).alias("m")).select("table", "bucket", "m.*").collect()
+        self.version = max((r["version"] for r in newest), default=0)  # a row for each table and bucket
+        self.buckets = newest[0]["buckets"] if newest else buckets
+        self.places = {t: [f"{folder}/{t}/version={r['version']}/bucket={r['bucket']}" for r in newest if r["table"] == t and r["rows"]] for t in FILED}
+
+    def table(self, name: str, among: list[int] | None = None) -> DataFrame:
+        """A table with its column bucket; ``among``: these buckets alone, others are not read."""
+        places = [p for p in self.places[name] if among is None or int(p.rsplit("=", 1)[1]) in among]
+        schema = f"{SCHEMAS[name]}, bucket int"
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, version long").option("basePath", f"{self.folder}/{name}").parquet(*places).drop("version")
+
+    def write(self, tables: dict[str, DataFrame], among: dict[str, list[int]]) -> None:
+        """A new version: ``tables`` hold all rows of the buckets ``among``; what isn't among them stays as it is."""
+        version, rows = self.version + 1, []
+        for t, df in tables.items():
+            if not among[t]:
+                continue
+            path = f"{self.folder}/{t}/version={version}"
+            df.select(*names_of(t), "bucket").repartition("bucket").sortWithinPartitions("bucket", *SORTED.get(t, [])).write.mode("overwrite").partitionBy("bucket").parquet(path)
+            written = read_or_none(self.spark, f"{SCHEMAS[t]}, bucket int", path)
+            counts = {} if written is None else {r["bucket"]: r["count"] for r in written.groupBy("bucket").count().collect()}
+            rows += [(version, self.buckets, t, b, counts.get(b, 0)) for b in among[t]]
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the newest version in ``folder``; all are empty where there is none yet."""
-    newest = newest_version(spark, folder)
-    if not newest:
-        return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
-    return {t: spark.read.schema(s).parquet(f"{folder}/{newest}/{t}") for t, s in TABLES.items()}
-
-
-def save_tables(tables: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Write a new version of all tables; it counts once its number is written, so a failed run changes nothing."""
-    for t in TABLES:
-        tables[t].write.mode("overwrite").parquet(f"{folder}/{version}/{t}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    """The tables of the newest version in ``folder``, links among the edges; all are empty where there is none yet."""
+    state = Stored(spark, folder)
+    tables = {t: state.table(t).drop("bucket") for t in FILED if t != "postings"}
+    tables["edges"] = tables["edges"].unionByName(tables.pop("links"))
+    return dict(tables, context_packs=logged(spark, folder, "context_packs", ["id"], "created_at"), manifests=manifest(spark, folder))
 
 
 def append(rows: DataFrame, folder: str, table: str) -> None:
     """Add rows to a table that only grows (packs, manifests): beside the versions, a file for each write."""
-    rows.select(*[c.split()[0] for c in TABLES[table].split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/{table}")
+    rows.select(*names_of(table)).coalesce(1).write.mode("append").parquet(f"{folder}/{table}")
 
 
 def logged(spark: SparkSession, folder: str, table: str, keys: list[str], order: str) -> DataFrame:
     """The last row of each key of a table that only grows; none where nothing has been written."""
-    try:
-        rows = spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], TABLES[table])
-    return last_per_key(rows, keys, F.col(order).desc())
+    rows = read_or_none(spark, TABLES[table], f"{folder}/{table}")
+    return spark.createDataFrame([], TABLES[table]) if rows is None else last_per_key(rows, keys, F.col(order).desc())
 
 
 def put_manifest(spark: SparkSession, folder: str, values: dict[str, str], updated_at: str) -> None:
@@ -82,6 +127,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours through Spark's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def last_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Of the rows of each key the one that comes last."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
@@ -155,3 +206,8 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def kind_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
     return rows.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def plan_counts(changes: DataFrame) -> DataFrame:
+    """kind, change and n of a plan (path, kind, change): each pair, the sums over one of the two (null there) and over both; in one pass."""
+    return changes.cube("kind", "change").agg(F.count("*").alias("n"), F.grouping("kind").alias("all_kinds"), F.grouping("change").alias("all_changes"))

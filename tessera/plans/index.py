@@ -12,19 +12,21 @@ from tessera.operators import conflicts, links, retrieve, store
 from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
 from tessera.operators.graph import checkpoint
 from tessera.operators.nearest import covering
+from tessera.operators.postings import postings
 from tessera.sources.files import chunks, lines
 
 
 @dataclass
 class Index:
-    """Tables of an index: nodes (with indexed_at), edges with links, lines of the corpus."""
+    """Tables of an index: nodes (with indexed_at), edges with links, lines of the corpus, and the stored postings of the nodes' quotes where it is loaded."""
 
     nodes: DataFrame
     edges: DataFrame
     lines: DataFrame
+    postings: DataFrame | None = None
 
     def ask(self, task: str, **more) -> dict:
-        return retrieve.retrieve(self.nodes, self.edges, task, **more)
+        return retrieve.retrieve(self.nodes, self.edges, task, postings=self.postings, **more)
 
     def search(self, words: str, limit: int = 8) -> DataFrame:
         """Evidence for a query: id, kind, label, quote, location, score and why."""
@@ -149,28 +151,51 @@ def load(spark: SparkSession, folder: str) -> Index:
     tables = store.load_tables(spark, folder)
     kinds = tables["artifacts"].select(F.col("id").alias("artifact_id"), "path")
     texts = tables["chunks"].join(kinds, "artifact_id").select("path", "kind", "start_line", F.posexplode(F.split("text", "\n", -1)).alias("at", "line_text"))
-    return Index(graph_nodes(tables), tables["edges"].select(*EDGE), texts.select("path", "kind", (F.col("start_line") + F.col("at")).alias("line"), "line_text"))
+    stored = store.Stored(spark, folder).table("postings").withColumnRenamed("bucket", "block")
+    return Index(graph_nodes(tables), tables["edges"].select(*EDGE), texts.select("path", "kind", (F.col("start_line") + F.col("at")).alias("line"), "line_text"), stored)
 
 
-def run(artifacts: DataFrame, folder: str, indexed_at: str = "2000-01-01 00:00:00") -> DataFrame:
+def run(artifacts: DataFrame, folder: str, indexed_at: str = "2000-01-01 00:00:00", buckets: int = store.BUCKETS) -> DataFrame:
     """Bring the stored index of a folder up to a corpus (path, kind, content_hash, text); path, kind and change of each file.
 
-    Only new and modified files are extracted; what deleted and modified ones had goes; the others' rows stay as they are. Links, which may
-    run between any two files, are made anew from the stored nodes. A run without changes writes nothing. The result is a new version, which
-    readers see once it is complete."""
+    Only new and modified files are extracted. Of the tables only the buckets of paths that changed are read whole and written anew, and only links with an
+    end in a changed file are made anew; the rest stays where it is, so what a run writes follows the change. A run without changes writes nothing.
+    The result is a new version, which readers see once it is complete; one writer at a time."""
     spark = artifacts.sparkSession
-    before = store.load_tables(spark, folder)
-    changes = checkpoint(plan(artifacts, before["artifacts"]))
-    if changes.where("change <> 'unchanged'").isEmpty():
+    state = store.Stored(spark, folder, buckets)
+    place = lambda df, path="path": df.withColumn("bucket", store.bucket_of(path, state.buckets))
+    changes = checkpoint(plan(artifacts, state.table("artifacts")))
+    touched = checkpoint(changes.where("change <> 'unchanged'").select("path", "change"))
+    if touched.isEmpty():
         return changes
-    touched = artifacts.join(changes.where("change in ('new', 'modified')").select("path"), "path", "left_semi").select(*artifacts.columns)
-    tables = store.replace_files(store.remove_missing(before, artifacts), stored_rows(touched, indexed_at))
-    edges = checkpoint(store.clear_links(tables["edges"]))
-    nodes = checkpoint(tables["nodes"])
-    linked = links.link(graph_nodes(dict(tables, nodes=nodes)), edges.select(*EDGE))
+    among = sorted(r[0] for r in place(touched).select("bucket").distinct().collect())  # ``buckets`` at most
+    fresh = artifacts.join(touched.where("change <> 'deleted'").select("path"), "path", "left_semi").select(*artifacts.columns)
+    filed = [t for t in store.FILED if t not in ("links", "postings")]
+    old = {t: state.table(t, among) for t in filed}
+    kept = store.cascade_delete(old, touched.where("change <> 'new'").select("path"))
+    made = stored_rows(fresh, indexed_at)
+    paths = made["artifacts"].select(F.col("id").alias("artifact_id"), "path")
+    of_node = made["nodes"].select(F.col("id").alias("src"), "path")
+    own = {"artifacts": place(made["artifacts"]), "nodes": place(made["nodes"]), "evidence": place(made["evidence"], "source_uri"), "chunks": place(made["chunks"].join(paths, "artifact_id")), "edges": place(made["edges"].join(of_node, "src"))}
+    tables = {t: kept[t].unionByName(own[t].select(*kept[t].columns)) for t in filed}
+    tables["nodes"], tables["edges"] = checkpoint(tables["nodes"]), checkpoint(tables["edges"])
+
+    others = {t: state.table(t).where(~F.col("bucket").isin(among)).unionByName(tables[t]) for t in ("artifacts", "nodes", "edges")}
+    nodes = graph_nodes(others)
+    linked = links.link(nodes, others["edges"].select(*EDGE), touched.select("path"))
     linked = linked.select("*", F.lit(None).cast("string").alias("evidence_id"), F.to_json(F.struct("reason")).alias("metadata"))
-    tables = dict(tables, nodes=nodes, edges=edges.unionByName(linked.select(*edges.columns)))
-    store.save_tables(tables, folder, store.newest_version(spark, folder) + 1)
+    linked = checkpoint(place(linked.join(nodes.select(F.col("id").alias("src"), "path"), "src")).select(*store.names_of("links"), "bucket"))
+    gone = checkpoint(old["nodes"].join(touched, "path", "left_semi").select("id"))
+    before = state.table("links")
+    stale = before.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").select("bucket").union(before.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").select("bucket"))
+    among_links = sorted(r[0] for r in stale.union(linked.select("bucket")).distinct().collect())  # ``buckets`` at most
+    left = state.table("links", among_links)
+    for end in ("src", "dst"):
+        left = left.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    tables["links"] = left.unionByName(linked)
+    quotes = tables["nodes"].select("id", F.get_json_object("metadata", "$.quote").alias("text"), F.col("bucket").alias("block"))
+    tables["postings"] = postings(quotes).withColumnRenamed("block", "bucket")  # a block is a bucket of paths
+    state.write(tables, dict.fromkeys([*filed, "postings"], among) | {"links": among_links})
     return changes
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import conflicts, graph, links, retrieve, search, store
+from tessera.operators import conflicts, graph, links, postings, retrieve, search, store
 from tessera.operators.extract import NODE, code_graph, facts, markdown_graph
 from tessera.operators.nearest import nearest
 from tessera.sources import files
@@ -309,6 +309,29 @@ def bm25_scores(t):
     return search.bm25(index, size["n"], size["mean"] or 1.0, queries).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query(
+    r"""with w as (select doc_id as id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.$/-]+'))) as term from documents), k as (select id, term from w where length(term) > 1), l as (select id, count(*) as length from k group by id),
+    p as (select term, id, count(*) as tf from k group by term, id), q(query_id, term) as (values (1, 'apache'), (1, 'license'), (2, 'password'), (2, 'token'), (3, 'idiot'), (3, 'clown'), (3, 'the')), df as (select term, count(*) as df from p group by term),
+    c as (select count(*) as n, avg(length) as mean from l),
+    s as (select q.query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) as score from q join p using (term) join df using (term) join l using (id), c group by q.query_id, p.id),
+    r as (select *, row_number() over (partition by query_id order by score desc, cast(id as varchar)) as place from s) select query_id, cast(id as varchar) as id, round(score, 6) as score from r where place <= 20"""
+)
+def stored_bm25_topk(t):
+    """The best texts of each query from postings that are written first, as an index run keeps them."""
+    import uuid
+
+    docs = t("documents")
+    spark = docs.sparkSession
+    folder = f"{graph.shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    blocks = max(1, docs.count() // postings.BLOCK_TEXTS)
+    texts = docs.select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    postings.postings(texts).repartition("block").sortWithinPartitions("block", "term").write.partitionBy("block").parquet(folder)
+    queries = spark.createDataFrame(BM25_QUERIES, "query_id int, term string")
+    found = graph.checkpoint(postings.topk(spark.read.schema(f"{postings.SCHEMA}, block int").parquet(folder), queries, 20))
+    store.remove_folder(spark, folder)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(
     """select id from (select c.conv_id || '-' || n.turn as id from conversations e join (select distinct conv_id from conversations) c on c.conv_id = e.conv_id join conversations n on n.conv_id = e.conv_id and n.turn = e.turn
     where lower(e.text) like '%ention%' or lower(e.text) like '%mente%' order by lpad(cast(c.conv_id as varchar), 9, '0'), n.turn, c.conv_id || '-' || n.turn limit 20)"""
@@ -642,6 +665,17 @@ def project_evidence(t):
     return _project(t).ask("Change GET /pages/7 to require pin_7")["evidence"].drop("reasons", "relations")
 
 
+@query(
+    """with c as (select case when l_linenumber = 7 then null else l_returnflag end as kind, l_linestatus as change, count(*) as n from lineitem group by 1, 2)
+    select kind, change, sum(n)::bigint as n, grouping(kind)::bigint as all_kinds, grouping(change)::bigint as all_changes from c group by cube (kind, change)"""
+)
+def plan_totals(t):
+    """Counts of a plan by kind and change, their sums and the whole; rows of lineitem as files, some without a kind."""
+    kind = F.when(F.col("l_linenumber") != 7, F.col("l_returnflag"))
+    changes = t("lineitem").select(F.col("l_orderkey").alias("path"), kind.alias("kind"), F.col("l_linestatus").alias("change"))
+    return store.plan_counts(changes).select("kind", "change", "n", F.col("all_kinds").cast("long").alias("all_kinds"), F.col("all_changes").cast("long").alias("all_changes"))
+
+
 CHANGED = SOURCE.replace("page_id % 3", "page_id % 4")
 
 
@@ -667,4 +701,6 @@ def index_runs(t):
     kinds = tables["nodes"].groupBy("path").agg(F.count_if(F.col("kind") == "Function").alias("functions"), F.count_if(F.col("kind") == "Endpoint").alias("endpoints"))
     texts = tables["chunks"].groupBy("artifact_id").agg(F.count("*").alias("chunks"), F.max(F.trim(F.element_at(F.split("text", "\n"), 6))).alias("rule"))
     kept = tables["artifacts"].select("path", F.col("id").alias("artifact_id")).join(texts, "artifact_id").join(kinds, "path").drop("artifact_id")
-    return changes.join(kept, "path", "left").select("path", "change", "functions", "endpoints", "chunks", "rule")
+    found = graph.checkpoint(changes.join(kept, "path", "left").select("path", "change", "functions", "endpoints", "chunks", "rule"))
+    store.remove_folder(pages.sparkSession, folder)
+    return found

@@ -327,6 +327,9 @@ def test_store(spark):
     assert ids == {"artifacts": ["a2"], "nodes": ["n2"], "chunks": ["n2"], "evidence": ["v2"], "edges": ["e3"]}
     again = store.cascade_delete(left, spark.createDataFrame([("p",)], "path string"))
     assert sorted(r["id"] for r in again["edges"].collect()) == ["e3"]
+    assert sorted(r["id"] for r in store.remove_missing(tables, spark.createDataFrame([("q",)], "path string"))["nodes"].collect()) == ["n2"]
+    put = {"artifacts": spark.createDataFrame([("a1", "p")], "id string, path string"), "nodes": spark.createDataFrame([("n9", "a1")], "id string, artifact_id string")}
+    assert sorted(r["id"] for r in store.replace_files(tables, put)["nodes"].collect()) == ["n2", "n9"]
     delta = spark.createDataFrame([("a1", "new", 1), ("a1", "newest", 2), ("a3", "r", 1)], "id string, path string, seq int")
     assert {tuple(r) for r in store.upsert(a, delta, ["id"], "seq").collect()} == {("a1", "newest"), ("a2", "q"), ("a3", "r")}
     now = spark.createDataFrame([("p", "1"), ("q", "2"), ("s", "3")], "path string, content_hash string")
@@ -407,16 +410,65 @@ def test_symbol_files(spark, tmp_path):
     assert files.read_symbols(spark, str(binary))[0] == "unsupported_binary" and files.read_symbols(spark, str(broken))[0] == "unsupported_format"
 
 
-def test_table_versions(spark, tmp_path):
-    folder = str(tmp_path / "index")
-    tables = store.load_tables(spark, folder)
-    assert {t: df.count() for t, df in tables.items()} == dict.fromkeys(store.TABLES, 0)
-    one = spark.createDataFrame([("k", "1", None)], store.TABLES["manifests"])
-    store.save_tables(dict(tables, manifests=store.upsert(tables["manifests"], one, ["key"])), folder, 1)
-    again = store.load_tables(spark, folder)
-    two = spark.createDataFrame([("k", "2", None)], store.TABLES["manifests"])
-    store.save_tables(dict(again, manifests=store.upsert(again["manifests"], two, ["key"])), folder, 2)
-    assert [r["value"] for r in store.load_tables(spark, folder)["manifests"].collect()] == ["2"]
+def rows_in(tables):
+    """What a stored index holds, as sets of rows."""
+    return {t: {tuple(r[c] for c in store.names_of(t)) for r in df.collect()} for t, df in tables.items() if t in store.FILED}
+
+
+def test_stored_runs_equal_a_build_and_write_what_changed(spark, tmp_path):
+    import os
+
+    folder, whole = str(tmp_path / "index"), str(tmp_path / "whole")
+    assert {t: df.count() for t, df in store.load_tables(spark, folder).items()} == dict.fromkeys(store.TABLES, 0)
+    index.run(corpus(spark, CORPUS), folder, buckets=16)
+    changed = {p: x for p, x in CORPUS.items() if p != "db/schema.sql"} | {"src/app.ts": APP.replace("/api/users", "/api/members"), "docs/new.md": "# New\n\nSee `POST /api/members` and src/app.ts.\n"}
+    got = {r["path"]: r["change"] for r in index.run(corpus(spark, changed), folder).collect()}
+    assert got == {"README.md": "unchanged", "src/app.ts": "modified", "openapi.yaml": "unchanged", "db/schema.sql": "deleted", "svc/pay.py": "unchanged", "docs/new.md": "new"}
+    index.run(corpus(spark, changed), whole, buckets=16)
+    stored, again = rows_in(store.load_tables(spark, folder)), rows_in(store.load_tables(spark, whole))
+    assert stored == again and any(r[6] == "code_document_linker" for r in stored["edges"])
+    built, loaded = index.build(corpus(spark, changed)), index.load(spark, folder)
+    for of in ("nodes", "edges"):
+        a, b = (getattr(x, of).drop("indexed_at") for x in (built, loaded))
+        columns = sorted(a.columns)
+        assert {tuple(r[c] for c in columns) for r in a.collect()} == {tuple(r[c] for c in columns) for r in b.collect()}
+    buckets = {r["path"]: r["b"] for r in spark.createDataFrame([(p,) for p in {**CORPUS, **changed}], "path string").withColumn("b", store.bucket_of("path", 16)).collect()}
+    want = {buckets[p] for p in ("src/app.ts", "db/schema.sql", "docs/new.md")}
+    found = lambda t: {int(x.split("=")[1]) for x in os.listdir(f"{folder}/{t}/version=2") if "=" in x}
+    assert found("nodes") <= want and found("artifacts") <= want and buckets["src/app.ts"] in found("nodes")
+    index.run(corpus(spark, changed), folder)
+    assert store.Stored(spark, folder).version == 2  # no changes, no version
+    ask = "Change POST /api/members to require email"
+    assert [r["id"] for r in loaded.ask(ask)["evidence"].collect()] == [r["id"] for r in built.ask(ask)["evidence"].collect()]
+
+
+def test_stored_postings_give_the_same_as_a_scan(spark):
+    import random
+
+    from tessera.operators import postings, search
+
+    rng = random.Random(2)
+    words = ["aa", "bb", "cc", "dd", "ee", "often", "often", "often"]
+    rows = [(f"t{i}", " ".join(rng.choices(words, k=rng.randrange(0, 40))) if i % 9 else None) for i in range(400)] + [("rare1", "zz aa"), ("rare2", "zz zz " + "often " * 50)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    stored = postings.postings(texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(37)).cast("int")))
+    asks = {0: ["zz"], 1: ["aa", "often"], 2: ["none"], 3: ["aa", "bb", "cc", "dd", "ee", "often"]}
+    queries = spark.createDataFrame([(q, t) for q, ts in asks.items() for t in ts], "query_id int, term string")
+    scans = {q: sorted((-round(r["score"], 9), r["id"]) for r in search.bm25_topk(texts, ts, 1000).collect()) for q, ts in asks.items()}
+    for k in (1, 7, 1000):
+        got = {}
+        for r in postings.topk(stored, queries, k, first=2).collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+        for q, ts in asks.items():
+            scan, found = scans[q][:k], sorted(got.get(q, []))
+            assert [i for _, i in found] == [i for _, i in scan] and all(abs(a - b) < 1e-8 for (a, _), (b, _) in zip(found, scan))
+    assert postings.topk(stored.limit(0), queries, 3).count() == 0
+
+
+def test_counts_of_a_plan(spark):
+    rows = [("a", "code", "new"), ("b", "code", "new"), ("c", "sql", "new"), ("d", None, "deleted")]
+    got = {(r["kind"], r["change"], r["all_kinds"], r["all_changes"]): r["n"] for r in store.plan_counts(spark.createDataFrame(rows, "path string, kind string, change string")).collect()}
+    assert got[None, None, 1, 1] == 4 and got["code", None, 0, 1] == 2 and got[None, "new", 1, 0] == 3 and got["code", "new", 0, 0] == 2 and got[None, "deleted", 0, 0] == 1
 
 
 def test_summary_and_search(project):
