@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.graph import checkpoint
+from tessera.operators.lineage import checkpoint
 from tessera.operators.joins import meet, overlaps
 from tessera.operators.links import with_endpoint
 from tessera.operators.store import first_per_key

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
-from tessera.operators.graph import checkpoint
+from tessera.operators.lineage import checkpoint
 from tessera.operators.store import first_per_key
 from tessera.sources.files import segments
 

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import confidence_weight, extractor_weight
+from tessera.operators.joins import meet
+from tessera.operators.lineage import checkpoint
 
 # Relations that are walked by default, and the weak one that is walked on demand.
 WALKED = "CONTAINS DEFINES DOC_EXPLAINS DOC_MENTIONS IMPLEMENTS IMPORTS QUERY_TOUCHES_TABLE REFERENCES ROUTE_TO_HANDLER SB_DEFINES_REQUIREMENT SB_DEFINES_VALIDATION SB_REFERENCES_API SB_REFERENCES_STATUS".split()
 WEAK = "SEMANTIC_CANDIDATE"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints that the cluster shares; a folder of our own only on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a write to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def edge_weight() -> Column:
     """What an edge adds to the weight of a path."""
     weak = F.when(F.col("relation") == WEAK, -20.0).otherwise(0.0)
@@ -40,21 +23,25 @@ def edge_weight() -> Column:
 def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3, include_weak: bool = False, relations: list[str] | None = None) -> DataFrame:
     """id, distance, weight and relations of the best path to every node within ``max_depth`` edges of a seed.
 
-    Edges are walked both ways between nodes of ``nodes`` (id). The nearest path is best, then the heaviest, then
+    With a column task_id in ``seeds`` every task walks on its own, all in the same joins. Edges are walked both ways between nodes of ``nodes`` (id); they
+    are written once, as lists of what a node leads to, and those of hubs are dealt over tasks. The nearest path is best, then the heaviest, then
     the one with the heaviest last edge, then by relation and ends. Each level is one join of the frontier and one
     anti join with what was reached before; of the paths to a node only the best goes on."""
+    task = [c for c in ("task_id",) if c in seeds.columns]
+    key = [*task, "id"]
     allowed = list(relations or WALKED) + [WEAK] * include_weak
     walked = edges.where(F.col("relation").isin(allowed)).select("src", "dst", "relation", edge_weight().alias("w"), (edge_weight() + F.coalesce("score", F.lit(0.0))).alias("pull"))
     both = walked.select(F.col("src").alias("a"), F.col("dst").alias("b"), "*").unionAll(walked.select(F.col("dst").alias("a"), F.col("src").alias("b"), "*"))
-    both = both.join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "src", "dst", "relation", "w", "pull")
-    start = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
-    frontier = checkpoint(start.select("id", F.lit(0).alias("distance"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("path")))
+    both = checkpoint(both.join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "src", "dst", "relation", "w", "pull"))
+    start = seeds.select(*key).distinct().join(nodes.select("id"), "id", "left_semi")
+    frontier = checkpoint(start.select(*key, F.lit(0).alias("distance"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("path")))
     found = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(both, frontier.id == both.a).select(F.col("b").alias("id"), F.lit(depth).alias("distance"), (F.col("weight") + F.col("w")).alias("weight"), F.concat("path", F.array("relation")).alias("path"), "pull", "relation", "src", "dst")
-        order = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("pull"), "relation", "src", "dst", "path")
-        best = step.join(found.select("id"), "id", "left_anti").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        frontier = checkpoint(best.select("id", "distance", "weight", "path"))
+        step = meet(both, frontier.withColumnRenamed("id", "a"), ["a"])
+        step = step.select(*task, F.col("b").alias("id"), F.lit(depth).alias("distance"), (F.col("weight") + F.col("w")).alias("weight"), F.concat("path", F.array("relation")).alias("path"), "pull", "relation", "src", "dst")
+        order = Window.partitionBy(*key).orderBy(F.desc("weight"), F.desc("pull"), "relation", "src", "dst", "path")
+        best = step.join(found.select(*key), key, "left_anti").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+        frontier = checkpoint(best.select(*key, "distance", "weight", "path"))
         found = found.unionByName(frontier)
     return found
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import checkpoint
+from tessera.operators.lineage import checkpoint
 
 #: Rows that a broadcast table of a few narrow columns may have.
 SMALL_ROWS = 1_000_000

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
-from tessera.operators.graph import checkpoint
+from tessera.operators.lineage import checkpoint
 from tessera.operators.joins import SMALL_ROWS
 
 SCHEMA = "term string, n long, most_tf long, least_length long, total_length long, entries array<struct<id:string,tf:long,length:long>>"

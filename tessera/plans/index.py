@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import content_id
 from tessera.operators import conflicts, links, retrieve, store
 from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
-from tessera.operators.graph import checkpoint
+from tessera.operators.lineage import checkpoint
 from tessera.operators.nearest import covering
 from tessera.operators.postings import postings
 from tessera.sources.files import chunks, lines

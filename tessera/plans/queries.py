@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import conflicts, graph, links, postings, retrieve, search, store
+from tessera.operators import conflicts, graph, lineage, links, postings, retrieve, search, store
 from tessera.operators.extract import NODE, code_graph, facts, markdown_graph
 from tessera.operators.nearest import nearest
 from tessera.sources import files
@@ -322,12 +322,12 @@ def stored_bm25_topk(t):
 
     docs = t("documents")
     spark = docs.sparkSession
-    folder = f"{graph.shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     blocks = max(1, docs.count() // postings.BLOCK_TEXTS)
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     postings.postings(texts).repartition("block").sortWithinPartitions("block", "term").write.partitionBy("block").parquet(folder)
     queries = spark.createDataFrame(BM25_QUERIES, "query_id int, term string")
-    found = graph.checkpoint(postings.topk(spark.read.schema(f"{postings.SCHEMA}, block int").parquet(folder), queries, 20))
+    found = lineage.checkpoint(postings.topk(spark.read.schema(f"{postings.SCHEMA}, block int").parquet(folder), queries, 20))
     store.remove_folder(spark, folder)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -455,6 +455,19 @@ def bfs_best_path_weight(t):
     return found.select("id", "distance", "weight", F.array_join("path", ">").alias("path"))
 
 
+@query(
+    """with n as (select n_nationkey as k, n_regionkey as r from nation), c as (select c_custkey as c, c_nationkey as k from customer)
+    select k as task_id, 'n' || k as id, 0 as distance from n union all select k, 'r' || r, 1 from n union all select k, 'c' || c, 1 from c union all select s_nationkey, 's' || s_suppkey, 1 from supplier
+    union all select a.k, 'n' || b.k, 2 from n a join n b on a.r = b.r and a.k <> b.k union all select k, 'o' || o_orderkey, 2 from orders join c on c.c = o_custkey"""
+)
+def many_traversals(t):
+    """What each nation reaches in two steps, all of them in one traversal."""
+    ids, edges = _order_graph(t)
+    edges = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation", "confidence", F.lit(1.0).alias("score"), F.lit("none").alias("extractor"))
+    seeds = t("nation").select(F.col("n_nationkey").alias("task_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    return graph.traverse(ids, edges, seeds, max_depth=2).select("task_id", "id", "distance")
+
+
 @query(
     """with c as (select o_custkey as id, max(o_orderdate) as indexed_at from orders group by o_custkey)
     select id, greatest(0.0, 4.0 - (dense_rank() over (order by indexed_at desc) - 1) * 0.25)::double as fresh from c"""
@@ -693,7 +706,7 @@ def index_runs(t):
 
     pages = t("pages")
     before = pages.where("url not like 'https%'")
-    folder = f"{graph.shared_folder(pages.sparkSession)}/index-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(pages.sparkSession)}/index-{uuid.uuid4().hex}"
     old = before.select(*_file("concat('old/page', page_id, '.ts')", SOURCE))
     index.run(files.artifacts(_sources_of(before).unionAll(old)), folder)
     changes = index.run(files.artifacts(_sources_of(pages, CHANGED)), folder)
@@ -701,6 +714,6 @@ def index_runs(t):
     kinds = tables["nodes"].groupBy("path").agg(F.count_if(F.col("kind") == "Function").alias("functions"), F.count_if(F.col("kind") == "Endpoint").alias("endpoints"))
     texts = tables["chunks"].groupBy("artifact_id").agg(F.count("*").alias("chunks"), F.max(F.trim(F.element_at(F.split("text", "\n"), 6))).alias("rule"))
     kept = tables["artifacts"].select("path", F.col("id").alias("artifact_id")).join(texts, "artifact_id").join(kinds, "path").drop("artifact_id")
-    found = graph.checkpoint(changes.join(kept, "path", "left").select("path", "change", "functions", "endpoints", "chunks", "rule"))
+    found = lineage.checkpoint(changes.join(kept, "path", "left").select("path", "change", "functions", "endpoints", "chunks", "rule"))
     store.remove_folder(pages.sparkSession, folder)
     return found

@@ -465,6 +465,22 @@ def test_stored_postings_give_the_same_as_a_scan(spark):
     assert postings.topk(stored.limit(0), queries, 3).count() == 0
 
 
+def test_many_tasks_in_one_traversal_equal_one_each(spark):
+    import random
+
+    from tessera.operators import graph
+
+    rng = random.Random(7)
+    ends = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice(["CONTAINS", "IMPORTS", "SEMANTIC_CANDIDATE"])) for _ in range(50)] + [("hub", f"n{i}", "DEFINES") for i in range(0, 30, 2)]
+    edges = spark.createDataFrame([(a, b, r, "DOC_EXACT", 1.0, "none") for a, b, r in ends], "src string, dst string, relation string, confidence string, score double, extractor string")
+    nodes = spark.createDataFrame([("hub",), *[(f"n{i}",) for i in range(29)]], "id string")
+    tasks = {0: ["n1"], 1: ["n2", "hub"], 2: ["n29"], 3: ["n3"]}
+    seeds = spark.createDataFrame([(t, i) for t, ids in tasks.items() for i in ids], "task_id int, id string")
+    got = {tuple(r) for r in graph.traverse(nodes, edges, seeds, 3).select("task_id", "id", "distance", "weight", F.array_join("path", ">")).collect()}
+    want = {(t, *r) for t in tasks for r in graph.traverse(nodes, edges, seeds.where(F.col("task_id") == t).select("id"), 3).select("id", "distance", "weight", F.array_join("path", ">")).collect()}
+    assert got == want and not any(t == 2 for t, *_ in got)
+
+
 def test_counts_of_a_plan(spark):
     rows = [("a", "code", "new"), ("b", "code", "new"), ("c", "sql", "new"), ("d", None, "deleted")]
     got = {(r["kind"], r["change"], r["all_kinds"], r["all_changes"]): r["n"] for r in store.plan_counts(spark.createDataFrame(rows, "path string, kind string, change string")).collect()}
