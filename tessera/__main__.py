@@ -15,7 +15,7 @@ def main(args: list[str]) -> int:
         print(__doc__)
         return 2
     spark = SparkSession.builder.appName("tessera").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    project = index.build(files.artifacts(files.read_files(spark, args[1]), files.load_ignore_rules(args[1])))
+    project = index.build(files.read_project(spark, args[1]))
     if args[0] == "status":
         project.status().orderBy("kind").show(100, False)
     elif args[0] == "conflicts":

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpoint
+
 CORPUS = "path string, content binary"
 
 # Kinds by suffix, folders and names that are never read.
@@ -18,24 +21,95 @@ IGNORED_FOLDERS = ".git .hg .next .pytest_cache .svn .venv __pycache__ build cov
 IGNORED_NAMES = ".DS_Store *.gif *.generated.* *.jpeg *.jpg *.lock *.min.js *.mov *.mp3 *.mp4 *.png *.snapshot *.wav *.webp".split()
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every file below ``root``, hidden names included; ignored folders are not entered.
+def file_system(root: str):
+    """(pyarrow's file system, path in it) of a folder: a URI of a store that tasks can reach, or a local path (``file:/x`` as Hadoop writes it too)."""
+    from pyarrow import fs
+
+    local = re.match(r"file:/*(/.*)", root)
+    if local or "://" not in root:
+        return fs.LocalFileSystem(), local[1] if local else root
+    return fs.FileSystem.from_uri(root)
+
 
-    Spark's own listing leaves out names that start with ``_`` or ``.``, so tasks read the paths that the driver lists."""
-    top = Path(root)
-    paths = []
-    for folder, folders, names in os.walk(top):
-        folders[:] = sorted(d for d in folders if d not in IGNORED_FOLDERS)
-        paths += [(str((Path(folder) / n).relative_to(top)),) for n in sorted(names)]
+def _children(root: str, folders: DataFrame) -> DataFrame:
+    """path, folder and size of what lies in ``folders`` (paths below ``root``), listed by tasks; linked folders are not entered, a folder that can't be read has an error."""
 
-    def load(batches):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, top = file_system(root)
+        schema = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("error", pa.string())])
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                at = f"{top.rstrip('/')}/{path}".rstrip("/") or "/"
+                try:
+                    found = system.get_file_info(fs.FileSelector(at))
+                except OSError as e:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "folder": True, "error": str(e)}], schema=schema)
+                    continue
+                rows = []
+                for x in found:
+                    is_folder = x.type == fs.FileType.Directory
+                    if not (is_folder and system.type_name == "local" and os.path.islink(x.path)):
+                        rows.append({"path": f"{path}/{x.base_name}" if path else x.base_name, "folder": is_folder, "size": None if is_folder else x.size})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return folders.select("path").repartition("path").mapInArrow(run, "path string, folder boolean, size long, error string")
+
+
+def discover(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """path, folder, size, kind and state of all below ``root``, hidden names included: ignored, unsupported (of no known kind), unreadable, or to be indexed.
+
+    Folders are listed level by level in tasks, through a file system that they reach; ignored folders have a row and are not entered. No file is read."""
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        seen = checkpoint(_children(root, level))
+        seen = seen.withColumn("kind", F.when(~F.col("folder"), classify("path"))).withColumn("_ignored", ignored("path", rules or []))
+        state = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("_ignored"), "ignored").when(F.col("folder"), "folder").when(F.col("kind").isNull(), "unsupported").otherwise("indexed")
+        seen = seen.withColumn("state", state).drop("_ignored", "error")
+        found = seen if found is None else found.unionByName(seen)
+        level = seen.where("state = 'folder'").select("path")
+        if level.isEmpty():
+            return found.where("state <> 'folder'")
+
+
+def discovery_counts(found: DataFrame) -> DataFrame:
+    """total (files), ignored (files, and folders that were not entered), unsupported, unreadable and indexed of what was discovered."""
+    of = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return found.agg(F.count_if(~F.col("folder")).alias("total"), *map(of, ("ignored", "unsupported", "unreadable", "indexed")))
+
+
+def read_listed(root: str, paths: DataFrame) -> DataFrame:
+    """path, content and error of files below ``root``, read by tasks; what can't be read has an error and no content."""
+
+    def run(batches):
         import pyarrow as pa
 
+        system, top = file_system(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([(top / path).read_bytes()])], names=["path", "content"])
+                try:
+                    with system.open_input_file(f"{top.rstrip('/')}/{path}") as f:
+                        content, error = f.read(), None
+                except OSError as e:
+                    content, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return paths.select("path").repartition("path").mapInArrow(run, CORPUS + ", error string")
 
-    return spark.createDataFrame(paths, "path string").mapInArrow(load, CORPUS)
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of every file below ``root`` that can be read, hidden names included; ignored folders are not entered."""
+    paths = discover(spark, root).where("not folder")
+    return read_listed(root, paths).where("error is null").select("path", "content")
+
+
+def read_project(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """The artifacts below ``root``; files that are ignored or of no known kind are not read."""
+    rules = load_ignore_rules(root) if rules is None else rules
+    listed = discover(spark, root, rules).where("state = 'indexed'")
+    return artifacts(read_listed(root, listed).where("error is null"), rules)
 
 
 def classify(path: str | Column) -> Column:
@@ -87,8 +161,15 @@ def ignored(path: str, rules: list[str]) -> Column:
 
 def load_ignore_rules(root: str, names: tuple[str, ...] = (".gitignore", ".tesseraignore")) -> list[str]:
     """The rules of the ignore files of a project, in the order of ``names``; a file that isn't there has none."""
-    found = [Path(root) / n for n in names]
-    return [rule for f in found if f.is_file() for rule in f.read_text(encoding="utf-8", errors="replace").splitlines()]
+    system, top = file_system(root)
+    rules: list[str] = []
+    for name in names:
+        try:
+            with system.open_input_file(f"{top.rstrip('/')}/{name}") as f:
+                rules += f.read().decode("utf-8", "replace").splitlines()
+        except OSError:  # there is none
+            continue
+    return rules
 
 
 def artifacts(files: DataFrame, rules: list[str] | None = None) -> DataFrame:

@@ -171,6 +171,29 @@ def test_ignore_files_of_a_project(spark, tmp_path):
     assert files.load_ignore_rules(str(tmp_path / "none")) == []
 
 
+def test_discovery_lists_and_reads_what_is_indexed(spark, tmp_path):
+    import os
+
+    for name in ("README.md", "a.png", "src/.hidden.py", "src/deep/er/b.ts", "src/deep/er/notes.xyz", "node_modules/x.js", "tmp/c.md", "drop.log", "_under.py", "src/p.lock"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("tmp/\n*.log\n")
+    os.symlink(tmp_path, tmp_path / "src/loop")
+    os.symlink(tmp_path / "gone.py", tmp_path / "broken.py")
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        rules = files.load_ignore_rules(root)
+        found = {r["path"]: r["state"] for r in files.discover(spark, root, rules).collect()}
+        broken = found.pop("broken.py", None)
+        assert found == {
+            "README.md": "indexed", "a.png": "ignored", "src/.hidden.py": "indexed", "src/deep/er/b.ts": "indexed", "src/deep/er/notes.xyz": "unsupported", "node_modules": "ignored", "tmp": "ignored", "drop.log": "ignored",
+            "_under.py": "indexed", "src/p.lock": "ignored", ".gitignore": "unsupported",
+        }
+        counts = files.discovery_counts(files.discover(spark, root, rules).where("path <> 'broken.py'")).first()
+        assert tuple(counts) == (9, 5, 2, 0, 4)
+        read = {r["path"]: r["text"] for r in files.read_project(spark, root).collect()}
+        assert read == dict.fromkeys(["README.md", "src/.hidden.py", "src/deep/er/b.ts", "_under.py"], "x = 1\n") and broken in (None, "indexed")
+
+
 def test_markdown_graph(project):
     doc = project.nodes.where("path = 'README.md'")
     got = {(r["kind"], r["label"]): (r["start_line"], r["end_line"]) for r in doc.where("kind in ('Document', 'Section', 'Table')").collect()}
