@@ -11,7 +11,7 @@ from tessera.functions.text import content_id
 from tessera.operators import conflicts, links, retrieve, store
 from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
 from tessera.operators.lineage import checkpoint
-from tessera.operators.nearest import covering
+from tessera.operators.nearest import closest_scope, covering
 from tessera.operators.postings import postings
 from tessera.sources.files import chunks, lines
 
@@ -211,7 +211,10 @@ def symbol_overlay(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, D
     last = store.first_per_key(occ, ["symbol"], F.desc("path"), F.desc("nth"))
     values = {"id": symbol_id, "kind": F.lit("Symbol"), "label": name, "canonical_name": F.col("symbol"), "artifact_kind": F.lit("code"), "path": F.col("path"), "start_line": F.col("line"), "end_line": F.col("line"), "confidence": F.lit("EXACT_COMPILER")}
     symbols = last.select(*[(values.get(c, F.lit(None).cast("int" if c == "page" else "string"))).alias(c) for c in NODE])
-    near = occ.withColumn("symbol_id", symbol_id).join(nodes.where("kind in ('Class', 'Function', 'Method', 'Endpoint', 'File')").select("path", "id", "kind", "start_line", "end_line"), "path")
-    apart = F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), F.col("end_line") - F.col("start_line")).otherwise(F.abs(F.col("line") - F.col("start_line")) + 100)
-    best = store.first_per_key(near.withColumn("apart", F.when(F.col("kind") == "File", 900).otherwise(apart)), ["path", "nth", "symbol"], F.col("apart"), F.col("id"))
+    occ = checkpoint(occ.withColumn("point", F.monotonically_increasing_id()))
+    scopes = nodes.where("kind in ('Class', 'Function', 'Method', 'Endpoint')").select("path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("id").alias("span"))
+    close = closest_scope(occ.select("path", F.col("line").alias("at"), "point"), scopes, "path")
+    whole = occ.join(nodes.where("kind = 'File'").groupBy("path").agg(F.min("id").alias("span")), "path").select("point", F.lit(900).cast("long").alias("apart"), "span")
+    best = close.unionByName(whole).groupBy("point").agg(F.min(F.struct("apart", "span")).alias("b"))
+    best = occ.join(best, "point").withColumn("symbol_id", symbol_id).withColumn("id", F.col("b.span"))
     return symbols, edge_rows(best, F.col("id"), F.col("symbol_id"), F.when(F.col("defines"), "DEFINES").otherwise("REFERENCES"), "EXACT_COMPILER", "scip")

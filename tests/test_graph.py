@@ -597,6 +597,28 @@ def test_as_of_sweep_finds_the_span_around(spark):
     assert {(r["k"], r["at"], r["name"]) for r in covering(points, spans, "k", "at", "s", "e").collect()} == want
 
 
+def test_closest_scopes_equal_all_pairs(spark):
+    import random
+
+    from tessera.operators.nearest import closest_scope
+
+    rng = random.Random(12)
+    spans = [(f"f{i % 3}", a := rng.randrange(1, 300), a + rng.choice([0, 1, 3, 10, 40, 200]), f"s{i:03}") for i in range(80)]
+    points = [(f"f{i % 4}", rng.randrange(1, 900), i) for i in range(200)]
+
+    def apart(at, a, b):
+        return b - a if a <= at <= b else abs(at - a) + 100
+
+    want = {}
+    for k, at, p in points:
+        # of spans that are not around a point only the last started of the ended and the first to start can be closest
+        options = sorted((apart(at, a, b), s) for kk, a, b, s in spans if kk == k)
+        if options:
+            want[p] = options[0]
+    got = {r["point"]: (r["apart"], r["span"]) for r in closest_scope(spark.createDataFrame(points, "k string, at int, point long"), spark.createDataFrame(spans, "k string, start int, end int, span string"), "k").collect()}
+    assert got == want
+
+
 def test_routes_meet_the_last_function_of_their_name_above(spark):
     code = "function f() {}\napp.get('/a', f);\nfunction f() {}\napp.get('/b', f);\napp.get('/c', g);\nfunction g() {}\n"
     py = "@app.get('/x')\n@app.post('/y')\ndef one():\n    pass\n\n@app.get('/z')\ndef two():\n    pass\n\n@app.get('/w')\nx = 1\n"
