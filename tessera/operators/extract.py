@@ -97,6 +97,9 @@ QUOTED = r"""`([^`\n]+)`|"([^"]+)"|'([^']+)'|“([^”]+)”|‘([^’]+)’"""
 NO_LABEL = ["the", "this", "a", "an", "status"]
 DATABASE = r"(?iu)\b([A-Za-z][A-Za-z0-9_]{2,})\s+(?:table|entity|collection)\b|(?:테이블|엔티티|컬렉션)\s*[:=-]?\s*([A-Za-z][A-Za-z0-9_]{2,})|([A-Za-z][A-Za-z0-9_]{2,})\s*(?:테이블|엔티티|컬렉션)"
 
+# Words of which every match of the pattern of the same name has one; sentences without any are not searched for it.
+SCREEN_HINT, INTEGRATION_HINT, DATABASE_HINT = r"(?iu)화면|스크린|페이지|screen|page|view", r"(?iu)integration|webhook|연동", r"(?iu)table|entity|collection|테이블|엔티티|컬렉션"
+
 
 def all_of(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
@@ -510,22 +513,23 @@ def _fact_spots(branch: int) -> list[Column]:
         rule = F.when(text.rlike(pattern), kind).otherwise(rule)
     valid, warned = F.regexp_extract("segment", VALIDATION, 1), text.rlike(ERROR_HINT)
     none = F.array().cast("array<string>")
+    given = lambda hint, found: F.when(text.rlike(hint), found).otherwise(none)
     whole = short("segment", 96, compact=True)
     fields = lambda found: F.transform(F.filter(found, looks_like_field), lambda m: spot("FormField", m, "DOC_EXACT", reference_type="form_field", subject=m))
     return [
         F.transform(matches(STATUS_WORD), lambda m: spot("StatusValue", m, "DOC_EXACT", reference_type="status_value")),
-        fields(F.when(text.rlike(FIELD_HINT), matches(FIELD)).otherwise(none)),
+        fields(given(FIELD_HINT, matches(FIELD))),
         fields(matches(r"`([^`\n]+)`")),
-        fields(each(FIELD_CONTEXT, 3)),
+        fields(given(FIELD_HINT, each(FIELD_CONTEXT, 3))),
         _if(valid != "", spot("ValidationRule", valid, "DOC_INFERRED", subject=_first_field())),
         _if(rule.isNotNull(), spot(rule, whole, "DOC_INFERRED")),
-        F.transform(labels(each(SCREEN, 2)), lambda m: spot("Screen", m, "DOC_INFERRED")),
+        F.transform(labels(given(SCREEN_HINT, each(SCREEN, 2))), lambda m: spot("Screen", m, "DOC_INFERRED")),
         F.transform(matches(ACTION), lambda m: spot("UserAction", short(m, 96, compact=True), "DOC_INFERRED")),
         F.transform(matches(KOREAN_ACTION), lambda m: spot("UserAction", m, "DOC_INFERRED")),
         F.transform(F.when(warned, each(QUOTED, 5)).otherwise(none), lambda m: spot("ErrorMessage", m, "DOC_EXACT")),
         _if(warned & ~text.rlike(QUOTED), spot("ErrorMessage", whole, "DOC_INFERRED")),
-        F.transform(labels(each(INTEGRATION, 2)), lambda m: spot("ExternalIntegration", m, "DOC_EXACT")),
-        F.transform(each(DATABASE, 3), lambda m: spot("DatabaseEntity", m, "DOC_EXACT", reference_type="database_entity", subject=m)),
+        F.transform(labels(given(INTEGRATION_HINT, each(INTEGRATION, 2))), lambda m: spot("ExternalIntegration", m, "DOC_EXACT")),
+        F.transform(given(DATABASE_HINT, each(DATABASE, 3)), lambda m: spot("DatabaseEntity", m, "DOC_EXACT", reference_type="database_entity", subject=m)),
     ]
 
 
