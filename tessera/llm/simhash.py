@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, free_names, join_small, map_texts, small_or_not
+from tessera.llm.common import checkpoint, free_names, join_by_key, join_small, map_texts, small_or_not
 from tessera.llm.components import components
 
 #: Fingerprints of a node that one task holds at a time; larger nodes are cut into runs of this length.
@@ -158,6 +158,25 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[at], b[at]
 
 
+def _closest(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of ``codes`` a spanning forest, each code's nearest partner and the partner that has most partners of its own.
+
+    The last one is the source of a group of copies, which are nearer to it than to most of each other. At most three pairs a code."""
+    n = len(codes)
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    nearest, central = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    for i in range(0, len(a), 1 << 18):  # bounded memory
+        x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
+        near = (64 - np.bitwise_count(codes[x] ^ codes[y]).astype(np.int64)) << 24
+        for one, other in ((x, y), (y, x)):  # the best partner stands in the low bits
+            np.maximum.at(nearest, one, near | other)
+            np.maximum.at(central, one, degree[other] << 31 | near | other)
+    x, y = _forest(n, a, b)
+    ends = np.flatnonzero(nearest >= 0)
+    low = (1 << 24) - 1
+    return np.concatenate([x, ends, ends]), np.concatenate([y, nearest[ends] & low, central[ends] & low])
+
+
 def _joined(batches: Iterator, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Sorted rows in pieces that end where ``keys`` change, with as few rows as a batch and one group have."""
     held: dict[str, np.ndarray] | None = None
@@ -237,16 +256,20 @@ def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int, by: list
     return usual, entries
 
 
-def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int = LEVELS, by: list[str] | None = None) -> DataFrame:
+def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int = LEVELS, by: list[str] | None = None, closest: bool = False) -> DataFrame:
     """Links (a, b) that connect what pairs of ``codes`` (column fingerprint, distinct) within ``radius`` bits connect.
 
     Of the pairs found in one task those of a spanning forest are given, so there are no more links than fingerprints
-    in its nodes. ``by``: integer columns that both ends of a link have alike; links carry them in front."""
+    in its nodes; with ``closest`` each fingerprint's nearest partner, and the one with most partners, are there too.
+    ``by``: integer columns that both ends of a link have alike; links carry them in front."""
     by = by or []
     node = [*by, "mask", "value"]
     kind = "".join(f"{c} int, " for c in by) + "a long, b long"
     usual, in_large = _upper_levels(codes, radius, run, levels, by)
 
+    def few(codes, a, b):
+        return _closest(codes, a, b) if closest else _forest(len(codes), a, b)
+
     def batch_of(rows, a, b):
         import pyarrow as pa
 
@@ -257,7 +280,7 @@ def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int =
         for rows in _joined(batches, node):
             codes = rows["fingerprint"].view("<u8")
             cuts = _starts(rows, node)
-            yield batch_of(rows, *_forest(len(codes), *_pairs_within(codes, cuts, radius)))
+            yield batch_of(rows, *few(codes, *_pairs_within(codes, cuts, radius)))
 
     dealt = usual.repartition(*node).sortWithinPartitions(*node, "gray")
     links = dealt.select(*node, "fingerprint").mapInArrow(of_nodes, kind)
@@ -281,7 +304,8 @@ def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int =
                 first = int((rows["run"][s:e] == rows["run_a"][s]).sum())
                 across = first if first < e - s else 0
                 cuts = np.array([0])
-                a, b = _forest(e - s, *_pairs_within(rows["fingerprint"][s:e].view("<u8"), cuts, radius, across))
+                codes = rows["fingerprint"][s:e].view("<u8")
+                a, b = few(codes, *_pairs_within(codes, cuts, radius, across))
                 yield batch_of(rows, a + s, b + s)
 
     dealt = tiles.repartition(*tile).sortWithinPartitions(*tile, "run", "gray")
@@ -327,25 +351,66 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
     return found.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
 
 
-def _family_classes(prints: DataFrame, radius: int) -> DataFrame:
-    """prints, root of their component: rows of fingerprints are linked where those of one family are within ``radius`` bits.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the different ``width``-word shingles, ascending; fewer words are one shingle, none give none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    k = min(width, len(words))
+    stops = ends[k - 1 :].tolist()
+    starts = [0, *(ends[: len(words) - k] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def set_fingerprints(text: str | None, width: int = 2, seed: int = 42, families: int = 1) -> list[int]:
+    """For each family 64 majority bits over the hashes of the different ``width``-word shingles, as a signed number."""
+    hashes = shingle_hashes(text, width, seed)
+    votes = np.zeros((families, 64), np.int64)
+    for i in range(0, len(hashes), 8160):  # bounded memory
+        votes += _bit_counts(_mixed(hashes[i : i + 8160], families))
+    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def words_digest(text: str | None) -> bytes:
+    """A 128-bit hash of a text's words; letter case of A-Z and white space between words don't count."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
+def _candidates(classes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of vertices of ``classes`` (vertex, prints) to be held against their texts.
 
-    A link whose ends differ in over a sixth of the bits of all families is left out: that many texts differ in that are alike in about seven five-word
-    shingles of ten, those alike in eight differ in an eighth."""
-    classes = checkpoint(prints.select("prints").distinct().withColumn("vertex", F.monotonically_increasing_id()))
+    Two are linked where their fingerprints of one family are alike, or within ``radius`` bits and near by the others of their node. Links
+    whose ends differ in over a sixth of the bits of all families are left out: alike in eight five-word shingles of ten, they differ in about a tenth."""
     one = classes.select("vertex", F.posexplode("prints").alias("family", "fingerprint"))
-    codes = checkpoint(one.groupBy("family", "fingerprint").agg(F.min("vertex").alias("least")))
-    near = near_links(codes.select("family", "fingerprint"), radius, by=["family"])
+    # alike fingerprints hang on one vertex, another one in each family
+    codes = checkpoint(one.groupBy("family", "fingerprint").agg(F.min_by("vertex", F.xxhash64("vertex", "family")).alias("hub")))
+    near = near_links(codes.select("family", "fingerprint"), radius, by=["family"], closest=True)
     for end in ("a", "b"):
-        near = near.join(codes.select("family", F.col("fingerprint").alias(end), F.col("least").alias(f"least_{end}")), ["family", end])
-    same = one.join(codes, ["family", "fingerprint"]).where("vertex <> least").select("vertex", "least")
-    links = checkpoint(near.select("least_a", "least_b").union(same).toDF("a", "b").where("a <> b").distinct())
+        near = near.join(codes.select("family", F.col("fingerprint").alias(end), F.col("hub").alias(f"hub_{end}")), ["family", end])
+    same = one.join(codes, ["family", "fingerprint"]).where("vertex <> hub").select("vertex", "hub")
+    links = near.select("hub_a", "hub_b").union(same).toDF("a", "b").where("a <> b")
+    links = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     ends = links
     for end in ("a", "b"):
         ends = ends.join(classes.select(F.col("vertex").alias(end), F.col("prints").alias(f"prints_{end}")), end)
     apart = F.expr("aggregate(zip_with(prints_a, prints_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    roots = components(ends.where(6 * apart <= 64 * F.size("prints_a")).select("a", "b"))
-    return classes.join(roots, "vertex", "left").select("prints", F.coalesce("root", "vertex").alias("root"))
+    return ends.where(6 * apart <= 64 * F.size("prints_a")).select("a", "b")
+
+
+def _alike(links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``links`` (a, b) whose sets of ``shingles`` (vertex, grams) have a Jaccard similarity of at least ``similarity``."""
+    for end in ("a", "b"):
+        links = links.join(shingles.select(F.col("vertex").alias(end), F.col("grams").alias(f"grams_{end}")), end)
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    enough = shared * (1 + similarity) >= similarity * (F.size("grams_a") + F.size("grams_b")) - 1e-6
+    return links.where(enough).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -361,32 +426,83 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     return prints.join(by_code, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42, families: int = 1) -> DataFrame:
+def _both_ways(links: DataFrame, v: str, w: str) -> DataFrame:
+    return links.select(F.col("a").alias(v), F.col("b").alias(w)).unionAll(links.select(F.col("b").alias(v), F.col("a").alias(w)))
+
+
+def _through_sources(links: DataFrame, alike: DataFrame) -> DataFrame:
+    """New links, for those of ``links`` that are not ``alike``: one end with the source of the other, which is the alike partner with most alike partners.
+
+    Copies of one source are near each other, but often less alike than asked for; each of them is alike with the source."""
+    pairs = checkpoint(_both_ways(alike, "v", "w"))
+    degree = checkpoint(pairs.groupBy("w").agg(F.count("*").alias("n")))
+    source = join_by_key(pairs, degree, ["w"]).groupBy("v").agg(F.max(F.struct("n", "w")).alias("best"))
+    source = checkpoint(source.select(F.col("v").alias("w"), F.col("best.w").alias("source")))
+    failed = checkpoint(_both_ways(links.join(alike, ["a", "b"], "left_anti"), "v", "w"))
+    new = join_by_key(failed, source, ["w"]).where("source is not null and source <> v")
+    new = new.select(F.greatest("v", "source").alias("a"), F.least("v", "source").alias("b")).distinct()
+    return checkpoint(new.join(links, ["a", "b"], "left_anti"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, families: int = 8, print_width: int = 2, rounds: int = 2, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Texts are linked if their fingerprints of one of the ``families`` differ in at most ``radius`` bits: with more
-    families more of the less similar copies are found, at a cost in proportion. Texts without words are one component.
+    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of at least ``similarity``. Which are held against
+    each other is found by fingerprints over shingles of ``print_width`` words, as one changed word changes few of these: in one of the ``families``
+    two differ in at most ``radius`` bits; then, ``rounds`` times, texts that are not alike with one are held against its source. With more families fewer near copies are missed, at a cost in proportion; no link is made that the texts
+    don't bear out (shingles are compared by 32 bits of a hash). Texts of the same words, and texts without words, are one vertex each.
     Rows that are repeated with all their columns count once. Where no row of a component has a doc_id, one of its
-    rows stays. All columns are kept, whatever their names. Texts are fingerprinted once; what is joined with them
-    are the keys (doc_id, hash of the row) of the rows that go, so texts are not shuffled while these are few."""
-    key = free_names(docs, "doc_key", "row_key")
+    rows stays. All columns are kept, whatever their names. What is joined with texts are the keys (doc_id, hash of the row) of the rows that
+    go, or that stand for a vertex with links, so texts are not shuffled while these are few."""
+    key = free_names(docs, "doc_key", "row_key", "vertex_key")
+    ids, vertex = key[:2], key[2]
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
     keyed = docs.withColumn(key[0], F.col("doc_id")).withColumn(key[1], F.xxhash64(*plain))
-    prints = map_texts(keyed, key, lambda: lambda texts: (None, {"prints": [family_fingerprints(t, width, seed, families) for t in texts]}), "prints array<long>")
-    prints = checkpoint(prints.select(F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "prints"))
-    roots = _family_classes(prints, radius)
-    rows = checkpoint(prints.join(roots, "prints").groupBy("root", "doc_id", "row").agg(F.count("*").alias("n")))
+
+    def make_prints():
+        return lambda texts: (None, {"digest": [words_digest(t) for t in texts], "prints": [set_fingerprints(t, print_width, seed, families) for t in texts]})
+
+    def make_grams():
+        def some(text):
+            return np.unique(shingle_hashes(text, width, seed).astype(np.uint32)).view(np.int32)
+
+        return lambda texts: (None, {"grams": [some(t) for t in texts]})
+
+    def of_key(other: DataFrame) -> list:
+        return [keyed[key[0]].eqNullSafe(other[key[0]]), keyed[key[1]] == other[key[1]]]
+
+    prints = map_texts(keyed, ids, make_prints, "digest binary, prints array<long>")
+    prints = prints.select("digest", F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "prints")
+    rows = checkpoint(prints.groupBy("digest", "doc_id", "row").agg(F.count("*").alias("n"), F.first("prints").alias("prints")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
-    marked = rows.join(best, "root").withColumn("stays", rank == F.col("best"))
+    classes = rows.groupBy("digest").agg(F.min(rank).alias("least"), F.first("prints").alias("prints"))
+    classes = checkpoint(classes.withColumn("vertex", F.monotonically_increasing_id()))
+
+    links = checkpoint(_candidates(classes.select("vertex", "prints"), radius))
+    linked = links.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    stand = checkpoint(classes.join(linked, "vertex", "left_semi").select(F.col("least.doc_id").alias(key[0]), F.col("least.row").alias(key[1]), F.col("vertex").alias(vertex)))
+    texts = keyed.join(small_or_not(stand), of_key(stand)).select(stand[vertex].alias("vertex"), keyed["text"])
+    shingles = checkpoint(map_texts(texts, ["vertex"], make_grams, "grams array<int>").dropDuplicates(["vertex"]))
+    alike = checkpoint(_alike(links, shingles, similarity))
+    for _ in range(rounds):
+        new = _through_sources(links, alike)
+        if new.isEmpty():
+            break
+        links = links.unionAll(new)
+        alike = checkpoint(alike.unionAll(_alike(new, shingles, similarity)))
+    roots = components(alike)
+
+    found = checkpoint(classes.join(roots, "vertex", "left").select("digest", "least", F.coalesce("root", "vertex").alias("root")))
+    best = checkpoint(found.groupBy("root").agg(F.min("least").alias("best")))
+    best = checkpoint(join_by_key(found, best, ["root"]).select("digest", "best"))
+    marked = join_by_key(rows.drop("prints"), best, ["digest"]).withColumn("stays", rank == F.col("best"))
     named = [F.col("doc_id").alias(key[0]), F.col("row").alias(key[1])]
     goes = checkpoint(marked.where("not stays or n > 1").select(*named, "stays"))
-    same = [keyed[key[0]].eqNullSafe(goes[key[0]]), keyed[key[1]] == goes[key[1]]]
-    kept = keyed.join(small_or_not(goes), same, "left_anti")
+    kept = keyed.join(small_or_not(goes), of_key(goes), "left_anti")
     again = goes.where("stays")  # repeated rows of which one stays
     if not again.isEmpty():
-        one = keyed.join(small_or_not(again), [keyed[key[0]].eqNullSafe(again[key[0]]), keyed[key[1]] == again[key[1]]], "left_semi")
-        kept = kept.unionByName(one.dropDuplicates(key))
+        one = keyed.join(small_or_not(again), of_key(again), "left_semi")
+        kept = kept.unionByName(one.dropDuplicates(ids))
     return kept.select(*docs.columns)
 
 
