@@ -1,12 +1,13 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed size.
 
-Lengths are integers up to the sequence size, so the packing is planned on the histogram of lengths (at most
-``max_tokens`` rows) and carried out in the tasks: a piece finds its place from its length and its rank among
-the pieces of that length."""
+Lengths are integers up to the sequence size, so the packing is planned on histograms of lengths (at most
+``max_tokens`` rows), one for each group of tasks, and carried out in the tasks: a piece finds its place from its
+length and its rank among the group's pieces of that length. Tokens are written once and never shuffled."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_small, map_texts, worker_cache
+from tessera.llm.common import checkpoint, map_texts, scratch, worker_cache
+from tessera.llm.warc import file_system
 
 #: Entries of each word cache of a Python worker; a full one keeps what it has, which are the words met most.
 CACHE_WORDS = 750_000
+#: Tasks whose pieces are packed together. More groups leave a few more sequences part-filled, one or two each.
+GROUP_TASKS = 256
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"  # not U+0130, whose lower case is a letter and a mark
 _MARKS = r"!-&(-@\[-`{-~"
@@ -199,35 +203,78 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
         bins += many
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Pack all documents into as few sequences of ``max_tokens`` as best-two-fit finds.
+def _planned(by_task: DataFrame, max_tokens: int, group_tasks: int, folder: str) -> None:
+    """Write to ``folder`` what tasks need for placing: the first rank of each task's pieces of a length, and each group's plan.
+
+    ``by_task`` has the number of pieces n of each task and length. Both tables have a folder for each group."""
+    of_group = by_task.withColumn("group", F.floor(F.col("task") / group_tasks).cast("int"))
+    before = Window.partitionBy("group", "length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = of_group.select("group", "task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases.repartition("group").sortWithinPartitions("group", "task").write.partitionBy("group").parquet(f"{folder}/bases")
+
+    def plan(rows):
+        import pandas as pd
+
+        runs = sorted(best_two_fit(dict(zip(rows["length"].tolist(), rows["n"].tolist())), max_tokens))
+        return pd.DataFrame(runs, columns=["length", "first", "number", "bin", "place", "each"]).assign(group=rows["group"].iloc[0])
+
+    counts = of_group.groupBy("group", "length").agg(F.sum("n").alias("n"))
+    plans = counts.groupBy("group").applyInPandas(plan, "length long, first long, number long, bin long, place long, each long, group int")
+    plans.write.partitionBy("group").parquet(f"{folder}/plans")
+
+
+class _Places:
+    """Sequence and offset of the pieces of one task, from the written plan of its group."""
+
+    def __init__(self, folder: str, task: int, group_tasks: int, max_tokens: int):
+        import pyarrow.dataset as ds
+
+        self.group = task // group_tasks
+        system, path = file_system(folder)
+
+        def rows(name, only=None):
+            part = ds.dataset(f"{path}/{name}/group={self.group}", format="parquet", filesystem=system).to_table(filter=only)
+            return {c: part.column(c).to_numpy() for c in part.column_names}
+
+        mine = rows("bases", ds.field("task") == task)
+        self.base = np.zeros(max_tokens + 1, np.int64)
+        self.base[mine["length"]] = mine["base"]
+        runs = rows("plans")
+        order = np.lexsort((runs["first"], runs["length"]))
+        self.first, self.bin, self.place, self.each = (runs[c][order] for c in ("first", "bin", "place", "each"))
+        self.wide = int((runs["first"] + runs["number"]).max()) + 1  # above every rank
+        self.starts = runs["length"][order] * self.wide + self.first
+
+    def of(self, length: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = self.base[length] + nth
+        at = np.searchsorted(self.starts, length * self.wide + rank, "right") - 1
+        inside = rank - self.first[at]
+        return (self.group << 40) + self.bin[at] + inside // self.each[at], self.place[at] + length * (inside % self.each[at])
+
+
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS, group_tasks: int = GROUP_TASKS) -> DataFrame:
+    """Pack all documents into as few sequences of ``max_tokens`` as best-two-fit finds for each ``group_tasks`` tasks.
 
     Returns doc_id, piece, start, length, tokens (binary), sequence_id and offset. Null texts count as empty;
     an empty text is the end token alone; repeated rows, and rows without a doc_id, are packed one by one;
-    no rows give no rows; other columns are left out."""
+    no rows give no rows; other columns are left out. Plans and ranks are written to the shared folder and read
+    from there by the tasks that place pieces, so no token row meets a join."""
     pieces = checkpoint(token_pieces(docs, tokenizer_path, max_tokens, end_id, cache_words))
-    here = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
-    runs = sorted(best_two_fit(counts, max_tokens))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = here.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = join_small(pieces, checkpoint(bases), ["task", "length"])
-
-    columns = np.array(runs, np.int64).reshape(-1, 6).T
-    wide = int(max(counts.values(), default=0)) + 1
+    folder = f"{scratch(docs.sparkSession)}/packing-{uuid.uuid4().hex}"
+    _planned(checkpoint(pieces.groupBy("task", "length").agg(F.count("*").alias("n"))), max_tokens, group_tasks, folder)
 
     def place(batches):
-        import pyarrow as pa
-
-        length, first, _, bin_of, offset, each = columns
-        starts = length * wide + first
+        known: dict[int, _Places] = {}
         for b in batches:
-            n, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(starts, n * wide + rank, "right") - 1
-            nth = rank - first[at]
-            found = [pa.array(bin_of[at] + nth // each[at]), pa.array(offset[at] + n * (nth % each[at]))]
-            yield pa.RecordBatch.from_arrays(b.columns[:5] + found, names=["doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset"])
-
-    ranked = ranked.select("doc_id", "piece", "start", "length", "tokens", (F.col("base") + F.col("nth")).alias("rank"))
+            length, nth, tasks = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "nth", "task"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for task in np.unique(tasks).tolist():
+                if task not in known:
+                    known = {task: _Places(folder, task, group_tasks, max_tokens)}
+                at = tasks == task
+                sequence[at], offset[at] = known[task].of(length[at], nth[at])
+            yield pa.RecordBatch.from_arrays(b.columns[:5] + [pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset"])
+
+    rows = pieces.select("doc_id", "piece", "start", "length", "tokens", "task", "nth")
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, tokens binary, sequence_id long, offset long")
+    return rows.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, tokens binary, sequence_id long, offset long")

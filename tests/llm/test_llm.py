@@ -93,6 +93,29 @@ def test_packing_of_odd_rows(spark):
     assert not pack(df.where("false"), Q.tokenizer_path()).count()
 
 
+@pytest.mark.parametrize("group_tasks", [1, 2, 256])
+def test_packing_by_groups_of_tasks(spark, docs, group_tasks):
+    """Each group of tasks has a plan of its own; the pieces stay whole, and no plan joins or shuffles tokens."""
+    from tessera.llm.packing import best_two_fit, pack
+
+    df = spark.createDataFrame([(i, text) for i, text, *_ in docs], "doc_id long, text string").repartition(6)
+    packed = pack(df, Q.tokenizer_path(), max_tokens=256, group_tasks=group_tasks)
+    assert not re.search("Join|Exchange", packed._jdf.queryExecution().executedPlan().toString())
+    got = packed.toPandas()
+    whole = got.sort_values("piece").groupby("doc_id").agg(pieces=("piece", list), starts=("start", list), lengths=("length", list))
+    assert len(whole) == len(docs)
+    for r in whole.itertuples():
+        assert r.pieces == list(range(len(r.pieces))) and r.starts == [0, *np.cumsum(r.lengths)[:-1].tolist()]
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 256
+    groups = {1: 6, 2: 3, 256: 1}[group_tasks]
+    assert (got.sequence_id.to_numpy() >> 40).max() == groups - 1
+    for _, rows in got.groupby(got.sequence_id.to_numpy() >> 40):
+        counts = Counter(rows.length.tolist())
+        bins = {b + k for _, _, many, b, _, each in best_two_fit(counts, 256) for k in range(many // each)}
+        assert rows.sequence_id.nunique() == len(bins)
+
+
 # --- 2: licenses
 
 
