@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
 from tessera.operators.lineage import checkpoint
 from tessera.operators.store import first_per_key
-from tessera.sources.files import segments
+from tessera.sources.files import sentences
 
 NODE = ["id", "kind", "label", "canonical_name", "artifact_kind", "path", "start_line", "end_line", "page", "confidence", "method", "endpoint", "reference_type", "subject", "quote"]
 EDGE = ["id", "src", "dst", "relation", "confidence", "score", "extractor"]
@@ -101,6 +101,11 @@ DATABASE = r"(?iu)\b([A-Za-z][A-Za-z0-9_]{2,})\s+(?:table|entity|collection)\b|(
 SCREEN_HINT, INTEGRATION_HINT, DATABASE_HINT = r"(?iu)화면|스크린|페이지|screen|page|view", r"(?iu)integration|webhook|연동", r"(?iu)table|entity|collection|테이블|엔티티|컬렉션"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Lines dealt over tasks by their files: four a core, however few tasks or bytes they came in."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def all_of(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
@@ -126,25 +131,32 @@ def edge_rows(rows: DataFrame, src: Column, dst: Column, relation: Column | str,
     return out.where("src is not null and dst is not null").withColumn("id", content_id("edge", "src", "dst", "relation", "extractor")).select(*EDGE)
 
 
-#: What a match in a line says of a node, in the order of its fields.
-SPOT = ["branch", "prefix", "kind", "label", "canonical_name", "confidence", "method", "endpoint", "reference_type", "subject", "quote"]
+#: What a match in a line says of a node, in the order of its fields: those of its id, then those by which the first of equal nodes is told.
+SPOT = ["prefix", "kind", "label", "canonical_name", "branch", "quote", "confidence", "method", "endpoint", "reference_type", "subject"]
 
 
 def _spot(branch: int, kind: Column | str, label: Column, prefix: str, confidence: str, quote: Column, **more: Column | str | None) -> Column:
     """A match as a struct of SPOT; ``branch`` says which of equal nodes stays."""
     text = lambda c: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string")
     given = {"prefix": prefix, "kind": kind, "label": label, "canonical_name": label, "confidence": confidence, "quote": quote} | more
-    return F.struct(F.lit(branch).alias("branch"), *[text(given.get(c)).alias(c) for c in SPOT[1:]])
+    return F.struct(*[F.lit(branch).alias(c) if c == "branch" else text(given.get(c)).alias(c) for c in SPOT])
 
 
 def _if(condition: Column, spot: Column) -> Column:
     return F.array_compact(F.array(F.when(condition, spot)))
 
 
-def _spotted(rows: DataFrame, spots: list[Column], page: Column | None = None) -> DataFrame:
-    """Nodes of the matches of each row (path, kind, line), gathered in one pass: one array a row, exploded once, with their branch."""
+def _spotted(rows: DataFrame, spots: list[Column], page: Column | None = None, once: bool = False) -> DataFrame:
+    """Nodes of the matches of each row (path, kind, line), gathered in one pass: one array a row, exploded once, with their branch.
+
+    With ``once`` of equal nodes of a row the first by branch and quote; where a line is one row, that needs no shuffle."""
     sheet = F.lit(None).cast("int") if page is None else page.cast("int")
-    found = rows.select("path", F.col("kind").alias("artifact_kind"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line"), sheet.alias("page"), F.explode(F.concat(*spots)).alias("s"))
+    made = F.concat(*spots)
+    if once:
+        same = lambda a, b: reduce(lambda x, y: x & y, [a[c] == b[c] for c in SPOT[:4]])
+        # the sorted array is the variable of a lambda, and exploded where it is made: as a column it would be made again wherever it is read
+        made = F.flatten(F.transform(F.array(F.array_sort(made)), lambda a: F.filter(a, lambda s, i: (i == 0) | ~same(s, F.get(a, i - 1)))))
+    found = rows.select("path", F.col("kind").alias("artifact_kind"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line"), sheet.alias("page"), F.explode(made).alias("s"))
     found = found.select("path", "artifact_kind", "start_line", "end_line", "page", *[F.col(f"s.{c}").alias(c) for c in SPOT]).where("label <> ''")
     made = F.concat("prefix", content_id("", "path", "kind", "label", "canonical_name", "start_line", "end_line"))
     return found.withColumn("id", made).select(*NODE, "branch")
@@ -165,13 +177,12 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nodes: File, Module, Class, Function, Method, Endpoint, Table, Column, ConfigKey. A definition reaches to where
     its indent or its braces end, which is its quote; it is a method if the innermost one around it is a class. A
     route's handler is the one that it names, if defined above it, or else the next definition below it."""
-    code = lines.where("kind in ('code', 'sql', 'openapi', 'config')")
+    code = spread(lines.where("kind in ('code', 'sql', 'openapi', 'config')"))
     files = code.groupBy("path", "kind").agg(F.max("line").alias("last"), F.min_by("line_text", "line").alias("line_text")).withColumn("line", F.lit(1))
     file_nodes = node_rows(files, "File", F.col("path"), "code", "EXACT_STATIC", end_line=F.col("last"))
     scripts = files.where("kind = 'code'")
     module = F.replace(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("/"), F.lit("."))
     module_nodes = node_rows(scripts, "Module", module, "code", "EXACT_STATIC", end_line=F.col("last"))
-    tops = module_nodes.select("path", F.col("id").alias("module_id"))
     file_ids = file_nodes.select("path", F.col("id").alias("file_id"))
     by_path = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     braces = F.length(F.regexp_replace("line_text", r"[^{]", "")) - F.length(F.regexp_replace("line_text", r"[^}]", ""))
@@ -183,19 +194,36 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = F.when(F.col("path").rlike(suffix) & (hit != ""), F.struct(F.lit(kind).alias("kind"), hit.alias("name"))).otherwise(found)
     known = known.withColumn("def", F.when(F.col("kind") == "code", found))
     known = checkpoint(known)  # read by every branch below
+    kinds = {r["kind"] for r in known.select("kind").distinct().collect()}  # four at most; sorts of files that are not there cost nothing
+    nodes, edges = [file_nodes], []
+    if "code" in kinds:
+        _code(known, module_nodes, file_ids, nodes, edges)
+    if "sql" in kinds:
+        _sql(known, file_ids, nodes, edges)
+    if kinds & {"openapi", "config"}:
+        _keys(code, known, file_ids, nodes, edges)
+    if not edges:
+        edges.append(edge_rows(file_nodes.where("false"), F.col("id"), F.col("id"), "DEFINES"))
+    return all_of(nodes).dropDuplicates(["id"]), all_of(edges).dropDuplicates(["id"])
+
+
+def _code(known: DataFrame, module_nodes: DataFrame, file_ids: DataFrame, nodes: list[DataFrame], edges: list[DataFrame]) -> None:
+    """Definitions, imports and routes of code files, added to ``nodes`` and ``edges``."""
+    module_nodes = checkpoint(module_nodes)
+    tops = module_nodes.select("path", F.col("id").alias("module_id"))
     defs = _scopes(known.where("kind = 'code'")).where("owner_line is not null or def_kind <> 'Method'")
     def_kind = F.when(F.col("owner_line").isNotNull(), "Method").otherwise(F.col("def_kind"))
     full = F.when(F.col("owner_line").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
     def_nodes = node_rows(defs, def_kind, F.col("name"), "code", "EXACT_STATIC", canonical_name=full, end_line=F.col("last"), quote=F.col("body"), subject=F.col("owner_line").cast("string"))
+    def_nodes = checkpoint(def_nodes)  # read by its edges and by every route
     # subject holds the line of the class for a moment
     classes = def_nodes.where("kind = 'Class'").select("path", F.col("start_line").cast("string").alias("subject"), F.col("id").alias("class_id"))
     placed = def_nodes.join(tops, "path").join(classes, ["path", "subject"], "left")
     def_nodes = def_nodes.withColumn("subject", F.lit(None).cast("string"))
     under = F.coalesce("class_id", "module_id")
-    edges = [edge_rows(placed.select(under.alias("u"), "id").distinct(), F.col("u"), F.col("id"), "DEFINES"), edge_rows(module_nodes.join(file_ids, "path"), F.col("file_id"), F.col("id"), "DEFINES")]
-    nodes = [file_nodes, module_nodes, def_nodes]
+    edges += [edge_rows(placed.select(under.alias("u"), "id").distinct(), F.col("u"), F.col("id"), "DEFINES"), edge_rows(module_nodes.join(file_ids, "path"), F.col("file_id"), F.col("id"), "DEFINES")]
+    nodes += [module_nodes, def_nodes]
 
-    def_nodes = checkpoint(def_nodes)  # read by its edges and by every route
     line, trimmed = F.col("line_text"), F.trim("line_text")
     matches = lambda pattern, group=1: F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
     named = [F.transform(F.when(F.col("path").rlike(suffix), matches(pattern)).otherwise(F.array().cast("array<string>")), lambda m: _spot(0, "Module", m, "code", "EXACT_STATIC", trimmed, reference_type="import")) for suffix, pattern in IMPORTS]
@@ -217,6 +245,10 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges.append(edge_rows(nearest.where(decorated), F.col("handler_id"), F.col("id"), "REFERENCES"))
     edges.append(edge_rows(hits.where(~decorated).join(tops, "path"), F.col("module_id"), F.col("id"), "REFERENCES"))
 
+
+def _sql(known: DataFrame, file_ids: DataFrame, nodes: list[DataFrame], edges: list[DataFrame]) -> None:
+    """Tables and columns of SQL files, added to ``nodes`` and ``edges``."""
+    by_path = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     sql = known.where("kind = 'sql'")
     created, used = _matches(sql, SQL_CREATE), _matches(sql, SQL_USE)
     touched = created.withColumn("how", F.lit("DEFINES")).unionByName(used.withColumn("how", F.lit("QUERY_TOUCHES_TABLE"))).withColumn("name", _clean_name(F.col("m")))
@@ -233,6 +265,10 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges.append(edge_rows(column_nodes.join(table_ids.withColumnRenamed("name", "subject"), ["path", "subject"]), F.col("table_id"), F.col("id"), "CONTAINS"))
     nodes += [table_nodes, column_nodes]
 
+
+def _keys(code: DataFrame, known: DataFrame, file_ids: DataFrame, nodes: list[DataFrame], edges: list[DataFrame]) -> None:
+    """Keys and endpoints of OpenAPI and config files, added to ``nodes`` and ``edges``."""
+    by_path = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     whole = code.where("path like '%.json' and kind in ('openapi', 'config')").groupBy("path", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("doc"))
     json_keys = checkpoint(_json_keys(whole))
     keyed = known.where("kind in ('openapi', 'config')").join(json_keys.select("path").distinct(), "path", "left_anti")  # JSON that doesn't parse is read by line
@@ -249,7 +285,6 @@ def code_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = key_nodes.unionByName(json_nodes)
     edges += [edge_rows(keys.join(file_ids, "path"), F.col("file_id"), F.col("id"), "CONTAINS"), edge_rows(api_nodes.join(file_ids, "path"), F.col("file_id"), F.col("id"), "DEFINES")]
     nodes += [keys, api_nodes]
-    return all_of(nodes).dropDuplicates(["id"]), all_of(edges).dropDuplicates(["id"])
 
 
 def _handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
@@ -262,9 +297,9 @@ def _handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
     asks = routes.select("path", F.col("subject").alias("name"), F.col("start_line").alias("at"), F.lit(None).cast(lines.schema["f"].dataType).alias("f"), F.lit(1).alias("sort"), "id")
     above = Window.partitionBy("path", "name").orderBy("at", "sort", "f.handler_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = lines.unionByName(asks).where(script & F.col("name").isNotNull()).withColumn("f", F.last("f", ignorenulls=True).over(above)).where("sort = 1")
-    # functions of a route's own line stand before it, so they are not below it
-    order = Window.partitionBy("path").orderBy("at", "sort", "f.handler_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    following = lines.unionByName(asks).where(~script).withColumn("f", F.first("f", ignorenulls=True).over(order)).where("sort = 1")
+    # functions of a route's own line stand before it, so they are not below it; read from the end, as a frame that reaches to the end is summed anew for each row
+    order = Window.partitionBy("path").orderBy(F.desc("at"), F.desc("sort"), F.desc("f.handler_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = lines.unionByName(asks).where(~script).withColumn("f", F.last("f", ignorenulls=True).over(order)).where("sort = 1")
     found = named.select("id", F.col("f.handler_id").alias("handler_id")).unionByName(following.select("id", F.col("f.handler_id").alias("handler_id"))).where("handler_id is not null")
     return routes.select("id", "path").distinct().join(found.distinct(), "id")
 
@@ -410,7 +445,7 @@ def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A section ends before the next heading; its parent is the last heading of a lower level. A block is a run of
     lines of one sort: fenced code, table rows, or text without an empty line."""
-    doc = lines.where("kind = 'markdown'")
+    doc = spread(lines.where("kind = 'markdown'"))
     by_path = Window.partitionBy("path").orderBy("line")
     fence = F.col("line_text").rlike(r"^\s*(```+|~~~+)")
     fences = F.sum(F.when(fence, 1).otherwise(0)).over(by_path.rowsBetween(Window.unboundedPreceding, 0))
@@ -425,6 +460,7 @@ def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("line").alias("line"), F.max("line").alias("last"), F.max("level").alias("level"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("line_text"),
     )
+    blocks = checkpoint(blocks)  # read by sections, by other blocks and by the ends of both
     total = rows.groupBy("path", "kind").agg(F.max("line").alias("last"), F.min_by(F.when(F.col("level") > 0, F.regexp_extract("line_text", HEADING, 2)), F.when(F.col("level") > 0, F.col("line"))).alias("title"))
     documents = total.withColumn("line", F.lit(1)).withColumn("line_text", F.coalesce("title", F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1)))
     document_nodes = node_rows(documents, "Document", F.col("line_text"), "md", "DOC_EXACT", end_line=F.col("last"))
@@ -446,10 +482,11 @@ def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_of([document_nodes, section_nodes, block_nodes]), edges
 
 
-def mentions(lines: DataFrame) -> DataFrame:
+def mentions(lines: DataFrame, numbered: bool = True) -> DataFrame:
     """Nodes that document lines name: endpoints, files, functions, config keys, statuses, rules and class candidates.
 
-    Of nodes with the same kind, label and place the first by the order of the branches stays."""
+    Of nodes with the same kind, label and place the first by the order of the branches stays: among those of a row, and of all rows where
+    these are not ``numbered`` lines of which each is there once."""
     doc = lines.where("kind in ('markdown', 'pdf')")
     line, quote = F.col("line_text"), F.trim("line_text")
     matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), lambda m: m != "")
@@ -472,37 +509,44 @@ def mentions(lines: DataFrame) -> DataFrame:
         F.transform(F.filter(matches(STATUS_MENTION), lambda m: ~m.isin(NO_STATUS)), lambda m: spot(9, "StatusValue", m, reference_type="status_value")),
         F.transform(F.filter(matches(PASCAL), lambda m: ~m.isin("HTTP", "JSON", "YAML", "SQL")), lambda m: spot(11, "CodeReference", m, "AMBIGUOUS", reference_type="class_candidate")),
     ]
-    rule = F.lit(None).cast("string")
-    for kind, pattern in reversed(SENTENCES):
-        rule = F.when(F.col("segment").rlike(pattern), kind).otherwise(rule)
-    sentence = _if(rule.isNotNull(), _spot(10, rule, short("segment", 96, compact=True), "md", "DOC_INFERRED", F.col("segment")))
-    found = _spotted(doc, spots).unionByName(_spotted(segments(doc), [sentence, *_fact_spots(12)]))
-    return first_per_key(found, ["id"], F.col("branch"), F.col("quote")).select(*NODE)
+
+    def of_sentence(text: Column) -> Column:
+        rule = F.lit(None).cast("string")
+        for kind, pattern in reversed(SENTENCES):
+            rule = F.when(text.rlike(pattern), kind).otherwise(rule)
+        sentence = _if(rule.isNotNull(), _spot(10, rule, short(text, 96, compact=True), "md", "DOC_INFERRED", text))
+        return F.concat(sentence, *_fact_spots(12, text))
+
+    found = _spotted(_with_sentences(doc), [*spots, F.flatten(F.transform("sentences", of_sentence))], once=True)
+    return (found if numbered else first_per_key(found, ["id"], F.col("branch"), F.col("quote"))).select(*NODE)
+
+
+def _with_sentences(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank with the list of their sentences, dealt evenly over tasks."""
+    return spread(lines.where("trim(line_text) <> ''")).withColumn("sentences", sentences("line_text"))
 
 
-def _first_field() -> Column:
+def _first_field(text: Column) -> Column:
     """The field that a sentence is about: the first in backticks that looks like one, else the first beside a word for field, else the first that looks like one."""
-    marked = F.try_element_at(F.filter(F.regexp_extract_all("segment", F.lit(r"`([^`\n]+)`"), F.lit(1)), looks_like_field), F.lit(1))
-    beside = [F.nullif(F.regexp_extract("segment", FIELD_CONTEXT, g), F.lit("")) for g in (1, 2, 3)]
-    return F.coalesce(marked, *beside, F.nullif(F.regexp_extract("segment", FIELD, 1), F.lit("")), F.lit("input"))
+    marked = F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1)), looks_like_field), F.lit(1))
+    beside = [F.nullif(F.regexp_extract(text, FIELD_CONTEXT, g), F.lit("")) for g in (1, 2, 3)]
+    return F.coalesce(marked, *beside, F.nullif(F.regexp_extract(text, FIELD, 1), F.lit("")), F.lit("input"))
 
 
 def looks_like_field(c: Column) -> Column:
     return c.rlike(f"^(?:{FIELD})$") & (F.length(c) <= 80)
 
 
-def _fact_spots(branch: int) -> list[Column]:
-    """The facts of a sentence (column segment), every match of it; branches from ``branch`` on."""
-    text, nth = F.col("segment"), iter(range(branch, branch + 20))
+def _fact_spots(branch: int, text: Column) -> list[Column]:
+    """The facts of a sentence, every match of it; branches from ``branch`` on."""
+    nth = iter(range(branch, branch + 20))
     spot = lambda kind, label, confidence, **more: _spot(next(nth), kind, label, "sb", confidence, text, **more)
     matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: m != "")
 
     def each(pattern: str, groups: int) -> Column:
-        """Of every match the first of its groups that is set; groups are aligned by match."""
-        held, *others = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-        for more in others:
-            held = F.zip_with(held, more, lambda a, b: F.when(a != "", a).otherwise(b))
-        return F.filter(held, lambda m: m != "")
+        """Of every match the first of its groups that is set; the text is searched once, and of each match its groups."""
+        of_match = lambda m: F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) for g in range(1, groups + 1)], F.lit(""))
+        return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_match), lambda m: m != "")
 
     def labels(found: Column) -> Column:
         bare = F.transform(found, lambda m: F.regexp_replace(m, r"^[ :-]+|[ :-]+$", ""))
@@ -511,17 +555,17 @@ def _fact_spots(branch: int) -> list[Column]:
     rule = F.lit(None).cast("string")
     for kind, pattern in reversed(RULES):
         rule = F.when(text.rlike(pattern), kind).otherwise(rule)
-    valid, warned = F.regexp_extract("segment", VALIDATION, 1), text.rlike(ERROR_HINT)
+    valid, warned = F.regexp_extract(text, VALIDATION, 1), text.rlike(ERROR_HINT)
     none = F.array().cast("array<string>")
     given = lambda hint, found: F.when(text.rlike(hint), found).otherwise(none)
-    whole = short("segment", 96, compact=True)
+    whole = short(text, 96, compact=True)
     fields = lambda found: F.transform(F.filter(found, looks_like_field), lambda m: spot("FormField", m, "DOC_EXACT", reference_type="form_field", subject=m))
     return [
         F.transform(matches(STATUS_WORD), lambda m: spot("StatusValue", m, "DOC_EXACT", reference_type="status_value")),
         fields(given(FIELD_HINT, matches(FIELD))),
         fields(matches(r"`([^`\n]+)`")),
         fields(given(FIELD_HINT, each(FIELD_CONTEXT, 3))),
-        _if(valid != "", spot("ValidationRule", valid, "DOC_INFERRED", subject=_first_field())),
+        _if(valid != "", spot("ValidationRule", valid, "DOC_INFERRED", subject=_first_field(text))),
         _if(rule.isNotNull(), spot(rule, whole, "DOC_INFERRED")),
         F.transform(labels(given(SCREEN_HINT, each(SCREEN, 2))), lambda m: spot("Screen", m, "DOC_INFERRED")),
         F.transform(matches(ACTION), lambda m: spot("UserAction", short(m, 96, compact=True), "DOC_INFERRED")),
@@ -533,10 +577,10 @@ def _fact_spots(branch: int) -> list[Column]:
     ]
 
 
-def facts(lines: DataFrame, page: Column | None = None) -> DataFrame:
+def facts(lines: DataFrame, page: Column | None = None, numbered: bool = True) -> DataFrame:
     """Fact nodes of sentences: statuses, fields, screens, actions, validation rules, error messages, permissions,
     policies, requirements, database entities and integrations; every match of a sentence is one.
 
-    A page number, where the lines come from pages, goes along."""
-    found = _spotted(segments(lines), _fact_spots(0), page)
-    return first_per_key(found, ["id"], F.col("branch"), F.col("quote")).select(*NODE)
+    A page number, where the lines come from pages, goes along. Equal nodes are one as in ``mentions``."""
+    found = _spotted(_with_sentences(lines), [F.flatten(F.transform("sentences", lambda text: F.concat(*_fact_spots(0, text))))], page, once=True)
+    return (found if numbered else first_per_key(found, ["id"], F.col("branch"), F.col("quote"))).select(*NODE)

@@ -53,10 +53,10 @@ def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     page = lambda df, c: node_rows(df, "Page", name, "pdf", c, page=F.col("page"))
     sheets = page(full, "DOC_EXACT").unionByName(page(empty, "AMBIGUOUS"))
     split = full.select("path", "kind", "page", F.posexplode(F.split("line_text", "\n")).alias("at", "line_text")).withColumn("line", F.lit(None).cast("int"))
-    found = facts(split, page=F.col("page"))
+    found = checkpoint(facts(split, page=F.col("page"), numbered=False))
     relation = F.when(F.col("kind") == "ValidationRule", "SB_DEFINES_VALIDATION").when(F.col("kind") == "StatusValue", "SB_REFERENCES_STATUS").when(F.col("kind").isin("Requirement", "BusinessPolicy", "PermissionRule"), "SB_DEFINES_REQUIREMENT").otherwise("CONTAINS")
     held = found.join(sheets.select("path", "page", F.col("id").alias("page_id")), ["path", "page"])
-    api = mentions(split).where("kind = 'APIReference'")
+    api = mentions(split, numbered=False).where("kind = 'APIReference'")
     whole = rows.groupBy("path", "kind").agg(F.min("page").alias("page"), F.lit(None).cast("int").alias("line"), F.min_by("line_text", "page").alias("line_text"))
     documents = node_rows(whole, "Document", F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1), "pdf", "DOC_EXACT", quote=F.col("path"))
     inside = sheets.join(documents.select("path", F.col("id").alias("document_id")), "path")
@@ -81,6 +81,7 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
         part_edges.append(code_edges)
     if documents:
         doc, doc_edges = markdown_graph(rows)
+        doc = checkpoint(doc)
         named = checkpoint(mentions(rows))
         last = F.when(F.col("kind") == "Section", F.col("start_line")).otherwise(F.col("end_line"))  # of a section its heading alone
         blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), last.alias("b"))
@@ -168,11 +169,12 @@ def run(artifacts: DataFrame, folder: str, indexed_at: str = "2000-01-01 00:00:0
     touched = checkpoint(changes.where("change <> 'unchanged'").select("path", "change"))
     if touched.isEmpty():
         return changes
-    among = sorted(r[0] for r in place(touched).select("bucket").distinct().collect())  # ``buckets`` at most
+    marked = place(touched).groupBy("bucket").agg(F.count_if(F.col("change") != "new").alias("was")).collect()  # ``buckets`` at most
+    among, was = sorted(r["bucket"] for r in marked), any(r["was"] for r in marked)
     fresh = artifacts.join(touched.where("change <> 'deleted'").select("path"), "path", "left_semi").select(*artifacts.columns)
     filed = [t for t in store.FILED if t not in ("links", "postings")]
     old = {t: state.table(t, among) for t in filed}
-    kept = store.cascade_delete(old, touched.where("change <> 'new'").select("path"))
+    kept = store.cascade_delete(old, touched.where("change <> 'new'").select("path")) if was else old
     made = stored_rows(fresh, indexed_at)
     paths = made["artifacts"].select(F.col("id").alias("artifact_id"), "path")
     of_node = made["nodes"].select(F.col("id").alias("src"), "path")
@@ -181,7 +183,7 @@ def run(artifacts: DataFrame, folder: str, indexed_at: str = "2000-01-01 00:00:0
     tables["nodes"], tables["edges"] = checkpoint(tables["nodes"]), checkpoint(tables["edges"])
 
     others = {t: state.table(t).where(~F.col("bucket").isin(among)).unionByName(tables[t]) for t in ("artifacts", "nodes", "edges")}
-    nodes = graph_nodes(others)
+    nodes = checkpoint(graph_nodes(others))  # read by every sort of link
     linked = links.link(nodes, others["edges"].select(*EDGE), touched.select("path"))
     linked = linked.select("*", F.lit(None).cast("string").alias("evidence_id"), F.to_json(F.struct("reason")).alias("metadata"))
     linked = checkpoint(place(linked.join(nodes.select(F.col("id").alias("src"), "path"), "src")).select(*store.names_of("links"), "bucket"))

@@ -190,11 +190,18 @@ def lines(corpus: DataFrame) -> DataFrame:
     return rows.select("path", "kind", (F.col("at") + 1).alias("line"), "line_text")
 
 
+SENTENCE_END, MARKS = r"(?<=[.!?。！？])\s+", r"^[ \-•\t]+|[ \-•\t]+$"
+
+
+def sentences(text: Column | str) -> Column:
+    """The sentences of a line, bare of marks at the ends; empty ones are left out."""
+    return F.filter(F.transform(F.split(F.trim(text), SENTENCE_END), lambda s: F.regexp_replace(s, MARKS, "")), lambda s: s != "")
+
+
 def segments(line_rows: DataFrame) -> DataFrame:
     """Sentences of each line with their place in it, bare of marks at the ends."""
-    split = F.split(F.trim("line_text"), r"(?<=[.!?。！？])\s+")
-    rows = line_rows.select("*", F.posexplode(split).alias("nth", "raw"))
-    return rows.withColumn("segment", F.regexp_replace("raw", r"^[ \-•\t]+|[ \-•\t]+$", "")).where("segment <> ''").drop("raw")
+    rows = line_rows.select("*", F.posexplode(F.split(F.trim("line_text"), SENTENCE_END)).alias("nth", "raw"))
+    return rows.withColumn("segment", F.regexp_replace("raw", MARKS, "")).where("segment <> ''").drop("raw")
 
 
 def snippet(line_rows: DataFrame, path: str, start: int, end: int, max_lines: int = 80, max_chars: int = 8000) -> DataFrame:

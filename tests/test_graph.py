@@ -626,3 +626,39 @@ def test_routes_meet_the_last_function_of_their_name_above(spark):
     at = both.nodes.select("id", "label", "start_line")
     got = both.edges.where("relation = 'ROUTE_TO_HANDLER'").join(at.select(F.col("id").alias("src"), F.col("label").alias("route")), "src").join(at.select(F.col("id").alias("dst"), F.col("start_line").alias("line")), "dst")
     assert {(r["route"], r["line"]) for r in got.collect()} == {("GET /a", 1), ("GET /b", 3), ("GET /x", 3), ("POST /y", 3), ("GET /z", 7)}
+
+
+def test_facts_of_a_line_are_told_apart_in_its_row(spark):
+    from tessera.operators.extract import facts
+
+    lines = spark.createDataFrame([("a.md", "markdown", 1, "From PAID to PAID. It is PAID! Then FAILED"), ("b.md", "markdown", 1, "PAID"), ("a.md", "markdown", 2, "PAID")], "path string, kind string, line int, line_text string")
+    found = facts(lines)
+    got = sorted((r["path"], r["start_line"], r["label"], r["quote"]) for r in found.where("kind = 'StatusValue'").collect())
+    assert got == [("a.md", 1, "FAILED", "Then FAILED"), ("a.md", 1, "PAID", "From PAID to PAID."), ("a.md", 2, "PAID", "PAID"), ("b.md", 1, "PAID", "PAID")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Repartition") == 1  # lines are dealt once, their facts not at all
+
+
+def test_following_handler_is_carried_not_summed(spark):
+    from tessera.operators.extract import _handlers
+
+    routes = spark.createDataFrame([("r1", "a.py", None, 1), ("r2", "a.py", None, 4), ("r3", "a.py", None, 9)], "id string, path string, subject string, start_line int")
+    functions = spark.createDataFrame([("f1", "a.py", "f", 2), ("f2", "a.py", "g", 4), ("f3", "a.py", "h", 6)], "id string, path string, label string, start_line int")
+    found = _handlers(routes, functions)
+    assert {(r["id"], r["handler_id"]) for r in found.collect()} == {("r1", "f1"), ("r2", "f3")}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_tables_without_rows_and_kinds_without_partners_cost_no_joins(spark, tmp_path):
+    from tessera.operators import links
+    from tessera.operators.extract import NODE
+    from tessera.operators.store import Stored
+
+    none = Stored(spark, str(tmp_path / "none")).table("nodes")
+    assert "Join" not in none.join(spark.range(3).selectExpr("cast(id as string) as id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    row = {c: None for c in NODE} | {"id": "f", "kind": "Function", "label": "f", "artifact_kind": "code", "path": "f.py", "confidence": "EXACT_STATIC"}
+    schema = ", ".join(f"{c} {'int' if c in ('start_line', 'end_line', 'page') else 'string'}" for c in NODE)
+    nodes = spark.createDataFrame([tuple(row[c] for c in NODE)], schema)
+    edges = spark.createDataFrame([], "src string, dst string, relation string")
+    found = links.link(nodes, edges)
+    assert found.count() == 0 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
