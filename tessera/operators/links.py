@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_endpoint, content_id, endpoint_method, endpoint_path, identifier_key, is_generic_term, meaningful_terms, normalize_path
 from tessera.operators.joins import SMALL_ROWS, overlaps
+from tessera.operators.lineage import checkpoint
 from tessera.operators.store import first_per_key
 
 # Kinds on either side and words of validating code.
@@ -113,6 +114,16 @@ def term_links(docs: DataFrame, code: DataFrame, least: int = 2) -> DataFrame:
     return _link(shared, "SEMANTIC_CANDIDATE", "AMBIGUOUS", 0.2, "weak_lexical_overlap", 8)
 
 
+#: Each sort of links with the kinds of nodes that it can have at either end.
+MADE_BY = [
+    (endpoint_links, ["APIReference"], ["Endpoint"]),
+    (identifier_links, ["FormField", "CodeReference", "DatabaseEntity", "StatusValue"], ["Column", "ConfigKey", "Table"]),
+    (reference_links, ["CodeReference"], ["File", "Class", "Function", "Method"]),
+    (validation_links, ["ValidationRule"], ["Function", "Method", "File"]),
+    (term_links, ["Requirement", "Policy", "BusinessPolicy", "PermissionRule", "UserAction", "Screen"], ["Class", "Function", "Method", "Endpoint"]),
+]
+
+
 def link(nodes: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """All links as edges; of links with the same ends and relation the strongest stays, the first of equals.
 
@@ -123,10 +134,15 @@ def link(nodes: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -
     if touched is not None:
         touched = F.broadcast(touched) if touched.count() <= SMALL_ROWS else touched
         pairs = [(docs.join(touched, "path", "left_semi"), code), (docs.join(touched, "path", "left_anti"), code.join(touched, "path", "left_semi"))]
-    rows = handler_links(nodes, edges, touched)
+    sorts = nodes.select("artifact_kind", "kind").distinct().collect()  # a few dozen at most
+    said, held = ({r["kind"] for r in sorts if r["artifact_kind"] in of} for of in (DOC_FILES, CODE_FILES))
+    # kinds that only one side has bring no links, and cost no joins
+    made = [f for f, some, ends in MADE_BY if said & {*some} and held & {*ends}]
+    declared = any((r["artifact_kind"], r["kind"]) == ("openapi", "Endpoint") for r in sorts)
+    rows = handler_links(nodes, edges, touched) if declared else handler_links(nodes, edges).where("false")
     for d, c in pairs:
-        for more in (endpoint_links(d, c), identifier_links(d, c), reference_links(d, c), validation_links(d, c), term_links(d, c)):
-            rows = rows.unionByName(more)
+        for f in made:
+            rows = rows.unionByName(checkpoint(f(d, c)))
     best = first_per_key(rows.where("src <> dst"), ["src", "dst", "relation"], F.desc("score"), F.col("seq"))
     made = best.withColumn("extractor", F.lit(EXTRACTOR)).withColumn("id", content_id("link", "src", "dst", "relation"))
     return made.select("id", "src", "dst", "relation", "confidence", "score", "extractor", "reason")

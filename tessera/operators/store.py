@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.postings import SCHEMA as POSTINGS
 
@@ -52,6 +53,11 @@ def read_or_none(spark: SparkSession, schema: str, *paths: str, base: str | None
         return None
 
 
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows; unlike an empty list of rows, the optimizer knows that and leaves out what is joined with them."""
+    return spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 class Stored:
     """The newest state of a stored index: its version, how many buckets its paths have, and its tables with a column bucket.
 
@@ -71,7 +77,7 @@ class Stored:
         places = [p for p in self.places[name] if among is None or int(p.rsplit("=", 1)[1]) in among]
         schema = f"{SCHEMAS[name]}, bucket int"
         if not places:
-            return self.spark.createDataFrame([], schema)
+            return nothing(self.spark, schema)
         return self.spark.read.schema(f"{schema}, version long").option("basePath", f"{self.folder}/{name}").parquet(*places).drop("version")
 
     def write(self, tables: dict[str, DataFrame], among: dict[str, list[int]]) -> None:
