@@ -19,14 +19,22 @@ SCHEMA = "term string, n long, most_tf long, least_length long, total_length lon
 BLOCK_TEXTS, FIRST_BLOCKS, DIGITS = 4096, 4, 9
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """SCHEMA and block of texts (id, text, block). Texts without a term count nowhere, null texts are such."""
-    terms = texts.select("id", "block", tokenize("text").alias("terms")).withColumn("length", F.size("terms")).where("length > 0")
-    held = terms.select("id", "block", "length", F.explode("terms").alias("term")).groupBy("term", "block", "id", "length").agg(F.count("*").alias("tf"))
+def postings(texts: DataFrame, blocks: int = 0) -> DataFrame:
+    """SCHEMA and block of texts (id, text, block). Texts without a term count nowhere, null texts are such.
+
+    Texts are dealt by their blocks, whole, before their terms become rows: those are never shuffled, and each block is made in one task.
+    With ``blocks``, how many there are, a task has few of them."""
+    tasks = max(4 * texts.sparkSession.sparkContext.defaultParallelism, 2 * blocks)
+    terms = texts.select("id", "block", tokenize("text").alias("terms")).repartition(tasks, "block").withColumn("length", F.size("terms")).where("length > 0")
+    each = F.explode(F.concat("terms", F.array(F.lit(""))))  # the empty term is once in each text
+    held = terms.select("id", "block", "length", each.alias("term")).groupBy("term", "block", "id", "length").agg(F.count("*").alias("tf"))
+    of_term = lambda c: F.when(F.col("term") != "", c)
     entry = F.struct(F.col("id").cast("string").alias("id"), "tf", F.col("length").cast("long").alias("length"))
-    rows = held.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").cast("long").alias("least_length"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    whole = terms.groupBy("block").agg(F.count("*").alias("n"), F.sum("length").alias("total_length"))
-    return rows.unionByName(whole.withColumn("term", F.lit("")), allowMissingColumns=True).select(*[c.split()[0] for c in SCHEMA.split(", ")], "block")
+    rows = held.groupBy("block", "term").agg(
+        F.count("*").alias("n"), F.max(of_term(F.col("tf"))).alias("most_tf"), F.min(of_term(F.col("length"))).cast("long").alias("least_length"),
+        F.sum(F.when(F.col("term") == "", F.col("length"))).alias("total_length"), F.sort_array(F.collect_list(of_term(entry))).alias("entries"),
+    )
+    return rows.withColumn("entries", of_term(F.col("entries"))).select(*[c.split()[0] for c in SCHEMA.split(", ")], "block")
 
 
 def gain(tf: str | Column, length: str | Column, mean: Column, k1: float, b: float) -> Column:

@@ -662,3 +662,15 @@ def test_tables_without_rows_and_kinds_without_partners_cost_no_joins(spark, tmp
     edges = spark.createDataFrame([], "src string, dst string, relation string")
     found = links.link(nodes, edges)
     assert found.count() == 0 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_postings_are_not_shuffled(spark):
+    from tessera.operators.postings import postings
+
+    texts = spark.createDataFrame([(1, "alpha beta alpha", 0), (2, "beta", 0), (3, None, 1), (4, "x", 1), (5, "gamma", 1)], "id long, text string, block int")
+    found = postings(texts)
+    rows = {(r["block"], r["term"]): r for r in found.collect()}
+    assert {*rows} == {(0, ""), (0, "alpha"), (0, "beta"), (1, ""), (1, "gamma")}
+    assert (rows[0, ""]["n"], rows[0, ""]["total_length"], rows[0, ""]["entries"], rows[0, ""]["most_tf"]) == (2, 4, None, None)
+    assert [tuple(e) for e in rows[0, "beta"]["entries"]] == [("1", 1, 3), ("2", 1, 1)] and rows[0, "alpha"]["most_tf"] == 2 and rows[0, "beta"]["least_length"] == 1
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1  # texts alone, by block
