@@ -342,7 +342,7 @@ def _scopes(code: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["path", "kind", "line", "line_text", "last", "body", "name", "def_kind", "owner", "owner_line"]).astype({"owner_line": "Int32"})
 
     rows = code.select("path", "line", "line_text", "indent", "depth", F.col("def.kind").alias("def_kind"), F.col("def.name").alias("name"))
-    return rows.groupBy("path").applyInPandas(place, "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int")
+    return spread(rows).groupBy("path").applyInPandas(place, "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int")
 
 
 #: A JSON token after white space: a string, a sign, or a scalar, as Python reads it (NaN and Infinity too).
