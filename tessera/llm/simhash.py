@@ -15,13 +15,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, free_names, join_by_key, join_small, map_texts, small_or_not
+from tessera.llm.common import checkpoint, free_names, hash_below, join_by_key, join_small, map_texts, small_or_not
 from tessera.llm.components import components
 
 #: Fingerprints of a node that one task holds at a time; larger nodes are cut into runs of this length.
 RUN = 4096
 #: Children of a node of the tree; levels of masked patterns above the trees.
 FAN, LEVELS = 8, 3
+#: Of a set of shingles alike pairs share one leading shingle and one more for each so many of it.
+SHOWN = 20
+#: Vertices at a leading shingle up to which their pairs are written out; vertices on a side of a tile beyond that.
+CROWD, TILE = 64, 1024
 
 
 def _mixed(hashes: np.ndarray, families: int) -> np.ndarray:
@@ -426,30 +430,153 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     return prints.join(by_code, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _both_ways(links: DataFrame, v: str, w: str) -> DataFrame:
-    return links.select(F.col("a").alias(v), F.col("b").alias(w)).unionAll(links.select(F.col("b").alias(v), F.col("a").alias(w)))
+def _common_shingles(docs: DataFrame, width: int, seed: int, share: float = 1 / 16, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the shingles that most texts of a sample hold, three at least; ``most`` at most.
 
+    They only order shingles, so that seldom ones are looked for first: any order finds the same links."""
 
-def _through_sources(links: DataFrame, alike: DataFrame) -> DataFrame:
-    """New links, for those of ``links`` that are not ``alike``: one end with the source of the other, which is the alike partner with most alike partners.
+    def make():
+        return lambda texts: (None, {"digest": [words_digest(t) for t in texts], "grams": [shingle_hashes(t, width, seed).view(np.int64) for t in texts]})
+
+    some = map_texts(docs.where(hash_below(F.xxhash64("text"), share)), [], make, "digest binary, grams array<long>").dropDuplicates(["digest"])
+    counts = some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
+    found = counts.orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    hashes = found["gram"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(hashes)
+    return hashes[at], found["n"].to_numpy(np.int64)[at]
+
+
+def _needed(size: int, similarity: float) -> tuple[int, int]:
+    """How many shingles a set of ``size`` shares at least with one that is alike, and how many of these are to be among the leading ones of both."""
+    return int(np.ceil(similarity * size - 1e-6)), 1 + size // SHOWN
+
+
+def _leading(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a text's shingles, seldom ones first, so many that two alike texts share as many of them as the smaller one needs to."""
+    n = len(hashes)
+    shared, shown = _needed(n, similarity)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - shared + shown].view(np.int64)
+
+
+def _pairs_of_shingles(entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of vertices of other roots with a leading shingle in common, whose sizes allow them to be alike; a shingle has few of ``entries``."""
+    least = similarity - 1e-6
 
-    Copies of one source are near each other, but often less alike than asked for; each of them is alike with the source."""
-    pairs = checkpoint(_both_ways(alike, "v", "w"))
-    degree = checkpoint(pairs.groupBy("w").agg(F.count("*").alias("n")))
-    source = join_by_key(pairs, degree, ["w"]).groupBy("v").agg(F.max(F.struct("n", "w")).alias("best"))
-    source = checkpoint(source.select(F.col("v").alias("w"), F.col("best.w").alias("source")))
-    failed = checkpoint(_both_ways(links.join(alike, ["a", "b"], "left_anti"), "v", "w"))
-    new = join_by_key(failed, source, ["w"]).where("source is not null and source <> v")
-    new = new.select(F.greatest("v", "source").alias("a"), F.least("v", "source").alias("b")).distinct()
-    return checkpoint(new.join(links, ["a", "b"], "left_anti"))
+    def run(batches):
+        import pyarrow as pa
 
+        for rows in _joined(batches, ["gram"]):
+            starts = [*_starts(rows, ["gram"]).tolist(), len(rows["gram"])]
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(starts, starts[1:]):
+                x, y = np.triu_indices(e - s, 1)
+                root, size, vertex = (rows[c][s:e] for c in ("root", "size", "vertex"))
+                keep = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+                x, y = vertex[x[keep]], vertex[y[keep]]
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = entries.select("gram", "vertex", "root", "size").repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``, by products of bounded blocks of columns."""
+    (a, b) = (np.concatenate(x) for x in (left, right))
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for flat, sets in ((a, left), (b, right)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        held = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], owner[held][order], len(sets)))
+    for start in range(0, len(both), columns):
+        blocks = []
+        for at, owner, n in sides:
+            i, j = np.searchsorted(at, [start, start + columns])
+            block = np.zeros((n, columns), np.float32)
+            block[owner[i:j], at[i:j] - start] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def _links_of_crowds(entries: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what the alike pairs of other roots connect within each leading shingle of many ``entries``.
+
+    The root with most entries of a shingle is at home there: its vertices meet the others only. All are dealt over tiles of about TILE a
+    side, whose sets of shingles are compared there; of the alike pairs of a tile those of a spanning forest are given."""
+    counts = entries.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    home = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
+    home = checkpoint(home.select("gram", F.col("most.root").alias("home"), F.ceil(F.col("all") / TILE).alias("p_parts"), F.ceil((F.col("all") - F.col("most.n")) / TILE).alias("q_parts")))
+    full = join_small(entries.select("gram", "vertex", "root"), home, ["gram"]).join(shingles, "vertex")
+    p, q = (F.pmod(F.xxhash64("vertex"), F.col(c)).cast("int") for c in ("p_parts", "q_parts"))
+    parts = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    held = ["vertex", "root", (F.col("root") == F.col("home")).alias("at_home"), "grams"]
+    dealt = full.select("gram", p.alias("p"), parts("q_parts").alias("q"), F.lit(0).alias("side"), *held)
+    copied = full.where("root <> home").select("gram", parts("p_parts").alias("p"), q.alias("q"), F.lit(1).alias("side"), *held)
+    key = ["gram", "p", "q"]
+
+    def run(batches):
+        import pyarrow as pa
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, families: int = 8, print_width: int = 2, rounds: int = 2, seed: int = 42) -> DataFrame:
+        for rows in _joined(batches, key):
+            starts = [*_starts(rows, key).tolist(), len(rows["gram"])]
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(starts, starts[1:]):
+                m = s + int((rows["side"][s:e] == 0).sum())
+                if m == s or m == e:
+                    continue
+                vertex, root, sets = rows["vertex"], rows["root"], rows["grams"]
+                n = np.array([len(x) for x in sets[s:e]])
+                enough = _shared_counts([*sets[s:m]], [*sets[m:e]]) * (1 + similarity) >= similarity * (n[: m - s, None] + n[None, m - s :]) - 1e-6
+                x, y = np.nonzero(enough & (root[s:m, None] != root[None, m:e]))
+                keep = rows["at_home"][s:m][x] | (vertex[s:m][x] > vertex[m:e][y])  # of two that are both copied one order is enough
+                x, y = x[keep] + s, y[keep] + m
+                names, at = np.unique(root[s:e], return_inverse=True)
+                first = {}
+                for i, (v, w) in enumerate(zip(at[x - s].tolist(), at[y - s].tolist())):
+                    first.setdefault((v, w), i)
+                if first:
+                    ends = np.array([*first])
+                    a, b = _forest(len(names), ends[:, 0], ends[:, 1])
+                    at = [first[v, w] for v, w in zip(a.tolist(), b.tolist())]
+                    found.append(np.stack([vertex[x[at]], vertex[y[at]]], 1))
+            links = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(links.max(1)), pa.array(links.min(1))], names=["a", "b"])
+
+    dealt = dealt.unionByName(copied).repartition(*key).sortWithinPartitions(*key, "side")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _crowds_and_rest(leads: DataFrame, similarity: float) -> DataFrame:
+    """(gram, vertex, root, size, n) of the leading shingles by which a vertex can be alike with one of another root; n: vertices at a shingle, at least.
+
+    Shingles of one root alone go, and then vertices that have fewer left than an alike pair shares; twice, as either leaves fewer of the other."""
+    entries = leads.select("vertex", "root", "size", F.explode("lead").alias("gram"))
+    least = F.floor(F.ceil(similarity * F.col("size") - 1e-6) / SHOWN) + 1
+    for _ in range(2):
+        held = entries.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        held = checkpoint(held.where("low < high").select("gram", "n"))
+        entries = checkpoint(join_small(entries.select("gram", "vertex", "root", "size"), held, ["gram"]))
+        enough = checkpoint(entries.groupBy("vertex", "size").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("vertex"))
+        entries = checkpoint(join_small(entries, enough, ["vertex"], "left_semi"))
+    return entries
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, families: int = 8, print_width: int = 2, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of at least ``similarity``. Which are held against
-    each other is found by fingerprints over shingles of ``print_width`` words, as one changed word changes few of these: in one of the ``families``
-    two differ in at most ``radius`` bits; then, ``rounds`` times, texts that are not alike with one are held against its source. With more families fewer near copies are missed, at a cost in proportion; no link is made that the texts
+    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of at least ``similarity``, all of them. Most links are
+    found by fingerprints over shingles of ``print_width`` words, as one changed word changes few of these: in one of the ``families``
+    two differ in at most ``radius`` bits. What these miss is found by leading shingles: with all shingles in one order, seldom ones first, two alike texts
+    share some of their first ones, so pairs of texts that are not yet connected and share enough of these are held against each other. No link is made that the texts
     don't bear out (shingles are compared by 32 bits of a hash). Texts of the same words, and texts without words, are one vertex each.
     Rows that are repeated with all their columns count once. Where no row of a component has a doc_id, one of its
     rows stays. All columns are kept, whatever their names. What is joined with texts are the keys (doc_id, hash of the row) of the rows that
@@ -468,6 +595,15 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
 
         return lambda texts: (None, {"grams": [some(t) for t in texts]})
 
+    common, counts = _common_shingles(docs, width, seed)
+
+    def make_leads():
+        def of(texts):
+            sets = [shingle_hashes(t, width, seed) for t in texts]
+            return None, {"digest": [words_digest(t) for t in texts], "size": [len(s) for s in sets], "lead": [_leading(s, common, counts, similarity) for s in sets]}
+
+        return of
+
     def of_key(other: DataFrame) -> list:
         return [keyed[key[0]].eqNullSafe(other[key[0]]), keyed[key[1]] == other[key[1]]]
 
@@ -479,18 +615,23 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     classes = checkpoint(classes.withColumn("vertex", F.monotonically_increasing_id()))
 
     links = checkpoint(_candidates(classes.select("vertex", "prints"), radius))
-    linked = links.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    stand = checkpoint(classes.join(linked, "vertex", "left_semi").select(F.col("least.doc_id").alias(key[0]), F.col("least.row").alias(key[1]), F.col("vertex").alias(vertex)))
-    texts = keyed.join(small_or_not(stand), of_key(stand)).select(stand[vertex].alias("vertex"), keyed["text"])
-    shingles = checkpoint(map_texts(texts, ["vertex"], make_grams, "grams array<int>").dropDuplicates(["vertex"]))
-    alike = checkpoint(_alike(links, shingles, similarity))
-    for _ in range(rounds):
-        new = _through_sources(links, alike)
-        if new.isEmpty():
-            break
-        links = links.unionAll(new)
-        alike = checkpoint(alike.unionAll(_alike(new, shingles, similarity)))
-    roots = components(alike)
+    def shingles_of(vertices: DataFrame) -> DataFrame:
+        known = classes.join(vertices.distinct(), "vertex", "left_semi")
+        stand = checkpoint(known.select(F.col("least.doc_id").alias(key[0]), F.col("least.row").alias(key[1]), F.col("vertex").alias(vertex)))
+        texts = keyed.join(small_or_not(stand), of_key(stand)).select(stand[vertex].alias("vertex"), keyed["text"])
+        return checkpoint(map_texts(texts, ["vertex"], make_grams, "grams array<int>").dropDuplicates(["vertex"]))
+
+    ends = F.explode(F.array("a", "b")).alias("vertex")
+    alike = checkpoint(_alike(links, shingles_of(links.select(ends)), similarity))
+
+    leads = map_texts(docs, [], make_leads, "digest binary, size int, lead array<long>").where("size > 0").dropDuplicates(["digest"])
+    leads = leads.join(classes.select("digest", "vertex").join(components(alike), "vertex", "left"), "digest")
+    entries = _crowds_and_rest(checkpoint(leads.select("vertex", F.coalesce("root", "vertex").alias("root"), "size", "lead")), similarity)
+    few, many = entries.where(F.col("n") <= CROWD), entries.where(F.col("n") > CROWD)
+    pairs = checkpoint(_pairs_of_shingles(few, similarity))
+    shingles = shingles_of(pairs.select(ends).unionAll(many.select("vertex")))
+    rest = _alike(pairs, shingles, similarity).unionAll(_links_of_crowds(many, shingles, similarity))
+    roots = components(alike.unionAll(rest))
 
     found = checkpoint(classes.join(roots, "vertex", "left").select("digest", "least", F.coalesce("root", "vertex").alias("root")))
     best = checkpoint(found.groupBy("root").agg(F.min("least").alias("best")))

@@ -418,6 +418,38 @@ def test_keep_one_in_a_large_group_and_below_the_similarity(spark):
     assert kept >= set(range(1000, 1030)) and kept & set(range(2000, 2006)) == {2000, 2003, 2005}
 
 
+@pytest.mark.parametrize("crowd,tile", [(64, 1024), (2, 3)])
+def test_keep_one_misses_no_pair_of_enough_similarity(spark, monkeypatch, crowd, tile):
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(simhash, "TILE", tile, raising=False)
+    rng = np.random.default_rng(13)
+    rows = []
+    for base in range(60):
+        words = [f"w{i}" for i in rng.integers(0, 40, rng.integers(12, 160))]  # few words: their pairs are common
+        rows.append((len(rows), " ".join(words)))
+        for cut in rng.integers(1, 4, 1 + base % 5):  # a copy that lacks an end or has another one
+            n = len(words) * (5 + int(cut)) // 32
+            some = words[n:] if cut == 1 else words[: len(words) - n] if cut == 2 else words[n // 2 :] + [f"x{base}y{i}" for i in range(n // 3)]
+            rows.append((len(rows), " ".join(some)))
+    words = [f"v{i}" for i in rng.integers(0, 3000, 120)]
+    for _ in range(90):  # a crowd, of which some are alike
+        some = list(words)
+        for at in rng.choice(np.arange(5, 115, 5), rng.integers(1, 8), replace=False):
+            some[at] = f"z{rng.integers(1 << 30)}"
+        rows.append((len(rows), " ".join(some)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).select("doc_id").collect()}
+    assert 60 < len({*label}) < len(rows) - 60 and kept == {*label}
+
+
 @pytest.mark.parametrize("run,levels", [(4096, 3), (7, 1)])
 def test_closest_links_are_pairs_and_hold_each_ones_nearest(spark, run, levels):
     from tessera.llm.simhash import near_links
