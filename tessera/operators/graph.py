@@ -26,13 +26,14 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     With a column task_id in ``seeds`` every task walks on its own, all in the same joins. Edges are walked both ways between nodes of ``nodes`` (id); they
     are written once, as lists of what a node leads to, and those of hubs are dealt over tasks. The nearest path is best, then the heaviest, then
     the one with the heaviest last edge, then by relation and ends. Each level is one join of the frontier and one
-    anti join with what was reached before; of the paths to a node only the best goes on."""
+    anti join with what was reached before; of the paths to a node only the best goes on. Whether a node is one of ``nodes`` is asked of
+    the best path alone, so edges, which are many and wide, are not sorted for it; ``nodes`` are read at each level."""
     task = [c for c in ("task_id",) if c in seeds.columns]
     key = [*task, "id"]
     allowed = list(relations or WALKED) + [WEAK] * include_weak
     walked = edges.where(F.col("relation").isin(allowed)).select("src", "dst", "relation", edge_weight().alias("w"), (edge_weight() + F.coalesce("score", F.lit(0.0))).alias("pull"))
     both = walked.select(F.col("src").alias("a"), F.col("dst").alias("b"), "*").unionAll(walked.select(F.col("dst").alias("a"), F.col("src").alias("b"), "*"))
-    both = checkpoint(both.join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "src", "dst", "relation", "w", "pull"))
+    both = checkpoint(both.select("a", "b", "src", "dst", "relation", "w", "pull"))
     start = seeds.select(*key).distinct().join(nodes.select("id"), "id", "left_semi")
     frontier = checkpoint(start.select(*key, F.lit(0).alias("distance"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("path")))
     found = frontier
@@ -41,7 +42,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
         step = step.select(*task, F.col("b").alias("id"), F.lit(depth).alias("distance"), (F.col("weight") + F.col("w")).alias("weight"), F.concat("path", F.array("relation")).alias("path"), "pull", "relation", "src", "dst")
         order = Window.partitionBy(*key).orderBy(F.desc("weight"), F.desc("pull"), "relation", "src", "dst", "path")
         best = step.join(found.select(*key), key, "left_anti").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        frontier = checkpoint(best.select(*key, "distance", "weight", "path"))
+        frontier = checkpoint(best.select(*key, "distance", "weight", "path").join(nodes.select("id"), "id", "left_semi").select(*key, "distance", "weight", "path"))
         found = found.unionByName(frontier)
     return found
 

@@ -674,3 +674,21 @@ def test_terms_of_postings_are_not_shuffled(spark):
     assert (rows[0, ""]["n"], rows[0, ""]["total_length"], rows[0, ""]["entries"], rows[0, ""]["most_tf"]) == (2, 4, None, None)
     assert [tuple(e) for e in rows[0, "beta"]["entries"]] == [("1", 1, 3), ("2", 1, 1)] and rows[0, "alpha"]["most_tf"] == 2 and rows[0, "beta"]["least_length"] == 1
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1  # texts alone, by block
+
+
+def test_traversal_joins_no_edges_with_nodes_and_leaves_unknown_ones_out(spark, monkeypatch):
+    from tessera.operators import graph
+
+    plans, cut = [], graph.checkpoint
+
+    def noted(df):
+        if "pull" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "checkpoint", noted)
+    edges = spark.createDataFrame([(a, b, "CONTAINS", "EXACT_STATIC", 1.0, "none") for a, b in ["ab", "bc", "ax", "xd", "cd"]], "src string, dst string, relation string, confidence string, score double, extractor string")
+    nodes = spark.createDataFrame([(i,) for i in "abcd"], "id string")  # x is none of them
+    found = graph.traverse(nodes, edges, nodes.where("id = 'a'"))
+    assert {(r["id"], r["distance"]) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert plans and not any("Join" in p for p in plans)
