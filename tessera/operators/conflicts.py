@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.lineage import checkpoint
-from tessera.operators.joins import meet, overlaps
+from tessera.operators.joins import SMALL_ROWS, meet, overlaps
 from tessera.operators.links import with_endpoint
 from tessera.operators.store import first_per_key
 
@@ -26,6 +26,9 @@ RETRY_DOC = r"(?iu)\b(?:retry|retries|max retries|maxRetries)\D{0,20}(\d+)\b|최
 RETRY_CODE = r"(?i)\b(?:maxRetries|retries|retryCount|max_retries|retry_count)\b\s*[:=]\s*(\d+)"
 ROLES_CODE = r"(?i)\b(?:roles|allowedRoles|requiredRoles|permissions)\b\s*[:=]\s*\[([^\]]+)\]"
 
+#: Endpoints that hold a term up to which it is looked for pair by pair.
+USUAL = 100
+
 FACT = ["subject", "value", "location", "quote", "confidence"]
 
 
@@ -136,22 +139,41 @@ def outside(docs: DataFrame, code: DataFrame) -> DataFrame:
 def similar_endpoints(docs: DataFrame, code: DataFrame) -> DataFrame:
     """Endpoints that only documents have, with the code endpoint of the same method that is most alike.
 
-    Alike: two shared terms, or both about signing up. Each endpoint counts once, on either side; those of two shared
-    terms are found by their seldom terms, those about signing up among themselves."""
+    Alike: two shared terms, or both about signing up. Each endpoint counts once, on either side. Pairs with a common term that at most USUAL
+    endpoints hold are all looked at. Of the others only the usual terms count, so endpoints with the same usual terms are one kind, which the first of
+    its code endpoints stands for: a kind of documented ones gets the best of these, and terms that most endpoints share make no pairs of endpoints."""
     alone = best_documented(docs.join(code.select("subject", "value").distinct(), ["subject", "value"], "left_anti"))
     ends = first_per_key(code, ["subject", "value"], F.col("location"))
     words = F.array(*[F.lit(x) for x in SIGNUP])
-    named = lambda df: checkpoint(df.withColumn("id", F.concat_ws(" ", "subject", "value")).withColumn("own", T.endpoint_terms("value")).withColumn("signup", F.arrays_overlap("own", words)))
-    alone, ends = named(alone), named(ends)
     # terms of a method are its own
-    sets = lambda df: df.select("id", F.transform("own", lambda t: F.concat(F.col("subject"), F.lit(" "), t)).alias("terms"))
-    shared = overlaps(sets(alone), sets(ends)).select("l_id", "r_id")
-    both = alone.where("signup").select("subject", F.col("id").alias("l_id")).join(ends.where("signup").select("subject", F.col("id").alias("r_id")), "subject")
-    pairs = shared.unionByName(both.select("l_id", "r_id")).distinct()
+    terms = F.transform("own", lambda t: F.concat(F.col("subject"), F.lit(" "), t))
+    named = lambda df: checkpoint(df.withColumn("id", F.concat_ws(" ", "subject", "value")).withColumn("own", T.endpoint_terms("value")).withColumn("signup", F.arrays_overlap("own", words)).withColumn("terms", terms))
+    alone, ends = named(alone), named(ends)
+    told = lambda df: df.select("id", F.explode("terms").alias("term"))
+    often = checkpoint(told(alone).unionAll(told(ends)).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > USUAL).select("term"))
+    often = F.broadcast(often) if often.count() <= SMALL_ROWS else often  # one in USUAL of all terms at most
+    rare = lambda df, i: told(df).join(often, "term", "left_anti").withColumnRenamed("id", i)
+    near = rare(alone, "l_id").join(rare(ends, "r_id"), "term").select("l_id", "r_id")
+
+    def kinds(df):
+        usual = told(df).join(often, "term", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("usual"))
+        rows = df.drop("terms").join(usual, "id", "left").withColumn("terms", F.coalesce("usual", F.array().cast("array<string>")))
+        return checkpoint(rows.select("id", "subject", "signup", "location", "value", "terms", F.to_json(F.struct("subject", "signup", "terms")).alias("kind")))
+
+    said, held = kinds(alone), kinds(ends)
+    said_kinds = checkpoint(said.select(F.col("kind").alias("id"), "subject", "signup", "terms").distinct())
+    held_kinds = checkpoint(held.groupBy(F.col("kind").alias("id"), "subject", "signup", "terms").agg(F.min(F.struct("location", "value", F.col("id").alias("r_id"))).alias("first")))
+    both = said_kinds.where("signup").select("subject", F.col("id").alias("l_id")).join(held_kinds.where("signup").select("subject", F.col("id").alias("r_id")), "subject")
+    met = overlaps(said_kinds, held_kinds).select("l_id", "r_id").unionByName(both.select("l_id", "r_id")).distinct()
+    met = met.join(said_kinds.select(F.col("id").alias("l_id"), F.col("signup").alias("l_signup"), F.col("terms").alias("l_terms")), "l_id").join(held_kinds.select(F.col("id").alias("r_id"), "signup", "terms", "first").withColumnRenamed("r_id", "kind"), F.col("r_id") == F.col("kind"))
+    likeness = F.size(F.array_intersect("l_terms", "terms")) + F.when(F.col("l_signup") & F.col("signup"), 2).otherwise(0)
+    best = met.groupBy(F.col("l_id").alias("kind")).agg(F.min(F.struct((-likeness).alias("n"), "first")).alias("b"))
+    usual = said.join(best, "kind").select(F.col("id").alias("l_id"), F.col("b.first.r_id").alias("r_id"))
+    pairs = near.unionByName(usual).distinct()
     side = lambda df, s, i: _side(df, s, ("id", "own", "signup", "subject")).withColumnsRenamed({"id": i, "own": f"{s}_own", "signup": f"{s}_signup"})
     full = pairs.join(side(alone, "doc", "l_id"), "l_id").join(side(ends, "code", "r_id").drop("subject"), "r_id")
     scored = full.withColumn("alike", F.size(F.array_intersect("doc_own", "code_own")) + F.when(F.col("doc_signup") & F.col("code_signup"), 2).otherwise(0))
-    best = first_per_key(scored, ["subject", "doc_value"], F.desc("alike"), F.col("code_location"), F.col("code_value"))
+    best = first_per_key(scored.where("alike >= 2"), ["subject", "doc_value"], F.desc("alike"), F.col("code_location"), F.col("code_value"))
     return best.select("subject", *[f"{s}_{c}" for s in ("doc", "code") for c in FACT[1:]])
 
 

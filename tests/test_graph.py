@@ -692,3 +692,33 @@ def test_traversal_joins_no_edges_with_nodes_and_leaves_unknown_ones_out(spark,
     found = graph.traverse(nodes, edges, nodes.where("id = 'a'"))
     assert {(r["id"], r["distance"]) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert plans and not any("Join" in p for p in plans)
+
+
+@pytest.mark.parametrize("usual", [100, 3])
+def test_similar_endpoints_with_usual_terms(spark, monkeypatch, usual):
+    import random
+
+    from tessera.operators import conflicts
+
+    monkeypatch.setattr(conflicts, "USUAL", usual, raising=False)
+    made, first = [], conflicts.first_per_key
+
+    def noted(df, *more):
+        if "alike" in df.columns:
+            made.append(df.count())
+        return first(df, *more)
+
+    monkeypatch.setattr(conflicts, "first_per_key", noted)
+    rng = random.Random(3)
+    path = lambda side, i: f"/en/pages/{side}{i}" + "".join(f"/{w}" for w in ("html", "signup", "members", "orders") if rng.random() < 0.3) + f"/t{rng.randrange(60)}"
+    rows = {s: [(rng.choice(["GET", "GET", "PUT"]), path(s, i) if i % 9 else f"/{rng.choice(['signup', 'register', 'list'])}/{s}{i}/t{i}", f"{s}{rng.randrange(40)}", "q", "DOC_EXACT") for i in range(300)] for s in "dc"}
+    docs, code = (spark.createDataFrame(rows[s], "subject string, value string, location string, quote string, confidence string") for s in "dc")
+    got = {(r["subject"], r["doc_value"]): r["code_value"] for r in conflicts.similar_endpoints(docs, code).collect()}
+    terms = lambda v: {w for w in v.lower().split("/") if w}
+    expected = {}
+    for m, v, *_ in rows["d"]:
+        alike = [(-len(terms(v) & terms(w)) - 2 * all(terms(x) & {*conflicts.SIGNUP} != set() for x in (v, w)), loc, w) for n, w, loc, *_ in rows["c"] if n == m]
+        if alike and min(alike)[0] <= -2:
+            expected[m, v] = min(alike)[2]
+    assert got == expected and len(got) > 200
+    assert max(made) < 300 * 30
