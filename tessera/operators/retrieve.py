@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph import traverse
+from tessera.operators.lineage import checkpoint
 from tessera.operators.links import with_endpoint
 from tessera.operators.postings import topk
 from tessera.operators.search import bm25_topk, like_search, quote_nodes
@@ -114,18 +115,18 @@ def retrieve(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 8, max_
     spark = nodes.sparkSession
     tasks = spark.createDataFrame([(0, task)], "task_id int, task string")
     said = tasks.select(T.infer_intent("task").alias("intent"), T.tokenize("task").alias("tokens"), T.significant_tokens("task").alias("significant")).first()
-    seeds = find_seeds(nodes, tasks).select("id", F.col("score").alias("base"), "reasons")
+    seeds = checkpoint(find_seeds(nodes, tasks).select("id", F.col("score").alias("base"), "reasons"))
     documents = nodes.where(F.col("artifact_kind").isin(*DOCUMENTS))
     texts = nodes.select("id", F.col("quote").alias("text"))
     asked = spark.createDataFrame([(0, t) for t in dict.fromkeys(said["tokens"])], "query_id int, term string")
-    best = bm25_topk(texts, said["tokens"], 20) if postings is None else topk(postings, asked, 20).select("id", "score")
+    best = checkpoint(bm25_topk(texts, said["tokens"], 20) if postings is None else topk(postings, asked, 20).select("id", "score"))
     found = best if not best.isEmpty() else like_search(texts, task, said["tokens"], 20)
     method = "text_search:bm25" if found is best else "text_search:like"
     liked = found.join(documents.select("id"), "id", "left_semi").select("id", (TEXT_BASE + F.least("score", F.lit(TEXT_MOST))).alias("base"), F.array(F.lit(method)).alias("reasons"))
     held = documents.select("id", F.col("path").alias("artifact_id"), "start_line", "end_line", "page", "quote")
     own = nodes.select(F.col("path").alias("id"), "path", F.col("artifact_kind").alias("kind")).distinct()
     quotes = quote_nodes(held, own, held, said["significant"], 20).select("id", F.lit(QUOTE_BASE).alias("base"), F.array(F.lit("evidence_quote")).alias("reasons"))
-    texts = first_per_key(liked.unionByName(quotes), ["id"], F.desc("base"))
+    texts = checkpoint(first_per_key(liked.unionByName(quotes), ["id"], F.desc("base")))  # 40 rows at most; read by the start and the states
     start = seeds.select("id").unionAll(texts.join(nodes.select("id", "path", "start_line", "label"), "id").orderBy(F.desc("base"), T.first_of("path"), F.coalesce("start_line", F.lit(0)), "label", "id").limit(10).select("id"))
     walked = traverse(nodes, edges, start, max_depth, include_weak)
     base = F.greatest(F.lit(0.0), GRAPH_BASE - F.col("distance") * 10.0)

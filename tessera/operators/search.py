@@ -62,8 +62,17 @@ def quote_nodes(evidence: DataFrame, artifacts: DataFrame, nodes: DataFrame, tas
     fits = F.lit(False)
     for t in task_tokens[:6]:
         fits = fits | F.lower("e.quote").like(f"%{t}%")
-    e, a, n = evidence.alias("e"), artifacts.alias("a"), nodes.alias("n")
-    same_place = ((F.col("n.start_line") == F.col("e.start_line")) & (F.col("n.end_line") == F.col("e.end_line"))) | (F.col("n.page") == F.col("e.page"))
-    met = e.where(fits).join(a.where("kind in ('markdown', 'pdf', 'sb')"), F.col("a.id") == F.col("e.artifact_id")).join(n, (F.col("n.artifact_id") == F.col("e.artifact_id")) & same_place)
-    order = [F.col("a.path").asc_nulls_last(), F.col("n.start_line").asc_nulls_last(), F.col("n.page").asc_nulls_last(), F.col("n.id")]
-    return met.select("n.id", "a.path", "n.start_line", "n.page").orderBy(*order).limit(limit).select("id").distinct()
+    e, a = evidence.alias("e"), artifacts.alias("a")
+    said = e.where(fits).join(a.where("kind in ('markdown', 'pdf', 'sb')"), F.col("a.id") == F.col("e.artifact_id"))
+    said = said.select("e.artifact_id", F.col("a.path").alias("a_path"), "e.start_line", "e.end_line", "e.page")
+    # evidence at the lines of a node or on its page, counted: what is at both counts once
+    lines, page = ["artifact_id", "start_line", "end_line"], ["artifact_id", "page"]
+    met = None
+    for place, sign in ((lines, 1), (page, 1), ([*lines, "page"], -1)):
+        held = said.groupBy(*place, "a_path").agg((sign * F.count("*")).alias("times"))
+        some = nodes.join(held, place).select(nodes["id"], "a_path", nodes["start_line"], nodes["page"], "times")
+        met = some if met is None else met.unionAll(some)
+    met = met.groupBy("id", "a_path", "start_line", "page").agg(F.sum("times").alias("times"))
+    met = met.select("id", "a_path", "start_line", "page", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(limit)).cast("int"))))
+    order = [F.col("a_path").asc_nulls_last(), F.col("start_line").asc_nulls_last(), F.col("page").asc_nulls_last(), F.col("id")]
+    return met.orderBy(*order).limit(limit).select("id").distinct()

@@ -722,3 +722,27 @@ def test_similar_endpoints_with_usual_terms(spark, monkeypatch, usual):
             expected[m, v] = min(alike)[2]
     assert got == expected and len(got) > 200
     assert max(made) < 300 * 30
+
+
+def test_quote_nodes_make_no_pairs_of_a_document(spark):
+    import random
+
+    from tessera.operators.search import quote_nodes
+
+    rng = random.Random(5)
+    some = lambda n: rng.choice([None, *range(n)])
+    rows = [(f"n{i:03}", f"d{rng.randrange(4)}", some(3), some(3), some(2), rng.choice(["a pin", "other"])) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id string, artifact_id string, start_line int, end_line int, page int, quote string")
+    own = spark.createDataFrame([(f"d{i}", f"p{3 - i}", k) for i in range(4) for k in (["markdown", "pdf"] if i == 1 else ["markdown"])], "id string, path string, kind string")
+    last = lambda x: (x is None, x)
+    same = lambda x, y: x is not None and x == y
+    met = [(n, f"p{3 - int(n[1][1])}") for e in rows for n in rows for _ in range(1 + (n[1] == "d1")) if e[5] == "a pin" and e[1] == n[1] and (same(e[2], n[2]) and same(e[3], n[3]) or same(e[4], n[4]))]
+    met.sort(key=lambda m: (m[1], last(m[0][2]), last(m[0][4]), m[0][0]))
+    for limit in (5, 20, 200):
+        found = quote_nodes(nodes, own, nodes, ["pin"], limit)
+        assert {r["id"] for r in found.collect()} == {n[0] for n, _ in met[:limit]}
+    many = spark.createDataFrame([(f"n{i}", "d", i, i, None, "a pin") for i in range(1000)], "id string, artifact_id string, start_line int, end_line int, page int, quote string")
+    one = spark.createDataFrame([("d", "p", "markdown")], "id string, path string, kind string")
+    plan = quote_nodes(many, one, many, ["pin"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and not any(" OR " in x or "||" in x for x in joins)
