@@ -96,16 +96,25 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
     return all_of(parts).dropDuplicates(["id"]), all_of(part_edges).dropDuplicates(["id"])
 
 
-def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:
-    """Extract and link a corpus (path, kind, content_hash, text), and page texts (path, page, text) if there are."""
+def begin(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, nodes, edges) of a corpus, without links; lines and nodes are written, edges are only planned."""
     rows = checkpoint(lines(artifacts))
     nodes, edges = extract(rows, pages)
-    nodes = checkpoint(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz")))
+    return rows, checkpoint(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz"))), edges
+
+
+def finish(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
+    """The index of what ``begin`` gives: edges are written, and documents linked to code."""
     edges = checkpoint(edges)
     linked = links.link(nodes, edges).drop("reason")
     return Index(nodes, checkpoint(edges.unionByName(linked)), rows)
 
 
+def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:
+    """Extract and link a corpus (path, kind, content_hash, text), and page texts (path, page, text) if there are."""
+    return finish(*begin(artifacts, pages, indexed_at))
+
+
 #: What a stored node holds beside its own columns, as JSON.
 DETAILS = ["artifact_kind", "method", "endpoint", "reference_type", "subject", "quote"]
 DETAIL_SCHEMA = ", ".join(f"{c} string" for c in DETAILS)
