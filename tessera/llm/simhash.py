@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, free_names, hash_below, join_by_key, join_small, map_texts, small_or_not
@@ -26,6 +26,8 @@ FAN, LEVELS = 8, 3
 SHOWN = 20
 #: Vertices at a leading shingle up to which their pairs are written out; vertices on a side of a tile beyond that.
 CROWD, TILE = 64, 1024
+#: Texts of the sample that orders shingles, about; its count of a shingle from which that is a crowd's. Parts of such a shingle when its entries are counted.
+SAMPLE, HOT, SPREAD = 8192, 64, 4096
 
 
 def _mixed(hashes: np.ndarray, families: int) -> np.ndarray:
@@ -229,29 +231,31 @@ def _children(masks: list[int], radius: int) -> dict[int, list[int]]:
 def _divided(entries: DataFrame, children: dict[int, list[int]], by: list[str]) -> DataFrame:
     """A row (mask, value) for each child of each entry's mask."""
     known = F.create_map(*[x for m, some in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in some]))])
-    rows = entries.select(*by, "gray", "fingerprint", F.explode(known[F.col("mask")]).alias("mask"))
-    return rows.select(*by, "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value"), "gray", "fingerprint")
+    rows = entries.select(*by, "fingerprint", F.explode(known[F.col("mask")]).alias("mask"))
+    return rows.select(*by, "mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value"), "fingerprint")
 
 
-def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(entries of the nodes with at most ``run`` fingerprints, entries of larger nodes of the last level or None).
-
-    Nodes of one fingerprint are left out."""
-    node = [*by, "mask", "value"]
+def _signed_gray() -> Column:
+    """The place of ``fingerprint`` in Gray order; the sign bit is turned over, so signed order is that of unsigned places."""
     rank = F.col("fingerprint")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    # the sign bit turned over: signed order is then the order of unsigned ranks
-    entries = codes.select(*by, F.lit(0).cast("long").alias("mask"), "fingerprint", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray"))
+    return rank.bitwiseXOR(F.lit(-(1 << 63))).alias("gray")
+
+
+def _upper_levels(codes: DataFrame, radius: int, run: int, levels: int, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(entries of the nodes with at most ``run`` fingerprints, entries of larger nodes of the last level or None)."""
+    node = [*by, "mask", "value"]
+    entries = codes.select(*by, F.lit(0).cast("long").alias("mask"), "fingerprint")
     masks, usual, large = [0], None, None
     for level in range(levels):
         children = _children(masks, radius)
         entries = _divided(entries, children, by)
-        size = checkpoint(entries.groupBy(*node).agg(F.count("*").alias("n")).where("n > 1"))
-        few = entries.join(size.where(F.col("n") <= run).select(*node), node, "left_semi")
+        large = checkpoint(entries.groupBy(*node).agg(F.count("*").alias("n")).where(F.col("n") > run).select(*node))
+        none = large.isEmpty()
+        few = entries if none else join_small(entries, large, node, "left_anti")
         usual = few if usual is None else usual.unionByName(few)
-        large = size.where(F.col("n") > run).select(*node)
-        if large.isEmpty():
+        if none:
             return usual, None
         entries = join_small(entries, large, node, "left_semi")
         masks = sorted({c for some in children.values() for c in some})
@@ -286,7 +290,10 @@ def near_links(codes: DataFrame, radius: int = 3, run: int = RUN, levels: int =
             cuts = _starts(rows, node)
             yield batch_of(rows, *few(codes, *_pairs_within(codes, cuts, radius)))
 
-    dealt = usual.repartition(*node).sortWithinPartitions(*node, "gray")
+    # what follows from a fingerprint and its mask is not shuffled
+    value = F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value")
+    dealt = usual.select(*by, "mask", "fingerprint").repartition(*by, "mask", value)
+    dealt = dealt.select(*by, "mask", value, "fingerprint", _signed_gray()).sortWithinPartitions(*node, "gray")
     links = dealt.select(*node, "fingerprint").mapInArrow(of_nodes, kind)
 
     if in_large is None:
@@ -342,7 +349,7 @@ def _gray_runs(entries: DataFrame, run: int, by: list[str]) -> DataFrame:
             node, seen = [rows[c][-1] for c in keys], int(inside[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + inside // run)], names=[*batch.schema.names, "run"])
 
-    dealt = entries.select(*keys, "gray", "fingerprint").repartitionByRange(*keys, "gray")
+    dealt = entries.select(*keys, _signed_gray(), "fingerprint").repartitionByRange(*keys, "gray")
     dealt = dealt.sortWithinPartitions(*keys, "gray")
     return checkpoint(dealt.mapInArrow(number, "".join(f"{c} int, " for c in by) + "mask long, value long, gray long, fingerprint long, run long"))
 
@@ -408,13 +415,39 @@ def _candidates(classes: DataFrame, radius: int) -> DataFrame:
     return ends.where(6 * apart <= 64 * F.size("prints_a")).select("a", "b")
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Bits (two for each of ``grams`` at least, 64 times a power of two) that say whether an odd number of them falls on each place.
+
+    Two sets differ in as many elements, at least, as their bits do."""
+    bits = 64
+    while bits < 2 * len(grams):
+        bits *= 2
+    odd = np.bincount(grams.astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _alike(links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``links`` (a, b) whose sets of ``shingles`` (vertex, grams) have a Jaccard similarity of at least ``similarity``."""
-    for end in ("a", "b"):
-        links = links.join(shingles.select(F.col("vertex").alias(end), F.col("grams").alias(f"grams_{end}")), end)
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    enough = shared * (1 + similarity) >= similarity * (F.size("grams_a") + F.size("grams_b")) - 1e-6
-    return links.where(enough).select("a", "b")
+    """Those of ``links`` (a, b) whose sets of ``shingles`` (vertex, size, parities, grams) have a Jaccard similarity of at least ``similarity``.
+
+    Where the parities already differ in too many bits, the sets are not looked at: they do not meet the link."""
+
+    def with_ends(links, *columns):
+        for end in ("a", "b"):
+            links = links.join(shingles.select(F.col("vertex").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return links
+
+    def enough(shared):
+        return shared * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
+
+    def as_wide(one, other):  # the wider of two is folded once; alike sets need no more
+        half = f"zip_with(slice({one}, 1, size({one}) div 2), slice({one}, size({one}) div 2 + 1, size({one}) div 2), (x, y) -> x ^ y)"
+        return f"if(size({one}) > size({other}), {half}, {one})"
+
+    a, b = as_wide("parities_a", "parities_b"), as_wide("parities_b", "parities_a")
+    apart = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    may_be = F.coalesce(enough((F.col("size_a") + F.col("size_b") - apart) / 2), F.lit(True))
+    links = with_ends(links, "size", "parities").where(may_be).select("a", "b", "size_a", "size_b")
+    return with_ends(links, "grams").where(enough(F.size(F.array_intersect("grams_a", "grams_b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -430,14 +463,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     return prints.join(by_code, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _common_shingles(docs: DataFrame, width: int, seed: int, share: float = 1 / 16, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(docs: DataFrame, width: int, seed: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and counts of the shingles that most texts of a sample hold, three at least; ``most`` at most.
 
-    They only order shingles, so that seldom ones are looked for first: any order finds the same links."""
+    The sample is one text in 16, about SAMPLE texts at most. They only order shingles, so that seldom ones are looked for first: any order finds the same links."""
 
     def make():
         return lambda texts: (None, {"digest": [words_digest(t) for t in texts], "grams": [shingle_hashes(t, width, seed).view(np.int64) for t in texts]})
 
+    share = min(1 / 16, SAMPLE / max(1, docs.count()))
     some = map_texts(docs.where(hash_below(F.xxhash64("text"), share)), [], make, "digest binary, grams array<long>").dropDuplicates(["digest"])
     counts = some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
     found = counts.orderBy(F.desc("n"), "gram").limit(most).toPandas()
@@ -446,23 +480,30 @@ def _common_shingles(docs: DataFrame, width: int, seed: int, share: float = 1 /
     return hashes[at], found["n"].to_numpy(np.int64)[at]
 
 
-def _needed(size: int, similarity: float) -> tuple[int, int]:
+def _needed(size, similarity: float) -> tuple:
     """How many shingles a set of ``size`` shares at least with one that is alike, and how many of these are to be among the leading ones of both."""
-    return int(np.ceil(similarity * size - 1e-6)), 1 + size // SHOWN
+    return np.ceil(similarity * size - 1e-6).astype(int), 1 + size // SHOWN
+
 
+def _leading(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float, hot: int) -> tuple[np.ndarray, int]:
+    """The first of a text's shingles, seldom ones first, so many that two alike texts share as many of them as the smaller one needs to.
 
-def _leading(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a text's shingles, seldom ones first, so many that two alike texts share as many of them as the smaller one needs to."""
+    And how many of them come before those that ``hot`` texts of the sample hold."""
     n = len(hashes)
     shared, shown = _needed(n, similarity)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - shared + shown].view(np.int64)
+    first = n - shared + shown
+    if not len(common):
+        return hashes[:first].view(np.int64), min(first, n)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    held = np.where(common[at] == hashes, counts[at], 0)
+    order = np.argsort(held, kind="stable")[:first]
+    return hashes[order].view(np.int64), int((held[order] < hot).sum())
 
 
 def _pairs_of_shingles(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of vertices of other roots with a leading shingle in common, whose sizes allow them to be alike; a shingle has few of ``entries``."""
+    """Pairs (a, b) of vertices of other roots with as many leading shingles in common as alike ones need to have, whose sizes allow them to be alike.
+
+    A shingle has few of ``entries``. Alike pairs that share a shingle of a crowd too may be left out: they are found there."""
     least = similarity - 1e-6
 
     def run(batches):
@@ -470,18 +511,20 @@ def _pairs_of_shingles(entries: DataFrame, similarity: float) -> DataFrame:
 
         for rows in _joined(batches, ["gram"]):
             starts = [*_starts(rows, ["gram"]).tolist(), len(rows["gram"])]
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((0, 3), np.int64)]
             for s, e in zip(starts, starts[1:]):
                 x, y = np.triu_indices(e - s, 1)
                 root, size, vertex = (rows[c][s:e] for c in ("root", "size", "vertex"))
                 keep = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+                need = _needed(np.minimum(size[x], size[y])[keep].astype(np.int64), similarity)[1]
                 x, y = vertex[x[keep]], vertex[y[keep]]
-                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y), need], 1))
+            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "need", "n"])
 
     dealt = entries.select("gram", "vertex", "root", "size").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    shared = dealt.mapInArrow(run, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
+    return shared.where("n >= need").select("a", "b")
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -514,8 +557,9 @@ def _links_of_crowds(entries: DataFrame, shingles: DataFrame, similarity: float)
     side, whose sets of shingles are compared there; of the alike pairs of a tile those of a spanning forest are given."""
     counts = entries.groupBy("gram", "root").agg(F.count("*").alias("n"))
     home = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
+    home = home.where(F.col("all") > F.col("most.n"))  # a shingle of one root links nothing
     home = checkpoint(home.select("gram", F.col("most.root").alias("home"), F.ceil(F.col("all") / TILE).alias("p_parts"), F.ceil((F.col("all") - F.col("most.n")) / TILE).alias("q_parts")))
-    full = join_small(entries.select("gram", "vertex", "root"), home, ["gram"]).join(shingles, "vertex")
+    full = join_small(entries.select("gram", "vertex", "root"), home, ["gram"]).join(shingles.select("vertex", "grams"), "vertex")
     p, q = (F.pmod(F.xxhash64("vertex"), F.col(c)).cast("int") for c in ("p_parts", "q_parts"))
     parts = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
     held = ["vertex", "root", (F.col("root") == F.col("home")).alias("at_home"), "grams"]
@@ -558,16 +602,21 @@ def _links_of_crowds(entries: DataFrame, shingles: DataFrame, similarity: float)
 def _crowds_and_rest(leads: DataFrame, similarity: float) -> DataFrame:
     """(gram, vertex, root, size, n) of the leading shingles by which a vertex can be alike with one of another root; n: vertices at a shingle, at least.
 
-    Shingles of one root alone go, and then vertices that have fewer left than an alike pair shares; twice, as either leaves fewer of the other."""
-    entries = leads.select("vertex", "root", "size", F.explode("lead").alias("gram"))
+    ``leads``: vertex, root (null: the vertex itself), size, lead, usual (how many of ``lead`` are no crowd's by the sample).
+    Shingles of one root alone go, and then vertices that have fewer left than an alike pair shares; twice, as either leaves fewer of the other.
+    All entries are shuffled once, and what is left of them again; a crowd's shingle is dealt over tasks and stays."""
+    own = F.coalesce("root", "vertex")
+    spread = F.when(F.col("at") < F.col("usual"), 0).otherwise(1 + F.pmod(F.xxhash64("vertex"), F.lit(SPREAD)).cast("int"))
+    entries = leads.select("vertex", "root", "size", "usual", F.posexplode("lead").alias("at", "gram"))
+    entries = entries.select("gram", "vertex", "size", "root", spread.alias("spread"))
     least = F.floor(F.ceil(similarity * F.col("size") - 1e-6) / SHOWN) + 1
+    of_gram, of_vertex = Window.partitionBy("gram", "spread"), Window.partitionBy("vertex")
+    row = ["gram", "vertex", "size", "root", "spread"]
     for _ in range(2):
-        held = entries.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        held = checkpoint(held.where("low < high").select("gram", "n"))
-        entries = checkpoint(join_small(entries.select("gram", "vertex", "root", "size"), held, ["gram"]))
-        enough = checkpoint(entries.groupBy("vertex", "size").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("vertex"))
-        entries = checkpoint(join_small(entries, enough, ["vertex"], "left_semi"))
-    return entries
+        entries = entries.select(*row, F.count("*").over(of_gram).alias("n"), F.min(own).over(of_gram).alias("low"), F.max(own).over(of_gram).alias("high"))
+        entries = entries.where("spread > 0 or low < high").select(*row, "n", F.count("*").over(of_vertex).alias("m")).where(F.col("m") >= least)
+    crowd = F.when(F.col("spread") > 0, F.lit(CROWD + 1)).otherwise(F.col("n"))
+    return checkpoint(entries.select("gram", "vertex", own.alias("root"), "size", crowd.alias("n")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, families: int = 8, print_width: int = 2, seed: int = 42) -> DataFrame:
@@ -581,8 +630,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     Rows that are repeated with all their columns count once. Where no row of a component has a doc_id, one of its
     rows stays. All columns are kept, whatever their names. What is joined with texts are the keys (doc_id, hash of the row) of the rows that
     go, or that stand for a vertex with links, so texts are not shuffled while these are few."""
-    key = free_names(docs, "doc_key", "row_key", "vertex_key")
-    ids, vertex = key[:2], key[2]
+    key = free_names(docs, "doc_key", "row_key", "vertex_key", "root_key")
+    ids, vertex, root = key[:2], key[2], key[3]
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
     keyed = docs.withColumn(key[0], F.col("doc_id")).withColumn(key[1], F.xxhash64(*plain))
 
@@ -590,28 +639,31 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
         return lambda texts: (None, {"digest": [words_digest(t) for t in texts], "prints": [set_fingerprints(t, print_width, seed, families) for t in texts]})
 
     def make_grams():
-        def some(text):
-            return np.unique(shingle_hashes(text, width, seed).astype(np.uint32)).view(np.int32)
+        def of(texts):
+            sets = [np.unique(shingle_hashes(t, width, seed).astype(np.uint32)) for t in texts]
+            return None, {"size": [len(s) for s in sets], "parities": [_parities(s) for s in sets], "grams": [s.view(np.int32) for s in sets]}
 
-        return lambda texts: (None, {"grams": [some(t) for t in texts]})
+        return of
 
     common, counts = _common_shingles(docs, width, seed)
+    hot = HOT
 
     def make_leads():
         def of(texts):
             sets = [shingle_hashes(t, width, seed) for t in texts]
-            return None, {"digest": [words_digest(t) for t in texts], "size": [len(s) for s in sets], "lead": [_leading(s, common, counts, similarity) for s in sets]}
+            leads = [_leading(s, common, counts, similarity, hot) for s in sets]
+            return None, {"size": [len(s) for s in sets], "lead": [x for x, _ in leads], "usual": [n for _, n in leads]}
 
         return of
 
-    def of_key(other: DataFrame) -> list:
-        return [keyed[key[0]].eqNullSafe(other[key[0]]), keyed[key[1]] == other[key[1]]]
+    def of_key(other: DataFrame, of: DataFrame = keyed) -> list:
+        return [of[key[0]].eqNullSafe(other[key[0]]), of[key[1]] == other[key[1]]]
 
     prints = map_texts(keyed, ids, make_prints, "digest binary, prints array<long>")
     prints = prints.select("digest", F.col(key[0]).alias("doc_id"), F.col(key[1]).alias("row"), "prints")
     rows = checkpoint(prints.groupBy("digest", "doc_id", "row").agg(F.count("*").alias("n"), F.first("prints").alias("prints")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = rows.groupBy("digest").agg(F.min(rank).alias("least"), F.first("prints").alias("prints"))
+    classes = rows.groupBy("digest").agg(F.min(rank).alias("least"), F.min_by("n", rank).alias("times"), F.first("prints").alias("prints"))
     classes = checkpoint(classes.withColumn("vertex", F.monotonically_increasing_id()))
 
     links = checkpoint(_candidates(classes.select("vertex", "prints"), radius))
@@ -619,14 +671,21 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
         known = classes.join(vertices.distinct(), "vertex", "left_semi")
         stand = checkpoint(known.select(F.col("least.doc_id").alias(key[0]), F.col("least.row").alias(key[1]), F.col("vertex").alias(vertex)))
         texts = keyed.join(small_or_not(stand), of_key(stand)).select(stand[vertex].alias("vertex"), keyed["text"])
-        return checkpoint(map_texts(texts, ["vertex"], make_grams, "grams array<int>").dropDuplicates(["vertex"]))
+        return checkpoint(map_texts(texts, ["vertex"], make_grams, "size int, parities array<long>, grams array<int>").dropDuplicates(["vertex"]))
 
     ends = F.explode(F.array("a", "b")).alias("vertex")
     alike = checkpoint(_alike(links, shingles_of(links.select(ends)), similarity))
 
-    leads = map_texts(docs, [], make_leads, "digest binary, size int, lead array<long>").where("size > 0").dropDuplicates(["digest"])
-    leads = leads.join(classes.select("digest", "vertex").join(components(alike), "vertex", "left"), "digest")
-    entries = _crowds_and_rest(checkpoint(leads.select("vertex", F.coalesce("root", "vertex").alias("root"), "size", "lead")), similarity)
+    stand = classes.join(components(alike).where("vertex <> root"), "vertex", "left")
+    stand = checkpoint(stand.select(F.col("least.doc_id").alias(key[0]), F.col("least.row").alias(key[1]), F.col("vertex").alias(vertex), F.col("root").alias(root), "times"))
+    made = "size int, lead array<long>, usual int"
+    once, again = stand.where("times = 1"), stand.where("times > 1")
+    leads = map_texts(keyed, ids, make_leads, made)
+    leads = leads.join(small_or_not(once), of_key(once, leads)).select(vertex, root, "size", "lead", "usual")
+    if not again.isEmpty():  # rows that are repeated with all their columns
+        one = keyed.join(small_or_not(again), of_key(again)).select(again[vertex], again[root], keyed["text"]).dropDuplicates([vertex])
+        leads = leads.unionByName(map_texts(one, [vertex, root], make_leads, made))
+    entries = _crowds_and_rest(leads.withColumnsRenamed({vertex: "vertex", root: "root"}), similarity)
     few, many = entries.where(F.col("n") <= CROWD), entries.where(F.col("n") > CROWD)
     pairs = checkpoint(_pairs_of_shingles(few, similarity))
     shingles = shingles_of(pairs.select(ends).unionAll(many.select("vertex")))

@@ -450,6 +450,66 @@ def test_keep_one_misses_no_pair_of_enough_similarity(spark, monkeypatch, crowd,
     assert 60 < len({*label}) < len(rows) - 60 and kept == {*label}
 
 
+def test_keep_one_treats_shingles_of_many_sampled_texts_as_crowds(spark, monkeypatch):
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 3, raising=False)
+    monkeypatch.setattr(simhash, "SPREAD", 5, raising=False)
+    monkeypatch.setattr(simhash, "TILE", 7, raising=False)
+    rng = np.random.default_rng(17)
+    words = [f"v{i}" for i in rng.integers(0, 3000, 60)]
+    rows = []
+    for _ in range(160):  # all of them share shingles, some are alike
+        some = list(words)
+        for at in rng.choice(np.arange(5, 55, 5), rng.integers(1, 5), replace=False):
+            some[at] = f"z{rng.integers(4)}"
+        rows.append((len(rows), " ".join(some)))
+    rows += rows[:5] + [(1000, rows[7][1])]  # repeated rows, an equal text
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows[:160]]
+    label = list(range(160))
+    for i in range(160):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).select("doc_id").collect())
+    assert 1 < len({*label}) < 150 and kept == sorted({*label})
+
+
+def test_parities_drop_no_alike_pair(spark):
+    from tessera.llm import simhash
+
+    rng = np.random.default_rng(18)
+    sets = [np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32)) for n in (1, 5, 31, 32, 33, 40, 64, 65, 80, 300, 513)]
+    for s in sets[:11]:
+        for share in (0.0, 0.05, 0.1, 0.2, 0.25, 0.4):
+            some = rng.permutation(s)[: max(1, round(len(s) * (1 - share / 2)))]
+            more = rng.integers(0, 1 << 32, round(len(s) * share / 2)).astype(np.uint32)
+            sets.append(np.unique(np.concatenate([some, more])))
+    rows = [(i, len(s), simhash._parities(s).tolist(), s.view(np.int32).tolist()) for i, s in enumerate(sets)]
+    shingles = spark.createDataFrame(rows, "vertex long, size int, parities array<long>, grams array<int>")
+    links = [(i, j) for i in range(len(sets)) for j in range(i)]
+    for similarity in (0.8, 0.3):
+        got = {(r["a"], r["b"]) for r in simhash._alike(spark.createDataFrame(links, "a long, b long"), shingles, similarity).collect()}
+        n = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in links}
+        want = {(i, j) for i, j in links if n[i, j] >= similarity * (len(sets[i]) + len(sets[j]) - n[i, j]) - 1e-6}
+        assert got == want and 11 < len(want) < len(links) / 2
+
+
+def test_keep_one_shuffles_each_leading_shingle_once(spark):
+    from tessera.llm.simhash import keep_one
+
+    rng = np.random.default_rng(19)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 1500))) for i in range(300)]
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    known = stages()
+    known = {known.apply(i).stageId() for i in range(known.size())}
+    assert keep_one(docs_of(spark, rows)).count() == 300
+    new = stages()
+    wrote = sum(new.apply(i).shuffleWriteBytes() for i in range(new.size()) if new.apply(i).stageId() not in known)
+    assert wrote < 30 * 300 * 1496 // 4, wrote / (300 * 1496 // 4)  # bytes for each of the shingles that lead, a quarter of all
+
+
 @pytest.mark.parametrize("run,levels", [(4096, 3), (7, 1)])
 def test_closest_links_are_pairs_and_hold_each_ones_nearest(spark, run, levels):
     from tessera.llm.simhash import near_links
