@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import confidence_weight, extractor_weight
-from tessera.operators.joins import meet
+from tessera.operators.joins import meet, present
 from tessera.operators.lineage import checkpoint
 
 # Relations that are walked by default, and the weak one that is walked on demand.
@@ -34,7 +34,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     walked = edges.where(F.col("relation").isin(allowed)).select("src", "dst", "relation", edge_weight().alias("w"), (edge_weight() + F.coalesce("score", F.lit(0.0))).alias("pull"))
     both = walked.select(F.col("src").alias("a"), F.col("dst").alias("b"), "*").unionAll(walked.select(F.col("dst").alias("a"), F.col("src").alias("b"), "*"))
     both = checkpoint(both.select("a", "b", "src", "dst", "relation", "w", "pull"))
-    start = seeds.select(*key).distinct().join(nodes.select("id"), "id", "left_semi")
+    start = present(checkpoint(seeds.select(*key).distinct()), nodes)
     frontier = checkpoint(start.select(*key, F.lit(0).alias("distance"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("path")))
     found = frontier
     for depth in range(1, max_depth + 1):
@@ -42,7 +42,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
         step = step.select(*task, F.col("b").alias("id"), F.lit(depth).alias("distance"), (F.col("weight") + F.col("w")).alias("weight"), F.concat("path", F.array("relation")).alias("path"), "pull", "relation", "src", "dst")
         order = Window.partitionBy(*key).orderBy(F.desc("weight"), F.desc("pull"), "relation", "src", "dst", "path")
         best = step.join(found.select(*key), key, "left_anti").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        frontier = checkpoint(best.select(*key, "distance", "weight", "path").join(nodes.select("id"), "id", "left_semi").select(*key, "distance", "weight", "path"))
+        frontier = checkpoint(present(checkpoint(best.select(*key, "distance", "weight", "path")), nodes))
         found = found.unionByName(frontier)
     return found
 

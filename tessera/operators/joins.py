@@ -13,6 +13,19 @@ SMALL_ROWS = 1_000_000
 HOT_ROWS = 100_000
 
 
+def small(df: DataFrame, limit: int = SMALL_ROWS):
+    """What to put around ``df`` (written), or what it is reduced to, in a join: a broadcast if it is counted to have ``limit`` rows at most, else nothing."""
+    return F.broadcast if df.count() <= limit else (lambda rows: rows)
+
+
+def present(rows: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` (written, and mostly few) whose key is one of those of ``nodes``, which are many: these are shuffled only if ``rows`` are many, too."""
+    if rows.count() > SMALL_ROWS:
+        return rows.join(nodes.select(key), key, "left_semi").select(*rows.columns)
+    held = nodes.select(key).join(F.broadcast(rows.select(key).distinct()), key, "left_semi").distinct()
+    return rows.join(F.broadcast(held), key, "left_semi").select(*rows.columns)
+
+
 def meet(many: DataFrame, few: DataFrame, keys: list[str], limit: int = SMALL_ROWS, hot: int = HOT_ROWS) -> DataFrame:
     """Inner join of ``many`` with a reduced table of a few rows for each key.
 

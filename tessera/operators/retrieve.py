@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph import traverse
+from tessera.operators.joins import meet, present, small
 from tessera.operators.lineage import checkpoint
 from tessera.operators.links import with_endpoint
 from tessera.operators.postings import topk
@@ -46,30 +49,44 @@ def query_terms(tasks: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of nodes that have endpoints.
+ENDS = ["Endpoint", "APIReference"]
+#: Kinds of nodes that a task names by their labels, by which of its terms, and what that is called.
+NAMED = [
+    (["Class", "Function", "Method", "Symbol"], "symbols", "exact_symbol"), (["Column", "FormField"], "fields", "exact_field"), (["Table"], "tables", "exact_table"),
+    (["ConfigKey"], "config_keys", "exact_config_key"), (["StatusValue", "ConfigKey", "Column"], "statuses", "exact_status_value"),
+]
+
+
 def find_seeds(nodes: DataFrame, tasks: DataFrame) -> DataFrame:
     """task_id, id, score and reasons of the nodes that a task names exactly.
 
-    Every rule is an equi-join of what tasks name with what nodes are called, so tasks can be many."""
+    Every rule is an equi-join of what tasks name with what nodes are called, so tasks can be many; nodes are read once for all rules."""
     terms = query_terms(tasks)
-    ends = with_endpoint(nodes.where("kind in ('Endpoint', 'APIReference')"), ignore_case=True).where("ep_path is not null")
-    asked = lambda c, what: terms.select("task_id", F.explode(c).alias("term"), F.array(*[F.lit(w) for w in what]).alias("why"))
-    offers = [
-        (ends.select("id", F.concat(F.lit(" "), "ep_path").alias("term")), asked(F.filter("endpoints", lambda e: e.startswith(" ")), ["exact_endpoint"])),
-        (ends.where("ep_method is not null").select("id", F.concat("ep_method", F.lit(" "), "ep_path").alias("term")), asked(F.filter("endpoints", lambda e: ~e.startswith(" ")), ["exact_endpoint", "exact_endpoint_method"])),
-        (nodes.select("id", T.normalize_path(T.first_of("path", "label")).alias("term")), asked("paths", ["exact_path"])),
-    ]
-    names = nodes.select("id", "kind", F.explode(F.array_distinct(F.array(T.identifier_key("label"), T.identifier_key(T.first_of("canonical_name", "label"))))).alias("term")).where("term <> ''")
-    for kinds, column, why in (
-        (["Class", "Function", "Method", "Symbol"], "symbols", "exact_symbol"), (["Column", "FormField"], "fields", "exact_field"), (["Table"], "tables", "exact_table"),
-        (["ConfigKey"], "config_keys", "exact_config_key"), (["StatusValue", "ConfigKey", "Column"], "statuses", "exact_status_value"),
-    ):
-        offers.append((names.where(F.col("kind").isin(kinds)).select("id", "term"), asked(column, [why])))
-    hits = None
-    for offer, ask in offers:
-        met = offer.join(ask, "term").select("task_id", "id", "why")
-        hits = met if hits is None else hits.unionByName(met)
-    seeds = hits.groupBy("task_id", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"))
-    scored = seeds.join(nodes.select("id", "confidence"), "id")
+    asked = lambda sort, c, what, kinds=None: terms.select("task_id", F.lit(sort).alias("sort"), F.explode(c).alias("term"), F.array(*[F.lit(w) for w in what]).alias("why"), (F.array(*map(F.lit, kinds)) if kinds else F.lit(None).cast("array<string>")).alias("kinds"))
+    asks = [
+        asked("end", F.filter("endpoints", lambda e: e.startswith(" ")), ["exact_endpoint"]), asked("end", F.filter("endpoints", lambda e: ~e.startswith(" ")), ["exact_endpoint", "exact_endpoint_method"]),
+        asked("path", "paths", ["exact_path"]),
+    ]
+    asks += [asked("name", c, [why], kinds) for kinds, c, why in NAMED]
+    asks = checkpoint(reduce(DataFrame.unionByName, asks))
+    sorts = {r["sort"] for r in asks.select("sort").distinct().collect()}  # three at most; what no task asks for is not made
+    # all that a node is called, in one pass over nodes
+    offer = lambda sort, term: F.struct(F.lit(sort).alias("sort"), term.alias("term"))
+    of = lambda kinds, offers: F.when(F.col("kind").isin(kinds), offers).otherwise(F.array().cast("array<struct<sort:string,term:string>>"))
+    names = F.array_distinct(F.array(T.identifier_key("label"), T.identifier_key(T.first_of("canonical_name", "label"))))
+    calls = {
+        "end": of(ENDS, F.array(offer("end", F.concat(F.lit(" "), "ep_path")), offer("end", F.concat("ep_method", F.lit(" "), "ep_path")))),
+        "path": F.array(offer("path", T.normalize_path(T.first_of("path", "label")))),
+        "name": of(sorted({k for kinds, *_ in NAMED for k in kinds}), F.transform(names, lambda t: offer("name", t))),
+    }
+    few = small(asks)
+    kinds = {k for s, held in (("end", ENDS), ("name", [k for held, *_ in NAMED for k in held])) if s in sorts for k in held}
+    rows = nodes if "path" in sorts else nodes.where(F.col("kind").isin(sorted(kinds)))
+    rows = with_endpoint(rows, ignore_case=True) if "end" in sorts else rows
+    offers = rows.select("id", "kind", "confidence", F.explode(F.concat(*[calls[s] for s in sorted(sorts) or ["path"]])).alias("_")).select("id", "kind", "confidence", "_.*")
+    hits = offers.join(few(asks), ["sort", "term"]).where("kinds is null or array_contains(kinds, kind)")
+    scored = hits.groupBy("task_id", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"), F.max("confidence").alias("confidence"))
     score = F.lit(SEED_BASE) + F.greatest(T.confidence_weight("confidence"), F.lit(0.0)) + F.when(F.array_contains("reasons", "exact_endpoint_method"), METHOD_ADDS).otherwise(0.0)
     return scored.select("task_id", "id", score.alias("score"), "reasons")
 
@@ -87,7 +104,7 @@ def freshness(candidates: DataFrame) -> DataFrame:
 
 def rank(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates (id, base, reasons, distance, weight, relations) with their final score, in order of rank."""
-    rows = candidates.join(nodes, "id")
+    rows = checkpoint(meet(nodes, candidates, ["id"]).select("id", *[c for c in candidates.columns if c != "id"], *[c for c in nodes.columns if c != "id"]))  # nodes are not sorted for some candidates
     rows = rows.join(freshness(rows.select("id", "indexed_at")), "id")
     near = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), NEAR_BASE - F.col("distance") * NEAR_STEP) + F.col("weight")).otherwise(0.0)
     weak = F.when(F.array_contains(F.coalesce("relations", F.array().cast("array<string>")), "SEMANTIC_CANDIDATE"), -30.0).otherwise(0.0)
@@ -122,12 +139,12 @@ def retrieve(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 8, max_
     best = checkpoint(bm25_topk(texts, said["tokens"], 20) if postings is None else topk(postings, asked, 20).select("id", "score"))
     found = best if not best.isEmpty() else like_search(texts, task, said["tokens"], 20)
     method = "text_search:bm25" if found is best else "text_search:like"
-    liked = found.join(documents.select("id"), "id", "left_semi").select("id", (TEXT_BASE + F.least("score", F.lit(TEXT_MOST))).alias("base"), F.array(F.lit(method)).alias("reasons"))
+    liked = present(checkpoint(found), documents).select("id", (TEXT_BASE + F.least("score", F.lit(TEXT_MOST))).alias("base"), F.array(F.lit(method)).alias("reasons"))
     held = documents.select("id", F.col("path").alias("artifact_id"), "start_line", "end_line", "page", "quote")
-    own = nodes.select(F.col("path").alias("id"), "path", F.col("artifact_kind").alias("kind")).distinct()
+    own = documents.select(F.col("path").alias("id"), "path", F.col("artifact_kind").alias("kind")).distinct()
     quotes = quote_nodes(held, own, held, said["significant"], 20).select("id", F.lit(QUOTE_BASE).alias("base"), F.array(F.lit("evidence_quote")).alias("reasons"))
     texts = checkpoint(first_per_key(liked.unionByName(quotes), ["id"], F.desc("base")))  # 40 rows at most; read by the start and the states
-    start = seeds.select("id").unionAll(texts.join(nodes.select("id", "path", "start_line", "label"), "id").orderBy(F.desc("base"), T.first_of("path"), F.coalesce("start_line", F.lit(0)), "label", "id").limit(10).select("id"))
+    start = seeds.select("id").unionAll(nodes.select("id", "path", "start_line", "label").join(F.broadcast(texts), "id").orderBy(F.desc("base"), T.first_of("path"), F.coalesce("start_line", F.lit(0)), "label", "id").limit(10).select("id"))
     walked = traverse(nodes, edges, start, max_depth, include_weak)
     base = F.greatest(F.lit(0.0), GRAPH_BASE - F.col("distance") * 10.0)
     base = F.when(F.element_at(F.concat(F.array(F.lit("")), "path"), -1) == "SEMANTIC_CANDIDATE", F.least(base, F.lit(8.0))).otherwise(base)

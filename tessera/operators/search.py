@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokenize
-from tessera.operators.joins import SMALL_ROWS
+from tessera.operators.joins import SMALL_ROWS, small
+from tessera.operators.lineage import checkpoint
+
+#: What tokens are made of, as ``tokenize`` has it, and bytes of texts that are searched at a time.
+TOKEN_BYTES, SLICE_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$/-", 4_000_000
 
 
 def like_any(text: str, query: str, tokens: list[str]) -> Column:
@@ -40,12 +46,68 @@ def bm25(index: DataFrame, n_docs: int, mean_length: float, queries: DataFrame,
 def bm25_topk(chunks: DataFrame, tokens: list[str], limit: int = 20) -> DataFrame:
     """id and score of the ``limit`` chunks (id, text) with the highest BM25 for one query; ties by id.
 
-    Without a stored index the tokens are filtered by the query's before they are exploded."""
-    terms = chunks.select("id", tokenize("text").alias("terms")).withColumn("length", F.size("terms"))
-    size = terms.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    index = matching_postings(terms, tokens)
+    Without a stored index the texts are read once; of their tokens the query's alone become rows, which are written."""
+    index = checkpoint(counted_terms(chunks, tokens))
+    size = index.where("term = ''").agg(F.sum("tf").alias("n"), F.sum("length").alias("total")).first()
+    n, total = size["n"] or 0, size["total"] or 0
     queries = chunks.sparkSession.createDataFrame([(0, t) for t in dict.fromkeys(tokens)], "query_id int, term string")
-    return bm25(index, size["n"], size["mean"] or 1.0, queries).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+    return bm25(index.where("term <> ''"), n, total / n if n else 1.0, queries).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def counted_terms(texts: DataFrame, tokens: list[str]) -> DataFrame:
+    """term, id, length and tf of the given tokens alone, from texts (id, text), in one pass over their bytes that makes no lists of tokens.
+
+    Tokens are those of ``tokenize``. Rows of the empty term, without an id, sum up the texts that have tokens: how many there are (tf) and their length."""
+    texts = texts.select("id", "text")
+    schema = f"term string, id {texts.schema['id'].dataType.simpleString()}, length long, tf long"
+    wanted = [t for t in (t.encode() for t in dict.fromkeys(tokens)) if len(t) > 1 and not {*t} - {*TOKEN_BYTES}]
+    part, most = [*TOKEN_BYTES], SLICE_BYTES
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        inside, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+        inside[part] = True
+        lower[65:91] += 32  # A to Z
+
+        def counted(data, offsets, ids):
+            """Rows of some texts, given as their bytes, the places where they begin and the last ends, and their ids."""
+            token = inside[data]
+            first, last = token.copy(), token.copy()
+            first[1:] &= ~token[:-1]
+            last[:-1] &= ~token[1:]
+            begin, end = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+            first[begin], last[end] = token[begin], token[end]  # a token ends with its text
+            at = np.flatnonzero(first)
+            size = np.flatnonzero(last) + 1 - at
+            at, size = at[size > 1], size[size > 1]
+            count = lambda places: np.bincount(np.searchsorted(offsets, places, side="right") - 1, minlength=len(ids))
+            length = count(at)
+            yield [""], pa.nulls(1, ids.type), [int(length.sum())], [int((length > 0).sum())]
+            for term in wanted:
+                same = at[size == len(term)]
+                for i, byte in enumerate(term):
+                    same = same[lower[data[same + i]] == byte]
+                tf = count(same)
+                held = np.flatnonzero(tf)
+                if len(held):
+                    yield [term.decode()] * len(held), ids.take(pa.array(held)), length[held], tf[held]
+
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1).fill_null("").cast(pa.large_string())
+            if not len(column):
+                continue
+            places = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            begin = 0
+            while begin < len(column):
+                end = max(begin + 1, int(np.searchsorted(places, places[begin] + most, side="right")) - 1)
+                for columns in counted(data[places[begin] : places[end]], places[begin : end + 1] - places[begin], ids.slice(begin, end - begin)):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.string(), None, pa.int64(), pa.int64()))], ["term", "id", "length", "tf"])
+                begin = end
+
+    return texts.mapInArrow(run, schema)
 
 
 def matching_postings(terms: DataFrame, tokens: list[str]) -> DataFrame:
@@ -59,18 +121,20 @@ def quote_nodes(evidence: DataFrame, artifacts: DataFrame, nodes: DataFrame, tas
     """Ids of document nodes whose evidence quotes one of the task's first six significant tokens."""
     if not task_tokens:
         return nodes.select("id").limit(0)
-    fits = F.lit(False)
-    for t in task_tokens[:6]:
-        fits = fits | F.lower("e.quote").like(f"%{t}%")
-    e, a = evidence.alias("e"), artifacts.alias("a")
-    said = e.where(fits).join(a.where("kind in ('markdown', 'pdf', 'sb')"), F.col("a.id") == F.col("e.artifact_id"))
-    said = said.select("e.artifact_id", F.col("a.path").alias("a_path"), "e.start_line", "e.end_line", "e.page")
+    # lower-cased once for all tokens; what stands between wildcards is looked for first, as that needs no pattern
+    pieces = lambda s, t: [s.contains(p) for p in re.split("[%_]", t) if p and "\\" not in t]
+    held = lambda s, t: reduce(Column.__and__, [*pieces(s, t), s.like(f"%{t}%")])
+    fits = F.exists(F.array(F.lower("quote")), lambda s: reduce(Column.__or__, [held(s, t) for t in task_tokens[:6]]))
+    found = checkpoint(evidence.where(fits).select("artifact_id", "start_line", "end_line", "page"))  # read for each sort of place
+    a = artifacts.where("kind in ('markdown', 'pdf', 'sb')").select(F.col("id").alias("artifact_id"), F.col("path").alias("a_path"))
+    few = small(found)
+    said = a.join(few(found), "artifact_id")
     # evidence at the lines of a node or on its page, counted: what is at both counts once
     lines, page = ["artifact_id", "start_line", "end_line"], ["artifact_id", "page"]
     met = None
     for place, sign in ((lines, 1), (page, 1), ([*lines, "page"], -1)):
         held = said.groupBy(*place, "a_path").agg((sign * F.count("*")).alias("times"))
-        some = nodes.join(held, place).select(nodes["id"], "a_path", nodes["start_line"], nodes["page"], "times")
+        some = nodes.join(few(held), place).select(nodes["id"], "a_path", nodes["start_line"], nodes["page"], "times")
         met = some if met is None else met.unionAll(some)
     met = met.groupBy("id", "a_path", "start_line", "page").agg(F.sum("times").alias("times"))
     met = met.select("id", "a_path", "start_line", "page", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(limit)).cast("int"))))

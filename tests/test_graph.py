@@ -746,3 +746,45 @@ def test_quote_nodes_make_no_pairs_of_a_document(spark):
     plan = quote_nodes(many, one, many, ["pin"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.split("\n") if "Join" in x]
     assert joins and not any(" OR " in x or "||" in x for x in joins)
+
+
+def test_counted_terms_are_those_of_tokenize(spark):
+    import random
+
+    from tessera.functions import text as T
+    from tessera.operators import search
+
+    rng = random.Random(3)
+    words = ["to", "To", "GET", "/pages/7", "pin_7", "pın_7", "a", "é", "to", "x.y", "$z", "—", "\n", ",", "", "toé", "\u0000to"]
+    rows = [(i, rng.choice([None, "", "a", "to"]) if i % 5 == 0 else "".join(rng.choice(words) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(12)))) for i in range(600)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    tokens = ["to", "get", "/pages/7", "pin_7", "a", "x.y", "é", "absent", "$z"]
+    terms = texts.select("id", T.tokenize("text").alias("terms")).withColumn("length", F.size("terms"))
+    want = sorted((r["term"], r["id"], r["length"], r["tf"]) for r in search.matching_postings(terms, tokens).collect())
+    size = terms.where("length > 0").agg(F.count("*"), F.sum("length")).first()
+    for most in (search.SLICE_BYTES, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(search, "SLICE_BYTES", most)
+            made = search.counted_terms(texts, tokens).collect()
+        assert sorted((r["term"], r["id"], r["length"], r["tf"]) for r in made if r["term"]) == want
+        assert tuple(size) == tuple(sum(r[c] for r in made if not r["term"]) for c in ("tf", "length"))
+
+
+def test_evidence_shuffles_no_nodes(spark):
+    """A question about many nodes reads them; no texts or ids of all of them are sorted or sent."""
+    from tessera.operators import joins, retrieve
+
+    nodes = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("Paragraph").alias("kind"))
+    nodes = nodes.checkpoint()
+    few = spark.createDataFrame([("n1", 1), ("n5", 2), ("x", 3), ("n1", 4)], "id string, v int").checkpoint()
+    held = joins.present(few, nodes)
+    assert sorted(r["v"] for r in held.collect()) == [1, 2, 4]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(joins, "SMALL_ROWS", 1)
+        assert sorted(r["v"] for r in joins.present(few, nodes).collect()) == [1, 2, 4]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    wide = nodes.select("id", "kind", F.lit("a label").alias("label"), F.lit("a label").alias("canonical_name"), F.lit("p").alias("path"), F.lit("DOC_EXACT").alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in ("method", "endpoint")])
+    tasks = spark.createDataFrame([(0, "Change `a.label` in src/p.ts for GET /x")], "task_id int, task string")
+    plan = retrieve.find_seeds(wide, tasks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1  # one pass over nodes for all rules
