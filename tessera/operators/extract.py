@@ -9,7 +9,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
+from itertools import groupby, islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +100,48 @@ DATABASE = r"(?iu)\b([A-Za-z][A-Za-z0-9_]{2,})\s+(?:table|entity|collection)\b|(
 # Words of which every match of the pattern of the same name has one; sentences without any are not searched for it.
 SCREEN_HINT, INTEGRATION_HINT, DATABASE_HINT = r"(?iu)화면|스크린|페이지|screen|page|view", r"(?iu)integration|webhook|연동", r"(?iu)table|entity|collection|테이블|엔티티|컬렉션"
 
+# What a line or a sentence has that any pattern of mentions or of facts fits: signs, words (in any case) or characters. What has none is not searched. The
+# last characters are those that count as i, k or s where case is ignored.
+WORDS = (
+    "error throw raise return must required cannot minimum max valid reject never only shall should need permission role admin owner member view editor authorized forbidden policy retention approval refund "
+    "settlement parameter field input key screen page user operator customer agent warning failure integration webhook table entity collection"
+).split() + ["at least", "at most", "do not", "no external", "local-first", "has to", "have to", "business rule"]
+DOTTED, UPPER, CAMEL, OTHER = r"[._-][A-Za-z0-9_-]", r"[A-Z][A-Z0-9_]{2}", r"[A-Za-z0-9][A-Z][A-Za-z0-9]", "[가-힣İıſK]"
+FACT_HINTS = "(?i:" + "|".join(WORDS) + f")|`|{UPPER}|{OTHER}"
+HINTS = f"{FACT_HINTS}|[/(]|{DOTTED}|{CAMEL}"
+
+
+def searched(lines: DataFrame) -> DataFrame:
+    """The lines that any pattern of mentions or facts can fit. All hints are looked for at once, by Arrow's automaton (RE2), which reads a text once however many they are."""
+    at = lines.columns.index("line_text")
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            yield batch.filter(pc.match_substring_regex(batch.column(at), HINTS))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+def telling(lines: DataFrame) -> DataFrame:
+    """Lines (with sentences) with those of their sentences that any pattern of sentences or facts can fit."""
+    at = lines.columns.index("sentences")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            texts, row = pc.list_flatten(batch.column(at)), pc.list_parent_indices(batch.column(at))
+            told = pc.match_substring_regex(texts, FACT_HINTS)
+            ends = np.cumsum(np.bincount(row.filter(told).to_numpy(), minlength=len(batch)), dtype=np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), texts.filter(told))
+            yield batch.set_column(at, batch.schema.field(at).with_type(kept.type), kept)
+
+    return lines.mapInArrow(run, lines.schema)
+
 
 def spread(rows: DataFrame) -> DataFrame:
     """Lines dealt over tasks by their files: four a core, however few tasks or bytes they came in."""
@@ -306,43 +348,51 @@ def _handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
 
 def _scopes(code: DataFrame) -> DataFrame:
     """A row for each definition of code lines (with def, indent, depth): path, kind, line, line_text, last (line), body, name,
-    def_kind, and owner and owner_line if the innermost definition around it is a class. A file is one group, read once."""
-
-    def place(pdf):
-        import pandas as pd
+    def_kind, and owner and owner_line if the innermost definition around it is a class. Files are runs of sorted lines, of which one at a time is held."""
 
-        pdf = pdf.sort_values("line", ignore_index=True)
-        lines, texts = pdf["line"].tolist(), pdf["line_text"].tolist()
-        python = bool(pdf["path"].iloc[0].endswith(".py"))
-        out, open_, full = [], [], 0  # open_: (row of out, indent or depth, whether its body has begun)
+    def placed(path: str, rows: list[tuple]) -> list[tuple]:
+        """The definitions of a file, from its lines in order (line, line_text, indent, depth, def_kind, name)."""
+        python, out, open_, full = path.endswith(".py"), [], [], 0  # open_: (row of out, indent or depth, whether its body has begun)
 
         def close(last: int) -> None:
             out[open_.pop()[0]]["last"] = max(last, 0)
 
-        for i, (text, indent, depth, kind, name) in enumerate(zip(texts, pdf["indent"].tolist(), pdf["depth"].tolist(), pdf["def_kind"].tolist(), pdf["name"].tolist())):
+        for i, (line, text, indent, depth, kind, name) in enumerate(rows):
             if not text.strip():
                 continue
             if python:
                 while open_ and indent <= open_[-1][1] and not text.strip().startswith(("#", ")", "]", "}")):
                     close(full)
             else:
-                while open_ and depth <= open_[-1][1] and (open_[-1][2] or isinstance(name, str)):
+                while open_ and depth <= open_[-1][1] and (open_[-1][2] or name is not None):
                     close(full)
                 if open_ and depth > open_[-1][1]:
                     open_[-1][2] = True
             full = i
-            if isinstance(name, str):
+            if name is not None:
                 around = out[open_[-1][0]] if open_ else None
                 owned = around is not None and around["def_kind"] == "Class" and kind != "Class"
-                out.append({"at": i, "last": i, "name": name, "def_kind": kind, "owner": around["name"] if owned else None, "owner_line": lines[around["at"]] if owned else None})
+                out.append({"at": i, "last": i, "name": name, "def_kind": kind, "owner": around["name"] if owned else None, "owner_line": rows[around["at"]][0] if owned else None})
                 open_.append([len(out) - 1, indent if python else depth, not python and ("{" in text or text.rstrip().endswith((";", ",")))])
         while open_:
             close(full)
-        rows = [(pdf["path"].iloc[0], "code", lines[d["at"]], texts[d["at"]], lines[d["last"]], "\n".join(texts[d["at"] : d["last"] + 1]).strip(), d["name"], d["def_kind"], d["owner"], d["owner_line"]) for d in out]
-        return pd.DataFrame(rows, columns=["path", "kind", "line", "line_text", "last", "body", "name", "def_kind", "owner", "owner_line"]).astype({"owner_line": "Int32"})
+        return [(path, "code", rows[d["at"]][0], rows[d["at"]][1], rows[d["last"]][0], "\n".join(r[1] for r in rows[d["at"] : d["last"] + 1]).strip(), d["name"], d["def_kind"], d["owner"], d["owner_line"]) for d in out]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def lines():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        schema = pa.schema([(c, pa.int32() if t == "int" else pa.string()) for c, t in (x.split() for x in made.split(", "))])
+        rows = (d for path, held in groupby(lines(), key=lambda r: r[0]) for d in placed(path, [r[1:] for r in held]))
+        while part := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
+    made = "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int"
     rows = code.select("path", "line", "line_text", "indent", "depth", F.col("def.kind").alias("def_kind"), F.col("def.name").alias("name"))
-    return spread(rows).groupBy("path").applyInPandas(place, "path string, kind string, line int, line_text string, last int, body string, name string, def_kind string, owner string, owner_line int")
+    return spread(rows).sortWithinPartitions("path", "line").mapInArrow(run, made)
 
 
 #: A JSON token after white space: a string, a sign, or a scalar, as Python reads it (NaN and Infinity too).
@@ -461,12 +511,14 @@ def markdown_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "line_text"))), lambda s: s["line_text"]), "\n").alias("line_text"),
     )
     blocks = checkpoint(blocks)  # read by sections, by other blocks and by the ends of both
-    total = rows.groupBy("path", "kind").agg(F.max("line").alias("last"), F.min_by(F.when(F.col("level") > 0, F.regexp_extract("line_text", HEADING, 2)), F.when(F.col("level") > 0, F.col("line"))).alias("title"))
+    title = F.regexp_extract("line_text", HEADING, 2)
+    titles = blocks.where("sort = 'Section'").groupBy("path").agg(F.min_by(title, "line").alias("title"))
+    total = checkpoint(doc.groupBy("path", "kind").agg(F.max("line").alias("last")))
+    total = total.join(titles, "path", "left")
     documents = total.withColumn("line", F.lit(1)).withColumn("line_text", F.coalesce("title", F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1)))
     document_nodes = node_rows(documents, "Document", F.col("line_text"), "md", "DOC_EXACT", end_line=F.col("last"))
     heads = blocks.where("sort = 'Section'").join(total.select("path", F.col("last").alias("all")), "path")
     heads = heads.withColumn("end", F.coalesce(F.lead("line").over(by_path) - 1, F.col("all")))
-    title = F.regexp_extract("line_text", HEADING, 2)
     section_nodes = node_rows(heads, "Section", title, "md", "DOC_EXACT", end_line=F.col("end"), subject=F.col("level").cast("string"))
     others = blocks.where("sort <> 'Section'")
     block_nodes = node_rows(others, F.col("sort"), short("line_text", 96, compact=True), "md", "DOC_EXACT", end_line=F.col("last"), quote=F.col("line_text"))
@@ -489,25 +541,32 @@ def mentions(lines: DataFrame, numbered: bool = True) -> DataFrame:
     these are not ``numbered`` lines of which each is there once."""
     doc = lines.where("kind in ('markdown', 'pdf')")
     line, quote = F.col("line_text"), F.trim("line_text")
-    matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), lambda m: m != "")
+    none = F.array().cast("array<string>")
+
+    def matches(pattern: str, group: int = 1, *signs: str, hint: str | None = None) -> Column:
+        """What a pattern finds in a line, if the line has one of the signs or the hint that every match has."""
+        found = F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), lambda m: m != "")
+        told = [line.contains(s) for s in signs] + [line.rlike(h) for h in [hint] if h]
+        return F.when(reduce(Column.__or__, told), found).otherwise(none)
+
     spot = lambda branch, kind, label, confidence="DOC_EXACT", **more: _spot(branch, kind, label, "md", confidence, quote, **more)
     is_key = lambda m: m.rlike(f"^{CONFIG_KEY[2:-2]}$")
     is_status = lambda m: m.rlike(r"^[A-Z][A-Z0-9_]{2,}$") & ~m.isin(NO_STATUS)
     sort = lambda m: F.when(m.rlike(f"^(?:{FILE_PATH})$"), "file_path").when(m.rlike(r"^[A-Za-z_$][\w$.]*\(\)$"), "function").when(is_key(m), "config_key").when(is_status(m), "status_value")
-    marks, links = matches(r"`([^`\n]+)`"), matches(r"\[[^\]]+\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
+    marks, links = matches(r"`([^`\n]+)`", 1, "`"), matches(r"\[[^\]]+\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)", 1, "](")
     is_api = lambda m: m.rlike(r"^/api/|^/[a-z]")
     spots = [
-        F.transform(matches(ENDPOINT, 0), lambda m: spot(0, "APIReference", m, method=F.regexp_extract(m, ENDPOINT, 1), endpoint=F.regexp_extract(m, ENDPOINT, 2))),
-        F.transform(matches(BARE_API), lambda m: spot(1, "APIReference", m, endpoint=m)),
+        F.transform(matches(ENDPOINT, 0, "/"), lambda m: spot(0, "APIReference", m, method=F.regexp_extract(m, ENDPOINT, 1), endpoint=F.regexp_extract(m, ENDPOINT, 2))),
+        F.transform(matches(BARE_API, 1, "/"), lambda m: spot(1, "APIReference", m, endpoint=m)),
         F.transform(F.filter(links, is_api), lambda m: spot(2, "APIReference", m)),
         F.transform(F.filter(links, lambda m: ~is_api(m)), lambda m: spot(3, "CodeReference", m, reference_type=F.when(m.rlike(f"^(?:{FILE_PATH})$"), "file_path").otherwise("link"))),
         F.transform(F.filter(marks, lambda m: sort(m) != "status_value"), lambda m: spot(4, "CodeReference", m, reference_type=sort(m))),
         F.transform(F.filter(marks, lambda m: sort(m) == "status_value"), lambda m: spot(5, "StatusValue", m, reference_type="status_value")),
-        F.transform(F.filter(matches(FILE_PATH, 0), lambda m: ~m.contains("://")), lambda m: spot(6, "CodeReference", m, reference_type="file_path")),
-        F.transform(matches(FUNCTION), lambda m: spot(7, "CodeReference", F.concat(m, F.lit("()")), reference_type="function")),
-        F.transform(matches(CONFIG_KEY), lambda m: spot(8, "CodeReference", m, reference_type="config_key")),
-        F.transform(F.filter(matches(STATUS_MENTION), lambda m: ~m.isin(NO_STATUS)), lambda m: spot(9, "StatusValue", m, reference_type="status_value")),
-        F.transform(F.filter(matches(PASCAL), lambda m: ~m.isin("HTTP", "JSON", "YAML", "SQL")), lambda m: spot(11, "CodeReference", m, "AMBIGUOUS", reference_type="class_candidate")),
+        F.transform(F.filter(matches(FILE_PATH, 0, "/", hint=r"\.[a-z]"), lambda m: ~m.contains("://")), lambda m: spot(6, "CodeReference", m, reference_type="file_path")),
+        F.transform(matches(FUNCTION, 1, "("), lambda m: spot(7, "CodeReference", F.concat(m, F.lit("()")), reference_type="function")),
+        F.transform(matches(CONFIG_KEY, hint=DOTTED), lambda m: spot(8, "CodeReference", m, reference_type="config_key")),
+        F.transform(F.filter(matches(STATUS_MENTION, hint=UPPER), lambda m: ~m.isin(NO_STATUS)), lambda m: spot(9, "StatusValue", m, reference_type="status_value")),
+        F.transform(F.filter(matches(PASCAL, hint=CAMEL), lambda m: ~m.isin("HTTP", "JSON", "YAML", "SQL")), lambda m: spot(11, "CodeReference", m, "AMBIGUOUS", reference_type="class_candidate")),
     ]
 
     def of_sentence(text: Column) -> Column:
@@ -522,8 +581,8 @@ def mentions(lines: DataFrame, numbered: bool = True) -> DataFrame:
 
 
 def _with_sentences(lines: DataFrame) -> DataFrame:
-    """Lines that are not blank with the list of their sentences, dealt evenly over tasks."""
-    return spread(lines.where("trim(line_text) <> ''")).withColumn("sentences", sentences("line_text"))
+    """Lines in which something may be found, with the list of those sentences in which facts may be, dealt evenly over tasks."""
+    return telling(spread(searched(lines.where("trim(line_text) <> ''"))).withColumn("sentences", sentences("line_text")))
 
 
 def _first_field(text: Column) -> Column:

@@ -748,6 +748,32 @@ def test_quote_nodes_make_no_pairs_of_a_document(spark):
     assert joins and not any(" OR " in x or "||" in x for x in joins)
 
 
+def test_hints_let_no_match_pass_by(spark):
+    """Mentions and facts of lines that are searched by their hints are those of all lines."""
+    import random
+
+    from tessera.operators import extract
+
+    rng = random.Random(11)
+    pieces = """the thonly as only Admin can ADMIN must MUST be valid at least 8자 이상 8 min max MAXimum required field `userId` `PAID` PAID status: READY is error "bad" ERROR returns raise throws shall needs to has to have to
+    read-only local-first no external do not never validation reject when policy approval refund business rule 정책 보관 필수 관리자만 사용자가 버튼을 클릭 화면: 홈 screen: Home page - list view page key: a.b input field_name user clicks Save
+    webhook: Slack users table Order entity 테이블: orders GET /api/users /api/x.y see [a](/api/z) [b](src/a.ts) src/app.ts readme.md call() obj.run (x) a_b max-retries PascalCase UserCard HTTPServer warning 'w' failure 오류 viewer editor
+    forbidden unauthorized permission role retention settlement parameter entity collection integration lorem ipsum. Dolor! sit? amet。 mİnimum mınimum muſt Keyword ﬁeld - • customer agent operator""".split()
+    plain = "lorem ipsum dolor sit amet an the of.".split()
+    texts = [" ".join(rng.choice(pieces if rng.random() < share else plain) for _ in range(rng.randrange(1, 14))) for share in (0.1, 0.3, 1.0) for _ in range(400)] + pieces
+    rows = spark.createDataFrame([(f"d{i % 7}.md", "markdown", i, x) for i, x in enumerate(texts)], "path string, kind string, line int, line_text string")
+    of = lambda f: sorted(map(repr, f(rows).collect()))
+    got = {f: of(f) for f in (extract.mentions, extract.facts)}
+    every = "(?s:.?)"
+    with pytest.MonkeyPatch.context() as m:
+        for hints in ("HINTS", "FACT_HINTS", "DOTTED", "UPPER", "CAMEL"):
+            m.setattr(extract, hints, every, raising=False)
+        want = {f: of(f) for f in got}
+    assert got == want and all(len(found) > 1000 for found in got.values())
+    kept = extract.searched(spark.createDataFrame([("d.md", "markdown", 1, "Lorem ipsum the of."), ("d.md", "markdown", 2, "Lorem only."), ("d.md", "markdown", 3, None)], rows.schema))
+    assert [r["line"] for r in kept.collect()] == [2]
+
+
 def test_counted_terms_are_those_of_tokenize(spark):
     import random
 
