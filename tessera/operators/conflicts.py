@@ -15,6 +15,7 @@ from tessera.functions import text as T
 from tessera.operators.lineage import checkpoint
 from tessera.operators.joins import SMALL_ROWS, meet, overlaps
 from tessera.operators.links import with_endpoint
+from tessera.operators.search import fitting
 from tessera.operators.store import first_per_key
 
 # Aliases, methods, patterns.
@@ -29,6 +30,11 @@ ROLES_CODE = r"(?i)\b(?:roles|allowedRoles|requiredRoles|permissions)\b\s*[:=]\s
 #: Endpoints that hold a term up to which it is looked for pair by pair.
 USUAL = 100
 
+#: What a text has that says a length, retries or a time (the last characters count as i, k or s where case is ignored), and the kinds of nodes that are looked at whatever they say.
+LENGTHS = r"(?i:at least|minimum|min length|must be|[0-9][\s\x0b]*char)|자|[İıſK]"
+FACT_HINTS = LENGTHS + r"|(?i:retry|timeout)|재시|최대|타임아웃|제한 시간"
+LOOKED_AT = ["StatusValue", "APIReference", "PermissionRule", "Policy", "Requirement"]
+
 FACT = ["subject", "value", "location", "quote", "confidence"]
 
 
@@ -61,12 +67,13 @@ def nearby(lines: DataFrame, radius: int) -> DataFrame:
 
 
 def document_facts(nodes: DataFrame) -> dict[str, DataFrame]:
-    """Facts of document nodes (NODE rows) by topic."""
+    """Facts of document nodes (NODE rows) by topic. Nodes are read once; those that may say something are written, and read for each topic."""
     docs = nodes.where("artifact_kind in ('markdown', 'pdf', 'sb') and confidence in ('DOC_EXACT', 'DOC_INFERRED')")
-    docs = docs.withColumn("quote", T.first_of("quote", "label")).withColumn("location", T.location("path", "start_line", "end_line", "page"))
+    docs = docs.select("kind", "label", "method", "endpoint", "subject", "confidence", "path", "start_line", "end_line", "page", T.first_of("quote", "label").alias("quote"), F.col("kind").isin(LOOKED_AT).alias("_ever"))
+    docs = checkpoint(fitting(docs, "quote", FACT_HINTS, "_ever").drop("_ever")).withColumn("location", T.location("path", "start_line", "end_line", "page"))
     low = F.lower("quote")
     own = F.when(F.lower("subject").rlike(r"^[a-z_][a-z0-9_.-]*$"), F.coalesce(_first_alias(F.col("subject"), FIELDS, True), F.lower("subject")))
-    lengths = docs.where("kind in ('ValidationRule', 'Requirement', 'Paragraph')")
+    lengths = fitting(docs.where("kind in ('ValidationRule', 'Requirement', 'Paragraph')"), "quote", LENGTHS)
     retry = F.coalesce(*[F.nullif(F.regexp_extract("quote", RETRY_DOC, g), F.lit("")) for g in (1, 2)])
     retries = docs.where(low.contains("retry") | F.col("quote").contains("재시") | F.col("quote").contains("최대"))
     timed = docs.where(low.contains("timeout") | F.col("quote").contains("타임아웃") | F.col("quote").contains("제한 시간"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
 from tessera.operators.lineage import checkpoint
+from tessera.operators.search import fitting
 from tessera.operators.store import first_per_key
 from tessera.sources.files import sentences
 
@@ -111,19 +112,6 @@ FACT_HINTS = "(?i:" + "|".join(WORDS) + f")|`|{UPPER}|{OTHER}"
 HINTS = f"{FACT_HINTS}|[/(]|{DOTTED}|{CAMEL}"
 
 
-def searched(lines: DataFrame) -> DataFrame:
-    """The lines that any pattern of mentions or facts can fit. All hints are looked for at once, by Arrow's automaton (RE2), which reads a text once however many they are."""
-    at = lines.columns.index("line_text")
-
-    def run(batches):
-        import pyarrow.compute as pc
-
-        for batch in batches:
-            yield batch.filter(pc.match_substring_regex(batch.column(at), HINTS))
-
-    return lines.mapInArrow(run, lines.schema)
-
-
 def telling(lines: DataFrame) -> DataFrame:
     """Lines (with sentences) with those of their sentences that any pattern of sentences or facts can fit."""
     at = lines.columns.index("sentences")
@@ -582,7 +570,7 @@ def mentions(lines: DataFrame, numbered: bool = True) -> DataFrame:
 
 def _with_sentences(lines: DataFrame) -> DataFrame:
     """Lines in which something may be found, with the list of those sentences in which facts may be, dealt evenly over tasks."""
-    return telling(spread(searched(lines.where("trim(line_text) <> ''"))).withColumn("sentences", sentences("line_text")))
+    return telling(spread(fitting(lines.where("trim(line_text) <> ''"), "line_text", HINTS)).withColumn("sentences", sentences("line_text")))
 
 
 def _first_field(text: Column) -> Column:

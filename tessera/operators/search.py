@@ -43,6 +43,22 @@ def bm25(index: DataFrame, n_docs: int, mean_length: float, queries: DataFrame,
     return scored.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
+def fitting(rows: DataFrame, column: str, hints: str, ever: str | None = None) -> DataFrame:
+    """The rows whose text ``hints`` fits anywhere, and those that are ``ever`` wanted (a boolean column); null texts fit nothing.
+
+    For rows that few patterns can fit: all hints are one expression of Arrow's automaton (RE2), which reads a text once however many they are."""
+    at, wanted = rows.columns.index(column), rows.columns.index(ever) if ever else None
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            found = pc.match_substring_regex(batch.column(at), hints)
+            yield batch.filter(found if wanted is None else pc.or_kleene(found, batch.column(wanted)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def bm25_topk(chunks: DataFrame, tokens: list[str], limit: int = 20) -> DataFrame:
     """id and score of the ``limit`` chunks (id, text) with the highest BM25 for one query; ties by id.
 

@@ -770,10 +770,32 @@ def test_hints_let_no_match_pass_by(spark):
             m.setattr(extract, hints, every, raising=False)
         want = {f: of(f) for f in got}
     assert got == want and all(len(found) > 1000 for found in got.values())
-    kept = extract.searched(spark.createDataFrame([("d.md", "markdown", 1, "Lorem ipsum the of."), ("d.md", "markdown", 2, "Lorem only."), ("d.md", "markdown", 3, None)], rows.schema))
+    kept = extract.fitting(spark.createDataFrame([("d.md", "markdown", 1, "Lorem ipsum the of."), ("d.md", "markdown", 2, "Lorem only."), ("d.md", "markdown", 3, None)], rows.schema), "line_text", extract.HINTS)
     assert [r["line"] for r in kept.collect()] == [2]
 
 
+def test_facts_of_documents_are_those_of_all_nodes(spark):
+    """Facts of nodes that are read by their hints are those of all nodes."""
+    import random
+
+    rng = random.Random(4)
+    pieces = "must be|at least|minimum|min length|max|8|12 characters|20chars|10 characters or more|12 자 이상|muſt be|at leaſt|mınimum 9|retry 3|retries: 5|최대 4 회|timeout 30 s|타임아웃 5초|제한 시간 10 초|only admins|Only|관리자만|owner|`email`|password|lorem|ipsum.|dolor".split("|")
+    kinds = ["Paragraph", "Requirement", "ValidationRule", "Policy", "PermissionRule", "StatusValue", "APIReference", "Section"]
+    rows = []
+    for i in range(1500):
+        kind = rng.choice(kinds)
+        label = "PAID" if kind == "StatusValue" else "GET /api/x%d" % i if kind == "APIReference" else "label"
+        rows.append((f"n{i}", kind, label, label, "markdown", f"d{i % 9}.md", i, i, None, rng.choice(["DOC_EXACT", "DOC_INFERRED", "AMBIGUOUS"]), None, None, None, rng.choice([None, "email", "input"]), rng.choice([None, " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))])))
+    nodes = spark.createDataFrame(rows, "id string, kind string, label string, canonical_name string, artifact_kind string, path string, start_line int, end_line int, page int, confidence string, method string, endpoint string, reference_type string, subject string, quote string")
+    of = lambda: {t: sorted(map(repr, df.collect())) for t, df in conflicts.document_facts(nodes).items()}
+    got = of()
+    with pytest.MonkeyPatch.context() as m:
+        read = []
+        m.setattr(conflicts, "fitting", lambda rows, *_: read.append(rows) or rows)
+        want = of()
+    assert read and got == want and all(got.values())
+
+
 def test_counted_terms_are_those_of_tokenize(spark):
     import random
 
