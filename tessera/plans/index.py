@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import content_id
 from tessera.operators import conflicts, links, retrieve, store
 from tessera.operators.extract import EDGE, NODE, all_of, code_graph, edge_rows, facts, markdown_graph, mentions, node_rows
-from tessera.operators.lineage import checkpoint
+from tessera.operators.joins import small
+from tessera.operators.lineage import checkpoint, written
 from tessera.operators.nearest import closest_scope, covering
 from tessera.operators.postings import postings
 from tessera.sources.files import chunks, lines
@@ -81,8 +82,8 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
         part_edges.append(code_edges)
     if documents:
         doc, doc_edges = markdown_graph(rows)
-        doc = checkpoint(doc)
-        named = checkpoint(mentions(rows))
+        doc = written(doc)
+        named = written(mentions(rows))
         last = F.when(F.col("kind") == "Section", F.col("start_line")).otherwise(F.col("end_line"))  # of a section its heading alone
         blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), last.alias("b"))
         held = covering(named, blocks, "path", "start_line", "a", "b")
@@ -93,21 +94,28 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
         sheets, sheet_edges = page_nodes(pages)
         parts.append(sheets)
         part_edges.append(sheet_edges)
-    return all_of(parts).dropDuplicates(["id"]), all_of(part_edges).dropDuplicates(["id"])
+    return one_each(all_of(parts)), all_of(part_edges).dropDuplicates(["id"])
+
+
+def one_each(nodes: DataFrame) -> DataFrame:
+    """One node of each id. Ids alone are grouped; of the nodes, which are wide, those alone are whose id is there more than once."""
+    twice = checkpoint(nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    few = small(twice)
+    return nodes.join(few(twice), "id", "left_anti").select(*nodes.columns).unionByName(nodes.join(few(twice), "id", "left_semi").select(*nodes.columns).dropDuplicates(["id"]))
 
 
 def begin(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, nodes, edges) of a corpus, without links; lines and nodes are written, edges are only planned."""
-    rows = checkpoint(lines(artifacts))
+    rows = written(lines(artifacts))
     nodes, edges = extract(rows, pages)
-    return rows, checkpoint(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz"))), edges
+    return rows, written(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz"))), edges
 
 
 def finish(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
     """The index of what ``begin`` gives: edges are written, and documents linked to code."""
-    edges = checkpoint(edges)
+    edges = written(edges)
     linked = links.link(nodes, edges).drop("reason")
-    return Index(nodes, checkpoint(edges.unionByName(linked)), rows)
+    return Index(nodes, written(edges.unionByName(linked)), rows)
 
 
 def build(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> Index:

@@ -184,8 +184,9 @@ def artifacts(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 def lines(corpus: DataFrame) -> DataFrame:
     """path, kind, line (from 1) and its text; a break at the end of a text makes no further line."""
-    text = F.regexp_replace("text", r"(?:\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ])\z", "")
-    split = F.split(text, r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]")
+    split = F.split("text", r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085  ]")
+    # the array is the variable of a lambda, so it is made once
+    split = F.flatten(F.transform(F.array(split), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)))
     rows = corpus.where("text is not null and text <> ''").select("path", "kind", F.posexplode(split).alias("at", "line_text"))
     return rows.select("path", "kind", (F.col("at") + 1).alias("line"), "line_text")
 

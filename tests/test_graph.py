@@ -818,6 +818,25 @@ def test_counted_terms_are_those_of_tokenize(spark):
         assert tuple(size) == tuple(sum(r[c] for r in made if not r["term"]) for c in ("tf", "length"))
 
 
+def test_one_node_of_each_id_stays_without_sorting_nodes(spark):
+    rows = [(f"n{i}", i) for i in range(500)] + [("n3", 3), ("n3", 3), ("n7", 7)]
+    nodes = spark.createDataFrame(rows, "id string, line int").checkpoint()
+    for limit in (1_000_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(index, "small", lambda df, limit=limit: (F.broadcast if limit else lambda rows: rows))
+            assert sorted(map(tuple, index.one_each(nodes).collect())) == sorted({*rows})
+    assert "SortAggregate" not in index.one_each(nodes.where("id <> 'n3'"))._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
+def test_line_ends_are_not_lines(spark):
+    texts = ["a", "a\n", "a\n\n", "\n", "\r\n", "a\r\nb\r\n", "a\r\n\r", "\u2028a\u2029", " ", "a\u0085\n", "\n\n", "a\vb\f"]
+    rows = spark.createDataFrame([(f"f{i}", "markdown", x) for i, x in enumerate(texts)], "path string, kind string, text string")
+    got = {}
+    for r in sorted(files.lines(rows).collect(), key=lambda r: r["line"]):
+        got.setdefault(r["path"], []).append(r["line_text"])
+    assert got == {f"f{i}": x.splitlines() for i, x in enumerate(texts)}
+
+
 def test_evidence_shuffles_no_nodes(spark):
     """A question about many nodes reads them; no texts or ids of all of them are sorted or sent."""
     from tessera.operators import joins, retrieve
