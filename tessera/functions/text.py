@@ -112,8 +112,7 @@ def meaningful_terms(c: str | Column) -> Column:
 
 def is_generic_term(c: str | Column, words: list[str] = GENERIC) -> Column:
     """One term only, and that a generic one. Task terms count repeats, link terms don't; both are one term here."""
-    terms = split_terms(c)
-    return (F.size(terms) == 1) & F.element_at(F.concat(terms, F.array(F.lit(""))), 1).isin(words)
+    return F.exists(F.array(split_terms(c)), lambda terms: (F.size(terms) == 1) & F.element_at(F.concat(terms, F.array(F.lit(""))), 1).isin(words))
 
 
 def endpoint_terms(c: str | Column) -> Column:

@@ -21,7 +21,8 @@ def with_endpoint(nodes: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Columns ep_method and ep_path of a node: what it states itself, else what its label names."""
     path = F.coalesce(clean_endpoint("endpoint"), endpoint_path("label", ignore_case))
     method = F.when(F.col("endpoint").isNotNull(), F.upper("method")).otherwise(endpoint_method("label", ignore_case))
-    return nodes.withColumn("ep_method", method).withColumn("ep_path", path)
+    made = F.explode(F.array(F.struct(method.alias("ep_method"), path.alias("ep_path"))))  # a generator makes them once; filters on a column would make it again
+    return nodes.withColumn("_ep", made).select("*", "_ep.ep_method", "_ep.ep_path").drop("_ep")
 
 
 def _side(nodes: DataFrame, s: str, *more: str) -> DataFrame:
@@ -48,6 +49,11 @@ def endpoint_links(docs: DataFrame, code: DataFrame) -> DataFrame:
     return _link(both, relation, "DOC_EXACT", 1.0, "exact_endpoint", 0)
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """Nodes with the key of their label, if they have one; a generator makes it once, where filters and joins on a column would make it again."""
+    return nodes.withColumn("key", F.explode(F.array(identifier_key("label", True)))).where("key <> ''")
+
+
 def _by_key(nodes: DataFrame, canonical: bool) -> DataFrame:
     names = [identifier_key("label", True)] + [identifier_key("canonical_name", True)] * canonical
     return nodes.withColumn("key", F.explode(F.array_distinct(F.array(*names)))).where("key <> ''")
@@ -55,7 +61,7 @@ def _by_key(nodes: DataFrame, canonical: bool) -> DataFrame:
 
 def identifier_links(docs: DataFrame, code: DataFrame) -> DataFrame:
     """Fields and config keys, tables and statuses by equal identifiers."""
-    d = docs.withColumn("key", identifier_key("label", True)).where("key <> ''")
+    d = _keyed(docs)
     of = lambda kinds, canonical=False: _side(_by_key(code.where(F.col("kind").isin(kinds)), canonical), "c", "key")
     named = F.coalesce("reference_type", F.lit("")).isin("field", "form_field", "config_key", "")
     fields = _side(d.where(F.col("kind").isin("FormField", "CodeReference") & named), "d", "key")
@@ -76,8 +82,8 @@ def reference_links(docs: DataFrame, code: DataFrame) -> DataFrame:
     files = code.where("kind = 'File'").withColumn("key", F.explode(F.array_distinct(F.array(normalize_path("path"), normalize_path("label"), normalize_path("canonical_name")))))
     by_path = _side(refs.where("reference_type = 'file_path'").withColumn("key", normalize_path("label")), "d", "key").join(_side(files, "c", "key"), "key")
     symbols = _side(_by_key(code.where("kind in ('Class', 'Function', 'Method')"), True), "c", "key").distinct()
-    named = refs.where("coalesce(reference_type, '') <> 'file_path'").withColumn("key", identifier_key("label", True)).where(F.col("key") != "")
-    named = _side(named.where(~is_generic_term("key")), "d", "key").join(symbols, "key")
+    named = _keyed(refs.where("coalesce(reference_type, '') <> 'file_path'")).where(~is_generic_term("key"))
+    named = _side(named, "d", "key").join(symbols, "key")
     weak = F.col("d_confidence") == "AMBIGUOUS"
     return _link(by_path, "DOC_MENTIONS", "DOC_EXACT", 1.0, "exact_file_path", 4).unionByName(
         _link(named, F.when(weak, "SEMANTIC_CANDIDATE").otherwise("DOC_MENTIONS"), F.when(weak, "AMBIGUOUS").otherwise("DOC_EXACT"), F.when(weak, 0.2).otherwise(0.9), "exact_code_reference", 5)

@@ -837,6 +837,20 @@ def test_line_ends_are_not_lines(spark):
     assert got == {f"f{i}": x.splitlines() for i, x in enumerate(texts)}
 
 
+def test_links_make_keys_and_endpoints_once(spark):
+    """Filters and joins on keys and endpoints read them; none makes them again."""
+    from tessera.operators import links
+
+    rows = [("d1", "APIReference", "GET /api/a", "markdown", "GET", "/api/a"), ("d2", "FormField", "email", "markdown", None, None), ("c1", "Endpoint", "GET /api/a", "code", "GET", "/api/a"), ("c2", "Column", "Email", "sql", None, None)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, label string, artifact_kind string, method string, endpoint string").selectExpr("*", "label as canonical_name", "'p' as path", "'DOC_EXACT' as confidence", "cast(null as string) as reference_type").checkpoint()
+    docs, code = nodes.where("artifact_kind = 'markdown'"), nodes.where("artifact_kind <> 'markdown'")
+    for made, want in ((links.endpoint_links, ("d1", "c1")), (links.identifier_links, ("d2", "c2"))):
+        found = made(docs, code)
+        assert [(r["src"], r["dst"]) for r in found.collect()] == [want]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Filter" in x and "regexp" in x]
+
+
 def test_evidence_shuffles_no_nodes(spark):
     """A question about many nodes reads them; no texts or ids of all of them are sorted or sent."""
     from tessera.operators import joins, retrieve
