@@ -13,6 +13,7 @@ from itertools import groupby, islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import BARE_API, ENDPOINT, FILE_PATH, content_id, short
 from tessera.operators.lineage import checkpoint
@@ -101,20 +102,37 @@ DATABASE = r"(?iu)\b([A-Za-z][A-Za-z0-9_]{2,})\s+(?:table|entity|collection)\b|(
 # Words of which every match of the pattern of the same name has one; sentences without any are not searched for it.
 SCREEN_HINT, INTEGRATION_HINT, DATABASE_HINT = r"(?iu)화면|스크린|페이지|screen|page|view", r"(?iu)integration|webhook|연동", r"(?iu)table|entity|collection|테이블|엔티티|컬렉션"
 
-# What a line or a sentence has that any pattern of mentions or of facts fits: signs, words (in any case) or characters. What has none is not searched. The
-# last characters are those that count as i, k or s where case is ignored.
-WORDS = (
-    "error throw raise return must required cannot minimum max valid reject never only shall should need permission role admin owner member view editor authorized forbidden policy retention approval refund "
-    "settlement parameter field input key screen page user operator customer agent warning failure integration webhook table entity collection"
-).split() + ["at least", "at most", "do not", "no external", "local-first", "has to", "have to", "business rule"]
+# What a line has that some pattern of mentions fits, and a sentence that the patterns of facts of each sort fit: words (in any case), signs or characters.
+# What has none is not searched. The last characters of OTHER are those that count as i, k or s where case is ignored.
 DOTTED, UPPER, CAMEL, OTHER = r"[._-][A-Za-z0-9_-]", r"[A-Z][A-Z0-9_]{2}", r"[A-Za-z0-9][A-Z][A-Za-z0-9]", "[가-힣İıſK]"
-FACT_HINTS = "(?i:" + "|".join(WORDS) + f")|`|{UPPER}|{OTHER}"
+NEED = "must|shall|should|required|need|has to|have to"
+TOLD = {
+    "ErrorMessage": "(?i:error|throw|raise|return)",
+    "ValidationRule": "(?i:must|required|cannot be empty|at least|at most|minimum|max|invalid if|reject|validat)",
+    "Policy": "(?i:do not|never|only|no external|must not|local-first)",
+    "Requirement": f"(?i:{NEED})",
+    "rule PermissionRule": f"(?i:permission|role|admin|owner|member|viewer|editor|authorized|forbidden|only)|{OTHER}",
+    "rule BusinessPolicy": f"(?i:policy|business rule|retention|approval|refund|settlement)|{OTHER}",
+    "rule Requirement": f"(?i:{NEED})|{OTHER}",
+    "validation": f"(?i:required|must|cannot be empty|at least|at most|minimum|max)|{OTHER}",
+    "status": UPPER,
+    "field": f"(?i:parameter|field|input|key)|{OTHER}",
+    "marked": "`",
+    "screen": f"(?i:screen|page|view)|{OTHER}",
+    "action": "(?i:user|admin|operator|customer|agent)",
+    "korean": OTHER,
+    "warned": f"(?i:error|warning|failure)|{OTHER}",
+    "integration": f"(?i:integration|webhook)|{OTHER}",
+    "database": f"(?i:table|entity|collection)|{OTHER}",
+}
+FACT_HINTS = "|".join(TOLD.values())
 HINTS = f"{FACT_HINTS}|[/(]|{DOTTED}|{CAMEL}"
 
 
 def telling(lines: DataFrame) -> DataFrame:
-    """Lines (with sentences) with those of their sentences that any pattern of sentences or facts can fit."""
+    """Lines (with sentences) with those of their sentences that any pattern of facts can fit: their text, and a bit for each of TOLD that they hold."""
     at = lines.columns.index("sentences")
+    made = T.StructType([T.StructField(f.name, T.ArrayType(T.StructType().add("text", T.StringType()).add("told", T.IntegerType()))) if f.name == "sentences" else f for f in lines.schema])
 
     def run(batches):
         import numpy as np
@@ -123,12 +141,21 @@ def telling(lines: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts, row = pc.list_flatten(batch.column(at)), pc.list_parent_indices(batch.column(at))
-            told = pc.match_substring_regex(texts, FACT_HINTS)
-            ends = np.cumsum(np.bincount(row.filter(told).to_numpy(), minlength=len(batch)), dtype=np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), texts.filter(told))
+            held = pc.match_substring_regex(texts, FACT_HINTS)
+            texts, row = texts.filter(held), row.filter(held)
+            told = np.zeros(len(texts), np.int32)
+            for bit, hints in enumerate(TOLD.values()):
+                told |= pc.match_substring_regex(texts, hints).to_numpy(zero_copy_only=False).astype(np.int32) << bit
+            ends = np.cumsum(np.bincount(row.to_numpy(), minlength=len(batch)), dtype=np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.StructArray.from_arrays([texts, pa.array(told)], ["text", "told"]))
             yield batch.set_column(at, batch.schema.field(at).with_type(kept.type), kept)
 
-    return lines.mapInArrow(run, lines.schema)
+    return lines.mapInArrow(run, made)
+
+
+def tells(sentence: Column, name: str) -> Column:
+    """Whether a sentence (of ``telling``) holds what the patterns of a name need."""
+    return sentence["told"].bitwiseAND(F.lit(1 << [*TOLD].index(name))) != 0
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -557,12 +584,12 @@ def mentions(lines: DataFrame, numbered: bool = True) -> DataFrame:
         F.transform(F.filter(matches(PASCAL, hint=CAMEL), lambda m: ~m.isin("HTTP", "JSON", "YAML", "SQL")), lambda m: spot(11, "CodeReference", m, "AMBIGUOUS", reference_type="class_candidate")),
     ]
 
-    def of_sentence(text: Column) -> Column:
-        rule = F.lit(None).cast("string")
+    def of_sentence(said: Column) -> Column:
+        text, rule = said["text"], F.lit(None).cast("string")
         for kind, pattern in reversed(SENTENCES):
-            rule = F.when(text.rlike(pattern), kind).otherwise(rule)
+            rule = F.when(tells(said, kind) & text.rlike(pattern), kind).otherwise(rule)
         sentence = _if(rule.isNotNull(), _spot(10, rule, short(text, 96, compact=True), "md", "DOC_INFERRED", text))
-        return F.concat(sentence, *_fact_spots(12, text))
+        return F.concat(sentence, *_fact_spots(12, said))
 
     found = _spotted(_with_sentences(doc), [*spots, F.flatten(F.transform("sentences", of_sentence))], once=True)
     return (found if numbered else first_per_key(found, ["id"], F.col("branch"), F.col("quote"))).select(*NODE)
@@ -584,8 +611,9 @@ def looks_like_field(c: Column) -> Column:
     return c.rlike(f"^(?:{FIELD})$") & (F.length(c) <= 80)
 
 
-def _fact_spots(branch: int, text: Column) -> list[Column]:
-    """The facts of a sentence, every match of it; branches from ``branch`` on."""
+def _fact_spots(branch: int, said: Column) -> list[Column]:
+    """The facts of a sentence (of ``telling``), every match of it; branches from ``branch`` on."""
+    text, none = said["text"], F.array().cast("array<string>")
     nth = iter(range(branch, branch + 20))
     spot = lambda kind, label, confidence, **more: _spot(next(nth), kind, label, "sb", confidence, text, **more)
     matches = lambda pattern, group=1: F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: m != "")
@@ -601,26 +629,26 @@ def _fact_spots(branch: int, text: Column) -> list[Column]:
 
     rule = F.lit(None).cast("string")
     for kind, pattern in reversed(RULES):
-        rule = F.when(text.rlike(pattern), kind).otherwise(rule)
-    valid, warned = F.regexp_extract(text, VALIDATION, 1), text.rlike(ERROR_HINT)
-    none = F.array().cast("array<string>")
-    given = lambda hint, found: F.when(text.rlike(hint), found).otherwise(none)
+        rule = F.when(tells(said, f"rule {kind}") & text.rlike(pattern), kind).otherwise(rule)
+    valid = F.when(tells(said, "validation"), F.regexp_extract(text, VALIDATION, 1)).otherwise("")
+    warned = tells(said, "warned") & text.rlike(ERROR_HINT)
+    given = lambda name, hint, found: F.when(tells(said, name) & (text.rlike(hint) if hint else F.lit(True)), found).otherwise(none)
     whole = short(text, 96, compact=True)
     fields = lambda found: F.transform(F.filter(found, looks_like_field), lambda m: spot("FormField", m, "DOC_EXACT", reference_type="form_field", subject=m))
     return [
-        F.transform(matches(STATUS_WORD), lambda m: spot("StatusValue", m, "DOC_EXACT", reference_type="status_value")),
-        fields(given(FIELD_HINT, matches(FIELD))),
-        fields(matches(r"`([^`\n]+)`")),
-        fields(given(FIELD_HINT, each(FIELD_CONTEXT, 3))),
+        F.transform(given("status", None, matches(STATUS_WORD)), lambda m: spot("StatusValue", m, "DOC_EXACT", reference_type="status_value")),
+        fields(given("field", FIELD_HINT, matches(FIELD))),
+        fields(given("marked", None, matches(r"`([^`\n]+)`"))),
+        fields(given("field", FIELD_HINT, each(FIELD_CONTEXT, 3))),
         _if(valid != "", spot("ValidationRule", valid, "DOC_INFERRED", subject=_first_field(text))),
         _if(rule.isNotNull(), spot(rule, whole, "DOC_INFERRED")),
-        F.transform(labels(given(SCREEN_HINT, each(SCREEN, 2))), lambda m: spot("Screen", m, "DOC_INFERRED")),
-        F.transform(matches(ACTION), lambda m: spot("UserAction", short(m, 96, compact=True), "DOC_INFERRED")),
-        F.transform(matches(KOREAN_ACTION), lambda m: spot("UserAction", m, "DOC_INFERRED")),
+        F.transform(labels(given("screen", SCREEN_HINT, each(SCREEN, 2))), lambda m: spot("Screen", m, "DOC_INFERRED")),
+        F.transform(given("action", None, matches(ACTION)), lambda m: spot("UserAction", short(m, 96, compact=True), "DOC_INFERRED")),
+        F.transform(given("korean", None, matches(KOREAN_ACTION)), lambda m: spot("UserAction", m, "DOC_INFERRED")),
         F.transform(F.when(warned, each(QUOTED, 5)).otherwise(none), lambda m: spot("ErrorMessage", m, "DOC_EXACT")),
         _if(warned & ~text.rlike(QUOTED), spot("ErrorMessage", whole, "DOC_INFERRED")),
-        F.transform(labels(given(INTEGRATION_HINT, each(INTEGRATION, 2))), lambda m: spot("ExternalIntegration", m, "DOC_EXACT")),
-        F.transform(given(DATABASE_HINT, each(DATABASE, 3)), lambda m: spot("DatabaseEntity", m, "DOC_EXACT", reference_type="database_entity", subject=m)),
+        F.transform(labels(given("integration", INTEGRATION_HINT, each(INTEGRATION, 2))), lambda m: spot("ExternalIntegration", m, "DOC_EXACT")),
+        F.transform(given("database", DATABASE_HINT, each(DATABASE, 3)), lambda m: spot("DatabaseEntity", m, "DOC_EXACT", reference_type="database_entity", subject=m)),
     ]
 
 
@@ -629,5 +657,5 @@ def facts(lines: DataFrame, page: Column | None = None, numbered: bool = True) -
     policies, requirements, database entities and integrations; every match of a sentence is one.
 
     A page number, where the lines come from pages, goes along. Equal nodes are one as in ``mentions``."""
-    found = _spotted(_with_sentences(lines), [F.flatten(F.transform("sentences", lambda text: F.concat(*_fact_spots(0, text))))], page, once=True)
+    found = _spotted(_with_sentences(lines), [F.flatten(F.transform("sentences", lambda said: F.concat(*_fact_spots(0, said))))], page, once=True)
     return (found if numbered else first_per_key(found, ["id"], F.col("branch"), F.col("quote"))).select(*NODE)

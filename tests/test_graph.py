@@ -768,6 +768,7 @@ def test_hints_let_no_match_pass_by(spark):
     with pytest.MonkeyPatch.context() as m:
         for hints in ("HINTS", "FACT_HINTS", "DOTTED", "UPPER", "CAMEL"):
             m.setattr(extract, hints, every, raising=False)
+        m.setattr(extract, "TOLD", dict.fromkeys(extract.TOLD, every))
         want = {f: of(f) for f in got}
     assert got == want and all(len(found) > 1000 for found in got.values())
     kept = extract.fitting(spark.createDataFrame([("d.md", "markdown", 1, "Lorem ipsum the of."), ("d.md", "markdown", 2, "Lorem only."), ("d.md", "markdown", 3, None)], rows.schema), "line_text", extract.HINTS)
