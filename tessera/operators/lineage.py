@@ -25,9 +25,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, of which a reader takes the columns that it needs: for wide rows that are read often."""
+def written(df: DataFrame, plain: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, of which a reader takes the columns that it needs: for wide rows that are read often.
+
+    With ``plain`` columns it is not compressed, and these have no dictionary: readers deal it over tasks by its bytes, and long texts that many
+    rows repeat would come to few tasks."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    how = {"compression": "uncompressed"} | {f"parquet.enable.dictionary#{c}": "false" for c in plain} if plain else {}
+    df.write.options(**how).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

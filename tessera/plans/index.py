@@ -72,7 +72,9 @@ def page_status(pages: DataFrame) -> DataFrame:
 
 
 def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) that the files themselves give, without links between documents and code; sorts of files that are not there cost nothing."""
+    """(nodes, edges) that the files themselves give, without links between documents and code; sorts of files that are not there cost nothing.
+
+    Edges are only planned, and one may be there twice."""
     kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}  # six at most
     documents = kinds & {"markdown", "pdf"}
     parts, part_edges = [], []
@@ -83,7 +85,7 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
     if documents:
         doc, doc_edges = markdown_graph(rows)
         doc = written(doc)
-        named = written(mentions(rows))
+        named = written(mentions(rows), plain=("quote",))
         last = F.when(F.col("kind") == "Section", F.col("start_line")).otherwise(F.col("end_line"))  # of a section its heading alone
         blocks = doc.where("kind in ('Paragraph', 'Table', 'CodeBlock', 'Section')").select("path", F.col("id").alias("block"), F.col("start_line").alias("a"), last.alias("b"))
         held = covering(named, blocks, "path", "start_line", "a", "b")
@@ -94,26 +96,26 @@ def extract(rows: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame,
         sheets, sheet_edges = page_nodes(pages)
         parts.append(sheets)
         part_edges.append(sheet_edges)
-    return one_each(all_of(parts)), all_of(part_edges).dropDuplicates(["id"])
+    return one_each(all_of(parts)), all_of(part_edges)
 
 
-def one_each(nodes: DataFrame) -> DataFrame:
-    """One node of each id. Ids alone are grouped; of the nodes, which are wide, those alone are whose id is there more than once."""
-    twice = checkpoint(nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each id. Ids alone are grouped; of the rows, which are wide, those alone are whose id is there more than once."""
+    twice = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     few = small(twice)
-    return nodes.join(few(twice), "id", "left_anti").select(*nodes.columns).unionByName(nodes.join(few(twice), "id", "left_semi").select(*nodes.columns).dropDuplicates(["id"]))
+    return rows.join(few(twice), "id", "left_anti").select(*rows.columns).unionByName(rows.join(few(twice), "id", "left_semi").select(*rows.columns).dropDuplicates(["id"]))
 
 
 def begin(artifacts: DataFrame, pages: DataFrame | None = None, indexed_at: str = "2000-01-01 00:00:00") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, nodes, edges) of a corpus, without links; lines and nodes are written, edges are only planned."""
     rows = written(lines(artifacts))
     nodes, edges = extract(rows, pages)
-    return rows, written(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz"))), edges
+    return rows, written(nodes.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp_ntz")), plain=("quote",)), edges
 
 
 def finish(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
     """The index of what ``begin`` gives: edges are written, and documents linked to code."""
-    edges = written(edges)
+    edges = one_each(written(edges))
     linked = links.link(nodes, edges).drop("reason")
     return Index(nodes, written(edges.unionByName(linked)), rows)
 
@@ -136,7 +138,8 @@ def stored_rows(artifacts: DataFrame, indexed_at: str) -> dict[str, DataFrame]:
     """The rows of the stored tables for some files: artifacts, nodes, edges, chunks of 120 lines, and a piece of evidence for each node with a
     quote, which the edges to that node name. Files without text have an artifact alone."""
     rows = checkpoint(lines(artifacts))
-    nodes, edges = (checkpoint(df) for df in extract(rows))
+    nodes, edges = extract(rows)
+    nodes, edges = checkpoint(nodes), checkpoint(edges.dropDuplicates(["id"]))
     at, none = F.lit(indexed_at).cast("timestamp_ntz"), F.lit(None).cast("string")
     proof = F.when(F.coalesce("quote", F.lit("")) != "", content_id("evidence", "path", "id"))
     chunk = chunks(rows).join(artifacts.select("path", "kind"), "path")
